@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, sharding, sstable, warc
+from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        near_dedup.op1_minhash_near_dedup,
         chat_format.op2_chat_format,
         sstable.op3_sorted_tables,
         packing.op4_best_fit_packing,
