@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, warc
+from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         packing.op4_best_fit_packing,
         mixing.op5_mix_sources,
         quality_rules.op6_quality_rules,
+        vector_search.op7_kmeans_tree_search,
         warc.op8_warc_archives,
         sharding.op9_shard_bytes,
     )
