@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, vector_search, warc
+from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         vector_search.op7_kmeans_tree_search,
         warc.op8_warc_archives,
         sharding.op9_shard_bytes,
+        suffix_dedup.op10_suffix_dedup,
     )
 }
 ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL}
