@@ -2,10 +2,451 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..operators import audit, experiment, live, metrics, model, splits
+from ..sources import readers
+from . import bindings as B
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+THRESHOLD, RESAMPLES = 0.5, 200
+RATIOS = """coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0.0) AS far, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision,
+ coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy"""
+SCORES = "round(recall, 6) AS recall, round(far, 6) AS false_alarm_rate, round(precision, 6) AS precision, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round(recall - far, 6) AS tss"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- audits ----------------------------------------------------------------------------------------------------
+
+_AUDIT = """a AS (SELECT {by} count(*) AS n, count(*) FILTER (NOT m AND y = 1) AS tp, count(*) FILTER (NOT m AND y = 0) AS fp, count(*) FILTER (m AND y = 1) AS fn, count(*) FILTER (m AND y = 0) AS tn
+ FROM (SELECT *, regexp_full_match(url, 'https://www\\.[^/?#]+/?') AS m FROM {t}) {group}), r AS (SELECT *, """ + RATIOS + """ FROM a)
+SELECT {by} n, tp, fp, fn, tn, round(coalesce(tn / nullif(tn + fp, 0), 0.0), 6) AS benign_template_share, round(coalesce(fn / nullif(fn + tp, 0), 0.0), 6) AS phish_template_share,
+ round(recall, 6) AS recall, round(far, 6) AS false_alarm_rate, round(precision, 6) AS precision, round(accuracy, 6) AS accuracy, round(recall - far, 6) AS tss FROM r"""
+
+
+@query("WITH " + B.CORPUS + ", " + _AUDIT.format(by="", t="c", group=""))
+def template_audit(s: SparkSession, d: str) -> DataFrame:
+    return audit.template_audit(B.corpus(s, d))
+
+
+@query("WITH " + B.URLS + ", " + _AUDIT.format(by="source,", t="u", group="GROUP BY source"))
+def template_rule_by_cell(s: SparkSession, d: str) -> DataFrame:
+    return audit.template_audit(B.urls(s, d), ["source"])
+
+
+_RATES = B.PARTS + """, q AS (SELECT y, (scheme = 'https')::INT::DOUBLE AS is_https, starts_with(host, 'www.')::INT::DOUBLE AS has_www, (length(rtrim(path, '/')) > 0)::INT::DOUBLE AS has_path, (query <> '')::INT::DOUBLE AS has_query FROM p JOIN h USING (row_id, y, scheme, path, query)),
+m AS (SELECT property, avg(v) FILTER (y = 0) AS b, avg(v) FILTER (y = 1) AS f FROM (UNPIVOT q ON is_https, has_www, has_path, has_query INTO NAME property VALUE v) GROUP BY property),
+r AS (SELECT property, round(b, 6) AS benign, round(f, 6) AS phishing, round(abs(b - f), 6) AS separation,
+ CASE WHEN greatest(b, f) <= 0.01 OR least(b, f) >= 0.99 THEN 'constant' WHEN b IN (0.0, 1.0) AND abs(b - f) >= 0.05 THEN 'degenerate' WHEN abs(b - f) >= 0.7 THEN 'high_separation' WHEN abs(b - f) >= 0.35 THEN 'elevated' ELSE 'ok' END AS verdict FROM m)"""
+_RATES = _RATES.replace("FROM p JOIN h USING (row_id, y, scheme, path, query)", "FROM h")
+
+
+@query("WITH " + _RATES + " SELECT * FROM r")
+def structural_rates(s: SparkSession, d: str) -> DataFrame:
+    return audit.structural_rates(B.corpus(s, d))
+
+
+@query("WITH " + _RATES + """ SELECT coalesce(string_agg(property, ',' ORDER BY property) FILTER (verdict IN ('degenerate', 'high_separation')), '') AS degenerate,
+ coalesce(string_agg(property, ',' ORDER BY property) FILTER (verdict = 'constant'), '') AS constant, round(max(separation), 6) AS max_single_property_tss FROM r""")
+def structural_verdicts(s: SparkSession, d: str) -> DataFrame:
+    return audit.verdict_summary(audit.structural_rates(B.corpus(s, d)))
+
+
+# --- URL parts and features --------------------------------------------------------------------------------------
+
+
+@query("WITH " + B.PARTS + " SELECT row_id, scheme, host, port, path, query, fragment, subdomain, label, suffix, registrable FROM x")
+def url_parse(s: SparkSession, d: str) -> DataFrame:
+    return U.with_suffix(U.with_parts(B.corpus(s, d))).select("row_id", "scheme", "host", "port", "path", "query", "fragment", "subdomain", "label", "suffix", "registrable")
+
+
+def _features(names: list[str]):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return U.with_features(B.corpus(s, d)).select("row_id", *(F.round(c, 6).alias(c) for c in names))
+
+    return run
+
+
+_NONEMPTY = "len(list_filter(string_split({}, '{}'), lambda s: s <> ''))"
+_COUNT = "(length(u) - length(replace(u, '{}', '')))"
+_TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+_IN = "len(list_filter({}, lambda t: list_contains([{}], t)))"
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_EXT = "lower(regexp_extract(coalesce(list_last(list_filter(string_split(path, '/'), lambda s: s <> '')), ''), '([^.]*)$', 1))"
+_ENTROPY = "coalesce(list_aggregate(string_split({}, ''), 'entropy'), 0)"
+_EXPR = {
+    "url_length": "length(u)", "domain_length": "length(host)", "subdomain_length": "length(subdomain)", "path_length": "length(path)", "query_length": "length(query)", "fragment_length": "length(fragment)",
+    "path_depth": _NONEMPTY.format("path", "/"), "n_query_params": _NONEMPTY.format("query", "&"),
+    "digit_ratio": "length(regexp_replace(u, '[^0-9]', '', 'g')) / length(u)", "letter_ratio": "length(regexp_replace(u, '[^a-zA-Z]', '', 'g')) / length(u)", "special_ratio": "length(regexp_replace(u, '[a-zA-Z0-9]', '', 'g')) / length(u)",
+    "upper_ratio": "length(regexp_replace(u, '[^A-Z]', '', 'g')) / length(u)", "entropy_url": _ENTROPY.format("u"),
+    **{f"n_{k}": _COUNT.format(c) for k, c in (("dots", "."), ("hyphens", "-"), ("underscores", "_"), ("slashes", "/"), ("equals", "="), ("ampersands", "&"), ("at", "@"), ("tilde", "~"), ("plus", "+"), ("commas", ","))},
+    "n_hex_escapes": "len(regexp_extract_all(u, '%[0-9a-fA-F]{2}'))", "entropy_domain": _ENTROPY.format("label"), "domain_digit_ratio": "length(regexp_replace(label, '[^0-9]', '', 'g')) / greatest(length(label), 1)",
+    "domain_hyphen_count": "length(label) - length(replace(label, '-', ''))", "domain_vowel_ratio": "coalesce(length(regexp_replace(label, '[^aeiou]', '', 'g')) / nullif(length(regexp_replace(label, '[^a-zA-Z]', '', 'g')), 0), 0)",
+    "domain_max_consonant_run": "coalesce(list_max(list_transform(regexp_extract_all(label, '[b-df-hj-np-tv-z]+'), lambda r: length(r))), 0)",
+    "domain_max_repeat_run": "list_max(list_transform(range(1, length(label) + 1), lambda i: length(label[i:]) - length(ltrim(label[i:], label[i]))))",
+    "domain_digit_group_count": "len(regexp_extract_all(label, '[0-9]+'))", "domain_token_count": f"len({_TOK.format('registrable')})", "domain_longest_token": f"list_max(list_transform({_TOK.format('registrable')}, lambda t: length(t)))",
+    "n_subdomains": _NONEMPTY.format("subdomain", "."), "has_www": "(subdomain = 'www' OR starts_with(subdomain, 'www.'))::INT", "is_ip_domain": "regexp_full_match(host, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')::INT", "has_punycode": "contains(host, 'xn--')::INT",
+    "tld_length": "length(suffix)", "tld_is_common": f"(suffix IN ({_LIST(U.COMMON_TLDS)}))::INT", "tld_is_abused": f"(regexp_extract(suffix, '([^.]*)$', 1) IN ({_LIST(U.ABUSED_TLDS)}))::INT", "is_shortener": f"(registrable IN ({_LIST(U.SHORTENERS)}))::INT",
+    "is_https": "(scheme = 'https')::INT", "has_port": "(port IS NOT NULL)::INT", "has_nonstandard_port": "coalesce((port NOT IN (80, 443))::INT, 0)", "has_userinfo": "0",
+    "has_at_symbol": "contains(u, '@')::INT", "double_slash_in_path": "contains(path, '//')::INT", "suspicious_keyword_count": _IN.format(_TOK.format("u"), _LIST(U.KEYWORDS)), "brand_token_count": _IN.format(_TOK.format("u"), _LIST(U.BRANDS)),
+    "brand_outside_domain": f"CASE WHEN {_IN.format(_TOK.format('registrable'), _LIST(U.BRANDS))} > 0 THEN 0 ELSE {_IN.format(_TOK.format('''subdomain || ' ' || path || ' ' || query'''), _LIST(U.BRANDS))} END",
+    "has_script_ext": f"({_EXT} IN ({_LIST(U.SCRIPT_ENDINGS)}))::INT", "has_archive_ext": f"({_EXT} IN ({_LIST(U.ARCHIVE_ENDINGS)}))::INT",
+}
+
+for _name, _columns in {"url_lengths": U.LENGTHS, "url_char_ratios": U.RATIOS[:4], "url_entropy": ["entropy_url", "entropy_domain"], "url_char_counts": U.COUNTS, "url_domain_shape": U.SHAPE[1:], "url_flags": U.FLAGS, "url_tokens": U.WORDS, "path_shape_features": U.PATH_SHAPE}.items():
+    _QUERIES[_name] = _features(_columns)
+    _SQL[_name] = "WITH " + B.PARTS + " SELECT row_id, " + ", ".join(f"round(({_EXPR[c]})::DOUBLE, 6) AS {c}" for c in _columns) + " FROM x"
+
+
+@query("WITH " + B.PARTS + " SELECT registrable, count(*) AS n, count(DISTINCT host) AS hosts FROM x GROUP BY registrable")
+def registrable_domain(s: SparkSession, d: str) -> DataFrame:
+    return U.with_suffix(U.with_parts(B.corpus(s, d))).groupBy("registrable").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"))
+
+
+@query("WITH " + B.PARTS + " SELECT DISTINCT domain, array_to_string(list_reverse(string_split(domain, '.')), ',') AS surt FROM x")
+def surt_key(s: SparkSession, d: str) -> DataFrame:
+    return B.corpus(s, d).select("domain").distinct().withColumn("surt", U.surt(F.col("domain")))
+
+
+@query("WITH " + B.CORPUS + ", k2 AS (SELECT DISTINCT domain, array_to_string(list_reverse(string_split(domain, '.')), ',') AS surt FROM c) SELECT domain, surt FROM k2 WHERE surt >= 'net,shop1' AND surt < 'net,shop1~'")
+def range_scan(s: SparkSession, d: str) -> DataFrame:
+    return readers.prefix_scan(surt_key(s, d), "surt", "net,shop1")
+
+
+@query("SELECT 'zero_is_positive' AS rule, count(*) AS n, sum((quality = 0)::INT)::BIGINT AS positives FROM labels WHERE quality IS NOT NULL UNION ALL SELECT 'status_phishing', count(*), sum((lower(trim(event_type)) = 'phishing')::INT)::BIGINT FROM events UNION ALL SELECT 'not_legitimate', count(*), sum((event_type <> 'legitimate')::INT)::BIGINT FROM events UNION ALL SELECT 'bad', count(*), sum((event_type = 'bad')::INT)::BIGINT FROM events")
+def label_normalise(s: SparkSession, d: str) -> DataFrame:
+    e, q = B.table(s, d, "events"), B.table(s, d, "labels")
+    one = lambda f, u, c, r: readers.labelled(f, u, c, r).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("positives")).select(F.lit(r).alias("rule"), "n", "positives")
+    return reduce(DataFrame.unionByName, (one(q, "doc_id", "quality", "zero_is_positive"), *(one(e, "event_id", "event_type", r) for r in ("status_phishing", "not_legitimate", "bad"))))
+
+
+# --- live frames ---------------------------------------------------------------------------------------------------
+
+_CORPUS_LIVE = "v AS (SELECT o_orderkey AS page_id, 'https://shop' || o_custkey || '.com' AS url, (o_custkey % 2)::INT AS y, ['openphish', 'urlhaus', 'commoncrawl', 'tranco_templated'][(o_orderkey % 4 + 1)::INT] AS source, o_orderdate::DATE AS snapshot_date, 'shop' || (o_custkey % 700) AS domain FROM orders)"
+
+
+def _visits(s: SparkSession, d: str) -> DataFrame:
+    """Orders as sightings of a shop's URL: many for each URL and some on one day."""
+    o = B.table(s, d, "orders")
+    c = F.col("o_custkey")
+    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop"), c.cast("string"), F.lit(".com")).alias("url"), (c % 2).cast("int").alias("y"), F.get(F.array(*map(F.lit, live.STREAMS)), (F.col("o_orderkey") % 4).cast("int")).alias("source"), F.col("o_orderdate").cast("date").alias("snapshot_date"), F.concat(F.lit("shop"), (c % 700).cast("string")).alias("domain"))
+
+
+_FIRST = _CORPUS_LIVE + ", n AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY snapshot_date, page_id) = 1)"
+
+
+@query("WITH " + _FIRST + " SELECT * FROM n")
+def first_seen_dedup(s: SparkSession, d: str) -> DataFrame:
+    return live.first_seen(_visits(s, d))
+
+
+@query("WITH " + _CORPUS_LIVE + ", m AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY url, date_trunc('month', snapshot_date) ORDER BY list_position(['openphish', 'urlhaus', 'commoncrawl', 'tranco_templated'], source), page_id) = 1) SELECT url, date_trunc('month', snapshot_date)::DATE AS snapshot_date, page_id, source, y FROM m")
+def within_day_dedup(s: SparkSession, d: str) -> DataFrame:
+    monthly = _visits(s, d).withColumn("snapshot_date", F.trunc("snapshot_date", "month"))
+    return live.within_day(monthly).select("url", "snapshot_date", "page_id", "source", "y")
+
+
+@query("WITH " + _FIRST + """, a AS (SELECT snapshot_date, count(*) AS new_rows, sum(y)::BIGINT AS new_phishing FROM n GROUP BY 1), f AS (SELECT snapshot_date, count(*) AS k FROM (SELECT domain, min(snapshot_date) AS snapshot_date FROM n GROUP BY 1) GROUP BY 1)
+SELECT a.snapshot_date, new_rows, new_phishing, (sum(new_rows) OVER w)::BIGINT AS cumulative_rows, (sum(new_phishing) OVER w)::BIGINT AS cumulative_phishing, (sum(coalesce(k, 0)) OVER w)::BIGINT AS cumulative_domains FROM a LEFT JOIN f USING (snapshot_date) WINDOW w AS (ORDER BY a.snapshot_date)""")
+def timeline(s: SparkSession, d: str) -> DataFrame:
+    return live.timeline(_visits(s, d))
+
+
+@query("WITH " + _FIRST + " SELECT min(snapshot_date) AS first_day, count(DISTINCT domain) AS domains FROM n WHERE snapshot_date < DATE '1998-01-01'")
+def cumulative_domains(s: SparkSession, d: str) -> DataFrame:
+    return live.first_seen(_visits(s, d)).where(F.col("snapshot_date") < F.lit("1998-01-01").cast("date")).agg(F.min("snapshot_date").alias("first_day"), F.countDistinct("domain").alias("domains"))
+
+
+@query("WITH " + B.URLS + " SELECT source, count(*) AS n FROM u GROUP BY source")
+def source_counts(s: SparkSession, d: str) -> DataFrame:
+    return live.source_counts(B.urls(s, d))
+
+
+@query("WITH " + B.URLS + " SELECT count(*) AS n, count(DISTINCT domain) AS n_domains, sum(y)::BIGINT AS n_phishing, count(DISTINCT snapshot_date) AS n_days, min(snapshot_date) AS first_day, max(snapshot_date) AS last_day FROM u")
+def live_corpus(s: SparkSession, d: str) -> DataFrame:
+    return live.provenance(B.urls(s, d))
+
+
+@query("WITH " + B.URLS + " SELECT * FROM u WHERE (y = 1 AND source = 'openphish') OR (y = 0 AND source = 'commoncrawl')")
+def headline_rows(s: SparkSession, d: str) -> DataFrame:
+    return live.headline(B.urls(s, d))
+
+
+@query("WITH " + B.URLS + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM u) WHERE rank <= 3")
+def topk_per_group(s: SparkSession, d: str) -> DataFrame:
+    return live.top_per_group(B.urls(s, d), "domain", ["page_id"], 3)
+
+
+@query("SELECT event_type AS error, count(*) AS n FROM events GROUP BY 1")
+def error_histogram(s: SparkSession, d: str) -> DataFrame:
+    return live.error_histogram(B.table(s, d, "events").select(F.col("event_type").alias("error")))
+
+
+@query("WITH " + B.URLS + ", " + B.CORPUS + " SELECT url, y, domain, 'live' AS corpus FROM u UNION ALL SELECT url, y, domain, 'benchmark' FROM c")
+def corpus_union(s: SparkSession, d: str) -> DataFrame:
+    one = lambda f, k: f.select("url", "y", "domain", F.lit(k).alias("corpus"))
+    return one(B.urls(s, d), "live").unionByName(one(B.corpus(s, d), "benchmark"))
+
+
+# --- splits ----------------------------------------------------------------------------------------------------------
+
+_RANDOM = B.CORPUS + """, o AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(row_id || '-20260920'), row_id::VARCHAR) - 1 AS r, count(*) OVER (PARTITION BY y) AS n FROM c),
+r AS (SELECT *, CASE WHEN r < floor(n * 0.7::DOUBLE) THEN 'train' WHEN r < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS part FROM o)"""
+_DISJOINT = B.CORPUS + """, g AS (SELECT domain, count(*) AS n FROM c GROUP BY 1), b AS (SELECT domain, n, coalesce(sum(n) OVER (ORDER BY md5(domain || '-20260920'), domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM g),
+t AS (SELECT coalesce(sum(n), 0) AS tr FROM b WHERE b < 0.7::DOUBLE * t), a AS (SELECT domain, CASE WHEN b < 0.7::DOUBLE * b.t THEN 'train' WHEN b - tr < 0.15::DOUBLE * b.t THEN 'val' ELSE 'test' END AS part FROM b, t), r AS (SELECT c.*, part FROM c JOIN a USING (domain))"""
+_SIZES = " SELECT part, count(*) AS n, round(avg(y), 6) AS base_rate FROM r GROUP BY part"
+_TEMPORAL = B.DATED + """, d AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS i, count(*) OVER () AS d FROM (SELECT DISTINCT snapshot_date FROM l)), h AS (SELECT *, d - greatest(1, round_even(d * 0.3, 0))::INT AS tr FROM d),
+v AS (SELECT snapshot_date, CASE WHEN i <= tr - greatest(1, round_even(tr * 0.2, 0)) THEN 0 WHEN i <= tr THEN 1 ELSE 2 END AS p FROM h), e AS (SELECT l.*, p FROM l JOIN v USING (snapshot_date)), f AS (SELECT domain, min(p) AS p FROM e GROUP BY 1),
+r AS (SELECT e.y, e.domain, e.snapshot_date, ['train', 'val', 'test'][e.p + 1] AS part FROM e JOIN f ON e.domain = f.domain AND e.p = f.p)"""
+
+
+@query("WITH " + _RANDOM + _SIZES)
+def random_split_sizes(s: SparkSession, d: str) -> DataFrame:
+    return splits.sizes(splits.random_split(B.corpus(s, d), "row_id"))
+
+
+@query("WITH " + _RANDOM + " SELECT row_id, part FROM r")
+def random_split_rows(s: SparkSession, d: str) -> DataFrame:
+    return splits.random_split(B.corpus(s, d), "row_id").select("row_id", "part")
+
+
+@query("WITH " + _DISJOINT + _SIZES)
+def disjoint_split_sizes(s: SparkSession, d: str) -> DataFrame:
+    return splits.sizes(splits.disjoint_split(B.corpus(s, d)))
+
+
+@query("WITH " + _DISJOINT + " SELECT (SELECT count(*) FROM (SELECT domain FROM r GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS leaked_groups, count(*) AS n FROM r")
+def disjoint_leak_check(s: SparkSession, d: str) -> DataFrame:
+    r = splits.disjoint_split(B.corpus(s, d))
+    return r.agg(F.count("*").alias("n")).crossJoin(splits.leaks(r).agg(F.count("*").alias("leaked_groups")))  # one row each
+
+
+@query("WITH " + _TEMPORAL + _SIZES)
+def temporal_split_sizes(s: SparkSession, d: str) -> DataFrame:
+    return splits.sizes(splits.temporal_split(B.dated(s, d)))
+
+
+@query("WITH " + _TEMPORAL + """, z AS (SELECT (SELECT count(DISTINCT snapshot_date) FROM l) AS n_days, (SELECT count(*) FROM l) AS n_rows, count(*) FILTER (part = 'train') AS a, count(*) FILTER (part = 'train' AND y = 1) AS ap, count(*) FILTER (part = 'test') AS b, count(*) FILTER (part = 'test' AND y = 1) AS bp FROM r),
+k AS (SELECT *, CASE WHEN n_rows = 0 THEN 'no rows' WHEN n_days < 14 THEN 'too few days' WHEN a = 0 THEN 'no split' WHEN a < 400 THEN 'train rows' WHEN ap < 100 THEN 'train positives' WHEN b < 400 THEN 'holdout rows' WHEN bp < 100 THEN 'holdout positives' ELSE 'ready' END AS reason FROM z)
+SELECT reason = 'ready' AS ready, reason, n_days, n_rows, greatest(14 - n_days, 0) AS days_needed FROM k""")
+def readiness(s: SparkSession, d: str) -> DataFrame:
+    return splits.readiness(B.dated(s, d))
+
+
+# --- scores --------------------------------------------------------------------------------------------------------------
+
+_AT = "count(*) FILTER (prob >= {t} AND y = 1) AS tp, count(*) FILTER (prob >= {t} AND y = 0) AS fp, count(*) FILTER (prob < {t} AND y = 1) AS fn, count(*) FILTER (prob < {t} AND y = 0) AS tn"
+_SCORE = "SELECT {by} n, round(b, 6) AS base_rate, {t}::DOUBLE AS threshold, tp, fp, fn, tn, " + SCORES + ", round(br, 6) AS brier, round(CASE WHEN b * (1 - b) > 0 THEN 1 - br / (b * (1 - b)) ELSE 0 END, 6) AS brier_skill FROM (SELECT *, " + RATIOS + " FROM (SELECT {by} count(*) AS n, avg(y) AS b, " + _AT + ", avg((prob - y) * (prob - y)) AS br FROM {f} {g}))"
+_SWEEP = B.SCORED + ", q AS (SELECT prob, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM s GROUP BY 1), w AS (SELECT prob, (sum(p) OVER o)::BIGINT AS tp, (sum(q) OVER o)::BIGINT AS fp, (sum(p) OVER () - sum(p) OVER o)::BIGINT AS fn, (sum(q) OVER () - sum(q) OVER o)::BIGINT AS tn FROM q WINDOW o AS (ORDER BY prob DESC)), z AS (SELECT prob, tp, fp, fn, tn, " + SCORES + " FROM (SELECT *, " + RATIOS + " FROM w))"
+
+
+@query("WITH " + B.SCORED + " " + _SCORE.format(by="", t=0.5, f="s", g=""))
+def score_at(s: SparkSession, d: str) -> DataFrame:
+    return metrics.score_at(B.scored(s, d), THRESHOLD)
+
+
+@query("WITH " + _SWEEP + " SELECT * FROM z")
+def threshold_sweep(s: SparkSession, d: str) -> DataFrame:
+    return metrics.sweep(B.scored(s, d))
+
+
+@query("WITH " + _SWEEP + " SELECT prob AS threshold, f1 AS value FROM z ORDER BY f1 DESC, prob DESC LIMIT 1")
+def select_threshold_f1(s: SparkSession, d: str) -> DataFrame:
+    return metrics.select_threshold(B.scored(s, d), "f1")
+
+
+@query("WITH " + _SWEEP + " SELECT prob AS threshold, tss AS value FROM z ORDER BY tss DESC, prob DESC LIMIT 1")
+def select_threshold_tss(s: SparkSession, d: str) -> DataFrame:
+    return metrics.select_threshold(B.scored(s, d), "tss")
+
+
+@query("WITH " + _SWEEP + " SELECT max(tss) AS peak_tss FROM z")
+def peak_tss(s: SparkSession, d: str) -> DataFrame:
+    return metrics.select_threshold(B.scored(s, d), "tss").select(F.col("value").alias("peak_tss"))
+
+
+@query("WITH " + B.SCORED + " SELECT grp, " + _AT.format(t=0.5) + " FROM s GROUP BY grp")
+def group_confusion(s: SparkSession, d: str) -> DataFrame:
+    return metrics.group_confusion(B.scored(s, d), THRESHOLD)
+
+
+def _boot(name: str, key: str, seed: int, f: str = "s") -> str:
+    return f"""{name}g AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS i, count(*) OVER () AS n FROM (SELECT {key}, {_AT.format(t=0.5)} FROM {f} GROUP BY {key})),
+{name}d AS (SELECT b, ('0x' || substr(md5(b || '-' || k || '-{seed}'), 1, 8))::BIGINT % (SELECT max(n) FROM {name}g) AS i FROM range({RESAMPLES}) x(b), (SELECT i AS k FROM {name}g)),
+{name}t AS (SELECT b, coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0.0) - coalesce(sum(fp) / nullif(sum(fp) + sum(tn), 0), 0.0) AS tss FROM {name}d JOIN {name}g USING (i) GROUP BY b)"""
+
+
+@query("WITH " + B.SCORED + ", " + _boot("x", "grp", 20260920) + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
+def cluster_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, "grp", RESAMPLES)
+
+
+_TENTH = "z0 AS (SELECT * FROM s WHERE day <= DATE '2024-01-03')"
+
+
+@query("WITH " + B.SCORED + ", " + _TENTH + ", " + _boot("x", "row_id", 20260920, "z0") + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
+def iid_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    return metrics.bootstrap_ci(_early(B.scored(s, d)), THRESHOLD, None, RESAMPLES)
+
+
+def _early(x: DataFrame) -> DataFrame:
+    """The holdout of the row bootstrap: the first three days."""
+    return x.where(F.col("day") <= F.lit("2024-01-03").cast("date"))
+
+
+_HALVES = "ea AS (SELECT * FROM s WHERE day <= DATE '2024-01-15'), eb AS (SELECT * FROM s WHERE day > DATE '2024-01-15')"
+
+
+def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    x, cut = B.scored(s, d), F.lit("2024-01-15").cast("date")
+    return x.where(F.col("day") <= cut), x.where(F.col("day") > cut)
+
+
+@query("WITH " + B.SCORED + ", " + _HALVES + ", " + _boot("x", "grp", 20260920, "ea") + ", " + _boot("y", "grp", 20260921, "eb") + """, i AS (SELECT round(quantile_cont(xt.tss - yt.tss, 0.025), 6) AS lo, round(quantile_cont(xt.tss - yt.tss, 0.975), 6) AS hi FROM xt JOIN yt USING (b)),
+pa AS (SELECT recall - far AS v FROM (SELECT """ + RATIOS + " FROM (SELECT " + _AT.format(t=0.5) + " FROM ea))), pb AS (SELECT recall - far AS v FROM (SELECT " + RATIOS + " FROM (SELECT " + _AT.format(t=0.5) + " FROM eb))) SELECT round(pa.v - pb.v, 6) AS point, lo, hi, lo > 0 OR hi < 0 AS excludes_zero FROM pa, pb, i")
+def difference_ci(s: SparkSession, d: str) -> DataFrame:
+    a, b = _halves(s, d)
+    return metrics.difference_ci(a, THRESHOLD, b, THRESHOLD, n_resamples=RESAMPLES)
+
+
+# --- cells and comparisons --------------------------------------------------------------------------------------------------
+
+
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    x = B.scored(s, d)
+    frames = {f"c{i + 1}": x.where(F.col("grp") % 4 == i) for i in range(4)}
+    return experiment.cells(frames, {"f1": 0.3, "tss": 0.5})
+
+
+_CELLS = B.SCORED + ", t AS (SELECT *, 'c' || (grp % 4 + 1) AS cell FROM s), z AS (" + " UNION ALL BY NAME ".join("SELECT *, '" + p + "' AS point FROM (" + _SCORE.format(by="cell,", t=t, f="t", g="GROUP BY cell") + ")" for p, t in (("f1", 0.3), ("tss", 0.5))) + ")"
+
+
+@query("WITH " + _CELLS + " SELECT * FROM z")
+def evaluate_cells(s: SparkSession, d: str) -> DataFrame:
+    return _cells(s, d)
+
+
+_STEPS = "point, round(c1 - c2, 6) AS split_leakage, {} AS temporal_shift, {} AS construction_artifact, round(c1 - c4, 6) AS total FROM (PIVOT (SELECT point, cell, tss FROM z) ON cell IN ('c1', 'c2', 'c3', 'c4') USING first(tss))"
+
+
+@query("WITH " + _CELLS + " SELECT " + _STEPS.format("round(c2 - c3, 6)", "round(c3 - c4, 6)"))
+def attribution_waterfall(s: SparkSession, d: str) -> DataFrame:
+    return experiment.attribution(_cells(s, d), s.range(1).select(F.lit(1.0).alias("benign_template_share")))
+
+
+@query("WITH " + _CELLS + " SELECT " + _STEPS.format("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"))
+def attribution_guard(s: SparkSession, d: str) -> DataFrame:
+    return experiment.attribution(_cells(s, d), audit.template_audit(B.corpus(s, d)))
+
+
+@query("WITH " + B.SCORED + " " + _SCORE.format(by="", t=0.5, f="(SELECT * FROM s WHERE y = 0 OR grp % 2 = 1)", g=""))
+def robustness_cell(s: SparkSession, d: str) -> DataFrame:
+    return metrics.score_at(B.scored(s, d).where((F.col("y") == 0) | (F.col("grp") % 2 == 1)), THRESHOLD)
+
+
+def _tss_sql(frame: str, t: float) -> str:
+    return "(SELECT recall - far FROM (SELECT " + RATIOS + " FROM (SELECT " + _AT.format(t=t) + f" FROM {frame})))"
+
+
+@query("WITH " + B.SCORED + ", " + _HALVES + ", v AS (SELECT " + ", ".join(f"{_tss_sql(f, t)} AS {k}" for k, f, t in (("a", "ea", 0.5), ("b", "eb", 0.5), ("c", "ea", 0.3), ("d", "eb", 0.3))) + ") SELECT round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, round(a - b, 6) AS gap, round(d - b, 6) AS recovery, round((d - b) / nullif(a - b, 0), 6) AS recovery_fraction FROM v")
+def two_by_two(s: SparkSession, d: str) -> DataFrame:
+    a, b = _halves(s, d)
+    return experiment.two_by_two(a, b, a, b, THRESHOLD, 0.3)
+
+
+def _comparison(s: SparkSession, d: str) -> DataFrame:
+    def one(name: str, f: DataFrame) -> DataFrame:
+        best = audit.verdict_summary(audit.structural_rates(f)).select("max_single_property_tss")
+        return audit.template_audit(f).select("n", F.col("tss").alias("template_rule_tss")).crossJoin(best).select(F.lit(name).alias("corpus"), "n", "template_rule_tss", "max_single_property_tss")  # one row each
+
+    return experiment.compare(one("orders", B.corpus(s, d)).unionByName(one("pages", B.urls(s, d))))
+
+
+def _one_sql(name: str, t: str) -> str:
+    https, www = f"avg(starts_with(url, 'https')::INT) FILTER (y = {{}})", f"avg(regexp_matches(url, '^[a-z]+://www\\.')::INT) FILTER (y = {{}})"
+    path, q = "avg(regexp_matches(url, '^[a-z]+://[^/?#]*/+[^/?#]')::INT) FILTER (y = {})", "avg(regexp_matches(url, '\\?[^#]')::INT) FILTER (y = {})"
+    best = "greatest(" + ", ".join(f"abs({e.format(0)} - {e.format(1)})" for e in (https, www, path, q)) + ")"
+    rule = "count(*) FILTER (NOT m AND y = 1) / count(*) FILTER (y = 1) - count(*) FILTER (NOT m AND y = 0) / count(*) FILTER (y = 0)"
+    return f"SELECT '{name}' AS corpus, count(*) AS n, round({rule}, 6) AS template_rule_tss, round({best}, 6) AS max_single_property_tss FROM (SELECT url, y, regexp_full_match(url, 'https://www\\.[^/?#]+/?') AS m FROM {t})"
+
+
+@query("WITH " + B.CORPUS + ", " + B.URLS + " SELECT *, row_number() OVER (ORDER BY greatest(template_rule_tss, max_single_property_tss) DESC, corpus)::INT AS rank FROM (" + _one_sql("orders", "c") + " UNION ALL " + _one_sql("pages", "u") + ")")
+def comparison_rank(s: SparkSession, d: str) -> DataFrame:
+    return _comparison(s, d)
+
+
+@query()
+def report_lines(s: SparkSession, d: str) -> DataFrame:
+    return experiment.render(_comparison(s, d))
+
+
+# --- models, sealing, streams ---------------------------------------------------------------------------------------------------
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    v = B.table(s, d, "embeddings").where(F.col("embedding").isNotNull())
+    names = [f"f{i}" for i in range(8)]
+    return v.select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 97).alias("domain"), *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names))), names
+
+
+@query()
+def rf_train_predict(s: SparkSession, d: str) -> DataFrame:
+    rows, names = _vectors(s, d)
+    parts = splits.random_split(rows, "vec_id")
+    m = model.train(parts.where("part = 'train'"), names, trees=20, depth=6)
+    return model.predict(m, parts.where("part = 'test'")).select("vec_id", "y", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def rf_importance(s: SparkSession, d: str) -> DataFrame:
+    rows, names = _vectors(s, d)
+    return model.importances(model.train(rows, names, trees=20, depth=6), 5)
+
+
+@query()
+def confound_diagnostic(s: SparkSession, d: str) -> DataFrame:
+    rows = U.with_features(B.corpus(s, d)).select("y", "domain", *U.PATH_SHAPE)
+    return model.confound(rows, U.PATH_SHAPE, folds=3, trees=10, depth=5)
+
+
+@query("WITH " + B.URLS + " SELECT page_id, url, y, source FROM u")
+def snapshot_seal_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    rows = B.urls(s, d).select("page_id", "url", "y", "source")
+    key = "0123456789abcdef"
+    return readers.unseal(readers.seal(rows, key, ["url", "y", "source"]), key, "url string, y int, source string")
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def stream_dedup_available_now(s: SparkSession, d: str) -> DataFrame:
+    """Events as a file stream, one row for each user and type over all history."""
+    import uuid
 
+    from ..streaming import ingest
 
-def oracle_sql() -> dict:
-    return {}
+    base = (s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lacuna-shared").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    stream = s.readStream.schema(B.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ingest.run_available(stream.select("event_type", "user_id").dropDuplicates(["event_type", "user_id"]), f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out")
