@@ -5,9 +5,9 @@ documents that hold a line are counted; a line in more than ``max_documents`` of
 boilerplate and removed, and a document that keeps less than ``min_kept_share`` of the characters of its lines is rejected.
 
 A copy repeats every line of its original, so plain counts would take each line of a much copied document
-for boilerplate and lose the original too. Documents of a host therefore count once for each smallest line
-hash (a one-value sketch of the set of lines): copies and most near copies share it, and documents that
-only have a line in common do not. Removing copies is the work of the deduplication stages.
+for boilerplate and lose the original too. Documents of a host that hold a line therefore count once for each
+smallest hash of their other lines (a one-value sketch of that set): copies and most near copies share it, and
+documents that only have the line in common do not. Removing copies is the work of the deduplication stages.
 
 Defined cases: null text is a text without words; its base rules fail. A null host is a host of its own.
 Lines without a word count for nothing. Repeated rows are copies; each gets its own result row. An empty
@@ -88,13 +88,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lines = (
         rows.select("_qrow", "_qhost", line_hashes(F.col("_qtext")).alias("_ql"))
         .where(F.size("_ql") > 0)
-        .withColumn("_qfamily", F.array_min(F.transform("_ql", lambda x: x["h"])))
+        .withColumn("_qleast", F.slice(F.array_sort(F.array_distinct(F.transform("_ql", lambda x: x["h"]))), 1, 2))
         .withColumn("_qall", F.aggregate("_ql", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-        .select("_qrow", "_qhost", "_qfamily", "_qall", F.posexplode("_ql").alias("_qpos", "_qx"))
-        .select("_qrow", "_qpos", "_qall", F.xxhash64(F.coalesce("_qhost", F.lit("")), F.col("_qhost").isNull(), F.col("_qx.h")).alias("_qkey"), "_qfamily", F.col("_qx.c").alias("_qn"))
+        .select("_qrow", "_qhost", "_qleast", "_qall", F.posexplode("_ql").alias("_qpos", "_qx"))
+        .select("_qrow", "_qpos", "_qall", F.xxhash64(F.coalesce("_qhost", F.lit("")), F.col("_qhost").isNull(), F.col("_qx.h")).alias("_qkey"), F.xxhash64(F.when(F.col("_qx.h") == F.get("_qleast", F.lit(0)), F.get("_qleast", F.lit(1))).otherwise(F.get("_qleast", F.lit(0)))).alias("_qfamily"), F.col("_qx.c").alias("_qn"))
     )
     frequent = (
-        lines.groupBy("_qkey", F.xxhash64("_qfamily").alias("_qfamily")).agg(F.lit(1).alias("_qone"))
+        lines.groupBy("_qkey", "_qfamily").agg(F.lit(1).alias("_qone"))
         .groupBy("_qkey").agg(F.count("*").alias("_qdocs")).where(F.col("_qdocs") > max_documents)
         .select("_qkey", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_qsalt"))
     )
@@ -128,7 +128,9 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2), (3
 cnt AS (SELECT rid, count(*) AS n, sum(length(word)) AS c FROM w GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 l AS (SELECT rid, host, nohost, trim(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS l FROM (SELECT rid, host, nohost, unnest(string_split(regexp_replace(lower(t), '\p{Nd}', '0', 'g'), chr(10))) AS l FROM d)),
-k AS (SELECT rid, host, nohost, l, min(md5(l)) OVER (PARTITION BY rid) AS family FROM l WHERE l <> ''),
+k0 AS (SELECT rid, host, nohost, l, md5(l) AS h, min(md5(l)) OVER (PARTITION BY rid) AS m1 FROM l WHERE l <> ''),
+m2 AS (SELECT rid, min(h) AS m2 FROM k0 WHERE h > m1 GROUP BY rid),
+k AS (SELECT k0.*, coalesce(CASE WHEN h = m1 THEN m2 ELSE m1 END, '') AS family FROM k0 LEFT JOIN m2 USING (rid)),
 f AS (SELECT host, nohost, l FROM k GROUP BY ALL HAVING count(DISTINCT family) > 100),
 x AS (SELECT k.rid, sum(length(k.l)) AS total, coalesce(sum(length(k.l)) FILTER (f.l IS NOT NULL), 0) AS gone FROM k LEFT JOIN f ON k.host = f.host AND k.nohost = f.nohost AND k.l = f.l GROUP BY k.rid),
 m AS (SELECT doc_id, coalesce(cnt.n, 0) AS n_words, coalesce(cnt.c, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,

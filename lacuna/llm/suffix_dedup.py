@@ -9,7 +9,9 @@ the input; they never cross documents.
 2. The windows of an anchor form a segment of at most ``span + 30`` bytes. Segments are dealt by anchor, so equal
    windows meet; equal segments of an anchor become one, with its smallest document. An anchor with one distinct
    segment has nothing to be merged with.
-3. The other segments form shards. Each shard's transform is built by itself; then the interleave of all shards
+3. Of the other segments only runs of windows whose hashes stand in two segments can repeat; equal runs become one
+   again, and different ones form shards. Each shard's transform is built
+   by itself; then the interleave of all shards
    is refined one symbol a round: the rows in their present order are dealt stably by the symbol before them,
    which gives the order by one symbol more. A row starts a new interval in the round in which its prefix first
    differs from the row before it: that round less one is the common prefix. After ``span`` rounds the intervals
@@ -187,9 +189,9 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[at]]), order[at : at + n]
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, spans): for documents (id, text) byte spans to remove, as pairs of unsigned 32-bit integers; a document can have several rows."""
-    total = docs.agg(F.sum(F.octet_length("text"))).head()[0]
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(id, spans): for documents without null ids, byte spans to remove, as pairs of unsigned 32-bit integers; a document can have several rows."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).head()[0]
     buckets = n_buckets(total or 0, BUCKET_BYTES, 16)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +202,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
             rows = [(b, pack_docs(ids[doc[at]]), h[at].astype(np.uint32).tobytes()) for b, at in by_bucket(bucket_of(h, buckets))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "docs", "h"])
 
-    def share(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([unpack_docs(x) for x in rows["docs"]])
         h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["h"]])
         order = np.argsort(h, kind="stable")
@@ -212,8 +214,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         new, many = runs(doc[hit])
         return pd.DataFrame({"id": doc[hit][new], "bucket": key[0], "h": [h[hit[a : a + n]].tobytes() for a, n in zip(new, many, strict=True)]})
 
-    known = docs.where(F.col("id").isNotNull())
-    found = known.mapInArrow(find, "bucket int, docs binary, h binary").groupBy("bucket").applyInPandas(share, "id long, bucket int, h binary")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = plain.mapInArrow(find, "bucket int, docs binary, h binary").groupBy("bucket").applyInPandas(share, "id long, bucket int, h binary")
     hits = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("bucket", "h")).alias("hits"))  # as many as the document has anchors
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,43 +235,74 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
             for number, some in by_bucket(b):
                 sizes = last[some] - first[some] + span
                 gather = np.arange(int(sizes.sum())) + np.repeat(first[some] - (np.cumsum(sizes) - sizes), sizes)
-                rows.append((number, pack_docs(ids[doc[some]]), h[some].tobytes(), (first[some] - offsets[doc[some]]).astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), data[gather].tobytes()))
+                rows.append((number, pack_docs(ids[doc[some]]), h[some].tobytes(), (first[some] - offsets[doc[some]]).astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), pa.compress(data[gather].tobytes(), codec="zstd", asbytes=True)))
             kinds = (pa.int32(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "docs", "h", "start", "size", "bytes"])
 
-    def judge(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([unpack_docs(x) for x in rows["docs"]])
         h, start, size = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]).astype(to) for c, t, to in (("h", np.uint64, np.uint64), ("start", np.uint32, np.int64), ("size", np.uint8, np.int64)))
-        data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+        data = np.frombuffer(b"".join(pa.decompress(x, int(np.frombuffer(n, np.uint8).sum(dtype=np.int64)), codec="zstd", asbytes=True) for x, n in zip(rows["bytes"], rows["size"], strict=True)), np.uint8)
         end = np.cumsum(size)
-        own = SpanHashes(data).of(end - size, end)
+        hashes = SpanHashes(data)
+        own = hashes.of(end - size, end)
         order = np.lexsort((doc, own, h))
         same = np.append(False, (own[order][1:] == own[order][:-1]) & (h[order][1:] == h[order][:-1]))
         distinct = order[~same]  # the first of each class has its smallest document
         cls = np.empty(len(doc), dtype=np.int64)
         cls[order] = np.cumsum(~same) - 1
         low = doc[distinct]
-        # least[class] is a row of the smallest documents of its windows, where it has to be merged.
+        # least holds the smallest document of each window of each class.
         new, many = runs(h[distinct])
         merged = np.repeat(many > 1, many)
         windows = size[distinct] - span + 1
         base = np.cumsum(windows) - windows
         least = np.repeat(low, windows)
-        groups = np.flatnonzero(many > 1)
-        weight = np.add.reduceat(size[distinct], new)[groups] if len(groups) else np.empty(0, np.int64)
-        lot = np.cumsum(weight) // MERGED_BYTES
-        for one in np.unique(lot):
-            mine = groups[lot == one]
-            some = np.concatenate([np.arange(new[g], new[g] + many[g]) for g in mine])
-            seg = distinct[some]
-            classes = window_classes(data, end[seg] - size[seg], end[seg], span)
-            n, w = size[seg], windows[some]
-            at = np.arange(int(w.sum())) + np.repeat((np.cumsum(n) - n) - (np.cumsum(w) - w), w)  # bytes that start a window
-            to = np.arange(int(w.sum())) + np.repeat(base[some] - (np.cumsum(w) - w), w)
-            interval = classes[at]
-            smallest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, interval, least[to])
-            least[to] = smallest[interval]
+        some = np.flatnonzero(merged)
+        if len(some):
+            # Of the classes that share an anchor, what can repeat are runs of windows whose hash stands in two of
+            # them; equal runs become one again, and the transforms of the different ones are merged.
+            w = windows[some]
+            row = np.repeat(np.arange(len(some)), w)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+            at = np.repeat(end[distinct[some]] - size[distinct[some]], w) + inner
+            value = hashes.of(at, at + span)
+            by = np.argsort(value, kind="stable")
+            first, count = runs(value[by])
+            twice = np.zeros(len(value), dtype=bool)
+            twice[by] = np.repeat(count > 1, count)
+            hit = np.flatnonzero(twice)
+            first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1]))) if len(hit) else hit
+            length = np.diff(np.append(first, len(hit)))
+            part = hit[first]  # a run's first window
+            begin, stop = at[part], at[part] + length - 1 + span
+            lows, anchor = low[some][row[part]], h[distinct[some]][row[part]]
+            own = hashes.of(begin, stop)
+            by = np.lexsort((lows, own, anchor))
+            other = np.append(True, (own[by][1:] != own[by][:-1]) | (anchor[by][1:] != anchor[by][:-1]))[: len(by)]
+            one = by[other]
+            number = np.empty(len(by), dtype=np.int64)
+            number[by] = np.cumsum(other) - 1
+            w = length[one]
+            offset = np.cumsum(w) - w
+            smallest = np.repeat(lows[one], w)
+            new, many = runs(anchor[one])
+            groups = np.flatnonzero(many > 1)
+            weight = np.add.reduceat(stop[one] - begin[one], new)[groups] if len(groups) else np.empty(0, np.int64)
+            lot = np.cumsum(weight) // MERGED_BYTES
+            for each in np.unique(lot):
+                mine = np.concatenate([np.arange(new[g], new[g] + many[g]) for g in groups[lot == each]])
+                segment = one[mine]
+                classes = window_classes(data, begin[segment], stop[segment], span)
+                n, k = stop[segment] - begin[segment], w[mine]
+                step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                to = np.repeat(offset[mine], k) + step
+                interval = classes[np.repeat(np.cumsum(n) - n, k) + step]  # of the bytes that start a window
+                lowest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(lowest, interval, smallest[to])
+                smallest[to] = lowest[interval]
+            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            least[np.repeat(base[some][row[part]] + inner[part], length) + step] = smallest[np.repeat(offset[number], length) + step]
         whole = ~merged[cls] & (doc > low[cls])
         spans = [(doc[whole], start[whole], start[whole] + size[whole])]
         some = np.flatnonzero(merged[cls])
@@ -283,7 +316,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         pairs = np.stack([a, b], axis=1).astype(np.uint32)
         return pd.DataFrame({"id": doc[new], "spans": [pairs[i : i + n].tobytes() for i, n in zip(new, many, strict=True)]})
 
-    segments = docs.join(hits, F.col("id") == F.col("_id")).select("id", "text", "hits").mapInArrow(cut, "bucket int, docs binary, h binary, start binary, size binary, bytes binary")
+    segments = docs.select(id_col, text_col).join(hits, F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "hits").mapInArrow(cut, "bucket int, docs binary, h binary, start binary, size binary, bytes binary")
     return segments.groupBy("bucket").applyInPandas(judge, "id long, spans binary")
 
 
@@ -303,9 +336,11 @@ def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` with the columns _bytes, _removed, _spans, _sha256 and _kept (the text that is left; cut characters are dropped)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(plain, span, gram).groupBy(F.col("id").alias("_id")).agg(F.collect_list("spans").alias("_at"))
-    rows = docs.join(spans, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    docs = docs.withColumns({c: F.col(c).cast(t) for c, t in ((id_col, "long"), (text_col, "string")) if dict(docs.dtypes)[c] != {"long": "bigint"}.get(t, t)})
+    known, lost = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    # Where a table has these two columns alone, both joins read one exchange of the texts.
+    spans = repeated_spans(known, id_col, text_col, span, gram).groupBy(F.col("id").alias("_id")).agg(F.collect_list("spans").alias("_at"))
+    rows = known.join(spans, F.col(id_col) == F.col("_id"), "left").drop("_id").unionByName(lost, allowMissingColumns=True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
