@@ -145,6 +145,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of :func:`components` after more links (a, b): only the components that these join are worked out anew."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    over = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(over)  # its nodes are components, or nodes that had no link before
+    old = labels.join(joined.select(F.col("node").alias("_c"), F.col("component").alias("_to")), F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    new = joined.join(labels.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(new), "labels")
+
+
 def near(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal: int) -> DataFrame:
     """Pairs (a, b) that sizes and signatures do not rule out, with ``equal``, the number of equal values."""
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
@@ -204,11 +214,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     best = near_.withColumn("x", F.explode(F.array("a", "b"))).groupBy("x").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.struct("unequal", "a", "b")).alias("p")).select("p.*").distinct()
     more = materialize(confirmed(best, sets, percent), "links2")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+        labels = extended(labels, more)
     more = materialize(confirmed(unlinked(rows, known, sets, labels, percent, MOST_UNEQUAL), sets, percent), "links3")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = extended(labels, more)
     named = nodes.select("node", "check", "id").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "c").select(F.col("node").alias("_node"), F.col("check").alias("_check"), "component_id")

@@ -51,6 +51,19 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == want
 
 
+def test_later_links_extend_components(spark):
+    random.seed(4)
+    edges = [(random.randint(-40, 40), random.randint(-40, 40)) for _ in range(45)] + [(100, 101), (102, 103)]
+    first, more = (spark.createDataFrame(x, "a long, b long") for x in (edges[:25], edges[25:]))
+    want = {}
+    for a, b in edges:
+        if a != b:
+            both = want.get(a, {a}) | want.get(b, {b})
+            want.update(dict.fromkeys(both, both))
+    got = near_dedup.extended(near_dedup.components(first), more).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((n, min(c)) for n, c in want.items())
+
+
 def test_repeats_equal_brute_force(docs):
     rows = sorted(((r.doc_id, (r.text or "").encode()) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     first = {}
