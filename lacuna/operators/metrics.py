@@ -68,6 +68,27 @@ def group_confusion(scored: DataFrame, threshold: float, group: str = "grp") ->
     return scored.groupBy(group).agg(*confusion(threshold))
 
 
+def numbered(groups: DataFrame, key: str, n: int) -> DataFrame:
+    """``groups`` with ``i``, the place of each of the ``n`` rows in the order of its key, from 0.
+
+    Places are summed over ranges of keys and inside a range. A thousand keys chosen by hash bound the ranges, so
+    that keys of any type and spread fall into ranges of like sizes, the same wherever they are computed.
+    """
+    chosen = groups.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // 1000))) == 0)).select(key)
+    bounds = sorted(r[0] for r in chosen.collect())  # about 1000 keys, or 2000 at most where there are no more
+    kind = groups.schema[key].dataType.simpleString()
+    ranges = groups.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{kind}>")
+    # Binary search: the number of bounds that are not above the key.
+    step = lambda at, k: F.when(F.coalesce(F.get("_bounds", at + k - 1) <= F.col(key), F.lit(False)), at + k).otherwise(at)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
+    out = groups.crossJoin(F.broadcast(ranges)).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds")  # one row beside each
+    sums = out.groupBy("_range").agg(F.count("*").alias("_many"))
+    sums = sums.select("_range", F.coalesce(F.sum("_many").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each range
+    inside = Window.partitionBy("_range").orderBy(key)
+    out = out.withColumn("_in", F.row_number().over(inside).cast("long") - 1).join(F.broadcast(sums), "_range")
+    return out.withColumn("i", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+
+
 def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp") -> DataFrame:
     """(b, tss): for each resample the score over groups drawn with replacement.
 
@@ -75,11 +96,10 @@ def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp"
     groups. Only counts for each group are drawn, so rows never multiply.
     """
     n = groups.count()
-    numbered = groups.withColumn("i", F.row_number().over(Window.orderBy(group)).cast("long") - 1)  # a row for each group
     draws = groups.sparkSession.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     word = F.md5(F.concat_ws("-", "b", "k", F.lit(seed)))
     draws = draws.select("b", (F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n).alias("i"))
-    out = draws.join(numbered, "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    out = draws.join(numbered(groups, group, n), "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
     return out.select("b", derived()["tss"].alias("tss"))
 
 

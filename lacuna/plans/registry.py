@@ -309,12 +309,7 @@ _TENTH = "z0 AS (SELECT * FROM s WHERE day <= DATE '2024-01-03')"
 
 @query("WITH " + B.SCORED + ", " + _TENTH + ", " + _boot("x", "row_id", 20260920, "z0") + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
 def iid_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_ci(_early(B.scored(s, d)), THRESHOLD, None, RESAMPLES)
-
-
-def _early(x: DataFrame) -> DataFrame:
-    """The holdout of the row bootstrap: the first three days."""
-    return x.where(F.col("day") <= F.lit("2024-01-03").cast("date"))
+    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, None, RESAMPLES)
 
 
 _HALVES = "ea AS (SELECT * FROM s WHERE day <= DATE '2024-01-15'), eb AS (SELECT * FROM s WHERE day > DATE '2024-01-15')"

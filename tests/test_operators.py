@@ -43,6 +43,23 @@ def test_group_intervals_are_wider(spark):
     assert a.hi - a.lo > b.hi - b.lo
 
 
+def test_row_interval_draws_over_the_whole_frame(spark):
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{FOLDER}/events.parquet'")
+    whole = "WITH " + registry.B.SCORED + ", " + registry._boot("x", "row_id", 20260920) + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt"
+    assert [tuple(r) for r in registry.queries()["iid_bootstrap_ci"](spark, FOLDER).select("lo", "hi").collect()] == c.sql(whole).fetchall()
+
+
+def test_groups_are_numbered_in_order_and_in_many_tasks(spark):
+    for rows, kind in (([(i * i,) for i in range(5000)], "long"), ([(f"h{i % 7}-{i}",) for i in range(3000)] + [(None,)], "string"), ([], "long")):
+        f = spark.createDataFrame(rows, f"k {kind}")
+        out = metrics.numbered(f, "k", f.count())
+        assert [r.k for r in out.orderBy("i").collect()] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
+        assert sorted(r.i for r in out.collect()) == list(range(len(rows)))
+    plan = spark.createDataFrame([(i,) for i in range(5000)], "k long")
+    assert metrics.numbered(plan, "k", 5000).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     rows = spark.createDataFrame([(i, d % 2, f"d{d}") for d in range(200) for i in range(d * 10, d * 10 + d % 7 + 1)], "row_id long, y int, domain string")
     s = splits.disjoint_split(rows)
