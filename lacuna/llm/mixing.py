@@ -5,9 +5,10 @@ slot ``floor(j / w)`` (its release) and has to run before slot ``ceil((j + 1) /
 released blocks the earliest deadline runs. After every slot each source has had its weight's share to less
 than one block.
 
-Weights are rounded to ``a / slots``, so the schedule repeats after ``slots`` blocks. One such frame depends on
-the weights alone, never on the number of rows: it is worked out once, as a table of ``slots`` rows, and every
-block finds its slot by a join with it.
+Weights are exact fractions, never rounded, so this holds against the targets over the whole mixture. The schedule
+is worked out once, for as many slots as the mixture has, or as the weights' period where that is shorter: a slot
+for each block of bytes (some hundred thousand at 30 GB), never one for each row. Every block finds its slot by a
+join with it.
 
 The mixture is as long as the source that fills its share last needs: no document is dropped. The others
 begin again (``epoch`` 1, 2 and so on), until that source has run once.
@@ -21,7 +22,14 @@ tables give empty results. Sources without a target weight take no part when wei
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from heapq import heappop, heappush, heapreplace
+from itertools import count, islice
+from math import gcd, lcm
+from sys import maxsize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,38 +37,52 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-BLOCK_BYTES, FRAME, ALPHA = 1 << 16, 1024, 0.7
+BLOCK_BYTES, ALPHA = 1 << 16, 0.7
+#: Slots in a row of the schedule's table.
+CHUNK = 1024
 
 
-def frame(shares: list[int]) -> list[tuple[int, int, int]]:
-    """(source, block, slot) of one frame: source ``i`` has ``shares[i]`` of the ``sum(shares)`` slots."""
-    slots = sum(shares)
-    waiting = sorted(((j * slots) // a, -(-(j + 1) * slots // a), i, j) for i, a in enumerate(shares) for j in range(a))
+def dealt(shares: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) for ever: source ``i`` has the weight ``shares[i] / sum(shares)``."""
+    total = sum(shares)
+    window = lambda i, j: (j * total // shares[i], -(-(j + 1) * total // shares[i]), i, j)
+    waiting = [window(i, 0) for i in range(len(shares))]  # the next block of each source: all are released at slot 0
     ready: list[tuple[int, int, int]] = []
-    out, at = [], 0
-    for slot in range(slots):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            heappush(ready, waiting[at][1:])
-            at += 1
+    for slot in count():
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, i, j = heapreplace(waiting, window(waiting[0][2], waiting[0][3] + 1))
+            heappush(ready, (deadline, i, j))
         deadline, i, j = heappop(ready)
         if slot >= deadline:
             raise AssertionError("no block may miss its deadline")
-        out.append((i, j, slot))
-    return out
+        yield i, j, slot
+
+
+def frame(shares: list[int]) -> list[tuple[int, int, int]]:
+    """(source, block, slot) of one period: source ``i`` has ``shares[i]`` of the ``sum(shares)`` slots."""
+    return list(islice(dealt(shares), sum(shares)))
+
+
+def shares_of(weights: dict) -> dict:
+    """Whole numbers in the exact proportion of the weights; a float is the decimal number it is written as."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * unit) for k, w in exact.items()}
+    return {k: w // gcd(*whole.values()) for k, w in whole.items()}
 
 
-def shares_of(weights: dict, slots: int) -> dict:
-    """Whole numbers of at least 1 that sum to the slots of a frame, by largest remainders."""
-    slots = max(slots, 8 * len(weights))
-    total = sum(weights.values())
-    exact = {k: w / total * (slots - len(weights)) for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], str(k)))[: slots - sum(out.values())]:
-        out[k] += 1
-    return out
+def schedule(shares: list[int], blocks: list[int]) -> list[array]:
+    """For each source the slots of its blocks, until each has come to its last block or a period is over."""
+    slots, short = [array("q") for _ in shares], len(shares)
+    for i, _, slot in islice(dealt(shares), sum(shares)) if sum(shares) <= maxsize else dealt(shares):
+        slots[i].append(slot)
+        short -= len(slots[i]) == blocks[i]
+        if not short:
+            break
+    return slots
 
 
-def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, slots: int = FRAME, alpha: float = ALPHA) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA) -> DataFrame:
     """Rows (id, source, epoch, block, slot, place): ``place`` orders the rows of a slot. Read by (slot, place)."""
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
@@ -70,17 +92,17 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     if not sizes:
         return rows.where(F.lit(False)).select(F.col("_id").alias(id_col), F.col("_s").alias(source_col), *(F.lit(0).cast("long").alias(k) for k in ("epoch", "block", "slot", "place")))
     blocks = {s: max(1, -(-n // block_bytes)) for s, (n, _) in sizes.items()}
-    share = shares_of({s: float(weights[s]) if weights else max(n, 1) ** alpha for s, (n, _) in sizes.items()}, slots)
+    share = shares_of({s: weights[s] if weights else max(n, 1) ** alpha for s, (n, _) in sizes.items()})
     names = sorted(sizes, key=lambda s: (s is not None, str(s)))
-    table_ = frame([share[s] for s in names])
-    width = len(table_)
+    slots = schedule([share[s] for s in names], [blocks[s] for s in names])
+    width = sum(map(len, slots))
     # The mixture ends with the slot in which the last source comes to its last block for the first time.
-    at = {(i, j): slot for i, j, slot in table_}
-    end = 1 + max((blocks[s] - 1) // share[s] * width + at[i, (blocks[s] - 1) % share[s]] for i, s in enumerate(names))
-    rest = [sum(1 for i, _, slot in table_ if i == k and slot < end % width) for k in range(len(names))]
+    end = 1 + max((blocks[s] - 1) // len(at) * width + at[(blocks[s] - 1) % len(at)] for s, at in zip(names, slots, strict=True))
+    rest = [bisect_left(at, end % width) for at in slots]
     kind = docs.schema[source_col].dataType.simpleString()
-    of = spark.createDataFrame([(i, s, share[s], blocks[s], end // width * share[s] + rest[i]) for i, s in enumerate(names)], f"_k int, _s {kind}, _a long, _b long, _want long")
-    plan = spark.createDataFrame(table_, "_k int, _j long, _at long")  # as many rows as a frame has slots
+    of = spark.createDataFrame([(i, s, len(slots[i]), blocks[s], end // width * len(slots[i]) + rest[i]) for i, s in enumerate(names)], f"_k int, _s {kind}, _a long, _b long, _want long")
+    chunks = [(i, c, at[c * CHUNK : (c + 1) * CHUNK].tolist()) for i, at in enumerate(slots) for c in range(-(-len(at) // CHUNK))]
+    plan = spark.createDataFrame(chunks, "_k int, _c long, _slots array<long>")  # 8 bytes for each slot
     of = F.broadcast(of.withColumnRenamed("_s", "_name"))
     rows = rows.join(of, F.col("_s").eqNullSafe(F.col("_name")))
     # Bytes before a row in its source: sums over hash ranges, then inside one range; a hot source has as many
@@ -96,8 +118,8 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     rows = rows.withColumn("_pos", F.col("_base") + F.col("_in")).withColumn("_block", F.least(F.floor(F.col("_pos") / block_bytes), F.col("_b") - 1))
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_want") - 1 - F.col("_block")) / F.col("_b")))))
     rows = rows.withColumn("_turn", F.col("_block") + F.col("_epoch") * F.col("_b"))
-    rows = rows.withColumn("_j", F.col("_turn") % F.col("_a")).join(F.broadcast(plan), ["_k", "_j"])
-    slot = F.floor(F.col("_turn") / F.col("_a")) * F.lit(width) + F.col("_at")
+    rows = rows.withColumn("_j", F.col("_turn") % F.col("_a")).withColumn("_c", F.floor(F.col("_j") / CHUNK)).join(F.broadcast(plan), ["_k", "_c"])
+    slot = F.floor(F.col("_turn") / F.col("_a")) * F.lit(width) + F.get("_slots", (F.col("_j") % CHUNK).cast("int"))
     return rows.select(F.col("_id").alias(id_col), F.col("_s").alias(source_col), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), slot.alias("slot"), F.col("_pos").alias("place"))
 
 

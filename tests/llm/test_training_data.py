@@ -197,6 +197,21 @@ def test_mixing_stays_within_a_block(spark):
     assert mixing.mix(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"big": 0.5, **{f"s{i}": 0.5 / 64 for i in range(64)}}, {"big": 0.999, "s0": 0.001}, {"big": 0.33, "s0": 0.34, "s1": 0.33}, None])
+def test_mixing_follows_the_target_weights(spark, weights):
+    # Every document is a block, so each slot holds one row.
+    rows = [(i, "x" * 10, "big") for i in range(700)] + [(1000 * (k + 1) + i, "x" * 10, f"s{k}") for k in range(len(weights or "1234") - 1) for i in range(1 + k % 3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_bytes=10).collect()
+    got.sort(key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(len(got))) and {r.doc_id for r in got} == {i for i, _, _ in rows}
+    sizes = {s: sum(10 for _, _, x in rows if x == s) for _, _, s in rows}
+    target = weights or {s: n**mixing.ALPHA for s, n in sizes.items()}
+    total, done = sum(target.values()), dict.fromkeys(target, 0)
+    for t, r in enumerate(got):
+        done[r.source] += 1
+        assert all(abs(done[s] - (t + 1) * w / total) < 1 + 1e-9 for s, w in target.items())
+
+
 def test_sharding(spark, docs):
     got = sharding.shard_documents(docs, 5).orderBy("shard", "slot").collect()
     assert len(got) == docs.count()
