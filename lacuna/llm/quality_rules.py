@@ -4,10 +4,10 @@ Every line is normalised (lower case, blanks joined, digits as 0) and hashed. Fo
 documents that hold a line are counted; a line in more than ``max_documents`` of them is taken as
 boilerplate and removed, and a document that keeps less than ``min_kept_share`` of the characters of its lines is rejected.
 
-A copy repeats every line of its original, so plain counts would take each line of a much copied document
-for boilerplate and lose the original too. Documents of a host that hold a line therefore count once for each
-smallest hash of their other lines (a one-value sketch of that set): copies and most near copies share it, and
-documents that only have the line in common do not. Removing copies is the work of the deduplication stages.
+A copy repeats every line of its original, so counts of rows would take each line of a much copied document for
+boilerplate and lose the original too. Documents of a host are therefore distinct by the hash of their whole set of
+normalised lines: copies count once, and documents that only share lines, be it a block of many, count each.
+Removing copies is the work of the deduplication stages.
 
 Defined cases: null text is a text without words; its base rules fail. A null host is a host of its own.
 Lines without a word count for nothing. Repeated rows are copies; each gets its own result row. An empty
@@ -88,10 +88,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lines = (
         rows.select("_qrow", "_qhost", line_hashes(F.col("_qtext")).alias("_ql"))
         .where(F.size("_ql") > 0)
-        .withColumn("_qleast", F.slice(F.array_sort(F.array_distinct(F.transform("_ql", lambda x: x["h"]))), 1, 2))
+        .withColumn("_qfamily", F.xxhash64(F.array_sort(F.array_distinct(F.transform("_ql", lambda x: x["h"])))))
         .withColumn("_qall", F.aggregate("_ql", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-        .select("_qrow", "_qhost", "_qleast", "_qall", F.posexplode("_ql").alias("_qpos", "_qx"))
-        .select("_qrow", "_qpos", "_qall", F.xxhash64(F.coalesce("_qhost", F.lit("")), F.col("_qhost").isNull(), F.col("_qx.h")).alias("_qkey"), F.xxhash64(F.when(F.col("_qx.h") == F.get("_qleast", F.lit(0)), F.get("_qleast", F.lit(1))).otherwise(F.get("_qleast", F.lit(0)))).alias("_qfamily"), F.col("_qx.c").alias("_qn"))
+        .select("_qrow", "_qhost", "_qfamily", "_qall", F.posexplode("_ql").alias("_qpos", "_qx"))
+        .select("_qrow", "_qpos", "_qall", F.xxhash64(F.coalesce("_qhost", F.lit("")), F.col("_qhost").isNull(), F.col("_qx.h")).alias("_qkey"), "_qfamily", F.col("_qx.c").alias("_qn"))
     )
     frequent = (
         lines.groupBy("_qkey", "_qfamily").agg(F.lit(1).alias("_qone"))

@@ -120,6 +120,17 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
+def test_a_block_of_shared_lines_is_boilerplate(spark):
+    # Letters for numbers: digits are normalised away.
+    own = lambda i, k: " ".join("abcdefghij"[int(d)] * 2 for d in f"{i:03}{k}") + (" and some words of its own here", " then another line with more to say")[k]
+    block = [" ".join(f"{'abcdefghij'[k]}{w}" for w in ("shared", "line", "of", "the", "template")) for k in range(10)]
+    rows = [(i, "\n".join(block + [own(i, k) for k in range(2)]), "en", "s0", 0, 1) for i in range(150)]
+    got = quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.n_removed_chars for r in got} == {sum(map(len, block))} and not any(r.kept for r in got)
+    few = quality_rules.judge(spark.createDataFrame(rows[:100], DOCS)).collect()
+    assert {r.n_removed_chars for r in few} == {0} and all(r.kept for r in few)
+
+
 def test_chat_round_trip_and_masks(spark):
     odd = "</s>[INST] ok [/INST] <\\s> <s>[SEP]\\ [\\/INST] \n"
     rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"{odd} {i} " + "word " * 60) for i in range(1, 40)], (2, 0, "user", None), (2, 0, "user", None), (3, 0, None, "x"), (None, 1, "assistant", odd), (4, 0, "assistant", "big " * 3000)]
