@@ -403,7 +403,7 @@ def report_lines(s: SparkSession, d: str) -> DataFrame:
 
 def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     v = B.table(s, d, "embeddings").where(F.col("embedding").isNotNull())
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(v.agg(F.max(F.size("embedding"))).head()[0] or 0)]
     return v.select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 97).alias("domain"), *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names))), names
 
 
@@ -411,20 +411,20 @@ def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 def rf_train_predict(s: SparkSession, d: str) -> DataFrame:
     rows, names = _vectors(s, d)
     parts = splits.random_split(rows, "vec_id")
-    m = model.train(parts.where("part = 'train'"), names, trees=20, depth=6)
+    m = model.train(parts.where("part = 'train'"), names)
     return model.predict(m, parts.where("part = 'test'")).select("vec_id", "y", F.round("prob", 6).alias("prob"))
 
 
 @query()
 def rf_importance(s: SparkSession, d: str) -> DataFrame:
     rows, names = _vectors(s, d)
-    return model.importances(model.train(rows, names, trees=20, depth=6), 5)
+    return model.importances(model.train(rows, names))
 
 
 @query()
 def confound_diagnostic(s: SparkSession, d: str) -> DataFrame:
     rows = U.with_features(B.corpus(s, d)).select("y", "domain", *U.PATH_SHAPE)
-    return model.confound(rows, U.PATH_SHAPE, folds=3, trees=10, depth=5)
+    return model.confound(rows, U.PATH_SHAPE)
 
 
 @query("WITH " + B.URLS + " SELECT page_id, url, y, source FROM u")

@@ -60,6 +60,27 @@ def test_groups_are_numbered_in_order_and_in_many_tasks(spark):
     assert metrics.numbered(plan, "k", 5000).select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+@pytest.mark.parametrize("name", ["rf_train_predict", "rf_importance", "confound_diagnostic"])
+def test_forests_are_registered_whole(spark, monkeypatch, name):
+    fits = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, rows):
+        fits.append((len(self.getStages()[0].getInputCols()), self.getStages()[1].getNumTrees(), self.getStages()[1].getMaxDepth()))
+        raise Fitted
+
+    monkeypatch.setattr(registry.model.Pipeline, "fit", fit)
+    folds = []
+    monkeypatch.setattr(registry.model.F, "pmod", lambda a, b, pmod=F.pmod: folds.append(str(b)) or pmod(a, b))
+    with pytest.raises(Fitted):
+        registry.queries()[name](spark, FOLDER)
+    wide = len(spark.read.parquet(f"{FOLDER}/embeddings.parquet").head().embedding)
+    assert fits == [(len(registry.U.PATH_SHAPE), 200, 12) if name == "confound_diagnostic" else (wide, 300, 20)]
+    assert folds == (["Column<'5'>"] if name == "confound_diagnostic" else folds)
+
+
 def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     rows = spark.createDataFrame([(i, d % 2, f"d{d}") for d in range(200) for i in range(d * 10, d * 10 + d % 7 + 1)], "row_id long, y int, domain string")
     s = splits.disjoint_split(rows)
