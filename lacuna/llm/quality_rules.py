@@ -84,7 +84,16 @@ def line_hashes(text: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """One row for each row of ``docs``: the id, the base metrics, base_failed, n_removed_chars and kept."""
-    rows = docs.select(F.col(id_col).alias("_qid"), F.col(host_col).alias("_qhost"), F.col(text_col).alias("_qtext"), F.xxhash64(F.col(id_col), F.col(host_col), F.col(text_col)).alias("_qrow"))
+    return judged(docs, id_col, text_col, host_col, max_documents, min_kept_share).drop("_qrow")
+
+
+def row_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> Column:
+    return F.xxhash64(docs[id_col], docs[host_col], docs[text_col])
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+    """The rows of :func:`judge` with the hash of each row, ``_qrow``."""
+    rows = docs.select(F.col(id_col).alias("_qid"), F.col(host_col).alias("_qhost"), F.col(text_col).alias("_qtext"), row_hash(docs, id_col, text_col, host_col).alias("_qrow"))
     lines = (
         rows.select("_qrow", "_qhost", line_hashes(F.col("_qtext")).alias("_ql"))
         .where(F.size("_ql") > 0)
@@ -112,7 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     failed = (n < 10) | (100 * r > 20 * n)
     removed_chars = F.coalesce("n_removed_chars", F.lit(0).cast("long"))
     depleted = F.coalesce(F.col("_qall") - removed_chars < min_kept_share * F.col("_qall"), F.lit(False))
-    return out.select(F.col("_qid").alias(id_col), n.alias("n_words"), F.col("_qw.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), removed_chars.alias("n_removed_chars"), (~failed & ~depleted).alias("kept"))
+    return out.select("_qrow", F.col("_qid").alias(id_col), n.alias("n_words"), F.col("_qw.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), removed_chars.alias("n_removed_chars"), (~failed & ~depleted).alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +151,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_qkept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_qkept"]), "left_semi")
+    """The documents that the rules keep, with their columns; rows that share an id, or have none, are kept each by itself."""
+    kept = judged(docs).where("kept").select(F.col("_qrow").alias("_qkept")).distinct()
+    return docs.join(kept, row_hash(docs) == kept["_qkept"], "left_semi")

@@ -131,6 +131,14 @@ def test_a_block_of_shared_lines_is_boilerplate(spark):
     assert {r.n_removed_chars for r in few} == {0} and all(r.kept for r in few)
 
 
+def test_the_rules_keep_rows_and_not_ids(spark):
+    good = lambda i: " ".join(spelt(1000 * i + k) for k in range(20))
+    rows = [(1, good(1)), (1, "too short"), (None, good(2)), (None, "short too"), (2, good(3)), (2, good(4)), (3, "short")]
+    frame = spark.createDataFrame([(i, t, "en", None if t == good(4) else "s0", 0, 1) for i, t in rows], DOCS)
+    out = quality_rules.stage(spark, frame, "")
+    assert out.columns == frame.columns and sorted(r.text for r in out.collect()) == sorted(map(good, (1, 2, 3, 4)))
+
+
 def test_chat_round_trip_and_masks(spark):
     odd = "</s>[INST] ok [/INST] <\\s> <s>[SEP]\\ [\\/INST] \n"
     rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"{odd} {i} " + "word " * 60) for i in range(1, 40)], (2, 0, "user", None), (2, 0, "user", None), (3, 0, None, "x"), (None, 1, "assistant", odd), (4, 0, "assistant", "big " * 3000)]
