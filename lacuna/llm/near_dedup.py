@@ -6,18 +6,19 @@ Equal sets are one node from the start, so exact copies cost a row each and noth
 A node's signature has ``CHUNKS * CHUNK`` MinHash values of 16 bits. Two signatures that differ in at most
 ``CHUNKS * (ERRORS + 1) - 1`` = 19 of the 50 values agree, by the pigeonhole principle, in some chunk of five
 values up to one error. Every chunk is therefore written once for each place that may be wrong, that place left
-out: all pairs within distance 19 share such a key. At a similarity of 0.8 a pair shares one with a probability
-above 0.999998, since a chunk with at most one error among the ten is enough.
-
-Pairs are never listed for a whole bucket. Round 1: each node meets the leader of one of its buckets, the one
-nearest by signature; a bucket's leader is its node whose buckets are largest together, which is the text that
-the others of a family were made from. Links are confirmed on full sets, components follow. Round 2: in buckets
-that still hold several components, the nodes outside the largest one meet the other components. A second
-signature of 1024 one-bit values, which is computed for the nodes of buckets alone, rules out nearly all pairs
-that are no links: at a similarity of 0.8 they differ in 102 bits with a deviation of 9.6, and pairs that differ
-in over 152 are left. The likely links among them come first, one for each node, since every link found leaves fewer nodes
-outside. Pairs inside a component need no check. Thereby every pair of a bucket is in one component,
-or was ruled out, or was checked on its full sets.
+out: all pairs within distance 19 share such a key, the bucket. At a similarity of 0.8 a pair shares one with a
+probability above 0.999998, since a chunk with at most one error among the ten is enough.
+
+Every pair of a bucket ends in one component or is checked on its full sets; no pair is ruled out by anything
+else. Pairs are never rows:
+
+1. Each node meets the leader of one of its buckets, the one nearest by signature. A bucket's leader is its node
+   whose buckets are largest together, which is the text that the others of a family were made from. Links are
+   confirmed on full sets, components follow.
+2. In buckets that still hold several components, the nodes outside the largest one meet all others in tiles of at
+   most ``TILE_NODES`` nodes and about ``TILE_ELEMENTS`` shingles. A tile counts the intersections of all its pairs
+   at once, as a product of two 0/1 matrices, and returns links of a spanning forest of its components: fewer
+   rows than it has nodes. Buckets with the same nodes are taken once.
 
 Defined cases: null or blank text is the empty set and linked with nothing. Null ids take part in links, are
 never a component's id, and are kept only where all ids of the component are null. Repeated rows are copies with
@@ -30,19 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, flat_bytes, materialize, mix, slices, table
+from .common import SpanHashes, flat_bytes, materialize, mix, n_buckets, slices, table
 
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
 VALUES = CHUNKS * CHUNK
-#: One-bit values of the second signature, and in how many a link can differ but for one case in 10**7.
-BITS, MOST_UNEQUAL = 1024, 152
-#: Pairs that differ in no more are likely links and come first.
-LIKELY_UNEQUAL = 90
-#: Signatures that agree in fewer values than this stand for a similarity below 0.8 but for one case in 10**7.
+#: A leader that agrees in fewer values than this is not tried in the first round.
 LEAST_EQUAL = 24
+#: Nodes of one side of a tile, and shingles of its sets, about.
+TILE_NODES, TILE_ELEMENTS = 512, 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,8 +49,6 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _XOR = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = mix(np.arange(101, VALUES + 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BIT_XOR = mix(np.arange(1001, BITS + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BIT_MUL = mix(np.arange(5001, BITS + 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHAIN = np.uint64(0xD1342543DE82EF95)
 
 
@@ -77,7 +74,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, check, signature): node and check are hashes of the whole set; null where it is empty."""
+    """(id, tx, n, node, check, signature): tx is a hash of the text; node and check are hashes of the whole set, null where it is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -97,10 +94,11 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 values[some] = (mix(least) >> np.uint64(48)).astype(np.uint16).T
             none = n == 0
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * VALUES), pa.array(values.ravel().view(np.int16)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(node.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none), sig], names=["id", "n", "node", "check", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tx"), pa.array(n), pa.array(node.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none), sig], names=["id", "tx", "n", "node", "check", "signature"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, node long, check long, signature array<short>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tx"), text.alias("text"))
+    return rows.mapInArrow(sign, "id long, tx long, n long, node long, check long, signature array<short>")
 
 
 def chunk_keys(nodes: DataFrame) -> DataFrame:
@@ -170,86 +168,156 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def unlinked(rows: DataFrame, known: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, most_unequal: int) -> DataFrame:
-    """Pairs (a, b, na, nb, unequal) of one bucket and two components whose second signatures differ in at most so many bits.
-
-    Of a bucket's nodes those outside its largest component meet the others.
-    """
+def tiles(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, i, j, side, node, c, major, h), sorted by tile: the nodes of a bucket outside its largest component (side 0) and all of its nodes (side 1), cut into tiles (i, j)."""
     mine = rows.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    sizes = mine.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("cs")).where("cs > 1").select("key", "major")
-    mine = mine.join(mixed, "key").join(known.select("node", "ks"), "node").join(sets.select("node", "bits", F.size("h").alias("n")), "node")
-    mine = materialize(mine.select("key", "node", "c", "major", "n", "ks", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64))), "mixed")
-    minor = mine.where("c <> major")
-    x, y = minor.alias("x"), mine.alias("y")
-    unequal = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    open_ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (unequal <= most_unequal)
-    # A pair that shares several keys is taken at the smallest.
-    once = F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.key")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & once)
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"), unequal.alias("unequal"))
-    return pairs.dropDuplicates(["a", "b"])
+    mine = mine.join(sets.select("node", F.size("h").alias("n")), "node")
+    sizes = mine.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+    total = [F.sum("m").alias("m"), F.sum("w").alias("w"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")]
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c", "w")).alias("x"), F.count("*").alias("cs"), *total).where("cs > 1")
+    cut = lambda m, w: F.greatest(F.ceil(m / TILE_NODES), F.ceil(w / TILE_ELEMENTS)).cast("int")
+    mixed = mixed.select("key", "s1", "s2", "m", F.col("x.c").alias("major"), cut(F.col("m") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("ti"), cut(F.col("m"), F.col("w")).alias("tj"))
+    once = mixed.groupBy("m", "s1", "s2").agg(F.min_by(F.struct("key", "major", "ti", "tj"), "key").alias("x")).select("x.*")
+    mine = materialize(mine.select("key", "node", "c", "n").join(once, "key"), "mixed")
+    place = lambda k: F.pmod(F.xxhash64("node", F.lit(2)), F.col(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    x = mine.where("c <> major").withColumn("i", place("ti")).withColumn("j", all_("tj")).withColumn("side", F.lit(0))
+    y = mine.withColumn("j", place("tj")).withColumn("i", all_("ti")).withColumn("side", F.lit(1))
+    both = x.unionByName(y).select("key", "i", "j", "side", "node", "c", "major")
+    held = mine.agg(F.sum(F.col("n") * (F.col("ti") + F.col("tj")))).head()[0]
+    parts = n_buckets(held or 0, 4 * TILE_ELEMENTS, 1)
+    return both.join(sets.select("node", "h"), "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node").select("key", "i", "j", "side", "node", "c", "major", "h")
+
+
+def tile_links(node: np.ndarray, c: np.ndarray, major: int, x: int, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join components, of the first ``x`` nodes of a tile with the others: a spanning forest of all its links."""
+    nx, ny = node[:x], node[x:]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    sx, sy = sizes[:x, None], sizes[None, x:]
+    # Of two nodes outside the largest component each would meet the other.
+    open_ = (c[:x, None] != c[None, x:]) & ((c[x:] == major)[None, :] | (nx[:, None] < ny[None, :])) & (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy))
+    if not open_.any():
+        return []
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    side = np.repeat(np.arange(len(sets)), sizes)
+    in_x = np.zeros(len(values), dtype=bool)
+    in_x[at[side < x]] = True
+    in_y = np.zeros(len(values), dtype=bool)
+    in_y[at[side >= x]] = True
+    number = np.cumsum(in_x & in_y) - 1
+    common = (in_x & in_y)[at]
+    row, column = side[common], number[at[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros(open_.shape, dtype=np.float32)  # whole numbers below 2**24 are exact
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        held = np.zeros((len(sets), 4096), dtype=np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        both += held[:x] @ held[x:].T
+    both = both.astype(np.int64)
+    found = np.argwhere(open_ & (100 * both >= percent * (sx + sy - both)))
+    of: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while of.get(k, k) != k:
+            k = of[k]
+        return k
+
+    out = []
+    for i, j in found.tolist():
+        a, b = root(int(c[i])), root(int(c[x + j]))
+        if a != b:
+            of[max(a, b)] = min(a, b)
+            out.append((int(nx[i]), int(ny[j])))
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row; links: intersection at least ``percent`` of the union."""
+def rest_of_links(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join components of a bucket, after all its pairs of two components were checked on their full sets."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def done() -> pa.RecordBatch:
+            node, c = (np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2))
+            links = tile_links(node, c, held[0][3], sum(r[0] == 0 for r in held), [r[4] for r in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            flat = batch.column("h").values.to_numpy(zero_copy_only=False)
+            ends = batch.column("h").offsets.to_numpy().tolist()
+            columns = [batch.column(k).to_pylist() for k in ("key", "i", "j", "side", "node", "c", "major")]
+            for at, (key, i, j, *r) in enumerate(zip(*columns, strict=True)):
+                if (key, i, j) != tile and held:
+                    yield done()
+                    held = []
+                tile = key, i, j
+                held.append((*r, flat[ends[at] : ends[at + 1]].copy()))
+        if held:
+            yield done()
+
+    return tiles(rows, sets, labels).mapInArrow(meet, "a long, b long")
+
+
+#: What a row is found by again: the hash of its text, its id, and whether that is null.
+KEY = ["tx", "idn", "idnull"]
+
+
+def keyed(id_: Column, tx: Column) -> list[Column]:
+    return [tx.alias("tx"), F.coalesce(id_, F.lit(0).cast("long")).alias("idn"), id_.isNull().alias("idnull")]
+
+
+def set_rows(docs: DataFrame, named: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, h): the full set of each named node, from one of its documents."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text"), words)
+            node = np.array([mix(mix(s ^ _XOR[0]).sum(keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+            mine = np.flatnonzero(node == batch.column("node").to_numpy(zero_copy_only=False))  # two texts of one id could have one hash
+            sizes = np.array([len(sets[i]) for i in mine], dtype=np.int64)
+            flat = np.concatenate([sets[i] for i in mine]).view(np.int64) if len(mine) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(node[mine]), lists], names=["node", "h"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(*keyed(F.col(id_col).cast("long"), F.xxhash64(text)), text.alias("text")).join(named, KEY)
+    return rows.select("node", "text").mapInArrow(build, "node long, h array<long>").dropDuplicates(["node"])
+
+
+def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tx, n, c, component_id) for each row; ``c`` numbers components and is null for empty sets. Links: intersection at least ``percent`` of the union."""
     signed = materialize(signatures(docs, words, id_col, text_col), "signatures")
     full = signed.where(F.col("node").isNotNull())
-    nodes = materialize(full.groupBy("node", "check").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("id").alias("id")), "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tx")).alias("first")
+    nodes = materialize(full.groupBy("node", "check").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), first), "nodes")
     keys = chunk_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     rows = materialize(keys.join(shared, "key"), "buckets")
-    known = rows.groupBy("node").agg(F.sum("m").alias("pop"), F.array_sort(F.collect_list("key")).alias("ks"))  # VALUES keys at most
-    known = materialize(known, "known")
-    leaders = rows.join(known.select("node", "pop"), "node").groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
+    known = materialize(rows.groupBy("node").agg(F.sum("m").alias("pop")), "known")
+    leaders = rows.join(known, "node").groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
     stars = rows.join(leaders, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     best = near(stars, nodes, percent, LEAST_EQUAL).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("equal", "a")).alias("x")).select("x.a", "b", "x.na", "x.nb")
     best = materialize(best, "round1")
     # Full sets of the nodes that stand in a bucket with others; one document for each node.
-    named = known.select("node").join(nodes.select("node", "id"), "node")
+    named = known.select("node").join(nodes.select("node", "first"), "node").select("node", *keyed(F.col("first.id"), F.col("first.tx")))
     sets = materialize(set_rows(docs, named, words, id_col, text_col), "sets")
-    links = materialize(confirmed(best, sets, percent), "links1")
-    labels = components(links)
-    near_ = unlinked(rows, known, sets, labels, percent, LIKELY_UNEQUAL)
-    best = near_.withColumn("x", F.explode(F.array("a", "b"))).groupBy("x").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.struct("unequal", "a", "b")).alias("p")).select("p.*").distinct()
-    more = materialize(confirmed(best, sets, percent), "links2")
-    if not more.isEmpty():
-        labels = extended(labels, more)
-    more = materialize(confirmed(unlinked(rows, known, sets, labels, percent, MOST_UNEQUAL), sets, percent), "links3")
+    labels = components(materialize(confirmed(best, sets, percent), "links1"))
+    more = materialize(rest_of_links(rows, sets, labels, percent), "links2")
     if not more.isEmpty():
         labels = extended(labels, more)
-    named = nodes.select("node", "check", "id").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    of = named.join(smallest, "c").select(F.col("node").alias("_node"), F.col("check").alias("_check"), "component_id")
+    of = nodes.select("node", "check", F.col("first.id").alias("id")).join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    smallest = of.groupBy("c").agg(F.min("id").alias("component_id"))
+    of = of.join(smallest, "c").select(F.col("node").alias("_node"), F.col("check").alias("_check"), "c", "component_id")
     out = signed.join(of, (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check")), "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-
+    return out.select("id", "tx", "n", "c", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
-def set_rows(docs: DataFrame, named: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, h, bits): the full set of each named node and its second signature, from the texts of its documents' smallest id."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), words)
-            node = np.array([mix(mix(s ^ _XOR[0]).sum(keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-            mine = np.flatnonzero(node == batch.column("node").to_numpy(zero_copy_only=False))  # rows with one id can have other texts
-            sizes = np.array([len(sets[i]) for i in mine], dtype=np.int64)
-            flat = np.concatenate([sets[i] for i in mine]).view(np.int64) if len(mine) else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            bits = np.zeros((len(mine), BITS // 8), dtype=np.uint8)
-            if len(mine):
-                h, at = flat.view(np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                least = np.empty((BITS, len(mine)), dtype=np.uint64)
-                for k in range(BITS):
-                    least[k] = np.minimum.reduceat((h ^ _BIT_XOR[k]) * _BIT_MUL[k], at)
-                bits = np.packbits((mix(least) >> np.uint64(63)).astype(np.uint8).T, axis=1)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[mine]), lists, bits], names=["node", "h", "bits"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(named, F.col("_id").eqNullSafe(F.col("id"))).select("node", "text").mapInArrow(build, "node long, h array<long>, bits array<long>")
-    return rows.dropDuplicates(["node"])
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row."""
+    out = linked(docs, words, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +325,15 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, by shingles of five words; of rows with that id, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kid")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kid"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component, by shingles of five words: of the rows with its smallest id, one. Null or blank texts stay, each row.
+
+    Rows are told apart by id and text, so of repeated ids only what is linked goes. Any columns are carried along.
+    """
+    marked = linked(docs)
+    none = marked.where("c is null").select(*keyed(F.col("id"), F.col("tx")), F.lit(True).alias("blank")).distinct()
+    rest = marked.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tx")).alias("x"))
+    kept = none.unionByName(rest.select(*keyed(F.col("x.id"), F.col("x.tx")), F.lit(False).alias("blank")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *keyed(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    rows = whole.join(kept, KEY)
+    one = rows.where("not blank").groupBy(*KEY).agg(F.first("row").alias("row"))
+    return one.select("row.*").unionByName(rows.where("blank").select("row.*"))

@@ -29,26 +29,74 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_near_duplicates_equal_brute_force(docs):
-    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+def components_by_brute_force(rows, words):
+    """(id or -1, size of the set, component's id) of rows (id, text), sorted."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
-        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
-
-    sets = [shingles(t) for _, t in rows]
+        return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+    sets = [shingles(t or "") for _, t in rows]
+    number = {x: i for i, x in enumerate({x for s in sets for x in s})}
+    held = np.zeros((len(rows), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    linked = (100 * both >= 80 * (n[:, None] + n[None, :] - both)) & (n[:, None] > 0) & (n[None, :] > 0)
     of = list(range(len(rows)))
-    for _ in rows:
-        for a in range(len(rows)):
-            for b in range(a):
-                both = len(sets[a] & sets[b])
-                if sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
-                    of[a] = of[b] = min(of[a], of[b])
-    ids = lambda c: [rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None]
-    want = sorted(((i if i is not None else -1), len(s), min(ids(of[k]), default=None) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, words=4).collect())
-    assert got == want
+
+    def root(k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for a, b in np.argwhere(linked).tolist():
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (id_, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(id_)
+    smallest = {r: min((i for i in ids if i is not None), default=None) for r, ids in groups.items()}
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    return sorted((key((i, len(s), smallest[root(k)] if s else i)) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))))
+
+
+def test_near_duplicates_equal_brute_force(docs):
+    got = near_dedup.near_duplicates(docs, words=4).collect()
+    key = lambda *r: tuple(-1 if x is None else x for x in r)
+    assert sorted(key(r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_brute_force([(r.doc_id, r.text) for r in docs.collect()], 4)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("nodes", [512, 60])
+def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, nodes):
+    """500 near copies, most pairs a little above or below the limit, null ids among them; also where tiles are small."""
+    monkeypatch.setattr(near_dedup, "TILE_NODES", nodes)
+    random.seed(6)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for k in range(random.choice([3, 4, 5, 6])):
+            words[random.randrange(len(words))] = f"x{i}-{k}"
+        rows.append((None if i % 10 == 3 else 1000 - i, " ".join(words)))
+    rows += [(None, "null ids " * 3 + str(i)) for i in range(30)] + [(5, "one id with " + "other texts " * i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_brute_force(rows, 4)
+    assert len({c for _, _, c in want}) > 20
+    key = lambda *r: tuple(-1 if x is None else x for x in r)
+    assert sorted(key(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame, words=4).collect()) == want
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_component(spark):
+    text = lambda k: " ".join(f"t{k}-{i}" for i in range(60))
+    rows = [(1, text(0)), (1, text(0)), (2, text(0) + " end"), (1, text(1)), (3, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (4, None), (5, ""), (6, text(3) + " end"), (7, text(4))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, 9, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tx int, row int")
+    out = near_dedup.stage(spark, frame, "")
+    assert out.columns == frame.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == sorted([(1, text(0)), (1, text(1)), (0, text(2)), (6, text(3) + " end"), (4, ""), (5, ""), (7, text(4))])
+    assert near_dedup.stage(spark, frame.where("false"), "").count() == 0 and near_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
 def test_later_links_extend_components(spark):
