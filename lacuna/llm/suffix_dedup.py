@@ -3,29 +3,32 @@
 A byte goes if some ``span`` bytes that cover it also start in a document with a smaller id. Strings are judged on
 the input; they never cross documents.
 
-1. Candidates. Of the hashes of the 20-byte strings in each window of ``span`` bytes the smallest is the window's
-   anchor: equal windows have the same anchor at the same place. Anchors that stand in one document alone are
-   dropped, and with them all text that cannot repeat. This is exact: a false agreement of hashes costs work only.
-2. The windows of an anchor form a segment of at most ``span + 30`` bytes. Segments are dealt by anchor, so equal
-   windows meet; equal segments of an anchor become one, with its smallest document. An anchor with one distinct
-   segment has nothing to be merged with.
-3. Of the other segments only runs of windows whose hashes stand in two segments can repeat; equal runs become one
-   again, and different ones form shards. Each shard's transform is built
-   by itself; then the interleave of all shards
-   is refined one symbol a round: the rows in their present order are dealt stably by the symbol before them,
-   which gives the order by one symbol more. A row starts a new interval in the round in which its prefix first
-   differs from the row before it: that round less one is the common prefix. After ``span`` rounds the intervals
-   are the repeated strings, and no suffix was compared with another.
-4. The smallest document of each interval says which occurrences go; spans meet the texts once more.
+1. Texts that are equal as a whole are one from the start: all of a copy goes. Distinct texts are dealt into slices.
+2. Of the hashes of the 20-byte strings in each window of ``span`` bytes the smallest is the window's anchor: equal
+   windows have the same anchor at the same place. Each slice sends each of its anchors once; what stands in one
+   text alone is dropped, and with it all windows that cannot repeat. A false agreement of hashes costs work only.
+3. The windows of an anchor form a segment of at most ``span + 30`` bytes. A slice sends each of its segments once,
+   with its smallest document, to the segment's bucket; segments are equal by their bytes, not by hashes. An anchor
+   that stands in ``HOT`` slices or more is dealt by whole windows instead, so none outgrows its bucket.
+4. An anchor whose segments are all equal is settled: there is nothing to merge. Of the others, runs of windows
+   that stand in two segments (by hash: again, a false agreement costs work only) form strings. A string belongs to
+   the shard of its smallest document; each shard's transform is built in a task of its own.
+5. The interleave of all shards' transforms is refined one symbol a round: the rows in their present order are
+   dealt stably by the symbol before them, which gives the order by one symbol more. A row starts a new interval in
+   the round in which its prefix first differs from the row before it: that round less one is the common prefix.
+   Rows whose common prefix is ``span`` are one repeated string, and no suffix was compared with another.
+6. The smallest document of each repeated string says which occurrences go; slices get it for their segments, and
+   the spans meet the texts once more.
 
 Defined cases: null text is empty. Rows with a null id stay whole and count for nothing. Rows with one id are
 judged alike: a repeat within the same id is none. Texts shorter than ``span`` stay whole. Empty tables give empty
-results. Other columns are carried along by :func:`remove_repeats`.
+results. Other columns are carried along by :func:`remove_repeats`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, flat_bytes, n_buckets, slices, table
+from .common import SpanHashes, flat_bytes, materialize, n_buckets, slices, table
 
 SPAN, GRAM = 50, 20
-#: Bytes of text for a bucket of anchors; segments merged at once, and the shards they form.
-BUCKET_BYTES, MERGED_BYTES, SHARDS = 16 << 20, 1 << 19, 4
+#: Bytes of text for a slice and for a bucket; slices from which on an anchor is dealt by windows.
+SLICE_BYTES, BUCKET_BYTES, HOT = 2 << 20, 8 << 20, 4096
+#: Bytes of strings whose transforms are merged at once, about, and the shards they form.
+MERGED_BYTES, SHARDS = 1 << 20, 4
+ALL = np.iinfo(np.int64).max
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,33 +52,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tupl
     none = np.empty(0, np.int64)
     if len(data) < span:
         return none, none.astype(np.uint64), none, none
-    value = SpanHashes(data).grams(gram)
-    value = np.append(value, np.full(1, np.uint64(0xFFFFFFFFFFFFFFFF)))[: len(data) - gram + 1]
-    if len(value) < len(data) - gram + 1:
-        value = np.append(value, np.uint64(0xFFFFFFFFFFFFFFFF))
-    at, width = np.arange(len(value), dtype=np.int32), span - gram + 1
-
-    def least(v, p, step):
-        right = v[step:] < v[:-step]  # ties go left
-        return np.where(right, v[step:], v[:-step]), np.where(right, p[step:], p[:-step])
-
-    size = 1
-    v, p = value, at
+    value = SpanHashes(data).grams(gram)[: len(data) - gram + 1]
+    # Half of the hash above the place: the smallest is the leftmost of the smallest hashes.
+    least = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
+    size, width = 1, span - gram + 1
     while 2 * size <= width:
-        v, p = least(v, p, size)
+        least = np.minimum(least[size:], least[:-size])
         size *= 2
     if size < width:
-        v, p = least(v, p, width - size)
-    sizes = np.diff(offsets)
-    room = np.maximum(sizes - span + 1, 0)  # windows of each document
-    doc = np.repeat(np.arange(len(sizes)), room)
+        least = np.minimum(least[width - size :], least[: size - width])
+    room = np.maximum(np.diff(offsets) - span + 1, 0)  # windows of each document
+    doc = np.repeat(np.arange(len(room), dtype=np.int32), room)
     window = np.arange(len(doc)) + np.repeat(offsets[:-1] - (np.cumsum(room) - room), room)
-    p = p[window]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
+    place = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return doc[first], value[p[first]], window[first], window[last] if len(first) else none
+    last = np.append(first[1:], len(place)) - 1 if len(first) else first
+    return doc[first], value[place[first]], window[first], window[last]
 
 
 # --- Burrows-Wheeler transforms of segments: symbols are bytes + 1, and 0 ends a segment -----------------------
@@ -99,8 +96,8 @@ def transform(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return before[order], order
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of all shards' rows by their first ``depth`` symbols: (rows, interval of each, common prefix with the row before).
+def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of all shards' rows by their first ``depth`` symbols: (rows, common prefix with the row before, ``depth`` at most).
 
     It reads the transforms alone. A row's step is where its symbol before lies in its own shard: rows with that
     symbol keep their order.
@@ -125,42 +122,22 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         new[: len(ends)] = True
         np.minimum(common, length - 1, out=common, where=new & (common == depth))
         interval = np.cumsum(new, dtype=np.int32) - 1
-    return order, interval, common
-
-
-def window_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
-    """For every byte of the segments data[starts:ends], laid end to end, the number of its interval."""
-    sizes = ends - starts
-    total = int(sizes.sum())
-    gather = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    shard_of = np.minimum((np.cumsum(sizes) - sizes) * SHARDS // max(1, total), SHARDS - 1)
-    transforms, places = [], []
-    flat = data[gather].astype(np.uint16) + np.uint16(1)
-    done = 0
-    for s in range(SHARDS):
-        mine = sizes[shard_of == s]
-        n = int(mine.sum())
-        if not n:
-            continue
-        symbols = np.zeros(n + len(mine), dtype=np.uint16)
-        stop = np.cumsum(mine + 1) - 1
-        is_byte = np.ones(len(symbols), dtype=bool)
-        is_byte[stop] = False
-        symbols[is_byte] = flat[done : done + n]
-        where = np.full(len(symbols), -1, dtype=np.int64)
-        where[is_byte] = np.arange(done, done + n)
-        before, order = transform(symbols, stop.astype(np.int32))
-        transforms.append(before)
-        places.append(where[order])
-        done += n
-    order, interval, _ = merge(transforms, span)
-    place = np.concatenate(places)[order]
-    out = np.empty(total, dtype=np.int32)
-    out[place[place >= 0]] = interval[place >= 0]
-    return out
-
-
-# --- packed columns: runs of documents, and arrays as bytes -------------------------------------------------------
+    return order, common
+
+
+def strings_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ends, each symbol's byte or -1) of strings that lie end to end."""
+    symbols = np.zeros(len(data) + len(sizes), dtype=np.uint16)
+    ends = np.cumsum(sizes + 1) - 1
+    is_byte = np.ones(len(symbols), dtype=bool)
+    is_byte[ends] = False
+    symbols[is_byte] = data.astype(np.uint16) + np.uint16(1)
+    where = np.full(len(symbols), -1, dtype=np.int32)
+    where[is_byte] = np.arange(len(data), dtype=np.int32)
+    return symbols, ends.astype(np.int32), where
+
+
+# --- the segments of a bucket ------------------------------------------------------------------------------------
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,156 +145,320 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.diff(np.append(new, len(values)))
 
 
-def pack_docs(docs: np.ndarray) -> bytes:
-    new, many = runs(docs)
-    return np.int64(len(new)).tobytes() + docs[new].astype(np.int64).tobytes() + many.astype(np.uint32).tobytes()
+def spread(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... ``many[0]`` of them, and so on."""
+    return np.arange(int(many.sum())) + np.repeat(starts - (np.cumsum(many) - many), many)
 
 
-def unpack_docs(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.repeat(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n))
+def distinct(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each value by its bytes, in order of first appearance, and the values."""
+    of: dict[bytes, int] = {}
+    return np.fromiter((of.setdefault(x, len(of)) for x in parts), np.int64, len(parts)), list(of)
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
 
 
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    new, many = runs(bucket[order])
-    for at, n in zip(new.tolist(), many.tolist(), strict=True):
-        yield int(bucket[order[at]]), order[at : at + n]
+def unpacked(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True)
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, spans): for documents without null ids, byte spans to remove, as pairs of unsigned 32-bit integers; a document can have several rows."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).head()[0]
-    buckets = n_buckets(total or 0, BUCKET_BYTES, 16)
+class Bucket:
+    """The distinct segments that slices sent to a bucket, and the strings among them that have to be merged.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+    ``rows``: slice, sizes, h, docs, bytes. The same rows give the same numbers.
+    """
+
+    def __init__(self, rows: pd.DataFrame, span: int):
+        rows = rows.sort_values("slice")
+        self.slices, self.span = rows["slice"].to_numpy(), span
+        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["sizes"]]
+        self.many = np.array([len(x) for x in sizes])
+        parts = []
+        for n, raw in zip(sizes, rows["bytes"], strict=True):
+            text, at = unpacked(raw, int(n.sum())), 0
+            for k in n.tolist():
+                parts.append(text[at : at + k])
+                at += k
+        self.of, segments = distinct(parts)
+        self.docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h"]])
+        self.low = np.full(len(segments), ALL)
+        np.minimum.at(self.low, self.of, self.docs)
+        anchor = np.zeros(len(segments), dtype=np.uint64)
+        anchor[self.of] = h
+        size = np.array([len(x) for x in segments])
+        self.windows = size - span + 1
+        self.base = np.cumsum(self.windows) - self.windows
+        # Of anchors with several segments: runs of windows that stand in two of them.
+        order = np.argsort(anchor, kind="stable")
+        _, count = runs(anchor[order])
+        some = order[np.repeat(count > 1, count)]
+        text = b"".join(segments[k] for k in some.tolist())
+        data, end = np.frombuffer(text, np.uint8), np.cumsum(size[some])
+        at = spread(end - size[some], self.windows[some])
+        row = np.repeat(np.arange(len(some)), self.windows[some])
+        value = SpanHashes(data).of(at, at + span) if len(at) else at.astype(np.uint64)
+        by = np.argsort(value, kind="stable")
+        first, count = runs(value[by])
+        twice = np.zeros(len(value), dtype=bool)
+        twice[by] = np.repeat(count > 1, count)
+        hit = np.flatnonzero(twice)
+        first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1]))) if len(hit) else hit
+        length = np.diff(np.append(first, len(hit)))
+        begin = at[hit[first]]
+        self.segment = some[row[hit[first]]]  # of each run, with its first window
+        self.first = self.base[self.segment] + begin - (end - size[some])[row[hit[first]]]
+        self.string, self.strings = distinct([text[a:b] for a, b in zip(begin.tolist(), (begin + length - 1 + span).tolist(), strict=True)])
+        self.string_low = np.full(len(self.strings), ALL)
+        np.minimum.at(self.string_low, self.string, self.low[self.segment])
+        self.string_anchor = np.zeros(len(self.strings), dtype=np.uint64)
+        self.string_anchor[self.string] = anchor[self.segment]
+        self.string_windows = np.array([len(x) for x in self.strings], dtype=np.int64) - span + 1
+
+    def shards(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(lot, shard, strings): the strings of anchors that have several; an anchor's strings are in one lot."""
+        order = np.argsort(self.string_anchor, kind="stable")
+        first, count = runs(self.string_anchor[order])
+        open_ = np.repeat(count > 1, count)
+        weight = np.add.reduceat(self.string_windows[order] + self.span, first) * (count > 1) if len(first) else first
+        lot = np.repeat((np.cumsum(weight) - weight) // MERGED_BYTES, count)[open_]
+        mine = order[open_]
+        shard = (self.string_low[mine].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(SHARDS)
+        for k in np.unique(lot).tolist():
+            for n in range(SHARDS):
+                if len(some := np.sort(mine[(lot == k) & (shard == n)])):
+                    yield k, n, some
+
+    def least(self, merged: pd.DataFrame) -> np.ndarray:
+        """The smallest document of each window of each segment; ``merged``: strings and the smallest documents of their windows."""
+        start = np.cumsum(self.string_windows) - self.string_windows
+        of_string = np.repeat(self.string_low, self.string_windows)
+        for strings, least in zip(merged["strings"], merged["least"], strict=True):
+            strings = np.frombuffer(strings, np.int64)
+            of_string[spread(start[strings], self.string_windows[strings])] = np.frombuffer(least, np.int64)
+        out = np.repeat(self.low, self.windows)
+        many = self.string_windows[self.string]
+        out[spread(self.first, many)] = of_string[spread(start[self.string], many)]
+        return out
+
+
+# --- slices ---------------------------------------------------------------------------------------------------------
+
+
+class Slice:
+    """A slice's anchors and, once those that others hold are known, its segments."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, span: int, gram: int, buckets: int):
+        self.data, self.offsets, self.span, self.buckets = data, offsets, span, buckets
+        self.doc, self.h, self.first, self.last = anchors(data, offsets, span, gram)
+        key = (self.bucket(self.h).astype(np.uint64) << np.uint64(32)) | (self.h & np.uint64(0xFFFFFFFF))
+        self.keys, at, self.number = np.unique(key, return_index=True, return_inverse=True)
+        last = np.zeros(len(self.keys), dtype=np.int64)
+        last[self.number] = self.doc  # documents ascend, and the last one stays
+        self.many = self.doc[at] != last
+        self.of_bucket = (self.keys >> np.uint64(32)).astype(np.int64)
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def occurrences(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, first byte, size, h) of each segment, by bucket; ``shared`` and ``hot``: of each of ``keys``."""
+        shared, hot = shared[self.number], hot[self.number]
+        some, each = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        many = self.last[each] - self.first[each] + 1
+        window = spread(self.first[each], many)
+        h = np.concatenate([self.h[some], SpanHashes(self.data).of(window, window + self.span) if len(window) else np.empty(0, np.uint64)])
+        doc = np.concatenate([self.doc[some], np.repeat(self.doc[each], many)])
+        start = np.concatenate([self.first[some], window])
+        size = np.concatenate([self.last[some] - self.first[some] + self.span, np.full(len(window), self.span)])
+        by = np.lexsort((start, self.bucket(h)))
+        return doc[by], start[by], size[by], h[by]
+
+
+def binaries(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+
+
+L, B = pa.int64(), pa.binary()
+
+
+def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
+    """(tx, removed, spans, sha256, kept) for the distinct ``texts`` (tx, id, text), ``total`` bytes or less, that lose bytes."""
+    buckets = n_buckets(total, BUCKET_BYTES, 16)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
             data, offsets = flat_bytes(batch.column("text"))
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            doc, h, _, _ = anchors(data, offsets, span, gram)
-            rows = [(b, pack_docs(ids[doc[at]]), h[at].astype(np.uint32).tobytes()) for b, at in by_bucket(bucket_of(h, buckets))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "docs", "h"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            tx = "".join(batch.column("tx").to_pylist()).encode()
+            yield binaries([(uuid.uuid4().int >> 65, ids.tobytes(), tx, np.diff(offsets).astype(np.int64).tobytes(), packed(data.tobytes()))], [("slice", L), ("ids", B), ("tx", B), ("sizes", B), ("data", B)])
+
+    # Written once, so that a slice's number stands for the same texts from here on.
+    cut = materialize(texts.where(F.octet_length("text") >= span).select("id", "tx", "text").mapInArrow(deal, "slice long, ids binary, tx binary, sizes binary, data binary"), "slices")
+
+    def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.frombuffer(batch.column("sizes")[i].as_py(), np.int64)
+        return np.frombuffer(unpacked(batch.column("data")[i].as_py(), int(sizes.sum())), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, number in enumerate(batch.column("slice").to_pylist()):
+                s = Slice(*opened(batch, i), span, gram, buckets)
+                h = s.keys.astype(np.uint32)
+                at = np.searchsorted(s.of_bucket, np.arange(buckets + 1)).tolist()
+                rows = [(b, number, h[x:y].tobytes(), s.many[x:y].tobytes()) for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+                yield binaries(rows, [("bucket", L), ("slice", L), ("h", B), ("many", B)])
 
     def share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([unpack_docs(x) for x in rows["docs"]])
         h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["h"]])
-        order = np.argsort(h, kind="stable")
-        new, many = runs(h[order])
-        doc_ = doc[order]
-        several = np.minimum.reduceat(doc_, new) < np.maximum.reduceat(doc_, new)
-        hit = order[np.repeat(several, many)]
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        new, many = runs(doc[hit])
-        return pd.DataFrame({"id": doc[hit][new], "bucket": key[0], "h": [h[hit[a : a + n]].tobytes() for a, n in zip(new, many, strict=True)]})
-
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = plain.mapInArrow(find, "bucket int, docs binary, h binary").groupBy("bucket").applyInPandas(share, "id long, bucket int, h binary")
-    hits = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("bucket", "h")).alias("hits"))  # as many as the document has anchors
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = flat_bytes(batch.column("text"))
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            doc, h, first, last = anchors(data, offsets, span, gram)
-            b = bucket_of(h, buckets)
-            key = (b.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-            keep = np.zeros(len(doc), dtype=bool)
-            at = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, hit in enumerate(batch.column("hits").to_pylist()):
-                mine = np.concatenate([np.frombuffer(x["h"], np.uint32).astype(np.uint64) | (np.uint64(x["bucket"]) << np.uint64(32)) for x in hit])
-                keep[at[i] : at[i + 1]] = np.isin(key[at[i] : at[i + 1]], mine)
-            doc, h, first, last, b = (x[keep] for x in (doc, h, first, last, b))
-            rows = []
-            for number, some in by_bucket(b):
-                sizes = last[some] - first[some] + span
-                gather = np.arange(int(sizes.sum())) + np.repeat(first[some] - (np.cumsum(sizes) - sizes), sizes)
-                rows.append((number, pack_docs(ids[doc[some]]), h[some].tobytes(), (first[some] - offsets[doc[some]]).astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), pa.compress(data[gather].tobytes(), codec="zstd", asbytes=True)))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "docs", "h", "start", "size", "bytes"])
-
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([unpack_docs(x) for x in rows["docs"]])
-        h, start, size = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]).astype(to) for c, t, to in (("h", np.uint64, np.uint64), ("start", np.uint32, np.int64), ("size", np.uint8, np.int64)))
-        data = np.frombuffer(b"".join(pa.decompress(x, int(np.frombuffer(n, np.uint8).sum(dtype=np.int64)), codec="zstd", asbytes=True) for x, n in zip(rows["bytes"], rows["size"], strict=True)), np.uint8)
-        end = np.cumsum(size)
-        hashes = SpanHashes(data)
-        own = hashes.of(end - size, end)
-        order = np.lexsort((doc, own, h))
-        same = np.append(False, (own[order][1:] == own[order][:-1]) & (h[order][1:] == h[order][:-1]))
-        distinct = order[~same]  # the first of each class has its smallest document
-        cls = np.empty(len(doc), dtype=np.int64)
-        cls[order] = np.cumsum(~same) - 1
-        low = doc[distinct]
-        # least holds the smallest document of each window of each class.
-        new, many = runs(h[distinct])
-        merged = np.repeat(many > 1, many)
-        windows = size[distinct] - span + 1
-        base = np.cumsum(windows) - windows
-        least = np.repeat(low, windows)
-        some = np.flatnonzero(merged)
-        if len(some):
-            # Of the classes that share an anchor, what can repeat are runs of windows whose hash stands in two of
-            # them; equal runs become one again, and the transforms of the different ones are merged.
-            w = windows[some]
-            row = np.repeat(np.arange(len(some)), w)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
-            at = np.repeat(end[distinct[some]] - size[distinct[some]], w) + inner
-            value = hashes.of(at, at + span)
-            by = np.argsort(value, kind="stable")
-            first, count = runs(value[by])
-            twice = np.zeros(len(value), dtype=bool)
-            twice[by] = np.repeat(count > 1, count)
-            hit = np.flatnonzero(twice)
-            first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1]))) if len(hit) else hit
-            length = np.diff(np.append(first, len(hit)))
-            part = hit[first]  # a run's first window
-            begin, stop = at[part], at[part] + length - 1 + span
-            lows, anchor = low[some][row[part]], h[distinct[some]][row[part]]
-            own = hashes.of(begin, stop)
-            by = np.lexsort((lows, own, anchor))
-            other = np.append(True, (own[by][1:] != own[by][:-1]) | (anchor[by][1:] != anchor[by][:-1]))[: len(by)]
-            one = by[other]
-            number = np.empty(len(by), dtype=np.int64)
-            number[by] = np.cumsum(other) - 1
-            w = length[one]
-            offset = np.cumsum(w) - w
-            smallest = np.repeat(lows[one], w)
-            new, many = runs(anchor[one])
-            groups = np.flatnonzero(many > 1)
-            weight = np.add.reduceat(stop[one] - begin[one], new)[groups] if len(groups) else np.empty(0, np.int64)
-            lot = np.cumsum(weight) // MERGED_BYTES
-            for each in np.unique(lot):
-                mine = np.concatenate([np.arange(new[g], new[g] + many[g]) for g in groups[lot == each]])
-                segment = one[mine]
-                classes = window_classes(data, begin[segment], stop[segment], span)
-                n, k = stop[segment] - begin[segment], w[mine]
-                step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                to = np.repeat(offset[mine], k) + step
-                interval = classes[np.repeat(np.cumsum(n) - n, k) + step]  # of the bytes that start a window
-                lowest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(lowest, interval, smallest[to])
-                smallest[to] = lowest[interval]
-            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            least[np.repeat(base[some][row[part]] + inner[part], length) + step] = smallest[np.repeat(offset[number], length) + step]
-        whole = ~merged[cls] & (doc > low[cls])
-        spans = [(doc[whole], start[whole], start[whole] + size[whole])]
-        some = np.flatnonzero(merged[cls])
-        w = windows[cls[some]]
-        inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        hit = np.repeat(doc[some], w) > least[np.repeat(base[cls[some]], w) + inner]
-        d, a = np.repeat(doc[some], w)[hit], (np.repeat(start[some], w) + inner)[hit]
-        spans.append((d, a, a + span))
-        doc, a, b = joined(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        new, many = runs(doc)
-        pairs = np.stack([a, b], axis=1).astype(np.uint32)
-        return pd.DataFrame({"id": doc[new], "spans": [pairs[i : i + n].tobytes() for i, n in zip(new, many, strict=True)]})
-
-    segments = docs.select(id_col, text_col).join(hits, F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "hits").mapInArrow(cut, "bucket int, docs binary, h binary, start binary, size binary, bytes binary")
-    return segments.groupBy("bucket").applyInPandas(judge, "id long, spans binary")
+        many = np.concatenate([np.frombuffer(x, bool) for x in rows["many"]])
+        _, of = np.unique(h, return_inverse=True)
+        texts_ = np.bincount(of, weights=many + 1.0)[of]
+        slices_ = np.bincount(of)[of]
+        flags = (texts_ > 1).astype(np.uint8) + 2 * (slices_ >= hot_slices).astype(np.uint8)
+        ends = np.cumsum([len(x) for x in rows["many"]])
+        return pd.DataFrame({"slice": rows["slice"], "bucket": key[0], "flags": [packed(x.tobytes()) for x in np.split(flags, ends[:-1])], "n": np.diff(ends, prepend=0)})
+
+    found = cut.select("slice", "sizes", "data").mapInArrow(find, "bucket long, slice long, h binary, many binary").groupBy("bucket").applyInPandas(share, "slice long, bucket long, flags binary, n long")
+    hits = found.groupBy("slice").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("hits"))  # as many as the slice has anchors
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each bucket the slice's distinct segments; under bucket -1 the texts that have any, and where they lie."""
+        for batch in batches:
+            for i, number in enumerate(batch.column("slice").to_pylist()):
+                s = Slice(*opened(batch, i), span, gram, buckets)
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                tx = batch.column("tx")[i].as_py()
+                flags = np.zeros(len(s.keys), dtype=np.uint8)
+                for hit in batch.column("hits")[i].as_py():
+                    at = np.searchsorted(s.of_bucket, hit["bucket"])
+                    flags[at : at + hit["n"]] = np.frombuffer(unpacked(hit["flags"], hit["n"]), np.uint8)
+                doc, start, size, h = s.occurrences((flags & 1).astype(bool), flags > 1)
+                if not len(doc):
+                    continue
+                raw = s.data.tobytes()
+                of, parts = distinct([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+                low, key = np.full(len(parts), ALL), np.zeros(len(parts), dtype=np.uint64)
+                np.minimum.at(low, of, ids[doc])
+                key[of] = h
+                bucket = s.bucket(key)  # numbers ascend with it
+                first, many = runs(bucket)
+                sizes = np.array([len(x) for x in parts], dtype=np.uint16)
+                rows = [(int(bucket[a]), number, sizes[a : a + n].tobytes(), key[a : a + n].tobytes(), low[a : a + n].tobytes(), packed(b"".join(parts[a : a + n])), None, None, None) for a, n in zip(first.tolist(), many.tolist(), strict=True)]
+                held, doc = np.unique(doc, return_inverse=True)
+                begin, end = s.offsets[held], s.offsets[held + 1]
+                texts_ = b"".join(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+                where = np.stack([doc, start - begin[doc], size, of], axis=1).astype(np.int64).tobytes()
+                base = np.stack([bucket[first], first], axis=1).astype(np.int64).tobytes()
+                rows.append((-1, number, (end - begin).astype(np.int64).tobytes(), b"".join(tx[64 * k : 64 * k + 64] for k in held.tolist()), ids[held].tobytes(), packed(texts_), packed(where), base, len(doc)))
+                yield binaries(rows, [("bucket", L), ("slice", L), ("sizes", B), ("h", B), ("docs", B), ("bytes", B), ("places", B), ("base", B), ("n_places", L)])
+
+    rows = cut.join(hits, "slice").select("slice", "sizes", "data", "ids", "tx", "hits").mapInArrow(segments, "bucket long, slice long, sizes binary, h binary, docs binary, bytes binary, places binary, base binary, n_places long")
+    rows = materialize(rows, "segments")
+    dealt = rows.where("bucket >= 0").select("bucket", "slice", "sizes", "h", "docs", "bytes")
+
+    def strings(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(rows, span)
+        out = [(key[0], lot, shard, some.tobytes(), b.string_windows[some].tobytes(), b.string_low[some].tobytes(), b"".join(b.strings[k] for k in some.tolist())) for lot, shard, some in b.shards()]
+        return pd.DataFrame(out, columns=["bucket", "lot", "shard", "strings", "windows", "low", "bytes"])
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The transform of a shard, with the byte that each of its rows starts at."""
+        data, windows = np.frombuffer(rows["bytes"].iloc[0], np.uint8), np.frombuffer(rows["windows"].iloc[0], np.int64)
+        symbols, ends, where = strings_of(data, windows + span - 1)
+        before, order = transform(symbols, ends)
+        out = rows[["bucket", "lot", "shard", "strings", "windows", "low"]]
+        return out.assign(before=[before.tobytes()], place=[where[order].tobytes()])
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The shards' transforms merged; the smallest document of each window of each string."""
+        rows = rows.sort_values("shard")
+        before = [np.frombuffer(x, np.uint16) for x in rows["before"]]
+        windows = [np.frombuffer(x, np.int64) for x in rows["windows"]]
+        sizes = [int((w + span - 1).sum()) for w in windows]
+        shift = np.cumsum(sizes) - sizes
+        order, common = merge(before, span)
+        place = np.concatenate([np.where(p >= 0, p + at, -1) for p, at in zip((np.frombuffer(x, np.int32).astype(np.int64) for x in rows["place"]), shift.tolist(), strict=True)])[order]
+        all_ = np.concatenate(windows)
+        low = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["low"]]), all_ + span - 1)
+        starts, _ = runs(np.cumsum(common < span))  # an interval: rows whose common prefix with the one before is the span
+        value = np.where(place >= 0, low[place], ALL)
+        least = np.minimum.reduceat(value, starts)
+        of_byte = np.empty(len(low), dtype=np.int64)
+        of_byte[place[place >= 0]] = np.repeat(least, np.diff(np.append(starts, len(order))))[place >= 0]
+        end = np.cumsum(all_ + span - 1)
+        got = of_byte[spread(end - (all_ + span - 1), all_)]
+        return pd.DataFrame({"bucket": [key[0]], "strings": [b"".join(rows["strings"])], "least": [got.tobytes()]})
+
+    shards = dealt.groupBy("bucket").applyInPandas(strings, "bucket long, lot long, shard long, strings binary, windows binary, low binary, bytes binary")
+    built = shards.groupBy("bucket", "lot", "shard").applyInPandas(build, "bucket long, lot long, shard long, strings binary, windows binary, low binary, before binary, place binary")
+    merged = built.groupBy("bucket", "lot").applyInPandas(meet, "bucket long, strings binary, least binary")
+
+    def settle(rows: pd.DataFrame, merged: pd.DataFrame) -> pd.DataFrame:
+        """For each slice the windows of its segments that stand in a smaller document than its own: (segment, first, end, smallest document)."""
+        if not len(rows):
+            return pd.DataFrame({"slice": [], "bucket": [], "found": []})
+        b = Bucket(rows, span)
+        least = b.least(merged)
+        segment = np.repeat(np.arange(len(b.low)), b.windows)
+        new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (segment[1:] != segment[:-1])))
+        piece_of = segment[new]
+        begin = new - b.base[piece_of]
+        end = np.diff(np.append(new, len(least))) + begin
+        at = np.searchsorted(piece_of, np.arange(len(b.low) + 1))
+        each = np.diff(at)[b.of]
+        piece = spread(at[b.of], each)
+        element = np.repeat(np.arange(len(b.of)), each)
+        keep = least[new[piece]] < b.docs[element]
+        piece, element = piece[keep], element[keep]
+        row = np.repeat(np.arange(len(b.many)), b.many)[element]
+        inside = element - (np.cumsum(b.many) - b.many)[row]
+        table_ = np.stack([inside, begin[piece], end[piece], least[new[piece]]], axis=1).astype(np.int64)
+        first, many = runs(row)
+        return pd.DataFrame({"slice": b.slices[row[first]], "bucket": rows["bucket"].iloc[0], "found": [packed(table_[a : a + n].tobytes()) for a, n in zip(first.tolist(), many.tolist(), strict=True)], "n": many})
+
+    found = dealt.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(settle, "slice long, bucket long, found binary, n long")
+    found = found.groupBy(F.col("slice").alias("_slice")).agg(F.collect_list(F.struct("bucket", "found", "n")).alias("found"))  # as many as the slice has segments
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = [("tx", pa.string()), ("removed", L), ("spans", L), ("sha256", pa.string()), ("kept", pa.string())]
+        for batch in batches:
+            for i, found_ in enumerate(batch.column("found").to_pylist()):
+                sizes = np.frombuffer(batch.column("sizes")[i].as_py(), np.int64)
+                raw = unpacked(batch.column("bytes")[i].as_py(), int(sizes.sum()))
+                ids, tx = np.frombuffer(batch.column("docs")[i].as_py(), np.int64), batch.column("h")[i].as_py()
+                base = dict(np.frombuffer(batch.column("base")[i].as_py(), np.int64).reshape(-1, 2).tolist())
+                n = batch.column("n_places")[i].as_py()
+                doc, start, size, of = np.frombuffer(unpacked(batch.column("places")[i].as_py(), 32 * n), np.int64).reshape(-1, 4).T
+                low = np.full(int(of.max()) + 1, ALL)
+                np.minimum.at(low, of, ids[doc])
+                # Within the slice: all but the occurrences in the segment's smallest document go.
+                own = ids[doc] > low[of]
+                spans = [(doc[own], start[own], (start + size)[own])]
+                order = np.argsort(of, kind="stable")
+                at = np.searchsorted(of[order], np.arange(len(low) + 1))
+                for f in found_ or ():
+                    k, a, b, least = np.frombuffer(unpacked(f["found"], 32 * f["n"]), np.int64).reshape(-1, 4).T
+                    k = k + base[f["bucket"]]
+                    many = at[k + 1] - at[k]
+                    o = order[spread(at[k], many)]
+                    hit = ids[doc[o]] > np.repeat(least, many)
+                    spans.append((doc[o][hit], (start[o] + np.repeat(a, many))[hit], (start[o] + np.repeat(b - 1 + span, many))[hit]))
+                d, a, b = joined(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+                first, many = runs(d)
+                begin, rows = (np.cumsum(sizes) - sizes).tolist(), []
+                for x, m in zip(first.tolist(), many.tolist(), strict=True):
+                    k = int(d[x])
+                    text = raw[begin[k] : begin[k] + int(sizes[k])]
+                    left = b"".join(text[p:q] for p, q in zip([0, *b[x : x + m].tolist()], [*a[x : x + m].tolist(), len(text)], strict=True))
+                    rows.append((tx[64 * k : 64 * k + 64].decode(), len(text) - len(left), m, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                yield binaries(rows, schema)
+
+    whole = rows.where("bucket = -1").join(found, F.col("slice") == F.col("_slice"), "left")
+    whole = whole.select("sizes", "h", "docs", "bytes", "places", "base", "n_places", "found")
+    return whole.mapInArrow(remove, "tx string, removed long, spans long, sha256 string, kept string")
 
 
 def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,43 +475,35 @@ def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[new], a[new], (reach - shift)[last]
 
 
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
+    """(row, bytes, removed, spans, sha256, kept) for each row of ``docs``; ``kept`` is the text that is left, cut characters dropped."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns({"tx": F.sha2(F.coalesce("text", F.lit("")), 256), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    total = rows.agg(F.sum("bytes")).head()[0] or 0
+    texts = rows.where("id is not null and text is not null").groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    gone = repeated_spans(texts, total, span, gram, hot_slices).withColumnRenamed("tx", "_tx")
+    first = rows.where("id is not null").groupBy(F.col("tx").alias("_ftx")).agg(F.min("id").alias("first"))
+    out = rows.join(first, F.col("tx") == F.col("_ftx"), "left").join(gone, F.col("tx") == F.col("_tx"), "left")
+    copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("bytes") >= span), F.lit(False))
+    lost = F.col("removed").isNotNull() & F.col("id").isNotNull()
+    pick = lambda whole, part, none: F.when(copy, whole).when(lost, part).otherwise(none)
+    zero = F.lit(0).cast("long")
+    return out.select("row", "bytes", pick(F.col("bytes"), F.col("removed"), zero).alias("removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("spans"), pick(F.sha2(F.lit(""), 256), F.col("sha256"), F.col("tx")).alias("sha256"), pick(F.lit(""), F.col("kept"), F.col("text")).alias("kept"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the columns _bytes, _removed, _spans, _sha256 and _kept (the text that is left; cut characters are dropped)."""
-    docs = docs.withColumns({c: F.col(c).cast(t) for c, t in ((id_col, "long"), (text_col, "string")) if dict(docs.dtypes)[c] != {"long": "bigint"}.get(t, t)})
-    known, lost = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
-    # Where a table has these two columns alone, both joins read one exchange of the texts.
-    spans = repeated_spans(known, id_col, text_col, span, gram).groupBy(F.col("id").alias("_id")).agg(F.collect_list("spans").alias("_at"))
-    rows = known.join(spans, F.col(id_col) == F.col("_id"), "left").drop("_id").unionByName(lost, allowMissingColumns=True)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
-            out = []
-            for text, at in zip(batch.column(text_col).to_pylist(), batch.column("_at").to_pylist(), strict=True):
-                raw, n = (text or "").encode(), 0
-                left = raw
-                if at:
-                    pairs = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, 2) for x in at]).astype(np.int64)
-                    _, a, b = joined(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-                    n = len(a)
-                    left = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
-                kept = text if text is None or not n else left.decode("utf-8", "ignore")
-                out.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), kept))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = [f for f in batch.schema.names if f != "_at"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*names, "_bytes", "_removed", "_spans", "_sha256", "_kept"])
-
-    return rows.mapInArrow(apply, f"{fields}, _bytes long, _removed long, _spans long, _sha256 string, _kept string")
+    """``docs`` without its repeated passages: the text column holds what is left."""
+    out = judged(docs, id_col, text_col, span, gram)
+    return out.select(*(F.col("kept" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", F.col("bytes").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with repeated passages removed; n_chars follows the text."""
-    out = remove_repeats(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """The documents with repeated passages removed; n_chars follows the text. Rows without an id or a text stay as they are."""
+    out = judged(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

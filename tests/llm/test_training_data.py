@@ -112,24 +112,66 @@ def test_later_links_extend_components(spark):
     assert sorted((r.node, r.component) for r in got) == sorted((n, min(c)) for n, c in want.items())
 
 
-def test_repeats_equal_brute_force(docs):
-    rows = sorted(((r.doc_id, (r.text or "").encode()) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+def repeats_by_brute_force(rows):
+    """(id or -1, bytes, removed, spans, sha256), sorted, of rows (id, bytes)."""
     first = {}
-    for i, b in rows:
-        if i is not None:
-            for a in range(len(b) - 49):
-                first.setdefault(b[a : a + 50], i)
-    want = []
+    for i, b in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for a in range(len(b) - 49):
+            first.setdefault(b[a : a + 50], i)
+    out = []
     for i, b in rows:
         gone = bytearray(len(b))
         for a in range(len(b) - 49) if i is not None else ():
             if first[b[a : a + 50]] < i:
                 gone[a : a + 50] = b"\1" * 50
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want.append((i if i is not None else -1, len(b), len(b) - len(left), len(re.findall(b"\1+", gone)), hashlib.sha256(left).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r._bytes, r._removed, r._spans, r._sha256) for r in got.collect()) == sorted(want)
+        out.append((i if i is not None else -1, len(b), len(b) - len(left), len(re.findall(b"\1+", gone)), hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats_equal_brute_force(docs):
+    want = repeats_by_brute_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
+    got = suffix_dedup.judged(docs).collect()
+    assert sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.bytes, r.removed, r.spans, r.sha256) for r in got) == want
+    kept = suffix_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns
+    by = {(r.row.doc_id, r.row.text): r.kept for r in got}
+    assert all(hashlib.sha256((r.kept or "").encode()).hexdigest() == r.sha256 for r in got if r.kept is None or r.kept.isascii())
+    assert sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, [by[r.doc_id, r.text] for r in docs.collect()]))
+
+
+@pytest.mark.parametrize("hot,slice_bytes", [(10**9, 2 << 20), (10**9, 600), (2, 600)])
+def test_edited_copies_equal_brute_force(spark, monkeypatch, hot, slice_bytes):
+    """Near copies, a passage in many texts, a common phrase and repeated ids; in one slice or many, by segments or by windows."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(suffix_dedup, "MERGED_BYTES", 3000)
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=random.randint(2, 8)))
+    passage = " ".join(word() for _ in range(30))
+    phrase = "a phrase that many of the texts hold"
+    rows = []
+    for family in range(6):
+        base = [word() for _ in range(60)]
+        for k in range(12):
+            words = list(base)
+            for _ in range(random.randint(0, 3)):
+                words[random.randrange(60)] = word()
+            cut = sorted(random.sample(range(len(passage)), 2))
+            rows.append((random.randrange(200), " ".join(words[: random.randint(30, 60)]) + f" {phrase} " + word() + " " + passage[cut[0] : cut[1]]))
+    rows += [(300, "ab" * 200), (301, "ab" * 100), (302, "é" * 90), (303, "xé" + "é" * 60), (304, "short"), (305, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.judged(frame, hot_slices=hot).collect()
+    assert sorted((r.row.doc_id, r.bytes, r.removed, r.spans, r.sha256) for r in got) == repeats_by_brute_force([(i, t.encode()) for i, t in rows])
+    assert sum(r.removed for r in got) > 10000
+
+
+def test_a_passage_in_very_many_texts(spark):
+    passage = "this passage of more than fifty bytes stands in every one of the texts of the table"
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(f" {passage} "), F.md5(F.col("id").cast("string"))).alias("text"), F.lit(1).alias("tx"))
+    got = suffix_dedup.judged(rows, hot_slices=2).groupBy("spans").agg(F.count("*"), F.min("removed"), F.max("removed")).collect()
+    # Some letters beside the passage stand there in a text before, too.
+    (zero, one), n = sorted(map(tuple, got)), len(passage) + 2
+    assert zero == (0, 1, 0, 0) and one[:2] == (1, 99_999) and n <= one[2] <= one[3] <= n + 12
 
 
 def test_merged_transforms_order_all_suffixes():
@@ -143,13 +185,12 @@ def test_merged_transforms_order_all_suffixes():
         symbols.append(before)
         whole = b"".join(p + b"\0" for p in half)
         texts += [whole[at:].split(b"\0")[0] for at in order]
-    order, interval, common = suffix_dedup.merge(symbols, 12)
+    order, common = suffix_dedup.merge(symbols, 12)
     got = [texts[i][:12] for i in order]
     assert got == sorted(got)
     for k in range(1, len(got)):
         shared = next((i for i, (x, y) in enumerate(zip(got[k - 1], got[k])) if x != y), min(len(got[k - 1]), len(got[k])))
         assert common[k] == shared
-        assert (interval[k] == interval[k - 1]) == (shared == 12)
 
 
 def spelt(n):
