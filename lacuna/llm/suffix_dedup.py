@@ -156,25 +156,36 @@ def distinct(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter((of.setdefault(x, len(of)) for x in parts), np.int64, len(parts)), list(of)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=5)
+
+
 def packed(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True)
+    return _ZSTD.compress(data, asbytes=True)
 
 
 def unpacked(raw: bytes, size: int) -> bytes:
-    return pa.decompress(raw, size, codec="zstd", asbytes=True)
+    return _ZSTD.decompress(raw, size, asbytes=True)
+
+
+def columns_of(raw: bytes, n: int, kinds: str) -> list[np.ndarray]:
+    """Columns of ``n`` numbers each, of the given numpy types, that were packed one after the other."""
+    widths = [n * np.dtype(k).itemsize for k in kinds]
+    data = unpacked(raw, sum(widths))
+    return [np.frombuffer(data, k, n, at) for k, at in zip(kinds, np.cumsum([0, *widths[:-1]]).tolist(), strict=True)]
 
 
 class Bucket:
     """The distinct segments that slices sent to a bucket, and the strings among them that have to be merged.
 
-    ``rows``: slice, sizes, h, docs, bytes. The same rows give the same numbers.
+    ``rows``: slice, n, of (size, half of the anchor's hash and smallest document of each of n segments), bytes. The
+    same rows give the same numbers.
     """
 
     def __init__(self, rows: pd.DataFrame, span: int):
         rows = rows.sort_values("slice")
-        self.slices, self.span = rows["slice"].to_numpy(), span
-        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["sizes"]]
-        self.many = np.array([len(x) for x in sizes])
+        self.slices, self.span, self.many = rows["slice"].to_numpy(), span, rows["n"].to_numpy()
+        sizes, h, docs = zip(*(columns_of(x, n, "HIq") for x, n in zip(rows["of"], self.many.tolist(), strict=True)), strict=True)
+        sizes = [x.astype(np.int64) for x in sizes]
         parts = []
         for n, raw in zip(sizes, rows["bytes"], strict=True):
             text, at = unpacked(raw, int(n.sum())), 0
@@ -182,11 +193,10 @@ class Bucket:
                 parts.append(text[at : at + k])
                 at += k
         self.of, segments = distinct(parts)
-        self.docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h"]])
+        self.docs, h = np.concatenate(docs), np.concatenate(h)
         self.low = np.full(len(segments), ALL)
         np.minimum.at(self.low, self.of, self.docs)
-        anchor = np.zeros(len(segments), dtype=np.uint64)
+        anchor = np.zeros(len(segments), dtype=np.uint32)
         anchor[self.of] = h
         size = np.array([len(x) for x in segments])
         self.windows = size - span + 1
@@ -213,7 +223,7 @@ class Bucket:
         self.string, self.strings = distinct([text[a:b] for a, b in zip(begin.tolist(), (begin + length - 1 + span).tolist(), strict=True)])
         self.string_low = np.full(len(self.strings), ALL)
         np.minimum.at(self.string_low, self.string, self.low[self.segment])
-        self.string_anchor = np.zeros(len(self.strings), dtype=np.uint64)
+        self.string_anchor = np.zeros(len(self.strings), dtype=np.uint32)
         self.string_anchor[self.string] = anchor[self.segment]
         self.string_windows = np.array([len(x) for x in self.strings], dtype=np.int64) - span + 1
 
@@ -325,7 +335,7 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
     hits = found.groupBy("slice").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("hits"))  # as many as the slice has anchors
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each bucket the slice's distinct segments; under bucket -1 the texts that have any, and where they lie."""
+        """For each bucket the slice's distinct segments; under bucket -1 the ``n`` texts that have any, and where they lie."""
         for batch in batches:
             for i, number in enumerate(batch.column("slice").to_pylist()):
                 s = Slice(*opened(batch, i), span, gram, buckets)
@@ -345,19 +355,25 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
                 key[of] = h
                 bucket = s.bucket(key)  # numbers ascend with it
                 first, many = runs(bucket)
-                sizes = np.array([len(x) for x in parts], dtype=np.uint16)
-                rows = [(int(bucket[a]), number, sizes[a : a + n].tobytes(), key[a : a + n].tobytes(), low[a : a + n].tobytes(), packed(b"".join(parts[a : a + n])), None, None, None) for a, n in zip(first.tolist(), many.tolist(), strict=True)]
+                sizes, half = np.array([len(x) for x in parts], dtype=np.uint16), key.astype(np.uint32)
+                rows = []
+                for a, n in zip(first.tolist(), many.tolist(), strict=True):
+                    some = slice(a, a + n)
+                    rows.append((int(bucket[a]), number, n, packed(sizes[some].tobytes() + half[some].tobytes() + low[some].tobytes()), packed(b"".join(parts[some])), None, None, None, 0))
                 held, doc = np.unique(doc, return_inverse=True)
                 begin, end = s.offsets[held], s.offsets[held + 1]
                 texts_ = b"".join(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
-                where = np.stack([doc, start - begin[doc], size, of], axis=1).astype(np.int64).tobytes()
+                by = np.argsort(start, kind="stable")
+                steps = np.diff(start[by], prepend=0)
+                where = packed(np.diff(doc[by], prepend=0).astype(np.int32).tobytes() + steps.astype(np.int32).tobytes() + size[by].astype(np.uint16).tobytes() + of[by].astype(np.int32).tobytes())
                 base = np.stack([bucket[first], first], axis=1).astype(np.int64).tobytes()
-                rows.append((-1, number, (end - begin).astype(np.int64).tobytes(), b"".join(tx[64 * k : 64 * k + 64] for k in held.tolist()), ids[held].tobytes(), packed(texts_), packed(where), base, len(doc)))
-                yield binaries(rows, [("bucket", L), ("slice", L), ("sizes", B), ("h", B), ("docs", B), ("bytes", B), ("places", B), ("base", B), ("n_places", L)])
+                about = packed((end - begin).astype(np.int64).tobytes() + begin.astype(np.int64).tobytes() + ids[held].tobytes())
+                rows.append((-1, number, len(held), about, packed(texts_), b"".join(tx[64 * k : 64 * k + 64] for k in held.tolist()), where, base, len(by)))
+                yield binaries(rows, [("bucket", L), ("slice", L), ("n", L), ("of", B), ("bytes", B), ("tx", B), ("places", B), ("base", B), ("n_places", L)])
 
-    rows = cut.join(hits, "slice").select("slice", "sizes", "data", "ids", "tx", "hits").mapInArrow(segments, "bucket long, slice long, sizes binary, h binary, docs binary, bytes binary, places binary, base binary, n_places long")
+    rows = cut.join(hits, "slice").select("slice", "sizes", "data", "ids", "tx", "hits").mapInArrow(segments, "bucket long, slice long, n long, of binary, bytes binary, tx binary, places binary, base binary, n_places long")
     rows = materialize(rows, "segments")
-    dealt = rows.where("bucket >= 0").select("bucket", "slice", "sizes", "h", "docs", "bytes")
+    dealt = rows.where("bucket >= 0").select("bucket", "slice", "n", "of", "bytes")
 
     def strings(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(rows, span)
@@ -426,12 +442,12 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
         schema = [("tx", pa.string()), ("removed", L), ("spans", L), ("sha256", pa.string()), ("kept", pa.string())]
         for batch in batches:
             for i, found_ in enumerate(batch.column("found").to_pylist()):
-                sizes = np.frombuffer(batch.column("sizes")[i].as_py(), np.int64)
-                raw = unpacked(batch.column("bytes")[i].as_py(), int(sizes.sum()))
-                ids, tx = np.frombuffer(batch.column("docs")[i].as_py(), np.int64), batch.column("h")[i].as_py()
+                sizes, offset, ids = columns_of(batch.column("of")[i].as_py(), batch.column("n")[i].as_py(), "qqq")
+                raw, tx = unpacked(batch.column("bytes")[i].as_py(), int(sizes.sum())), batch.column("tx")[i].as_py()
                 base = dict(np.frombuffer(batch.column("base")[i].as_py(), np.int64).reshape(-1, 2).tolist())
-                n = batch.column("n_places")[i].as_py()
-                doc, start, size, of = np.frombuffer(unpacked(batch.column("places")[i].as_py(), 32 * n), np.int64).reshape(-1, 4).T
+                doc, start, size, of = (x.astype(np.int64) for x in columns_of(batch.column("places")[i].as_py(), batch.column("n_places")[i].as_py(), "iiHi"))
+                doc = np.cumsum(doc)
+                start = np.cumsum(start) - offset[doc]
                 low = np.full(int(of.max()) + 1, ALL)
                 np.minimum.at(low, of, ids[doc])
                 # Within the slice: all but the occurrences in the segment's smallest document go.
@@ -457,7 +473,7 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
                 yield binaries(rows, schema)
 
     whole = rows.where("bucket = -1").join(found, F.col("slice") == F.col("_slice"), "left")
-    whole = whole.select("sizes", "h", "docs", "bytes", "places", "base", "n_places", "found")
+    whole = whole.select("n", "of", "bytes", "tx", "places", "base", "n_places", "found")
     return whole.mapInArrow(remove, "tx string, removed long, spans long, sha256 string, kept string")
 
 
