@@ -19,4 +19,11 @@ QUERIES = {
         suffix_dedup.op10_suffix_dedup,
     )
 }
-ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op2_chat_format": chat_format.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_warc_archives": warc.ORACLE_SQL,
+    "op9_shard_bytes": sharding.ORACLE_SQL,
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+}

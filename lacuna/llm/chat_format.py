@@ -114,10 +114,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
- UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, len(regexp_extract_all(text, '\p{L}{1,6}|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{N}]')) + 4 AS n,
+ 12 + length(role) + length(text) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|(SEP|/?INST)\])')) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|(SEP|/?INST)\])')) AS chars FROM t),
+a AS (SELECT *, row_number() OVER o AS i, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS stop, first_value(role) OVER o = 'system' AS headed, first_value(n) OVER o AS head_n, first_value(chars) OVER o AS head_chars FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+r AS (SELECT *, stop - n AS start, greatest(1024 - 128 - CASE WHEN headed THEN head_n ELSE 0 END, 256) AS room FROM a),
+l AS (SELECT *, (stop - 1) // room AS cell FROM r),
+p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, cell) > room AND start < cell * room AS apart FROM l),
+f AS (SELECT *, i = 1 OR cell <> lag(cell) OVER o OR apart <> lag(apart) OVER o AS opens FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+h AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY conv_id ORDER BY start RANGE BETWEEN 1 FOLLOWING AND 128 FOLLOWING) AS again FROM f)
 SELECT conv_id, count(*) AS n_turns,
- sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
- sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM t GROUP BY conv_id
+ sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (sum(chars) + sum(CASE WHEN headed AND i = 1 THEN 0 ELSE chars * again END) + sum(CASE WHEN opens AND i > 1 AND headed THEN head_chars ELSE 0 END))::BIGINT AS formatted_chars,
+ count(*) FILTER (opens) AS n_windows
+FROM h GROUP BY conv_id
 """

@@ -10,19 +10,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that the driver and all executors share.
 
-    It is the one the session names in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests with one machine, a temporary folder is set in its place.
+    It is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and driver and executors
+    are one process, as in tests, a temporary folder is set in its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lacuna-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,30 +46,23 @@ def n_buckets(total: int, each: int, least: int = 8, most: int = 1 << 20) -> int
     return int(min(most, max(least, -(-int(total or 0) // each))))
 
 
-def range_bucket(df: DataFrame, key: str, n: int) -> Column:
-    """Bucket 0 to n-1 of a numeric key by approximate quantiles; ascending with the key, nulls in bucket 0.
+def with_range_bucket(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``df`` with the column ``name``: bucket 0 to n-1 of a numeric key by approximate quantiles; ascending with the key, nulls in bucket 0.
 
-    The boundaries are at most ``n`` numbers. They are literals of the plan, so a recomputed task deals its
-    rows out as the first attempt did.
+    The boundaries, at most ``n`` numbers of 8 bytes (8 MB for the most buckets that :func:`n_buckets` gives), stand
+    beside each row, and a binary search among them finds its bucket. They are computed once, so a repeated task deals
+    its rows out as the first attempt did.
     """
-    accuracy = max(10_000, 20 * n)
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], accuracy).alias("c")).head()["c"] if n > 1 else []
+    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("c")).head()["c"] if n > 1 else []
     cuts = sorted(set(cuts or []))
     if not cuts:
-        return F.lit(0)
-    return _search(F.col(key), cuts, df.schema[key].dataType)
-
-
-def _search(key: Column, cuts: list, kind: T.DataType) -> Column:
-    """Number of cuts at or below the key, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(cuts[mid]).cast(kind), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(key.isNull(), 0).otherwise(tree(0, len(cuts)))
+        return df.withColumn(name, F.lit(0))
+    kind = df.schema[key].dataType.simpleString()
+    table_ = df.sparkSession.createDataFrame([(cuts,)], f"_cuts array<{kind}>")
+    # The number of cuts at or below the key.
+    step = lambda at, k: F.when(F.coalesce(F.get("_cuts", at + k - 1) <= F.col(key), F.lit(False)), at + k).otherwise(at)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return df.crossJoin(F.broadcast(table_)).withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("_cuts")  # one row beside each
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import uuid
 import pyarrow.fs as pafs
 
 
-def _at(uri: str) -> tuple[pafs.FileSystem, str]:
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else "file://" + uri)
 
 
@@ -15,7 +15,7 @@ class Whole:
     """A file that appears under its name only when :meth:`commit` is called; a repeated attempt puts the same bytes there."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, self.folder = _at(folder)
+        self.fs, self.folder = opened(folder)
         self.name = name
         self.fs.create_dir(self.folder, recursive=True)
         self.hidden = f"{self.folder}/_{name}.{uuid.uuid4().hex}.tmp"

@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     # Bytes before a row in its source: sums over hash ranges, then inside one range; a hot source has as many
     # ranges as its rows ask for.
     most = max(r for _, r in sizes.values())
-    ranges = int(min(1 << 20, max(16, most // 20_000)))
+    ranges = int(min(1 << 20, max(64, most // 5_000)))
     rows = rows.withColumn("_g", F.floor((F.shiftrightunsigned("_h", 1)) / F.lit((1 << 63) / ranges)).cast("int"))
     sums = rows.groupBy("_k", "_g").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy("_k").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,12 +128,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mixture, each as often as its epochs say."""
-    plan = mix(docs).select(F.col("doc_id").alias("_mid"), "slot", "place")
-    # Rows that share an id share its hash and so its places; each of them goes with one of the plan's rows.
+    """The documents in the order of the mixture, each as often as its epochs say; any columns are carried along.
+
+    A null source is a source of its own; rows without a text or an id take part like others. Rows that share an id
+    share its hash and so its places, and each of them goes with some of the id's places. The files that are written
+    from this hold the rows in the mixture's order.
+    """
+    plan = mix(docs).select(F.col("doc_id").alias("id"), "slot", "place")
     nth = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
-    times = plan.groupBy("_mid").agg(F.array_sort(F.collect_list(F.struct("slot", "place"))).alias("_at"))
-    same = docs.withColumn("_mnth", nth("doc_id", F.xxhash64("text", "source"))).withColumn("_mrows", F.count("*").over(Window.partitionBy("doc_id")))
-    out = same.join(times, same["doc_id"].eqNullSafe(times["_mid"])).withColumn("_at", F.filter("_at", lambda x, i: i % F.col("_mrows") == F.col("_mnth") - 1))
-    out = out.withColumn("_x", F.explode("_at"))
-    return out.repartitionByRange(F.col("_x.slot"), F.col("_x.place")).sortWithinPartitions("_x.slot", "_x.place").select(*docs.columns)
+    times = plan.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "place"))).alias("at"))
+    same = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text", "source").alias("h"))
+    same = same.withColumn("nth", nth("of", "h")).withColumn("rows", F.count("*").over(Window.partitionBy("of")))
+    out = same.join(times, same["of"].eqNullSafe(times["id"])).withColumn("at", F.filter("at", lambda x, i: i % F.col("rows") == F.col("nth") - 1))
+    out = out.withColumn("x", F.explode("at"))
+    return out.repartitionByRange(F.col("x.slot"), F.col("x.place")).sortWithinPartitions("x.slot", "x.place").select("row.*")

@@ -116,12 +116,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (length and any other columns, on storage that gives the same rows twice) with sequence_id and offset."""
-    total = cut.count()
-    ranges = int(min(1 << 20, max(16, total // 50_000)))
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in cut.columns]
-    rows = cut.withColumn("_pg", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
-    sums = materialize(rows.groupBy("length", "_pg").agg(F.count("*").alias("_pn")), "lengths")
-    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("_pn").alias("n")).collect()}  # at most `capacity` rows
+    # A length has as many hash ranges as its pieces ask for.
+    ranges = cut.sparkSession.createDataFrame([(n, -(-k // 20_000)) for n, k in counts.items()], "length long, _pr long")
+    rows = cut.join(F.broadcast(ranges), "length").withColumn("_pg", F.pmod(F.xxhash64(*order), F.col("_pr")).cast("int")).drop("_pr")
+    sums = rows.groupBy("length", "_pg").agg(F.count("*").alias("_pn"))  # a row for each length and each 20,000 pieces
     before = Window.partitionBy("length").orderBy("_pg").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "_pg", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_pbase"))
     inside = Window.partitionBy("length", "_pg").orderBy(*order)

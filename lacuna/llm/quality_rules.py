@@ -137,10 +137,9 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2), (3
 cnt AS (SELECT rid, count(*) AS n, sum(length(word)) AS c FROM w GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 l AS (SELECT rid, host, nohost, trim(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS l FROM (SELECT rid, host, nohost, unnest(string_split(regexp_replace(lower(t), '\p{Nd}', '0', 'g'), chr(10))) AS l FROM d)),
-k0 AS (SELECT rid, host, nohost, l, md5(l) AS h, min(md5(l)) OVER (PARTITION BY rid) AS m1 FROM l WHERE l <> ''),
-m2 AS (SELECT rid, min(h) AS m2 FROM k0 WHERE h > m1 GROUP BY rid),
-k AS (SELECT k0.*, coalesce(CASE WHEN h = m1 THEN m2 ELSE m1 END, '') AS family FROM k0 LEFT JOIN m2 USING (rid)),
-f AS (SELECT host, nohost, l FROM k GROUP BY ALL HAVING count(DISTINCT family) > 100),
+k AS (SELECT rid, host, nohost, l FROM l WHERE l <> ''),
+q AS (SELECT rid, string_agg(DISTINCT l, chr(10) ORDER BY l) AS lines FROM k GROUP BY rid),
+f AS (SELECT host, nohost, l FROM k JOIN q USING (rid) GROUP BY ALL HAVING count(DISTINCT lines) > 100),
 x AS (SELECT k.rid, sum(length(k.l)) AS total, coalesce(sum(length(k.l)) FILTER (f.l IS NOT NULL), 0) AS gone FROM k LEFT JOIN f ON k.host = f.host AND k.nohost = f.nohost AND k.l = f.l GROUP BY k.rid),
 m AS (SELECT doc_id, coalesce(cnt.n, 0) AS n_words, coalesce(cnt.c, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
  coalesce(rep.n, 0) AS n_repeat_words, coalesce(x.gone, 0)::BIGINT AS n_removed_chars, coalesce(x.total, 0) AS total

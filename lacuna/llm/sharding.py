@@ -6,7 +6,8 @@ No more than a total for each bucket and each shard is gathered in one place.
 
 Defined cases: null text has no bytes, and every row weighs ``overhead`` besides. A null id comes first. Rows
 with one id order by size and text hash; rows equal in all that are alike. Empty tables give empty results.
-Other columns are carried along; ``size``, ``shard`` and ``slot`` are replaced where they exist.
+Other columns are carried along; :func:`shard` replaces ``shard`` and ``slot`` where they exist, and
+:func:`shard_documents` also ``size`` and ``text_crc32``.
 """
 
 from __future__ import annotations
@@ -15,31 +16,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, range_bucket, table
+from .common import n_buckets, table, with_range_bucket
 
 SHARDS, OVERHEAD = 24, 8
 
 
 def shard(rows: DataFrame, key: str, size: str, n_shards: int = SHARDS, tie: str | None = None) -> DataFrame:
     """``rows`` with ``shard`` (0 to n_shards - 1) and ``slot`` (place in the shard, from 0), by the long column ``size``."""
-    out = [c for c in rows.columns if c not in ("shard", "slot")]
-    rows = rows.select(*out)
-    all_ = rows.agg(F.count("*").alias("n"), F.sum(size).alias("b")).head()
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    # Whole rows travel as one column, so that no working column meets one of theirs.
+    rows = rows.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(size).alias("size"), (F.col(tie) if tie else F.lit(0)).alias("tie"))
+    all_ = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).head()
     n = n_buckets(all_["n"], 50_000)
-    rows = rows.withColumn("_sb", range_bucket(rows, key, n))
-    by = [F.col(key).asc_nulls_first(), F.col(size), *([F.col(tie)] if tie else [])]
-    inside = Window.partitionBy("_sb").orderBy(*by)
+    rows = with_range_bucket(rows, "key", n, "bucket")
+    inside = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), "size", "tie")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_sb").agg(F.sum(size).alias("_sm"), F.count("*").alias("_sn"))
+    sums = rows.groupBy("bucket").agg(F.sum("size").alias("m"), F.count("*").alias("n"))
     # A row for each bucket.
-    across = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_sb", F.coalesce(F.sum("_sm").over(across), F.lit(0)).alias("_sbytes"), F.coalesce(F.sum("_sn").over(across), F.lit(0)).alias("_srows"))
-    rows = rows.withColumn("_sin", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("_srank", F.row_number().over(inside) - 1)
-    rows = rows.join(F.broadcast(sums) if n <= 100_000 else sums, "_sb")
-    middle = F.col("_sbytes") + F.col("_sin") + F.col(size) / 2
-    rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, all_["b"] or 0)))).cast("int")).withColumn("_srank", F.col("_srows") + F.col("_srank"))
-    first = rows.groupBy("shard").agg(F.min("_srank").alias("_sfirst"))  # a row for each shard
-    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("_srank") - F.col("_sfirst")).select(*out, "shard", "slot")
+    across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("bucket", F.coalesce(F.sum("m").over(across), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("rows"))
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("rank", F.row_number().over(inside) - 1)
+    rows = rows.join(F.broadcast(sums) if n <= 100_000 else sums, "bucket")
+    middle = F.col("bytes") + F.col("inside") + F.col("size") / 2
+    rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, all_["b"] or 0)))).cast("int")).withColumn("rank", F.col("rows") + F.col("rank"))
+    first = rows.groupBy("shard").agg(F.min("rank").alias("first"))  # a row for each shard
+    return rows.join(F.broadcast(first), "shard").select("row.*", "shard", (F.col("rank") - F.col("first")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,3 +58,13 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 def op9_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE_SQL = r"""
+WITH k AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS crc),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) AS bytes FROM documents),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM b, k),
+o AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total, row_number() OVER w AS r FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+s AS (SELECT *, least(23, floor((before + size / 2) * 24 / total))::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, shard, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, 'bytes' AS law, NULL::INT AS grown_shard FROM s
+"""

@@ -11,8 +11,10 @@ A shard is a run of blocks, then a sparse index, a Bloom filter and a footer:
 * Bloom filter: 10 bits for a document and 7 probes from two halves of blake2b(key);
 * footer of 48 bytes: index offset, blocks, filter offset, documents, tokens (8 bytes each), width (4), ``LSS1``.
 
-Shards hold consecutive ranges of ids, so a manifest of first keys leads to one shard, its index to one block.
-Each shard is written by one task under a temporary name and moved when whole; the manifest lists what counts.
+Shards hold consecutive ranges of ids, so the manifest's first and last ids lead to one shard, its index to one
+block: :func:`lookup` reads the footer, the filter, the index and that block alone. Each shard is written by one
+task under a temporary name and moved when whole; a range with more than ``ROLL_BYTES`` of ids, as where many rows
+share one id, has several. The manifest lists what counts.
 
 Defined cases: null text is empty and has the end id alone. A null id comes first. Rows with one id follow
 each other in order of their text's hash, and a lookup returns all of them. Empty tables have an empty manifest.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -33,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, range_bucket, shared_dir, slices, table
+from .common import n_buckets, shared_dir, slices, table, with_range_bucket
 from .encoding import encoder
-from .files import Whole
+from .files import Whole, opened
 
 MAGIC, FOOTER, BLOCK_BYTES = b"LSS1", struct.Struct("<QQQQQi4s"), 1 << 16
 INDEX = struct.Struct("<9sQI")
-#: Bytes of text that a shard takes, about.
-SHARD_BYTES = 24 << 20
+#: Bytes of text that a shard takes, about, and bytes of a file from which on another one begins.
+SHARD_BYTES, ROLL_BYTES = 24 << 20, 256 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -120,28 +122,36 @@ class Writer:
 
 
 class Shard:
-    """Reads a shard that lies in memory."""
+    """A shard, read by ``read(offset, size)`` of a file of ``size`` bytes: its footer and index at once, the rest when asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data).cast("B")
-        self.index_at, n, self.filter_at, self.docs, self.tokens, self.width, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], memoryview], size: int):
+        self.read, self.size = read, size
+        self.index_at, n, self.filter_at, self.docs, self.tokens, self.width, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
-        self.blocks = [INDEX.unpack_from(self.data, self.index_at + i * INDEX.size) for i in range(n)]
+        index = read(self.index_at, n * INDEX.size)
+        self.blocks = [INDEX.unpack_from(index, i * INDEX.size) for i in range(n)]
+
+    @classmethod
+    def of(cls, data) -> Shard:
+        """A shard that lies in memory."""
+        view = memoryview(data).cast("B")
+        return cls(lambda at, size: view[at : at + size], len(view))
 
     def may_hold(self, doc_id: int | None) -> bool:
-        (bits,) = struct.unpack_from("<Q", self.data, self.filter_at)
-        return all(self.data[self.filter_at + 8 + p // 8] >> (p % 8) & 1 for p in probes(key_of(doc_id), bits))
+        held = self.read(self.filter_at, self.size - FOOTER.size - self.filter_at)
+        (bits,) = struct.unpack_from("<Q", held, 0)
+        return all(held[8 + p // 8] >> (p % 8) & 1 for p in probes(key_of(doc_id), bits))
 
     def entries(self, at: int, size: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        key, end = b"", at + size
+        data, key, at, end = memoryview(self.read(at, size)), b"", 0, size
         while at < end:
-            shared, at = read_varint(self.data, at)
-            more, at = read_varint(self.data, at)
-            length, at = read_varint(self.data, at)
-            key = key[:shared] + bytes(self.data[at : at + more])
+            shared, at = read_varint(data, at)
+            more, at = read_varint(data, at)
+            length, at = read_varint(data, at)
+            key = key[:shared] + bytes(data[at : at + more])
             at += more
-            yield key, np.frombuffer(self.data[at : at + length], dtype=f"<u{self.width}")
+            yield key, np.frombuffer(data[at : at + length], dtype=f"<u{self.width}")
             at += length
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -164,34 +174,36 @@ class Shard:
         return out
 
 
-def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_blanks: bool = False, width: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write the shards and return the manifest: (shard, file, docs, tokens, bytes), which is stored beside them."""
+def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_blanks: bool = False, width: int = 2, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Write the shards and return the manifest, which is stored beside them: (shard, number, file, first_id, last_id, docs, tokens, bytes)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).head()[0]
     n = n_buckets(total or 0, shard_bytes, 1)
-    rows = rows.withColumn("shard", range_bucket(rows, "id", n)).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "h")
+    rows = with_range_bucket(rows, "id", n, "shard").withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, shard = encoder(vocabulary, at_blanks), None, None
+        enc, writer, shard, number = encoder(vocabulary, at_blanks), None, None, 0
         done = []
 
         def finish():
             writer.close()
-            done.append((shard, writer.file.name, writer.docs, writer.tokens, writer.file.size))
+            done.append((shard, number, writer.file.name, id_of(writer.keys[0]), id_of(writer.keys[-1]), writer.docs, writer.tokens, writer.file.size))
 
         for batch in slices(batches, "text", 1 << 20):
             for s, i, ids in zip(batch.column("shard").to_pylist(), batch.column("id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
-                if s != shard:
+                if s != shard or writer.file.size + len(writer.block) >= roll_bytes:
                     if writer:
                         finish()
-                    shard, writer = s, Writer(folder, f"shard-{s:06d}.sst", width)
+                    shard, number = s, number + 1 if s == shard else 0
+                    writer = Writer(folder, f"shard-{s:07d}-{number:04d}.sst", width)
                 writer.add(i, np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)))
         if writer:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "file", "docs", "tokens", "bytes"])
+        kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["shard", "number", "file", "first_id", "last_id", "docs", "tokens", "bytes"])
 
-    manifest = rows.mapInArrow(write, "shard int, file string, docs long, tokens long, bytes long")
+    manifest = rows.mapInArrow(write, "shard int, number int, file string, first_id long, last_id long, docs long, tokens long, bytes long")
     manifest.write.parquet(f"{folder}/manifest")  # the commit: what it does not list does not count
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -200,14 +212,14 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     # A row for each shard.
-    before = manifest.select(F.col("file").alias("_file"), F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = manifest.select(F.col("file").alias("_file"), F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
                 at, rows = 0, ([], [], [], [])
-                for doc_id, ids in Shard(content.as_buffer()):
+                for doc_id, ids in Shard.of(content.as_buffer()):
                     for column, value in zip(rows, (doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                         column.append(value)
                     at += len(ids)
@@ -217,6 +229,20 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(before), F.col("file") == F.col("_file")).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark: SparkSession, folder: str, ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:
+    """The token ids of every document with one of the given identifiers, by ranged reads of the shards that can hold it."""
+    out: dict[int | None, list[np.ndarray]] = {i: [] for i in ids}
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    for doc_id in out:
+        least = F.coalesce(F.col("first_id"), F.lit(-(1 << 63)).cast("long"))  # a null id is the first key
+        may = F.col("first_id").isNull() if doc_id is None else (least <= doc_id) & (F.col("last_id") >= doc_id)
+        for row in manifest.where(may).orderBy("shard", "number").select("file", "bytes").collect():  # one file, or those that the id fills
+            fs, path = opened(folder)
+            with fs.open_input_file(f"{path}/{row['file']}") as file:
+                out[doc_id] += Shard(lambda at, size, file=file: file.read_at(size, at), row["bytes"]).lookup(doc_id)
+    return out
+
+
 def op3_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "sstable")
     write_tables(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))

@@ -518,6 +518,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.col("bytes").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
 
 
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT rid, doc_id, i, md5(x[i + 1:i + 50]) AS h FROM (SELECT rid, doc_id, x, unnest(range(0, octet_length(x) - 49)) AS i FROM d WHERE doc_id IS NOT NULL)),
+m AS (SELECT h, min(doc_id) AS low FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT rid, i, CASE WHEN i > lag(i) OVER o + 50 OR lag(i) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM w JOIN m USING (h) WHERE doc_id > low WINDOW o AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g),
+s AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY rid, span),
+t AS (SELECT rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, list([a, b] ORDER BY a) AS cuts FROM s GROUP BY rid)
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(CASE WHEN n_spans IS NULL THEN x ELSE unhex(array_to_string(list_transform(range(0, len(cuts) + 1), lambda i: hex(x[CASE WHEN i = 0 THEN 1 ELSE cuts[i][2] + 1 END:CASE WHEN i = len(cuts) THEN octet_length(x) ELSE cuts[i + 1][1] END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated passages removed; n_chars follows the text. Rows without an id or a text stay as they are."""
     out = judged(docs)

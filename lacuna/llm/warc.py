@@ -25,24 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_buckets, range_bucket, shared_dir, slices, table
+from .common import n_buckets, shared_dir, slices, table, with_range_bucket
 from .files import Whole
 
 ROLL_BYTES, TASK_BYTES, DATE = 16 << 20, 32 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_SPACE = 0x6C6163756E610000 | 0x4000  # upper half of record ids, version 4
+_SPACE, _VERSION = 0x6C61 << 48, 0x4000  # of the upper half of record ids
 
 
 def record_id(page_id: int | None, n: int = 0) -> str:
-    """A UUID that holds the page id, or for null ids a number."""
-    low = n if page_id is None else page_id & (1 << 64) - 1
-    return f"<urn:uuid:{uuid.UUID(int=(_SPACE + (page_id is None)) << 64 | low)}>"
+    """A UUID that holds the page id and which of the records with that id it is; for null ids, the number alone."""
+    high = _SPACE | _VERSION | 1 if page_id is None else _SPACE | (n & (1 << 32) - 1) << 16 | _VERSION
+    return f"<urn:uuid:{uuid.UUID(int=high << 64 | (n if page_id is None else page_id & (1 << 64) - 1))}>"
 
 
 def page_of(record: str) -> int | None:
     n = uuid.UUID(record[10:-1]).int
     low = n & (1 << 64) - 1
-    return None if n >> 64 != _SPACE else low - (1 << 64) if low >> 63 else low
+    return None if n >> 64 & 1 else low - (1 << 64) if low >> 63 else low
 
 
 def digest_of(payload: bytes) -> str:
@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload") + 256)).head()[0]
     n = n_buckets(total or 0, task_bytes, 1)
-    rows = rows.withColumn("part", range_bucket(rows, "id", n))
+    rows = with_range_bucket(rows, "id", n, "part")
     # Digests, without the payloads, find the first page of each payload.
     small = rows.where((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).select("id", "part", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
     first = small.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -101,12 +101,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # They go into the same sorted stream just before their pages, so payloads are shuffled once.
     notes = again.select("part", "id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
     full = rows.select("part", "id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha"), "url", "payload", F.lit(None).cast("long").alias("first"))
-    stream = full.unionByName(notes).repartition(n, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "kind", "sha", "url")
+    stream = full.unionByName(notes).repartitionById(n, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "kind", "sha", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
         part = last = None
-        count = null_ids = 0
+        count = nth = 0
         of: dict[str, int] = {}
         served: set[str] = set()
 
@@ -119,10 +119,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for p, i, kind, sha, url, payload, first_ in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "kind", "sha", "url", "payload", "first")), strict=True):
                 if p != part:
                     finish()
-                    out, part, number, last, null_ids = None, p, 0, None, 0
+                    out, part, number, last, nth = None, p, 0, None, 0
                     of, served = {}, set()
                 if i != last:
-                    of, served, last = {}, set(), i
+                    of, served, last, nth = {}, set(), i, 0
                 if kind == 0:
                     of[sha] = first_
                     continue
@@ -130,10 +130,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if refers == i:  # the first of the rows with this id is what others refer to
                     refers = i if sha in served else None
                     served.add(sha)
+                # What others refer to is the first record of its page, unless a page has several payloads.
                 if out is None:
                     out, count, low = Whole(folder, f"pages-{part:06d}-{number:04d}.warc.gz"), 0, i
-                out.write(member(record(i, url, payload, refers, null_ids)))
-                null_ids += i is None
+                out.write(member(record(i, url, payload, refers, nth)))
+                nth += 1
                 count += 1
                 if out.size >= roll_bytes:
                     finish()
@@ -173,3 +174,13 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder).drop("url")
+
+
+ORACLE_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT rid, page_id, octet_length(b) AS payload_bytes, sha1(b) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first, row_number() OVER (PARTITION BY x, page_id) AS nth FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(0, 5), lambda j: (((instr('0123456789abcdef', substr(x, (5 * i + j) // 4 + 1, 1)) - 1) >> (3 - (5 * i + j) % 4)) & 1) << (4 - j)), 'sum')::INT + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id IS NULL OR (page_id = first AND nth = 1) THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NULL OR (page_id = first AND nth = 1) THEN NULL ELSE first END AS refers_to FROM f
+"""

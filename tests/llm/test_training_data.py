@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lacuna import llm
 from lacuna.llm import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
 from lacuna.llm.common import shared_dir
 from lacuna.llm.encoding import Encoder
@@ -266,11 +268,24 @@ def test_sorted_tables(spark, docs):
         at += r.n_tokens
     assert [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
     t = Tokenizer.from_file(path)
-    data = [sstable.Shard(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).collect()]
+    data = [sstable.Shard.of(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).collect()]
     for r in docs.where("doc_id is not null").collect():
         want = t.encode(r.text or "", add_special_tokens=False).ids + [0]
         assert want in [x.tolist() for s in data for x in s.lookup(r.doc_id)]
     assert not any(s.lookup(987654) for s in data)
+    found = sstable.lookup(spark, folder, [3, 20, None, 987654])
+    texts = lambda i: sorted(t.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect() if r.doc_id == i)
+    assert {i: sorted(x.tolist() for x in got) for i, got in found.items()} == {i: texts(i) for i in (3, 20, None, 987654)} and len(found[3]) == 2
+    assert sstable.write_tables(docs.where("false"), shared_dir(spark, "test-none"), path).count() == 0
+
+
+def test_many_rows_of_one_id_fill_several_shards(spark):
+    folder, path = shared_dir(spark, "test-roll"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(None, f"text {i} " * 40) for i in range(200)] + [(7, f"seven {i} " * 40) for i in range(50)] + [(8, None)], "doc_id long, text string")
+    manifest = sstable.write_tables(rows, folder, path, roll_bytes=8000)
+    assert manifest.count() > 5 and sstable.read_tables(spark, folder).count() == 251
+    found = sstable.lookup(spark, folder, [None, 7, 8])
+    assert [len(found[k]) for k in (None, 7, 8)] == [200, 50, 1] and found[8][0].tolist() == [0]
 
 
 def test_packing(spark, docs):
@@ -340,6 +355,8 @@ def test_archives(spark):
     for r in got:
         by.setdefault(r.page_id, []).append((r.record_type, r.refers_to, r.payload_bytes))
     assert sorted(by[1]) == [("response", None, 10), ("revisit", 1, 10)] and by[2] == [("revisit", 1, 10)] and by[3] == [("response", None, 0)] and by[4] == [("revisit", 3, 0)]
+    names = [heads["WARC-Record-ID"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).collect() for heads, _ in warc.records(r.content)]
+    assert len(set(names)) == len(pages)
     assert by[None] == [("response", None, 10)] and by[-7] == [("response", None, 10)] and by[5] == [("response", None, 10000)]
 
 
@@ -370,3 +387,95 @@ def test_pipeline_stages_keep_their_columns(spark, docs):
         assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     last = corpus_pipeline.STAGES[-1][1](spark, rows, "")
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in rows.select("doc_id").distinct().collect()}
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        c.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    got = llm.QUERIES[name](spark, FOLDER)
+    columns = sorted(got.columns)
+    key = lambda r: tuple(map(str, r))
+    want = sorted((tuple(r) for r in c.sql(f"select {', '.join(columns)} from ({llm.ORACLES[name]})").fetchall()), key=key)
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == want
+
+
+def documents():
+    return sorted(duckdb.sql(f"select doc_id, coalesce(text, '') from '{FOLDER}/documents.parquet'").fetchall())
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def test_op3_query_equals_the_library(spark):
+    t, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, text in documents():
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(tuple(r) for r in llm.QUERIES["op3_sorted_tables"](spark, FOLDER).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def first_fit_decreasing(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        at = next((i for i, room in enumerate(bins) if room >= n), None)
+        if at is None:
+            bins.append(capacity - n)
+        else:
+            bins[at] -= n
+    return len(bins)
+
+
+def test_op4_query_equals_the_library_and_packs_well(spark):
+    t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, text in documents():
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        want += [(i, k, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])) for k, at in enumerate(range(0, len(ids), 2048))]
+    got = llm.QUERIES["op4_best_fit_packing"](spark, FOLDER).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
+    assert len(bins) <= first_fit_decreasing([r.length for r in got], 2048) + 1
+
+
+def test_op7_query_scores_are_exact_and_most_are_the_nearest(spark):
+    rows = sorted(duckdb.sql(f"select vec_id, embedding from '{FOLDER}/embeddings.parquet'").fetchall())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got, hit, all_ = llm.QUERIES["op7_kmeans_tree_search"](spark, FOLDER).collect(), 0, 0
+    for q in ids[ids % 50 == 0]:
+        score = unit @ unit[ids == q][0]
+        score[ids == q] = -2
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, min(5, len(ids) - 1) + 1))
+        assert all(abs(score[ids == r.vec_id][0] - r.score) < 1e-12 for r in mine) and [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        near = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        hit, all_ = hit + len(near & {r.vec_id for r in mine}), all_ + len(near)
+    assert hit >= 0.9 * all_
+
+
+def test_op5_query_follows_the_byte_shares(spark):
+    got = llm.QUERIES["op5_mix_sources"](spark, FOLDER).orderBy("slot", "place").collect()
+    rows = duckdb.sql(f"select doc_id, source, octet_length(encode(coalesce(text, ''))) from '{FOLDER}/documents.parquet'").fetchall()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    weight = {s: n**mixing.ALPHA for s, n in sizes.items()}
+    total, done = sum(weight.values()), dict.fromkeys(weight, 0)
+    blocks = sorted({(r.slot, r.source, r.epoch, r.block) for r in got}, key=lambda b: b[0])
+    assert len({b[0] for b in blocks}) == len(blocks)
+    for slot, source, *_ in blocks:
+        done[source] += 1
+        # A block without a row's beginning leaves its slot empty.
+        assert done[source] <= (slot + 1) * weight[source] / total + 1
