@@ -10,59 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .suffixes import with_suffix
+from .suffixes import Rules, with_suffix
 
 # Word lists, lists of endings and shorteners that the features are defined by.
-KEYWORDS = "account admin alert auth bank billing confirm credential customer ebayisapi expire invoice limited live lock login logon mail manage password pay recover register secure security signin submit support suspend unlock update user verify wallet webscr websrc".split()
-BRANDS = "adobe amazon americanexpress apple att bankofamerica binance bradesco chase citi coinbase correos dhl dropbox ebay facebook fedex google hsbc icloud instagram itau linkedin metamask microsoft netflix office365 outlook paypal roblox santander steam telegram tiktok usps wellsfargo whatsapp yahoo".split()
-COMMON_TLDS = "com org net edu gov uk de jp fr au ru br it cn es nl ca in co io".split()
-ABUSED_TLDS = "tk ml ga cf gq xyz top buzz click link work live icu cyou rest fit gdn loan men date racing stream download review country kim".split()
-SHORTENERS = "bit.ly goo.gl t.co tinyurl.com ow.ly is.gd buff.ly adf.ly bit.do cutt.ly shorturl.at rb.gy tiny.cc rebrand.ly s.id t.ly short.io lnkd.in".split()
-SCRIPT_ENDINGS = "php asp aspx jsp cgi pl py".split()
-ARCHIVE_ENDINGS = "zip rar 7z gz tar exe msi apk scr".split()
+KEYWORDS = ("account", "admin", "alert", "auth", "bank", "billing", "confirm", "credential", "customer", "ebayisapi", "expire", "invoice", "limited", "live", "lock", "login", "logon", "mail", "manage", "password", "pay", "recover", "register", "secure", "security", "signin", "submit", "support", "suspend", "unlock", "update", "user", "verify", "wallet", "webscr", "websrc")
+BRANDS = ("adobe", "amazon", "americanexpress", "apple", "att", "bankofamerica", "binance", "bradesco", "chase", "citi", "coinbase", "correos", "dhl", "dropbox", "ebay", "facebook", "fedex", "google", "hsbc", "icloud", "instagram", "itau", "linkedin", "metamask", "microsoft", "netflix", "office365", "outlook", "paypal", "roblox", "santander", "steam", "telegram", "tiktok", "usps", "wellsfargo", "whatsapp", "yahoo")
+COMMON_TLDS = ("com", "org", "net", "edu", "gov", "uk", "de", "jp", "fr", "au", "ru", "br", "it", "cn", "es", "nl", "ca", "in", "co", "io")
+ABUSED_TLDS = ("tk", "ml", "ga", "cf", "gq", "xyz", "top", "buzz", "click", "link", "work", "live", "icu", "cyou", "rest", "fit", "gdn", "loan", "men", "date", "racing", "stream", "download", "review", "country", "kim")
+SHORTENERS = ("bit.ly", "goo.gl", "t.co", "tinyurl.com", "ow.ly", "is.gd", "buff.ly", "adf.ly", "bit.do", "cutt.ly", "shorturl.at", "rb.gy", "tiny.cc", "rebrand.ly", "s.id", "t.ly", "short.io", "lnkd.in")
+SCRIPT_ENDINGS = ("php", "asp", "aspx", "jsp", "cgi", "pl", "py")
+ARCHIVE_ENDINGS = ("zip", "rar", "7z", "gz", "tar", "exe", "msi", "apk", "scr")
 TEMPLATE = r"(?d)^https://www\.[^/?#]+/?$"
 
 _DIGITS = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
 
 
-def let(value: Column, f) -> Column:
-    return F.transform(F.array(value), f)[0]
+#: What counts as white space at the ends of a URL.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(url: Column) -> Column:
-    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(F.coalesce(url, F.lit("")), F.lit(BLANKS))
 
 
 def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     """``df`` with u, scheme, netloc, host, port, username, path, query and fragment."""
     df = df.withColumn("u", stripped(F.col(url_col)))
     full = F.when(F.col("u").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), F.col("u")).otherwise(F.concat(F.lit("http://"), F.col("u")))
-    full = F.regexp_replace(F.regexp_replace(full, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    df = df.withColumn("_full", full)
-    shape = r"(?s)^([^:]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-    names = ("scheme", "netloc", "path", "query", "fragment")
-
-    # Each step is bound once, so that what uses it does not repeat it in the generated code.
-    def split(x: Column) -> Column:
-        return F.struct(*(F.regexp_extract(x, shape, i + 1).alias(n) for i, n in enumerate(names)))
-
-    def balanced(p: Column) -> Column:
-        none = F.struct(*(F.lit("").alias(n) for n in names))
-        return F.when(F.contains(p["netloc"], F.lit("[")) == F.contains(p["netloc"], F.lit("]")), p).otherwise(none)
-
-    def authority(p: Column) -> Column:
-        net = p["netloc"]
-        user = F.when(F.contains(net, F.lit("@")), F.regexp_extract(net, r"(?s)^(.*)@[^@]*$", 1)).otherwise("")
-        return let(F.regexp_extract(net, r"(?s)([^@]*)$", 1), lambda place: F.struct(
-            F.lower(p["scheme"]).alias("scheme"), net.alias("netloc"), p["path"].alias("path"), p["query"].alias("query"), p["fragment"].alias("fragment"), F.substring_index(user, ":", 1).alias("username"),
-            F.lower(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.substring_index(place, ":", 1))).alias("host"),
-            let(F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:]*):(.*)$", 1), lambda t: F.when(t.rlike("^[0-9]{1,9}$") & (t.try_cast("int") <= 65535), t.try_cast("int"))).alias("port"),
-        ))
-
-    parts = let(full, lambda x: let(let(split(x), balanced), authority))
-    df = df.withColumn("_parts", parts)
-    fields = (*names, "username", "host", "port")
-    return df.withColumns({n: F.col("_parts")[n] for n in fields}).drop("_parts")
+    full = F.translate(full, "\t\r\n", "")
+    # In steps: what several columns use is worked out once, and no step leaves the generated code.
+    after = lambda whole, part: F.substring(F.col(whole), F.length(F.col(part)) + 2, F.length(F.col(whole)))
+    df = df.withColumn("_full", full).withColumn("_scheme", F.substring_index("_full", "://", 1))
+    df = df.withColumn("_rest", F.substring(F.col("_full"), F.length("_scheme") + 4, F.length("_full"))).withColumn("_plain", F.substring_index("_rest", "#", 1))
+    df = df.withColumn("_place", F.substring_index("_plain", "?", 1)).withColumn("_net", F.substring_index("_place", "/", 1))
+    df = df.withColumn("_good", F.contains("_net", F.lit("[")) == F.contains("_net", F.lit("]")))
+    good = lambda c: F.when(F.col("_good"), c).otherwise("")
+    df = df.withColumns({
+        "scheme": good(F.lower("_scheme")), "netloc": good(F.col("_net")), "path": good(F.substring(F.col("_place"), F.length("_net") + 1, F.length("_place"))),
+        "query": good(after("_plain", "_place")), "fragment": good(after("_rest", "_plain")),
+    })
+    df = df.withColumn("_host", F.substring_index("netloc", "@", -1)).withColumn("_user", F.substring(F.col("netloc"), F.lit(1), F.greatest(F.length("netloc") - F.length("_host") - 1, F.lit(0))))
+    boxed = F.col("_host").startswith("[")
+    df = df.withColumn("_name", F.when(boxed, F.regexp_extract("_host", r"^\[[^\]]*\]", 0)).otherwise(F.substring_index("_host", ":", 1)))
+    df = df.withColumns({"username": F.substring_index("_user", ":", 1), "host": F.lower(F.when(boxed, F.regexp_extract("_host", r"^\[([^\]]*)\]", 1)).otherwise(F.col("_name"))), "_port": after("_host", "_name")})
+    number = F.when(F.col("_port").rlike("^[0-9]{1,9}$"), F.col("_port").try_cast("int"))
+    return df.withColumn("port", F.when(number <= 65535, number)).drop("_full", "_scheme", "_rest", "_plain", "_place", "_net", "_good", "_host", "_user", "_name", "_port")
 
 
 def count_of(s: Column, char: str) -> Column:
@@ -75,10 +67,11 @@ def class_count(s: Column, inside: str) -> Column:
 
 def entropy(s: Column) -> Column:
     """Bits of the distribution of characters; 0 for the empty string."""
+    ordered = F.array_join(F.array_sort(F.split(s, "")), "")
     n = F.length(s).cast("double")
-    p = lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / n
-    bits = F.aggregate(F.array_sort(F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))), F.lit(0.0), lambda a, c: a - p(c) * F.log2(p(c)))
-    return F.when(F.length(s) > 0, bits).otherwise(0.0)
+    alike = F.transform(F.regexp_extract_all(ordered, F.lit(r"((?s)(.)\2*)"), F.lit(1)), lambda r: F.length(r).cast("double"))
+    bits = F.log2(n) - F.aggregate(alike, F.lit(0.0), lambda a, k: a + k * F.log2(k)) / n
+    return F.when(F.length(s) > 0, F.greatest(bits, F.lit(0.0))).otherwise(0.0)
 
 
 def longest(s: Column, pattern: str) -> Column:
@@ -89,15 +82,15 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(s, "[^a-z0-9]+"), lambda t: t != "")
 
 
-def among(words: Column, known: list[str]) -> Column:
-    return F.size(F.filter(words, lambda t: t.isin(known))).cast("double")
+def among(words: Column, known: tuple[str, ...]) -> Column:
+    return F.size(F.filter(words, lambda t: t.isin(*known))).cast("double")
 
 
 def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
 
 
-def with_features(df: DataFrame, url_col: str = "url", rules: DataFrame | None = None) -> DataFrame:
+def with_features(df: DataFrame, url_col: str = "url", rules: Rules | None = None) -> DataFrame:
     """``df`` with the parts, the registrable domain and the features of :data:`FEATURES`."""
     df = with_suffix(with_parts(df, url_col), "host", rules)
     u, d, rd = F.col("u"), F.col("label"), F.col("registrable")
@@ -107,7 +100,7 @@ def with_features(df: DataFrame, url_col: str = "url", rules: DataFrame | None =
     df = df.withColumns({"_nd": class_count(u, _DIGITS), "_nl": class_count(u, r"\p{L}"), "_tokens": tokens(F.lower(u)), "_dtokens": tokens(rd), "_segments": parts(F.col("path"), "/")})
     df = df.withColumns({f"{k}_length": F.length(c).cast("double") for k, c in (("url", u), ("domain", F.col("host")), ("subdomain", F.col("subdomain")), ("path", F.col("path")), ("query", F.col("query")), ("fragment", F.col("fragment")))})
     df = df.withColumns({
-        "path_depth": F.size("_segments").cast("double"), "n_query_params": F.size(parts(F.col("query"), "&")).cast("double"),
+        "path_depth": F.regexp_count("path", F.lit("[^/]+")).cast("double"), "n_query_params": F.regexp_count("query", F.lit("[^&]+")).cast("double"),
         "digit_ratio": F.col("_nd") / n, "letter_ratio": F.col("_nl") / n, "special_ratio": (n - F.col("_nd") - F.col("_nl")) / n, "upper_ratio": class_count(u, r"\p{Lu}") / n, "entropy_url": entropy(u),
     })
     df = df.withColumns({f"n_{k}": count_of(u, c) for k, c in (("dots", "."), ("hyphens", "-"), ("underscores", "_"), ("slashes", "/"), ("equals", "="), ("ampersands", "&"), ("at", "@"), ("tilde", "~"), ("plus", "+"), ("commas", ","))})
@@ -115,16 +108,16 @@ def with_features(df: DataFrame, url_col: str = "url", rules: DataFrame | None =
         "n_hex_escapes": F.regexp_count(u, F.lit("%[0-9a-fA-F]{2}")).cast("double"), "entropy_domain": entropy(d), "domain_digit_ratio": class_count(d, _DIGITS) / dn, "domain_hyphen_count": count_of(d, "-"),
         "domain_vowel_ratio": F.coalesce(class_count(d, "aeiou") / F.nullif(class_count(d, r"\p{L}"), F.lit(0.0)), F.lit(0.0)),
         "domain_max_consonant_run": longest(d, r"([\p{L}&&[^aeiou]]+)"), "domain_max_repeat_run": longest(d, r"((?s)(.)\2*)"), "domain_digit_group_count": F.regexp_count(d, F.lit(r"\p{Nd}+")).cast("double"),
-        "domain_token_count": F.size("_dtokens").cast("double"), "domain_longest_token": F.coalesce(F.array_max(F.transform("_dtokens", F.length)), F.lit(0)).cast("double"), "n_subdomains": F.size(parts(F.col("subdomain"), "[.]")).cast("double"),
+        "domain_token_count": F.size("_dtokens").cast("double"), "domain_longest_token": F.coalesce(F.array_max(F.transform("_dtokens", F.length)), F.lit(0)).cast("double"), "n_subdomains": F.regexp_count("subdomain", F.lit("[^.]+")).cast("double"),
     })
     ending = F.lower(F.coalesce(F.substring_index(F.element_at(F.when(F.size("_segments") > 0, F.col("_segments")), -1), ".", -1), F.lit("")))
     outside = tokens(F.lower(F.concat_ws(" ", "subdomain", "path", "query")))
     return df.withColumns({
         "has_www": flag((F.col("subdomain") == "www") | F.col("subdomain").startswith("www.")), "is_ip_domain": flag(F.col("host").rlike(r"^\p{Nd}{1,3}(\.\p{Nd}{1,3}){3}$")), "has_punycode": flag(F.contains("host", F.lit("xn--"))),
-        "tld_length": F.length("suffix").cast("double"), "tld_is_common": flag(F.col("suffix").isin(COMMON_TLDS)), "tld_is_abused": flag(F.substring_index("suffix", ".", -1).isin(ABUSED_TLDS)), "is_shortener": flag(rd.isin(SHORTENERS)),
+        "tld_length": F.length("suffix").cast("double"), "tld_is_common": flag(F.col("suffix").isin(*COMMON_TLDS)), "tld_is_abused": flag(F.substring_index("suffix", ".", -1).isin(*ABUSED_TLDS)), "is_shortener": flag(rd.isin(*SHORTENERS)),
         "is_https": flag(F.col("scheme") == "https"), "has_port": flag(F.col("port").isNotNull()), "has_nonstandard_port": flag(~F.col("port").isin(80, 443)), "has_userinfo": flag(F.col("username") != ""),
         "has_at_symbol": flag(F.contains(u, F.lit("@"))), "double_slash_in_path": flag(F.contains("path", F.lit("//"))), "suspicious_keyword_count": among(F.col("_tokens"), KEYWORDS), "brand_token_count": among(F.col("_tokens"), BRANDS),
-        "brand_outside_domain": F.when(among(F.col("_dtokens"), BRANDS) > 0, 0.0).otherwise(among(outside, BRANDS)), "has_script_ext": flag(ending.isin(SCRIPT_ENDINGS)), "has_archive_ext": flag(ending.isin(ARCHIVE_ENDINGS)),
+        "brand_outside_domain": F.when(among(F.col("_dtokens"), BRANDS) > 0, 0.0).otherwise(among(outside, BRANDS)), "has_script_ext": flag(ending.isin(*SCRIPT_ENDINGS)), "has_archive_ext": flag(ending.isin(*ARCHIVE_ENDINGS)),
     }).drop("_nd", "_nl", "_tokens", "_dtokens", "_segments")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.suffixes import with_suffix
+from ..functions.suffixes import Rules, with_suffix
 from ..functions.urls import with_parts
 
 
@@ -38,7 +38,7 @@ def labelled(df: DataFrame, url: str, label: str, rule: str | object) -> DataFra
     return df.na.drop(subset=[url, label]).select(F.col(url).alias("url"), positive.cast("int").alias("y"))
 
 
-def read_corpus(spark: SparkSession, corpus: Corpus, rules: DataFrame | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, corpus: Corpus, rules: Rules | None = None) -> DataFrame:
     """(url, y, domain); only the two named columns are parsed."""
     raw = spark.read.option("header", True).option("mode", "DROPMALFORMED" if corpus.drop_bad_lines else "PERMISSIVE").csv(corpus.path).select(corpus.url, corpus.label)
     out = with_suffix(with_parts(labelled(raw, corpus.url, corpus.label, corpus.positive)), "host", rules)
