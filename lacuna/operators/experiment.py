@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import metrics
+from . import audit, live, metrics
 from .metrics import r6
 
 DECOMPOSABLE, CONFOUND_CEILING = 0.90, 0.30
@@ -36,15 +38,97 @@ def two_by_two(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame, old: floa
     return x.select(*(r6(F.col(k)).alias(k) for k in "abcd"), r6(gap).alias("gap"), r6(recovery).alias("recovery"), r6(F.try_divide(recovery, gap)).alias("recovery_fraction"))
 
 
+def evaluated(name: str, scored: DataFrame, thresholds: dict[str, float], n_resamples: int = 1000) -> DataFrame:
+    """One cell: a row for each frozen threshold with its scores, the interval over resampled groups (lo, hi) and the cell's peak."""
+    peak = metrics.select_threshold(scored, "tss").select(r6(F.col("value")).alias("peak_tss"), r6(F.col("threshold")).alias("peak_threshold"))
+    one = lambda p, t: metrics.score_at(scored, t).withColumn("point", F.lit(p)).crossJoin(metrics.bootstrap_ci(scored, t, "grp", n_resamples))  # noqa: E731  one row each
+    return reduce(DataFrame.unionByName, (one(p, t) for p, t in thresholds.items())).crossJoin(peak).withColumn("cell", F.lit(name))
+
+
+def live_frames(rows: DataFrame) -> dict[str, DataFrame]:
+    """The positives of the headline stream with templated and with realistic negatives, and the other positives with realistic ones."""
+    of = lambda y, source: rows.where((F.col("y") == y) & (F.col("source") == source))
+    real = of(0, live.BENIGN)
+    return {"templated": of(1, live.PHISH).unionByName(of(0, "tranco_templated")), "realistic": of(1, live.PHISH).unionByName(real), "malware": of(1, "urlhaus").unionByName(real)}
+
+
+def run(random_model, disjoint_model, random_test: DataFrame, disjoint_test: DataFrame, live_rows: DataFrame, n_resamples: int = 1000) -> DataFrame:
+    """All cells of the experiment for two trained models: c1 to c4 and the robustness cell, a row for each threshold.
+
+    c1: random split; c2: disjoint split; c3, c4: live rows with templated and with realistic negatives, scored by
+    the model of the disjoint split. Frames need the features, ``y`` and ``domain``.
+    """
+    from . import model
+
+    def scored(m, rows: DataFrame) -> DataFrame:
+        # Three columns, read by the sweep, the scores and the intervals alike.
+        return model.predict(m.model, rows).select("y", "prob", F.col("domain").alias("grp")).persist()
+
+    frames = live_frames(live_rows)
+    cells_ = [("c1", random_model, random_test), ("c2", disjoint_model, disjoint_test), ("c3", disjoint_model, frames["templated"]), ("c4", disjoint_model, frames["realistic"]), ("robustness", disjoint_model, frames["malware"])]
+    return reduce(DataFrame.unionByName, (evaluated(k, scored(m, f), m.thresholds, n_resamples) for k, m, f in cells_))
+
+
+def recovered(benchmark_model, live_model, benchmark_test: DataFrame, holdout: DataFrame, n_resamples: int = 1000) -> DataFrame:
+    """The two-by-two of training source and test set (a, b, c, d, gap, recovery, its fraction) with the recovery's interval."""
+    from . import model
+
+    frame = lambda m, rows: model.predict(m.model, rows).select("y", "prob", F.col("domain").alias("grp")).persist()
+    old, new = benchmark_model.thresholds["tss"], live_model.thresholds["tss"]
+    a, b, c, d = frame(benchmark_model, benchmark_test), frame(benchmark_model, holdout), frame(live_model, benchmark_test), frame(live_model, holdout)
+    ci = metrics.difference_ci(d, new, b, old, n_resamples=n_resamples).select("lo", "hi", (F.col("lo") > 0).alias("significant"))
+    return two_by_two(a, b, c, d, old, new).crossJoin(ci)  # one row each
+
+
+def shares(steps: DataFrame) -> DataFrame:
+    """(point, step, value, share): each step of an attribution as a share of the whole gap's size."""
+    names = ["split_leakage", "temporal_shift", "construction_artifact"]
+    rows = steps.select("point", "total", F.explode(F.array(*(F.struct(F.lit(n).alias("step"), F.col(n).alias("value")) for n in names))).alias("x"))
+    return rows.select("point", "x.step", "x.value", r6(F.try_divide(F.abs("x.value"), F.abs("total"))).alias("share")).where("value is not null")
+
+
+def summary(key: str, title: str, corpus: DataFrame, steps: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """One row of the comparison: a corpus's audits and, where it was evaluated, its cells and attribution at the TSS threshold."""
+    rule = audit.template_audit(corpus).select("n", F.col("tss").alias("template_rule_tss"), "benign_template_share")
+    best = audit.verdict_summary(audit.structural_rates(corpus)).select(F.col("degenerate").alias("degenerate_properties"), F.col("constant").alias("constant_properties"), "max_single_property_tss")
+    out = rule.crossJoin(best).select(F.lit(key).alias("corpus"), F.lit(title).alias("title"), "*", (F.col("benign_template_share") >= DECOMPOSABLE).alias("decomposable"))  # one row each
+    none = F.lit(None).cast("double")
+    if steps is None or scores is None:
+        return out.select("*", *(none.alias(k) for k in ("cell1_tss", "cell4_tss", "total_gap", "split_leakage", "construction_share")))
+    at = scores.where("point = 'tss'").agg(*(F.max(F.when(F.col("cell") == c, F.col("tss"))).alias(k) for c, k in (("c1", "cell1_tss"), ("c4", "cell4_tss"))))
+    gap = steps.where("point = 'tss'").agg(F.max("total").alias("total_gap"), F.max("split_leakage").alias("split_leakage"), r6(F.try_divide(F.max("construction_artifact"), F.max("total"))).alias("construction_share"))
+    return out.crossJoin(at).crossJoin(gap)  # one row each
+
+
 def compare(summaries: DataFrame) -> DataFrame:
     """Corpora by the worse of their two baselines that learn nothing, worst first."""
     worst = F.greatest("template_rule_tss", "max_single_property_tss")
-    from pyspark.sql.window import Window
-
     return summaries.withColumn("rank", F.row_number().over(Window.orderBy(worst.desc(), "corpus")))  # a row for each corpus
 
 
-def render(comparison: DataFrame) -> DataFrame:
+def render(comparison: DataFrame, fields: tuple[str, ...] = ("template_rule_tss", "max_single_property_tss")) -> DataFrame:
     """Lines of a Markdown table; numbers to three places, a dash for what is missing."""
     fmt = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("—"))
-    return comparison.select("rank", F.format_string("| %s | %s | %s |", "corpus", fmt("template_rule_tss"), fmt("max_single_property_tss")).alias("line"))
+    return comparison.select("rank", F.concat(F.lit("| "), F.concat_ws(" | ", "corpus", *map(fmt, fields)), F.lit(" |")).alias("line"))
+
+
+def document(**parts: DataFrame) -> str:
+    """Small results as one JSON document: each part a list of its rows. They have a row for each cell, corpus or day."""
+    return json.dumps({k: [r.asDict(recursive=True) for r in f.collect()] for k, f in parts.items()}, default=str, indent=1)
+
+
+def put(spark, path: str, text: str) -> None:
+    """One small document as a text file of that name's folder, on any storage that Spark writes."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report(comparison: DataFrame, scores: DataFrame | None = None) -> str:
+    """The comparison, and the cells if there are any, as Markdown."""
+    fields = ("template_rule_tss", "max_single_property_tss", "cell1_tss", "cell4_tss", "total_gap")
+    table = [r["line"] for r in render(comparison, tuple(f for f in fields if f in comparison.columns)).orderBy("rank").collect()]  # a row for each corpus
+    names = [f for f in fields if f in comparison.columns]
+    out = ["# Evaluation gap", "", "| corpus | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|", *table]
+    if scores is not None:
+        out += ["", "| cell | point | n | TSS | interval | peak |", "|---|---|---|---|---|---|"]
+        out += [f"| {r['cell']} | {r['point']} | {r['n']} | {r['tss']:.3f} | {r['lo']:.3f} to {r['hi']:.3f} | {r['peak_tss']:.3f} |" for r in scores.orderBy("cell", "point").collect()]
+    return "\n".join(out) + "\n"

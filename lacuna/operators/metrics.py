@@ -44,16 +44,17 @@ def score_at(scored: DataFrame, threshold: float, by: list[str] | None = None) -
 def sweep(scored: DataFrame) -> DataFrame:
     """(prob, tp, fp, fn, tn, ratios) at each distinct probability as threshold.
 
-    Counts are summed for each probability, then over ranges of probabilities and inside a range, so the only
-    thing in one place is a row for each of at most 1000 ranges.
+    Counts are summed for each probability, then over ranges of probabilities and inside a range. Ranges hold like
+    numbers of probabilities, however these are spread; the only thing in one place is a row for each of them.
     """
-    counts = scored.groupBy("prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q")).withColumn("g", F.floor(F.col("prob") * 1000))
-    down = Window.orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("g").agg(F.sum("p").alias("gp"), F.sum("q").alias("gq"))
+    counts = scored.groupBy("prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q"))
+    counts = with_range(counts, "prob", counts.count())
+    down = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("_range").agg(F.sum("p").alias("gp"), F.sum("q").alias("gq"))
     total = Window.partitionBy()
-    sums = sums.select("g", F.coalesce(F.sum("gp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("gq").over(down), F.lit(0)).alias("bq"), F.sum("gp").over(total).alias("all_p"), F.sum("gq").over(total).alias("all_q"))
-    inside = Window.partitionBy("g").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("p", F.sum("p").over(inside)).withColumn("q", F.sum("q").over(inside)).join(sums, "g")
+    sums = sums.select("_range", F.coalesce(F.sum("gp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("gq").over(down), F.lit(0)).alias("bq"), F.sum("gp").over(total).alias("all_p"), F.sum("gq").over(total).alias("all_q"))
+    inside = Window.partitionBy("_range").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.withColumn("p", F.sum("p").over(inside)).withColumn("q", F.sum("q").over(inside)).join(F.broadcast(sums), "_range")  # some 2000 ranges at most
     out = out.select("prob", (F.col("bp") + F.col("p")).alias("tp"), (F.col("bq") + F.col("q")).alias("fp"), "all_p", "all_q").withColumns({"fn": F.col("all_p") - F.col("tp"), "tn": F.col("all_q") - F.col("fp")})
     return out.select("prob", "tp", "fp", "fn", "tn", *(r6(c).alias(k) for k, c in derived().items()))
 
@@ -68,11 +69,11 @@ def group_confusion(scored: DataFrame, threshold: float, group: str = "grp") ->
     return scored.groupBy(group).agg(*confusion(threshold))
 
 
-def numbered(groups: DataFrame, key: str, n: int) -> DataFrame:
-    """``groups`` with ``i``, the place of each of the ``n`` rows in the order of its key, from 0.
+def with_range(groups: DataFrame, key: str, n: int) -> DataFrame:
+    """``groups``, ``n`` rows with a key each, with ``_range``: about a thousand ranges of keys with like numbers of rows, ascending.
 
-    Places are summed over ranges of keys and inside a range. A thousand keys chosen by hash bound the ranges, so
-    that keys of any type and spread fall into ranges of like sizes, the same wherever they are computed.
+    A thousand keys chosen by hash bound them, so that keys of any type and spread fall into ranges of like sizes,
+    the same wherever they are computed.
     """
     chosen = groups.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // 1000))) == 0)).select(key)
     bounds = sorted(r[0] for r in chosen.collect())  # about 1000 keys, or 2000 at most where there are no more
@@ -81,7 +82,12 @@ def numbered(groups: DataFrame, key: str, n: int) -> DataFrame:
     # Binary search: the number of bounds that are not above the key.
     step = lambda at, k: F.when(F.coalesce(F.get("_bounds", at + k - 1) <= F.col(key), F.lit(False)), at + k).otherwise(at)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
-    out = groups.crossJoin(F.broadcast(ranges)).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds")  # one row beside each
+    return groups.crossJoin(F.broadcast(ranges)).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds")  # one row beside each
+
+
+def numbered(groups: DataFrame, key: str, n: int) -> DataFrame:
+    """``groups`` with ``i``, the place of each of the ``n`` rows in the order of its key, from 0: summed over ranges of keys and inside a range."""
+    out = with_range(groups, key, n)
     sums = out.groupBy("_range").agg(F.count("*").alias("_many"))
     sums = sums.select("_range", F.coalesce(F.sum("_many").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each range
     inside = Window.partitionBy("_range").orderBy(key)

@@ -1,4 +1,4 @@
-"""Random forests over feature columns: fit, frozen thresholds, importances, and the sampling diagnostic.
+"""Random forests over feature columns: fit, frozen thresholds, stored models with their metadata, and the sampling diagnostic.
 
 Spark's forest bins features and has one set of class weights for all trees, so scores differ from other
 libraries' forests while the protocol is the same.
@@ -6,20 +6,48 @@ libraries' forests while the protocol is the same.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
+from platform import python_version
 
+from pyspark import __version__ as spark_version
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, splits
 from .experiment import CONFOUND_CEILING
 
+TREES, DEPTH, SEED, TOP = 300, 20, 20260920, 15
 
-def train(rows: DataFrame, features: list[str], label: str = "y", trees: int = 300, depth: int = 20, seed: int = 20260920) -> PipelineModel:
+
+@dataclass(frozen=True)
+class Trained:
+    """A fitted forest, the names of its features in order, its frozen thresholds by objective, and where it comes from."""
+
+    model: PipelineModel
+    features: list[str]
+    thresholds: dict[str, float]
+    metadata: dict
+
+    def save(self, path: str) -> None:
+        """The forest below ``path``/forest and the rest as JSON below ``path``/about, on any storage that Spark writes."""
+        self.model.write().overwrite().save(f"{path}/forest")
+        about = json.dumps({"features": self.features, "thresholds": self.thresholds, "metadata": self.metadata})
+        SparkSession.active().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str) -> Trained:
+    about = json.loads(SparkSession.active().read.text(f"{path}/about", wholetext=True).head()[0])
+    return Trained(PipelineModel.load(f"{path}/forest"), about["features"], about["thresholds"], about["metadata"])
+
+
+def train(rows: DataFrame, features: list[str], label: str = "y", trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
     counts = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).head()
     n, p = counts["n"], counts["p"] or 0
     weighted = rows.withColumn("_weight", F.when(F.col(label) == 1, n / max(1, 2 * p)).otherwise(n / max(1, 2 * (n - p))))
@@ -36,22 +64,62 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def freeze(model: PipelineModel, validation: DataFrame) -> dict[str, float]:
     """Thresholds that are best on the validation part; they are never chosen on the test part."""
     scored = predict(model, validation).select("y", "prob").cache()
-    out = {o: metrics.select_threshold(scored, o).head()["threshold"] for o in ("f1", "tss")}
-    scored.unpersist()
-    return out
+    try:
+        return {o: metrics.select_threshold(scored, o).head()["threshold"] for o in ("f1", "tss")}
+    finally:
+        scored.unpersist()
+
+
+def fit(split: DataFrame, features: list[str], name: str, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, **about) -> Trained:
+    """A forest from a split frame's train part, its thresholds from the val part. The test part is not read."""
+    model = train(split.where("part = 'train'"), features, trees=trees, depth=depth, seed=seed)
+    thresholds = freeze(model, split.where("part = 'val'"))
+    sizes = {r["part"]: {"n": r["n"], "base_rate": r["base_rate"]} for r in splits.sizes(split).collect()}  # three rows
+    metadata = {
+        "trained_at_utc": datetime.now(UTC).isoformat(timespec="seconds"), "python": python_version(), "spark": spark_version, "split_name": name, "split_sizes": sizes,
+        "estimator": "RandomForestClassifier", "hyperparameters": {"trees": trees, "max_depth": depth, "min_instances": 2, "class_weight": "balanced", "seed": seed},
+        "n_features": len(features), "thresholds": {k: round(v, 6) for k, v in thresholds.items()}, "top_features": [{"name": f, "importance": round(w, 6)} for f, w in ranked(model)[:TOP]], **about,
+    }
+    return Trained(model, features, thresholds, metadata)
+
+
+def fit_live(rows: DataFrame, features: list[str], **settings) -> tuple[Trained, DataFrame] | None:
+    """A forest on dated snapshots alone, and their temporal split; None where no usable split is possible."""
+    split = splits.temporal_split(rows)
+    spans = split.groupBy("part").agg(F.min("snapshot_date").cast("string").alias("a"), F.max("snapshot_date").cast("string").alias("b")).collect()  # three rows
+    if not spans:
+        return None
+    return fit(split, features, "temporal", live_span={r["part"]: [r["a"], r["b"]] for r in spans}, **settings), split
+
+
+def ranked(model: PipelineModel) -> list[tuple[str, float]]:
+    """Features by importance, the most important first; ties by name."""
+    names, weights = model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()
+    return sorted(((n, float(w)) for n, w in zip(names, weights, strict=True)), key=lambda x: (-x[1], x[0]))
+
 
+def importances(model: PipelineModel, k: int = TOP) -> DataFrame:
+    return SparkSession.active().createDataFrame(ranked(model)[:k], "feature string, importance double")
 
-def importances(model: PipelineModel, k: int = 15) -> DataFrame:
-    forest, names = model.stages[-1], model.stages[0].getInputCols()
-    from pyspark.sql import SparkSession
 
-    rows = [(n, float(w)) for n, w in zip(names, forest.featureImportances.toArray(), strict=True)]
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
+def path_presence(rows: DataFrame) -> DataFrame:
+    """(benign, phishing): of each class the share of URLs with anything but slashes in the path."""
+    path = F.substring_index(F.regexp_extract(F.regexp_replace("url", "(?s)^.*?://", ""), "(?s)^[^/]*/(.*)$", 1), "?", 1)
+    share = lambda y: metrics.r6(F.avg(F.when(F.col("y") == y, path.rlike("[^/]").cast("double"))))
+    return rows.agg(share(0).alias("benign"), share(1).alias("phishing"))
 
 
 def confound(rows: DataFrame, features: list[str], group: str = "domain", folds: int = 5, trees: int = 200, depth: int = 12) -> DataFrame:
-    """(n, peak_tss, breached): the best score of path shape alone, each row scored by a forest that saw none of its group."""
-    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(group), F.lit(folds))).cache()
+    """(available, n, peak_tss, threshold, breached): the best score of path shape alone, each row scored by a forest that saw none of its group.
+
+    With one label only or fewer than five groups it is not available, and the scores are null.
+    """
+    spark = rows.sparkSession
+    have = rows.agg(F.count("*").alias("n"), F.countDistinct("y").alias("labels"), F.countDistinct(group).alias("groups")).head()
+    if have["labels"] < 2 or have["groups"] < 5:
+        return spark.createDataFrame([(False, have["n"], None, None, None)], "available boolean, n long, peak_tss double, threshold double, breached boolean")
+    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(group), F.lit(folds)))
     parts = [predict(train(dealt.where(F.col("_fold") != k), features, trees=trees, depth=depth), dealt.where(F.col("_fold") == k)) for k in range(folds)]
     scored = reduce(DataFrame.unionByName, parts)
-    return metrics.select_threshold(scored, "tss").select(F.col("value").alias("peak_tss"), (F.col("value") > CONFOUND_CEILING).alias("breached"))
+    best = metrics.select_threshold(scored, "tss")
+    return best.select(F.lit(True).alias("available"), F.lit(have["n"]).cast("long").alias("n"), metrics.r6(F.col("value")).alias("peak_tss"), metrics.r6(F.col("threshold")).alias("threshold"), (F.col("value") > CONFOUND_CEILING).alias("breached"))

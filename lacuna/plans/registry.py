@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import audit, experiment, live, metrics, model, splits
 from ..sources import readers
+from ..streaming import ingest
 from . import bindings as B
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
-THRESHOLD, RESAMPLES = 0.5, 200
+THRESHOLD, RESAMPLES = 0.5, 1000
 RATIOS = """coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0.0) AS far, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision,
  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy"""
 SCORES = "round(recall, 6) AS recall, round(far, 6) AS false_alarm_rate, round(precision, 6) AS precision, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round(recall - far, 6) AS tss"
@@ -304,10 +306,7 @@ def cluster_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, "grp", RESAMPLES)
 
 
-_TENTH = "z0 AS (SELECT * FROM s WHERE day <= DATE '2024-01-03')"
-
-
-@query("WITH " + B.SCORED + ", " + _TENTH + ", " + _boot("x", "row_id", 20260920, "z0") + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
+@query("WITH " + B.SCORED + ", " + _boot("x", "row_id", 20260920) + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
 def iid_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, None, RESAMPLES)
 
@@ -434,14 +433,53 @@ def snapshot_seal_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return readers.unseal(readers.seal(rows, key, ["url", "y", "source"]), key, "url string, y int, source string")
 
 
+def _streamed(s: SparkSession, d: str, make) -> DataFrame:
+    """What a stream over the events' file writes until all of it has been read."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/lacuna-shared"
+    base = base.rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    stream = ingest.snapshot_stream(s, d, B.table(s, d, "events").schema, glob="events.parquet")
+    ingest.run_available(make(stream), f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out")
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedup_available_now(s: SparkSession, d: str) -> DataFrame:
-    """Events as a file stream, one row for each user and type over all history."""
-    import uuid
+    """One row for each user and type over all history."""
+    return _streamed(s, d, lambda e: ingest.deduplicated(e.select("event_type", "user_id"), ["event_type", "user_id"]))
 
-    from ..streaming import ingest
 
-    base = (s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lacuna-shared").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    stream = s.readStream.schema(B.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    ingest.run_available(stream.select("event_type", "user_id").dropDuplicates(["event_type", "user_id"]), f"{base}/out", f"{base}/state")
-    return s.read.parquet(f"{base}/out")
+@query("SELECT DISTINCT event_id FROM events")
+def stream_dedup_watermark(s: SparkSession, d: str) -> DataFrame:
+    """One row for each event, with state bounded by a watermark."""
+    return _streamed(s, d, lambda e: ingest.deduplicated(e.select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id", "ts", "40 days")).select("event_id")
+
+
+@query("SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1 HAVING ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
+    """Days that the watermark of one day has closed."""
+    return _streamed(s, d, lambda e: ingest.daily_counts(e.select(F.col("ts").cast("timestamp").alias("ts")), "ts")).select(F.col("window.start").cast("date").alias("day"), "n")
+
+
+# --- shares, paths and samples ---------------------------------------------------------------------------------------
+
+
+@query("WITH " + _CELLS + ", w AS (SELECT " + _STEPS.format("round(c2 - c3, 6)", "round(c3 - c4, 6)") + """), l AS (SELECT * FROM (UNPIVOT w ON split_leakage, temporal_shift, construction_artifact INTO NAME step VALUE value))
+SELECT point, step, value, round(abs(value) / nullif(abs(total), 0), 6) AS share FROM l""")
+def attribution_shares(s: SparkSession, d: str) -> DataFrame:
+    return experiment.shares(attribution_waterfall(s, d))
+
+
+@query("WITH " + B.CORPUS + ", " + r"p AS (SELECT y, regexp_matches(string_split(regexp_extract(regexp_replace(url, '^[^:]*://', ''), '^[^/]*/(.*)$', 1), '?')[1], '[^/]')::INT AS has FROM c) SELECT round(avg(has) FILTER (y = 0), 6) AS benign, round(avg(has) FILTER (y = 1), 6) AS phishing FROM p")
+def path_presence(s: SparkSession, d: str) -> DataFrame:
+    return model.path_presence(B.corpus(s, d))
+
+
+@query()
+def random_pages(s: SparkSession, d: str) -> DataFrame:
+    """A sample of the corpus as an index in 997 blocks: one URL for each domain, five for each block, in a shuffled order."""
+    records = B.corpus(s, d).select((F.col("row_id") % 997).alias("block"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("mime"))
+    return readers.random_urls(records, 500, per_block=5, max_blocks=400)

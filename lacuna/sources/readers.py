@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +14,17 @@ from ..functions.urls import with_parts
 
 @dataclass(frozen=True)
 class Corpus:
-    """A labelled CSV: which columns, and when a row counts as positive."""
+    """A labelled CSV: its columns, and when a row counts as positive."""
 
     key: str
+    title: str
     path: str
+    columns: tuple[str, ...]  # of the file, in order
     url: str
     label: str
-    positive: object  # function of the label column
+    positive: str  # one of POLARITY
     drop_bad_lines: bool = False
+    sha256: str | None = None  # of the published bytes, before they were compressed
 
 
 #: The label rules of the four corpus forms.
@@ -38,16 +42,84 @@ def labelled(df: DataFrame, url: str, label: str, rule: str | object) -> DataFra
     return df.na.drop(subset=[url, label]).select(F.col(url).alias("url"), positive.cast("int").alias("y"))
 
 
+def corpora(folder: str) -> dict[str, Corpus]:
+    """The corpora, by key, as files of ``folder``; of a wider file the columns up to the last one that is read."""
+    # Columns, hashes and labels as their publishers have them.
+    return {
+        c.key: c
+        for c in (
+            Corpus("phiusiil", "PhiUSIIL Phishing URL Dataset", f"{folder}/phiusiil.zip", (), "URL", "label", "zero_is_positive"),
+            Corpus("hannousse", "Web page phishing detection", f"{folder}/hannousse_dataset_B_05_2020.csv.gz", (), "url", "status", "status_phishing", sha256="21093e2902e5441c86a6daf95e86e7c332046e477fdf109a579d7bd81e586d6c"),
+            Corpus("kaitholikkal", "Phishing URL dataset", f"{folder}/kaitholikkal_url_dataset.csv.gz", ("url", "type"), "url", "type", "not_legitimate", True, "accb2dfbfd3329a8b5cb1b85dcad90314a660c272be755cb45d0f6865014b466"),
+            Corpus("faizann", "Malicious URL corpus", f"{folder}/faizann.csv", ("url", "label"), "url", "label", "bad", True),
+        )
+    }
+
+
+def unzipped(spark: SparkSession, path: str) -> str:
+    """The CSV files of the ZIP archives at ``path`` written beside them as text; returns the folder. An archive goes through one task."""
+    from io import BytesIO, TextIOWrapper
+    from zipfile import ZipFile
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with ZipFile(BytesIO(content)) as archive:
+                    for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+                        with archive.open(name) as raw:
+                            text = TextIOWrapper(raw, "utf-8-sig", errors="replace", newline="\n")
+                            while some := text.readlines(1 << 20):
+                                yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in some]})
+
+    out = f"{path}.csv"
+    spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").write.mode("overwrite").text(out)
+    return out
+
+
 def read_corpus(spark: SparkSession, corpus: Corpus, rules: Rules | None = None) -> DataFrame:
-    """(url, y, domain); only the two named columns are parsed."""
-    raw = spark.read.option("header", True).option("mode", "DROPMALFORMED" if corpus.drop_bad_lines else "PERMISSIVE").csv(corpus.path).select(corpus.url, corpus.label)
+    """(url, y, domain); only the two named columns are parsed. Bytes that are no UTF-8 are replaced.
+
+    Where ``drop_bad_lines``, lines with more or fewer fields than the header are left out.
+    """
+    path = unzipped(spark, corpus.path) if corpus.path.endswith(".zip") else corpus.path
+    reader = spark.read.option("header", True).option("escape", '"')
+    if corpus.drop_bad_lines:
+        reader = reader.option("mode", "DROPMALFORMED").option("enforceSchema", False)
+    if corpus.columns:
+        reader = reader.schema(", ".join(f"`{c}` string" for c in corpus.columns))
+    raw = reader.csv(path)
+    raw = raw.select(*(F.col(f"`{c}`") for c in ((corpus.columns or (corpus.url, corpus.label)))))
     out = with_suffix(with_parts(labelled(raw, corpus.url, corpus.label, corpus.positive)), "host", rules)
     return out.select("url", "y", F.col("registrable").alias("domain"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files; what is expected is joined by the caller, and a difference is reported, not raised."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files as they are published: of compressed ones, what they hold. A file goes through one task."""
+    import gzip
+    import hashlib
+    from io import BytesIO
+
+    def digest(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                total, n = hashlib.sha256(), 0
+                with gzip.open(BytesIO(content)) if name.endswith(".gz") else BytesIO(content) as raw:
+                    while some := raw.read(1 << 20):
+                        total.update(some)
+                        n += len(some)
+                rows.append((name, n, total.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(digest, "path string, length long, sha256 string")
+
+
+def verified(spark: SparkSession, corpora_: list[Corpus]) -> DataFrame:
+    """(key, checked, expected, actual, match): a difference is reported, not raised; without a published hash nothing is checked."""
+    rows = spark.createDataFrame([(c.key, c.path.rsplit("/", 1)[-1], c.sha256) for c in corpora_], "key string, file string, expected string")
+    known = [c.path for c in corpora_ if c.sha256]
+    found = checksums(spark, known).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("sha256").alias("actual")) if known else spark.createDataFrame([], "file string, actual string")
+    return rows.join(F.broadcast(found), "file", "left").select("key", F.col("actual").isNotNull().alias("checked"), "expected", "actual", (F.col("actual") == F.col("expected")).alias("match"))
 
 
 def read_text_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +127,12 @@ def read_text_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quoted_feed(spark: SparkSession, path: str, limit: int = 2000, field: int = 2) -> DataFrame:
-    """Quoted CSV with # comments; the first ``limit`` URLs in file order, which is the feature of the feed."""
+    """Quoted CSV with # comments; the first ``limit`` URLs in the order of the file, which is the feature of the feed."""
     lines = spark.read.option("comment", "#").option("quote", '"').csv(path)
+    at = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     url = F.trim(lines[lines.columns[field]])
-    return lines.select(url.alias("url")).where(url.startswith("http")).limit(limit)
+    rows = lines.select(url.alias("url"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(at))).alias("at"))
+    return rows.where(F.col("url").startswith("http")).orderBy("at").limit(limit).select("url")  # TakeOrdered
 
 
 def read_ranking(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -67,22 +141,44 @@ def read_ranking(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def latest_collection(spark: SparkSession, path: str) -> DataFrame:
-    """The largest crawl name that stands in the pages."""
-    names = F.regexp_extract_all("value", F.lit(r"(CC-MAIN-\d{4}-\d{2})"), 1)
-    return spark.read.text(path).select(F.explode(names).alias("c")).agg(F.max("c").alias("collection"))
+    """The first id of a JSON list of crawls, or else the largest crawl name that stands in the page. A page is one small document."""
+    page = spark.read.text(path, wholetext=True)
+    first = F.get(F.from_json("value", "array<struct<id:string>>"), F.lit(0))["id"]
+    return page.agg(F.coalesce(F.min(first), F.max(F.array_max(F.regexp_extract_all("value", F.lit(r"(CC-MAIN-\d{4}-\d{2})"), 1)))).alias("collection"))
+
 
+def fetched_pages(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Index records (url, status, mime, ...) of fetched HTML pages that are no robots or sitemap files, with their domain."""
+    rows = rows.where((F.col("status") == "200") & F.contains("mime", F.lit("html")) & ~F.regexp_replace("url", "/+$", "").rlike(r"(robots\.txt|sitemap\.xml)$"))
+    kept = rows.columns
+    return with_suffix(with_parts(rows), "host", rules).select(*kept, F.col("registrable").alias("domain"))
 
-def read_index(spark: SparkSession, path: str, per_domain: int = 25, domains: int = 40) -> DataFrame:
-    """Index records (NDJSON): fetched HTML pages that are no robots or sitemap files, at most so many for each domain."""
+
+def read_index(spark: SparkSession, path: str, per_domain: int = 25, domains: int = 40, rules: Rules | None = None) -> DataFrame:
+    """Index records (NDJSON) of fetched pages, at most so many domains and of each so many."""
     from ..operators.live import top_per_group
 
-    rows = spark.read.schema("url string, status string, mime string").json(path)
-    rows = rows.where((F.col("status") == "200") & F.contains("mime", F.lit("html")) & ~F.lower("url").rlike(r"robots\.txt|sitemap"))
-    rows = with_suffix(with_parts(rows)).select("url", F.col("registrable").alias("domain"))
+    rows = fetched_pages(spark.read.schema("url string, status string, mime string").json(path), rules).select("url", "domain")
     first = rows.select("domain").distinct().orderBy(F.xxhash64("domain"), "domain").limit(domains)
     return top_per_group(rows.join(first, "domain", "left_semi"), "domain", ["url"], per_domain).drop("rank")
 
 
+def random_urls(records: DataFrame, n: int, per_block: int = 5, max_blocks: int = 400, seed: int = 20260920, rules: Rules | None = None) -> DataFrame:
+    """(block, url, domain): at most ``n`` pages of ``max_blocks`` blocks of a crawl index in a shuffled order, one for each domain.
+
+    ``records``: block, url, status, mime. A domain is taken in the first of its blocks; of a block's domains
+    ``per_block`` are taken, in shuffled order too.
+    """
+    from ..operators.live import top_per_group
+
+    order = lambda *c: F.xxhash64(*c, F.lit(seed))
+    blocks = records.select("block").distinct().orderBy(order("block"), "block").limit(max_blocks)
+    rows = fetched_pages(records.join(blocks, "block", "left_semi"), rules)
+    rows = rows.withColumn("at", F.struct(order("block").alias("b"), F.col("block"), order("url").alias("u"), F.col("url")))
+    one = rows.groupBy("domain").agg(F.min_by(F.struct("block", "url", "at"), "at").alias("x")).select("domain", "x.*")
+    return top_per_group(one, "block", ["at"], per_block).orderBy("at").limit(n).select("block", "url", "domain")
+
+
 def prefix_scan(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     """Rows of a sorted key below a prefix: a range predicate that Parquet's statistics can prune by."""
     return rows.where((F.col(key) >= prefix) & (F.col(key) < prefix + "~"))
@@ -108,20 +204,27 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str) -> int:
-    """Append the days that the table does not hold; a day is written once and never changed. Returns the rows written."""
+    """Write the days that the table does not hold; a day is written once and never changed. Returns the rows written.
+
+    A day's files are put in place of the day's folder as a whole, so that of two writers one wins and none appends.
+    """
     spark = rows.sparkSession
-    try:
-        held = spark.read.parquet(path).select("snapshot_date").distinct()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.option("basePath", path).parquet(path).select("snapshot_date").distinct()
         rows = rows.join(F.broadcast(held), "snapshot_date", "left_anti")  # a row for each day
-    except Exception as error:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
     n = rows.count()
     if n:
-        rows.write.mode("append").partitionBy("snapshot_date").parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
     return n
 
 
+def record_sealed(sealed: DataFrame, manifest: str, name: str) -> None:
+    """Append (sha256, name) of a sealed table to a manifest: the hash of its values' hashes in order."""
+    whole = sealed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"))  # a day's table
+    whole.select("sha256", F.lit(name).alias("name")).write.mode("append").parquet(manifest)
+
+
 def seal(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each row's named columns as one encrypted JSON value (AES-GCM), with the hash of what is stored."""
     token = F.aes_encrypt(F.encode(F.to_json(F.struct(*columns)), "UTF-8"), F.lit(key), F.lit("GCM"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def snapshot_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def snapshot_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path)
 
 
-def deduplicated(stream: DataFrame, key: str = "url", event_time: str | None = None, delay: str | None = None) -> DataFrame:
+def deduplicated(stream: DataFrame, key: str | list[str] = "url", event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """One row for each key. Without a delay all keys ever seen are state; with one, state is bounded by the watermark."""
+    keys = [key] if isinstance(key, str) else key
     if delay:
-        return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-    return stream.dropDuplicates([key])
+        return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    return stream.dropDuplicates(keys)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:

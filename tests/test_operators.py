@@ -1,46 +1,53 @@
 import datetime as dt
+import gzip
+import hashlib
+import json
 import random
+import zipfile
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lacuna.operators import audit, live, metrics, splits
+from lacuna.functions import suffixes, urls
+from lacuna.operators import audit, experiment, live, metrics, model, splits
 from lacuna.plans import registry
 from lacuna.sources import readers
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_template_rule_by_hand(spark):
-    rows = spark.createDataFrame([("https://www.a.com", 0), ("https://www.b.com/", 0), ("http://c.com/x", 1), ("https://www.d.com", 1)], "url string, y int")
+def test_template_rule_counts_each_quarter(spark):
+    forms = ["https://www.shop.example/", "https://www.shop.example", "https://shop.example/cart", "http://www.shop.example/"]
+    rows = spark.createDataFrame([(f, y) for y, many in ((0, (5, 2, 3, 0)), (1, (1, 0, 4, 5))) for f, k in zip(forms, many) for _ in range(k)], "url string, y int")
     r = audit.template_audit(rows).head()
-    assert (r.tp, r.fp, r.fn, r.tn, r.tss, r.benign_template_share, r.phish_template_share) == (1, 0, 1, 2, 0.5, 1.0, 0.5)
+    assert (r.n, r.tp, r.fp, r.fn, r.tn) == (20, 9, 3, 1, 7)
+    assert (r.benign_template_share, r.phish_template_share, r.recall, r.false_alarm_rate, r.tss) == (0.7, 0.1, 0.9, 0.3, 0.6)
 
 
-def test_constant_forecasts_score_zero(spark):
-    for p in (0.0, 0.5, 1.0):
-        rows = spark.range(1000).select((F.col("id") < 5).cast("int").alias("y"), F.lit(p).alias("prob"))
-        assert metrics.score_at(rows, 0.5).head().tss == 0
-        assert metrics.score_at(rows, 1.01).head().accuracy >= 0.99
+@pytest.mark.parametrize("p", [0.2, 0.9])
+def test_one_forecast_for_all_has_no_skill(spark, p):
+    rows = spark.createDataFrame([(i % 8 == 0, p) for i in range(160)], "y boolean, prob double").withColumn("y", F.col("y").cast("int"))
+    low, high = metrics.score_at(rows, 0.5).head(), metrics.score_at(rows, 0.95).head()
+    assert low.tss == high.tss == 0 and (high.tp, high.fp) == (0, 0) and low.recall == float(p >= 0.5)
 
 
-def test_each_threshold_is_best_for_its_objective(spark):
-    random.seed(1)
-    rows = [(y := int(random.random() < 0.2), min(1.0, max(0.0, random.gauss(0.3 + 0.45 * y, 0.25)))) for _ in range(2000)]
+def test_chosen_thresholds_beat_all_others(spark):
+    random.seed(12)
+    rows = [(int(random.random() < 0.35), round(random.betavariate(2, 3), 2)) for _ in range(700)]
     f = spark.createDataFrame(rows, "y int, prob double")
-    at = {o: metrics.select_threshold(f, o).head().threshold for o in ("f1", "tss")}
-    for o in at:
-        a, b = (metrics.score_at(f, at[k]).head()[o] for k in ("f1", "tss"))
-        assert (a >= b) if o == "f1" else (b >= a)
+    for o in ("f1", "tss"):
+        best = metrics.select_threshold(f, o).head()
+        assert metrics.score_at(f, best.threshold).head()[o] == best.value
+        assert all(metrics.score_at(f, t).head()[o] <= best.value for t in (0.1, 0.35, 0.6, 0.8))
 
 
-def test_group_intervals_are_wider(spark):
-    rows = [(i, int(g % 2), float((g % 2) if g % 4 else 1 - g % 2), g) for g in range(40) for i in range(g * 50, g * 50 + 50)]
+def test_resampling_groups_widens_the_interval(spark):
+    rows = [(100 * g + i, g % 2, float((g // 2) % 3 > 0) if g % 2 else float((g // 2) % 3 == 0), g) for g in range(24) for i in range(20)]
     f = spark.createDataFrame(rows, "row_id long, y int, prob double, grp int")
-    a, b = metrics.bootstrap_ci(f, 0.5, "grp", 100).head(), metrics.bootstrap_ci(f, 0.5, None, 100).head()
-    assert a.hi - a.lo > b.hi - b.lo
+    whole, apart = metrics.bootstrap_ci(f, 0.5, "grp", 150).head(), metrics.bootstrap_ci(f, 0.5, None, 150).head()
+    assert whole.lo < apart.lo < apart.hi < whole.hi
 
 
 def test_row_interval_draws_over_the_whole_frame(spark):
@@ -128,3 +135,108 @@ def test_query_equals_its_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sweep_ranges_hold_however_scores_are_spread(spark):
+    random.seed(3)
+    rows = [(int(random.random() < 0.5), 1 - 10.0 ** -random.uniform(0, 9)) for _ in range(3000)]
+    got = {r.prob: (r.tp, r.fp, r.fn, r.tn) for r in metrics.sweep(spark.createDataFrame(rows, "y int, prob double")).collect()}
+    for t in random.sample(sorted(got), 40):
+        at = [sum(a == y and (p >= t) == hit for a, p in rows) for y, hit in ((1, True), (0, True), (1, False), (0, False))]
+        assert got[t] == tuple(at)
+
+
+def test_features_move_no_rows(spark):
+    rows = urls.with_features(spark.createDataFrame([("http://a.b.example.com.pl/x",), ("http://shop.tk",), ("http://x.blogspot.co.nz",)], "url string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert {r.registrable: (r.suffix, r.tld_is_abused) for r in rows.collect()} == {"example.com.pl": ("com.pl", 0.0), "shop.tk": ("tk", 1.0), "blogspot.co.nz": ("co.nz", 0.0)}
+
+
+def test_rules_of_a_file(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text("// comment\n\nzz\n*.yy\n!city.yy\n// ===BEGIN PRIVATE DOMAINS===\nhost.zz\n")
+    rules = suffixes.read_rules(spark, str(tmp_path / "rules.dat"))
+    hosts = {"a.host.zz": "host.zz", "a.b.c.yy": "b.c.yy", "x.city.yy": "city.yy", "c.yy": "c.yy", "yy": "yy", "other": "other", "": ""}
+    got = suffixes.with_suffix(spark.createDataFrame([(h,) for h in hosts], "host string"), "host", rules).collect()
+    assert (rules.depth, rules.rows) == (2, 3) and {r.host: r.registrable for r in got} == hosts
+
+
+def test_corpora_are_read_as_published(spark, tmp_path):
+    known = readers.corpora(str(tmp_path))
+    with zipfile.ZipFile(known["phiusiil"].path, "w") as z:
+        z.writestr("inside.csv", '\ufeffFILENAME,URL,Length,label\na.txt,https://www.one.com,3,1\nb.txt,"http://two.com/a,b",3,0\n')
+    wide = "url,length,status\nhttp://three.com,1, Phishing\nhttp://four.org/x,2,legitimate\n,3,phishing\n"
+    with gzip.open(known["hannousse"].path, "wt") as f:
+        f.write(wide)
+    with gzip.open(known["kaitholikkal"].path, "wb") as f:
+        f.write(b"url,type\nhttp://five.net,legitimate\nhttp://six.net/\xff,phishing\nhttp://bad.net,phishing,too,many\nhttp://none.net,\n")
+    (tmp_path / "faizann.csv").write_text("url,label\nseven.com/p,bad\neight.com,good\n")
+    read = {k: sorted((r.y, r.domain) for r in readers.read_corpus(spark, c).collect()) for k, c in known.items()}
+    assert read == {"phiusiil": [(0, "one.com"), (1, "two.com")], "hannousse": [(0, "four.org"), (1, "three.com")], "kaitholikkal": [(0, "five.net"), (1, "six.net")], "faizann": [(0, "eight.com"), (1, "seven.com")]}
+    checked = {r.key: r for r in readers.verified(spark, list(known.values())).collect()}
+    assert checked["hannousse"].actual == hashlib.sha256(wide.encode()).hexdigest() and checked["hannousse"].match is False and not checked["phiusiil"].checked
+
+
+def test_feeds_and_indexes(spark, tmp_path):
+    (tmp_path / "feed.txt").write_text(" http://a.com \nno url\nhttps://b.com\n\n")
+    assert sorted(r.url for r in readers.read_text_feed(spark, str(tmp_path / "feed.txt")).collect()) == ["http://a.com", "https://b.com"]
+    (tmp_path / "q.csv").write_text("# id\n" + "".join(f'"{i}","x","http://h{i}.com/?a,b","y"\n' for i in range(9)) + '"9","x","none","y"\n')
+    assert [r.url for r in readers.read_quoted_feed(spark, str(tmp_path / "q.csv"), 3).collect()] == [f"http://h{i}.com/?a,b" for i in range(3)]
+    (tmp_path / "rank.csv").write_text("1,a.com\n2,b.com\n3,c.com\n")
+    ranking = readers.read_ranking(spark, str(tmp_path / "rank.csv"), 2)
+    assert ranking.count() == 2 and [r.url for r in readers.templated(ranking, 1).collect()] == ["https://www.a.com"]
+    (tmp_path / "a.json").write_text('[{"id": "CC-MAIN-2020-10"}, {"id": "CC-MAIN-2024-10"}]')
+    (tmp_path / "a.html").write_text("CC-MAIN-2021-04 and CC-MAIN-2023-50\n or CC-MAIN-2022-05")
+    assert [readers.latest_collection(spark, str(tmp_path / n)).head().collection for n in ("a.json", "a.html")] == ["CC-MAIN-2020-10", "CC-MAIN-2023-50"]
+    records = [(b, f"http://{d}.com/{i}", "200" if i else "404", "text/html") for b in range(12) for d in ("big", f"d{b}", f"e{b}", f"f{b}") for i in range(3)]
+    (tmp_path / "i.json").write_text("\n".join(json.dumps(dict(zip(("block", "url", "status", "mime"), r))) for r in [*records, (0, "http://r.com/robots.txt/", "200", "text/html"), (0, "http://r.com/x", "200", "image/png")]))
+    index = readers.read_index(spark, str(tmp_path / "i.json"), per_domain=1, domains=5).collect()
+    assert len(index) == len({r.domain for r in index}) == 5 and all(not r.url.endswith("/0") for r in index)
+    frame = spark.createDataFrame(records, "block int, url string, status string, mime string")
+    some = readers.random_urls(frame, 100, per_block=2, max_blocks=6).collect()
+    per = {b: sum(r.block == b for r in some) for b in {r.block for r in some}}
+    assert len({r.domain for r in some}) == len(some) and len(per) == 6 and max(per.values()) == 2 and len(readers.random_urls(frame, 4).collect()) == 4
+
+
+def test_an_experiment_from_split_to_report(spark, tmp_path):
+    random.seed(9)
+    rows = [(i, y, f"d{i % 60}", random.gauss(2 * y, 1), random.gauss(0, 1), dt.date(2024, 1, 1 + i % 20), ["openphish", "commoncrawl", "tranco_templated", "urlhaus"][random.choice([0, 3]) if y else random.choice([1, 2])], f"http://h{i}.com/x") for i, y in ((i, int(random.random() < 0.5)) for i in range(600))]
+    frame = spark.createDataFrame(rows, "row_id long, y int, domain string, f0 double, f1 double, snapshot_date date, source string, url string").persist()
+    parts = {"random": splits.random_split(frame, "row_id"), "disjoint": splits.disjoint_split(frame)}
+    first = {k: model.fit(p, ["f0", "f1"], k, trees=4, depth=4, corpus="made up") for k, p in parts.items()}
+    first["random"].save(str(tmp_path / "m"))
+    again = model.load(str(tmp_path / "m"))
+    test = {k: p.where("part = 'test'") for k, p in parts.items()}
+    score = lambda m: sorted((r.row_id, r.prob) for r in model.predict(m.model, test["random"]).select("row_id", "prob").collect())
+    assert score(again) == score(first["random"]) and again.thresholds == first["random"].thresholds
+    assert again.metadata["corpus"] == "made up" and [f["name"] for f in again.metadata["top_features"]] == ["f0", "f1"] and set(again.metadata["split_sizes"]) == {"train", "val", "test"}
+    cells = experiment.run(again, first["disjoint"], test["random"], test["disjoint"], frame, 60).persist()
+    got = {(r.cell, r.point): r for r in cells.collect()}
+    assert len(got) == 10 and all(r.lo <= r.tss <= r.hi and r.peak_tss >= r.tss for r in got.values()) and all(got[c, "tss"].tss > 0.4 for c in ("c1", "c2", "c3", "c4"))
+    steps = experiment.attribution(cells, spark.range(1).select(F.lit(1.0).alias("benign_template_share")))
+    row = experiment.summary("made", "Made up", frame.select("url", "y"), steps, cells).head()
+    assert row.cell1_tss == got["c1", "tss"].tss and row.total_gap == round(row.cell1_tss - row.cell4_tss, 6)
+    text = experiment.report(experiment.compare(experiment.summary("made", "Made up", frame.select("url", "y"), steps, cells)), cells)
+    assert "| made |" in text and "| c4 | tss |" in text and json.loads(experiment.document(cells=cells))["cells"][0]["n"] > 0
+    live_model, split = model.fit_live(frame, ["f0", "f1"], trees=4, depth=4)
+    two = experiment.recovered(first["disjoint"], live_model, test["disjoint"], split.where("part = 'test'"), 60).head()
+    assert two.lo <= two.recovery <= two.hi and abs(two.gap - (two.a - two.b)) < 2e-6 and live_model.metadata["live_span"]["train"][0] == "2024-01-01"
+    assert model.fit_live(frame.where("snapshot_date < '2024-01-03'"), ["f0"]) is None
+
+
+def test_the_diagnostic_needs_two_labels_and_five_groups(spark):
+    rows = spark.createDataFrame([(i % 2, f"d{i % 4}", float(i)) for i in range(40)], "y int, domain string, path_length double")
+    for f in (rows, rows.where("y = 1")):
+        assert tuple(model.confound(f, ["path_length"]).head()) == (False, f.count(), None, None, None)
+    more = spark.createDataFrame([(i % 2, f"d{i % 30}", float(i % 2)) for i in range(200)], "y int, domain string, path_length double")
+    r = model.confound(more, ["path_length"], trees=2, depth=2).head()
+    assert r.available and r.n == 200 and r.peak_tss > 0.9 and r.breached
+    assert tuple(model.path_presence(spark.createDataFrame([("http://a/x", 0), ("b.com//", 0), ("c.com", 1), ("https://d/?u=e/f", 1)], "url string, y int")).head()) == (0.5, 0.0)
+
+
+def test_sealed_tables_are_recorded(spark, tmp_path):
+    sealed = readers.seal(spark.createDataFrame([("u",)], "url string"), "0123456789abcdef", ["url"])
+    for day in ("2024-01-01", "2024-01-02"):
+        readers.record_sealed(sealed, str(tmp_path / "manifest"), day)
+    got = spark.read.parquet(str(tmp_path / "manifest")).collect()
+    assert sorted(r.name for r in got) == ["2024-01-01", "2024-01-02"] and all(len(r.sha256) == 64 for r in got)
