@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_noted = threading.local()
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """Collects the folders that :func:`materialize` writes meanwhile in this thread."""
+    before, _noted.paths = getattr(_noted, "paths", None), []
+    try:
+        yield _noted.paths
+    finally:
+        _noted.paths = before
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = shared_dir(df.sparkSession, name)
+    if getattr(_noted, "paths", None) is not None:
+        _noted.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -494,9 +494,10 @@ def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
     """(row, bytes, removed, spans, sha256, kept) for each row of ``docs``; ``kept`` is the text that is left, cut characters dropped."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns({"tx": F.sha2(F.coalesce("text", F.lit("")), 256), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    about = [F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("tx"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *about)  # which holds the text, once
     total = rows.agg(F.sum("bytes")).head()[0] or 0
-    texts = rows.where("id is not null and text is not null").groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    texts = docs.select(*about, text.alias("text")).where("id is not null and text is not null").groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     gone = repeated_spans(texts, total, span, gram, hot_slices).withColumnRenamed("tx", "_tx")
     first = rows.where("id is not null").groupBy(F.col("tx").alias("_ftx")).agg(F.min("id").alias("first"))
     out = rows.join(first, F.col("tx") == F.col("_ftx"), "left").join(gone, F.col("tx") == F.col("_tx"), "left")
@@ -504,7 +505,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     lost = F.col("removed").isNotNull() & F.col("id").isNotNull()
     pick = lambda whole, part, none: F.when(copy, whole).when(lost, part).otherwise(none)
     zero = F.lit(0).cast("long")
-    return out.select("row", "bytes", pick(F.col("bytes"), F.col("removed"), zero).alias("removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("spans"), pick(F.sha2(F.lit(""), 256), F.col("sha256"), F.col("tx")).alias("sha256"), pick(F.lit(""), F.col("kept"), F.col("text")).alias("kept"))
+    return out.select("row", "bytes", pick(F.col("bytes"), F.col("removed"), zero).alias("removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("spans"), pick(F.sha2(F.lit(""), 256), F.col("sha256"), F.col("tx")).alias("sha256"), pick(F.lit(""), F.col("kept"), F.col("row")[text_col].cast("string")).alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
