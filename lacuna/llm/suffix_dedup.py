@@ -3,7 +3,8 @@
 A byte goes if some ``span`` bytes that cover it also start in a document with a smaller id. Strings are judged on
 the input; they never cross documents.
 
-1. Texts that are equal as a whole are one from the start: all of a copy goes. Distinct texts are dealt into slices.
+1. Texts that are equal as a whole are made one by a shuffle, or, with ``few_copies``, are dealt into slices where they
+   lie; the results are the same. Of equal texts all but the one with the smallest id go as a whole.
 2. Of the hashes of the 20-byte strings in each window of ``span`` bytes the smallest is the window's anchor: equal
    windows have the same anchor at the same place. Each slice sends each of its anchors once; what stands in one
    text alone is dropped, and with it all windows that cannot repeat. A false agreement of hashes costs work only.
@@ -295,7 +296,7 @@ L, B = pa.int64(), pa.binary()
 
 
 def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
-    """(tx, removed, spans, sha256, kept) for the distinct ``texts`` (tx, id, text), ``total`` bytes or less, that lose bytes."""
+    """(tx, id, removed, spans, sha256, kept) for the ``texts`` (tx, id, text), ``total`` bytes or less, that lose bytes."""
     buckets = n_buckets(total, BUCKET_BYTES, 16)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +440,7 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
     found = found.groupBy(F.col("slice").alias("_slice")).agg(F.collect_list(F.struct("bucket", "found", "n")).alias("found"))  # as many as the slice has segments
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = [("tx", pa.string()), ("removed", L), ("spans", L), ("sha256", pa.string()), ("kept", pa.string())]
+        schema = [("tx", pa.string()), ("id", L), ("removed", L), ("spans", L), ("sha256", pa.string()), ("kept", pa.string())]
         for batch in batches:
             for i, found_ in enumerate(batch.column("found").to_pylist()):
                 sizes, offset, ids = columns_of(batch.column("of")[i].as_py(), batch.column("n")[i].as_py(), "qqq")
@@ -469,12 +470,12 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
                     k = int(d[x])
                     text = raw[begin[k] : begin[k] + int(sizes[k])]
                     left = b"".join(text[p:q] for p, q in zip([0, *b[x : x + m].tolist()], [*a[x : x + m].tolist(), len(text)], strict=True))
-                    rows.append((tx[64 * k : 64 * k + 64].decode(), len(text) - len(left), m, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                    rows.append((tx[64 * k : 64 * k + 64].decode(), int(ids[k]), len(text) - len(left), m, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
                 yield binaries(rows, schema)
 
     whole = rows.where("bucket = -1").join(found, F.col("slice") == F.col("_slice"), "left")
     whole = whole.select("n", "of", "bytes", "tx", "places", "base", "n_places", "found")
-    return whole.mapInArrow(remove, "tx string, removed long, spans long, sha256 string, kept string")
+    return whole.mapInArrow(remove, "tx string, id long, removed long, spans long, sha256 string, kept string")
 
 
 def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -491,15 +492,19 @@ def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[new], a[new], (reach - shift)[last]
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT, few_copies: bool = False) -> DataFrame:
     """(row, bytes, removed, spans, sha256, kept) for each row of ``docs``; ``kept`` is the text that is left, cut characters dropped."""
     text = F.col(text_col).cast("string")
     about = [F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("tx"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")]
     rows = docs.select(F.struct(*docs.columns).alias("row"), *about)  # which holds the text, once
     total = rows.agg(F.sum("bytes")).head()[0] or 0
-    texts = docs.select(*about, text.alias("text")).where("id is not null and text is not null").groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    gone = repeated_spans(texts, total, span, gram, hot_slices).withColumnRenamed("tx", "_tx")
+    texts = docs.select(*about, text.alias("text")).where("id is not null and text is not null")
+    if not few_copies:  # else the shuffle of all texts costs more than what copies send
+        texts = texts.groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     first = rows.where("id is not null").groupBy(F.col("tx").alias("_ftx")).agg(F.min("id").alias("first"))
+    gone = repeated_spans(texts, total, span, gram, hot_slices).withColumnsRenamed({"tx": "_tx", "id": "_id"})
+    # Of equal texts the first one's result is read; rows that share its id have the same one.
+    gone = gone.join(first, (F.col("_tx") == F.col("_ftx")) & (F.col("_id") == F.col("first"))).drop("_ftx", "first", "_id").dropDuplicates(["_tx"])
     out = rows.join(first, F.col("tx") == F.col("_ftx"), "left").join(gone, F.col("tx") == F.col("_tx"), "left")
     copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("bytes") >= span), F.lit(False))
     lost = F.col("removed").isNotNull() & F.col("id").isNotNull()
@@ -535,6 +540,6 @@ FROM d LEFT JOIN t USING (rid)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated passages removed; n_chars follows the text. Rows without an id or a text stay as they are."""
-    out = judged(docs)
+    out = judged(docs, few_copies=True)  # near-duplicates are gone
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

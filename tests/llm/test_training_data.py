@@ -134,6 +134,8 @@ def repeats_by_brute_force(rows):
 def test_repeats_equal_brute_force(docs):
     want = repeats_by_brute_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
     got = suffix_dedup.judged(docs).collect()
+    key = lambda r: str((r.row, r.removed, r.spans, r.sha256))
+    assert sorted(map(key, suffix_dedup.judged(docs, few_copies=True).collect())) == sorted(map(key, got))
     assert sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.bytes, r.removed, r.spans, r.sha256) for r in got) == want
     kept = suffix_dedup.remove_repeats(docs)
     assert kept.columns == docs.columns
