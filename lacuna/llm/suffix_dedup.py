@@ -30,12 +30,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHashes, flat_bytes, materialize, n_buckets, slices, table
@@ -295,8 +295,12 @@ def binaries(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Rec
 L, B = pa.int64(), pa.binary()
 
 
-def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT) -> DataFrame:
-    """(tx, id, removed, spans, sha256, kept) for the ``texts`` (tx, id, text), ``total`` bytes or less, that lose bytes."""
+def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT, hashed: bool = True) -> DataFrame:
+    """(tx, id, removed, spans, sha256, pieces) for the ``texts`` (tx, id, text), ``total`` bytes or less, that lose bytes.
+
+    ``pieces``: first byte (from 0) and number of bytes of what is left. Only where ``hashed`` are the texts sent on
+    to give ``sha256``; else it is null.
+    """
     buckets = n_buckets(total, BUCKET_BYTES, 16)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,13 +367,13 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
                     rows.append((int(bucket[a]), number, n, packed(sizes[some].tobytes() + half[some].tobytes() + low[some].tobytes()), packed(b"".join(parts[some])), None, None, None, 0))
                 held, doc = np.unique(doc, return_inverse=True)
                 begin, end = s.offsets[held], s.offsets[held + 1]
-                texts_ = b"".join(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+                texts_ = packed(b"".join(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))) if hashed else None
                 by = np.argsort(start, kind="stable")
                 steps = np.diff(start[by], prepend=0)
                 where = packed(np.diff(doc[by], prepend=0).astype(np.int32).tobytes() + steps.astype(np.int32).tobytes() + size[by].astype(np.uint16).tobytes() + of[by].astype(np.int32).tobytes())
                 base = np.stack([bucket[first], first], axis=1).astype(np.int64).tobytes()
                 about = packed((end - begin).astype(np.int64).tobytes() + begin.astype(np.int64).tobytes() + ids[held].tobytes())
-                rows.append((-1, number, len(held), about, packed(texts_), b"".join(tx[64 * k : 64 * k + 64] for k in held.tolist()), where, base, len(by)))
+                rows.append((-1, number, len(held), about, texts_, b"".join(tx[64 * k : 64 * k + 64] for k in held.tolist()), where, base, len(by)))
                 yield binaries(rows, [("bucket", L), ("slice", L), ("n", L), ("of", B), ("bytes", B), ("tx", B), ("places", B), ("base", B), ("n_places", L)])
 
     rows = cut.join(hits, "slice").select("slice", "sizes", "data", "ids", "tx", "hits").mapInArrow(segments, "bucket long, slice long, n long, of binary, bytes binary, tx binary, places binary, base binary, n_places long")
@@ -440,11 +444,11 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
     found = found.groupBy(F.col("slice").alias("_slice")).agg(F.collect_list(F.struct("bucket", "found", "n")).alias("found"))  # as many as the slice has segments
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = [("tx", pa.string()), ("id", L), ("removed", L), ("spans", L), ("sha256", pa.string()), ("kept", pa.string())]
+        schema = [("tx", pa.string()), ("id", L), ("removed", L), ("spans", L), ("sha256", pa.string()), ("pieces", pa.list_(pa.struct([("at", L), ("n", L)])))]
         for batch in batches:
             for i, found_ in enumerate(batch.column("found").to_pylist()):
                 sizes, offset, ids = columns_of(batch.column("of")[i].as_py(), batch.column("n")[i].as_py(), "qqq")
-                raw, tx = unpacked(batch.column("bytes")[i].as_py(), int(sizes.sum())), batch.column("tx")[i].as_py()
+                raw, tx = unpacked(batch.column("bytes")[i].as_py(), int(sizes.sum())) if hashed else b"", batch.column("tx")[i].as_py()
                 base = dict(np.frombuffer(batch.column("base")[i].as_py(), np.int64).reshape(-1, 2).tolist())
                 doc, start, size, of = (x.astype(np.int64) for x in columns_of(batch.column("places")[i].as_py(), batch.column("n_places")[i].as_py(), "iiHi"))
                 doc = np.cumsum(doc)
@@ -468,14 +472,14 @@ def repeated_spans(texts: DataFrame, total: int, span: int = SPAN, gram: int = G
                 begin, rows = (np.cumsum(sizes) - sizes).tolist(), []
                 for x, m in zip(first.tolist(), many.tolist(), strict=True):
                     k = int(d[x])
-                    text = raw[begin[k] : begin[k] + int(sizes[k])]
-                    left = b"".join(text[p:q] for p, q in zip([0, *b[x : x + m].tolist()], [*a[x : x + m].tolist(), len(text)], strict=True))
-                    rows.append((tx[64 * k : 64 * k + 64].decode(), int(ids[k]), len(text) - len(left), m, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                    left = [(p, q) for p, q in zip([0, *b[x : x + m].tolist()], [*a[x : x + m].tolist(), int(sizes[k])], strict=True) if q > p]
+                    sha = hashlib.sha256(b"".join(raw[begin[k] + p : begin[k] + q] for p, q in left)).hexdigest() if hashed else None
+                    rows.append((tx[64 * k : 64 * k + 64].decode(), int(ids[k]), int((b - a)[x : x + m].sum()), m, sha, [{"at": p, "n": q - p} for p, q in left]))
                 yield binaries(rows, schema)
 
     whole = rows.where("bucket = -1").join(found, F.col("slice") == F.col("_slice"), "left")
     whole = whole.select("n", "of", "bytes", "tx", "places", "base", "n_places", "found")
-    return whole.mapInArrow(remove, "tx string, id long, removed long, spans long, sha256 string, kept string")
+    return whole.mapInArrow(remove, "tx string, id long, removed long, spans long, sha256 string, pieces array<struct<at: long, n: long>>")
 
 
 def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -492,8 +496,25 @@ def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[new], a[new], (reach - shift)[last]
 
 
+def whole_characters(piece: Column) -> Column:
+    """UTF-8 bytes without those of a character that was cut, at either end."""
+    skip = F.length(F.regexp_extract(F.hex(F.substring(piece, 1, 3)), "^((?:[89AB].)*)", 1)) / 2
+    tail = F.length(F.regexp_extract(F.hex(F.substring(piece, -3, 3)), "(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", 0)) / 2
+    return F.substring(piece, (skip + 1).cast("int"), F.greatest(F.lit(0), F.octet_length(piece) - skip - tail).cast("int"))
+
+
+def joined_pieces(text: Column, pieces: Column, of: Callable[[Column], Column]) -> Column:
+    """The pieces' bytes, each as ``of`` gives it, one after the other; the text's bytes are taken once for all of them."""
+    one = lambda x: F.array_join(F.transform(pieces, lambda p: of(F.substring(x, (p["at"] + 1).cast("int"), p["n"].cast("int"))).cast("string")), "")
+    return F.get(F.transform(F.array(text.cast("binary")), one), F.lit(0))
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_slices: int = HOT, few_copies: bool = False) -> DataFrame:
-    """(row, bytes, removed, spans, sha256, kept) for each row of ``docs``; ``kept`` is the text that is left, cut characters dropped."""
+    """(row, bytes, removed, spans, sha256, kept) for each row of ``docs``; ``kept`` is the text that is left, cut characters dropped.
+
+    Each row's text is shuffled once. What it loses comes to it as places, and is cut out by built-in functions. Where
+    copies may be many, ``sha256`` comes with these, and a query that reads no ``kept`` shuffles no texts of rows.
+    """
     text = F.col(text_col).cast("string")
     about = [F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("tx"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")]
     rows = docs.select(F.struct(*docs.columns).alias("row"), *about)  # which holds the text, once
@@ -502,7 +523,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     if not few_copies:  # else the shuffle of all texts costs more than what copies send
         texts = texts.groupBy("tx").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     first = rows.where("id is not null").groupBy(F.col("tx").alias("_ftx")).agg(F.min("id").alias("first"))
-    gone = repeated_spans(texts, total, span, gram, hot_slices).withColumnsRenamed({"tx": "_tx", "id": "_id"})
+    gone = repeated_spans(texts, total, span, gram, hot_slices, hashed=not few_copies).withColumnsRenamed({"tx": "_tx", "id": "_id"})
     # Of equal texts the first one's result is read; rows that share its id have the same one.
     gone = gone.join(first, (F.col("_tx") == F.col("_ftx")) & (F.col("_id") == F.col("first"))).drop("_ftx", "first", "_id").dropDuplicates(["_tx"])
     out = rows.join(first, F.col("tx") == F.col("_ftx"), "left").join(gone, F.col("tx") == F.col("_tx"), "left")
@@ -510,7 +531,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     lost = F.col("removed").isNotNull() & F.col("id").isNotNull()
     pick = lambda whole, part, none: F.when(copy, whole).when(lost, part).otherwise(none)
     zero = F.lit(0).cast("long")
-    return out.select("row", "bytes", pick(F.col("bytes"), F.col("removed"), zero).alias("removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("spans"), pick(F.sha2(F.lit(""), 256), F.col("sha256"), F.col("tx")).alias("sha256"), pick(F.lit(""), F.col("kept"), F.col("row")[text_col].cast("string")).alias("kept"))
+    own = F.col("row")[text_col].cast("string")
+    sha256 = F.sha2(joined_pieces(own, F.col("pieces"), lambda x: x), 256) if few_copies else F.col("sha256")
+    left = joined_pieces(own, F.col("pieces"), whole_characters)
+    return out.select("row", "bytes", pick(F.col("bytes"), F.col("removed"), zero).alias("removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("spans"), pick(F.sha2(F.lit(""), 256), sha256, F.col("tx")).alias("sha256"), pick(F.lit(""), left, own).alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
