@@ -4,15 +4,17 @@ The tree is fitted on a bounded sample (``SAMPLE`` vectors with the smallest has
 indexed: it goes down to the nearest centre at each level and lies in one leaf. A query walks the tree with a
 priority queue of nodes by their distance and opens leaves, nearest first. How many it opens is calibrated: for
 up to ``CALIBRATION`` queries the true neighbours are found by a scan of all vectors, and the number is raised
-until the leaves opened hold at least ``RECALL`` of them.
+until the leaves opened hold at least ``RECALL`` of them. A query whose leaves hold fewer than ``k`` candidates opens
+further ones until they do, or none is left.
 
 Queries meet the vectors of their leaves in groups of one leaf and one part of it. A leaf with many vectors has as
 many parts as they ask for, so that no group outgrows a task; queries of a group are taken in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 vectors of another length than most of the sample. A null id is not a candidate and not a query. Rows that repeat
-an id are candidates of their own; a query is never its own candidate, by id. With fewer vectors than ``k`` all
-are returned. Without vectors the result is empty. Ties go to the smaller id.
+an id are candidates of their own; a query is never its own candidate, by id. Query rows equal in id and vector are one
+query; rows of one id with other vectors are queries of their own, each with its ranks, told apart by ``query_key``, the
+hash of id and vector. With fewer vectors than ``k`` all are returned. Without vectors the result is empty. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -90,13 +92,17 @@ class Tree:
                 waiting += [(child, rows[best == j]) for j, child in enumerate(self.children[node])]
         return out
 
-    def leaves_near(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: the queue always opens the node whose centre is nearest."""
-        queue, out = [(0.0, self.root)], []
-        while queue and len(out) < most:
+    def leaves_near(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: the queue always opens the node whose centre is nearest.
+
+        ``most`` leaves, and more until by ``sizes`` they hold ``need`` vectors.
+        """
+        queue, out, held = [(0.0, self.root)], [], 0
+        while queue and (len(out) < most or held < need):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                held += sizes.get(-1 - node, 0) if sizes else 0
             else:
                 for far, child in zip((-(self.centres[node] @ q)).tolist(), self.children[node], strict=True):
                     heapq.heappush(queue, (far, child))
@@ -129,17 +135,17 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` that were found for each row of ``queries``."""
+    """(query_id, rank, vec_id, score, query_key): the k nearest rows of ``vectors`` that were found for each row of ``queries``."""
     spark = vectors.sparkSession
     take = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     vectors, queries = take(vectors), take(queries)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_key long")
     # TakeOrdered: SAMPLE rows at most reach the driver.
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     if not len(sample):
         return empty
     width = int(sample["v"].map(len).mode().iloc[0])
-    vectors, queries = vectors.where(F.size("v") == width), queries.where(F.size("v") == width)
+    vectors, queries = vectors.where(F.size("v") == width), queries.where(F.size("v") == width).distinct()
     sample = sample[sample["v"].map(len) == width]
     tree = spark.sparkContext.broadcast(Tree(unit(matrix(sample["v"]))))
 
@@ -154,22 +160,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, v, leaf, part) for i, v in zip(b["id"], b["v"], strict=True) for leaf in tree.value.leaves_near(unit(np.asarray(v)[None, :])[0], opened) for part in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(rows, columns=["id", "v", "leaf", "part"])
-
-    asked = queries.mapInPandas(visit, "id long, v array<double>, leaf int, part int")
+            rows = []
+            for i, v, key, own in zip(b["id"], b["v"], b["key"], b["own"], strict=True):
+                near = tree.value.leaves_near(unit(np.asarray(v)[None, :])[0], opened, sizes, k + own)
+                rows += [(i, v, key, leaf, part) for leaf in near for part in range(parts.get(leaf, 0))]
+            yield pd.DataFrame(rows, columns=["id", "v", "key", "leaf", "part"])
+
+    own = indexed.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("own"))  # rows that a query of this id passes over
+    asked = queries.join(own, F.col("id") == F.col("_id"), "left").select("id", "v", F.xxhash64("id", "v").alias("key"), F.coalesce("own", F.lit(0)).alias("own"))
+    asked = asked.mapInPandas(visit, "id long, v array<double>, key long, leaf int, part int")
     many = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("leaf"))
     held = indexed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int"))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         found = [] if not len(q) or not len(x) else best_of(matrix(q["v"]), q["id"].to_numpy(), matrix(x["v"]), x["id"].to_numpy(), k)
-        ids = q["id"].to_numpy()
-        rows = [(ids[i], j, s) for i, near, score in found for j, s in zip(near, score, strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        ids, keys = q["id"].to_numpy(), q["key"].to_numpy()
+        rows = [(ids[i], keys[i], j, s) for i, near, score in found for j, s in zip(near, score, strict=True)]
+        return pd.DataFrame(rows, columns=["query_id", "query_key", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInPandas(meet, "query_id long, query_key long, vec_id long, score double")
+    nth = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_key")
 
 
 def calibrated(indexed: DataFrame, queries: DataFrame, tree, k: int, recall: float) -> int:

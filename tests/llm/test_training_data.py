@@ -380,6 +380,31 @@ def test_search_recall_and_odd_vectors(spark):
     assert vector_search.search(v.where("false"), v).count() == 0
 
 
+def test_vector_search_gives_k_to_each_of_repeated_queries(spark):
+    x = np.random.default_rng(6).normal(size=(300, 4)).tolist()
+    rows = [*enumerate(x), (100, x[100]), (200, x[7]), *[(7, x[7])] * 300]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query_key", F.lit("mine"))
+    got = vector_search.search(v, v.where("vec_id in (7, 100, 200)")).collect()
+    held = {}
+    for r in got:
+        held.setdefault((r.query_id, r.query_key), []).append(r)
+    assert sorted(q for q, _ in held) == [7, 100, 200, 200]  # equal rows are one query
+    for (q, _), mine in held.items():
+        assert sorted(r["rank"] for r in mine) == [1, 2, 3, 4, 5] and all(r.vec_id != q for r in mine)
+    copies = [m for (q, _), m in held.items() if q == 200 and all(r.vec_id == 7 for r in m)]
+    assert len(copies) == 1 and all(abs(r.score - 1) < 1e-12 for r in copies[0])
+
+
+def test_tree_opens_leaves_until_they_hold_enough():
+    x = vector_search.unit(np.random.default_rng(8).normal(size=(2000, 6)))
+    tree = vector_search.Tree(x)
+    sizes = {leaf: 1 for leaf in range(0, tree.leaves, 3)}  # the others are empty
+    assert len(tree.leaves_near(x[0], 2)) == 2
+    near = tree.leaves_near(x[0], 2, sizes, 6)
+    assert sum(sizes.get(leaf, 0) for leaf in near) == 6
+    assert len(tree.leaves_near(x[0], 1, sizes, 10**6)) == tree.leaves
+
+
 def test_pipeline_stages_keep_their_columns(spark, docs):
     import corpus_pipeline
 
