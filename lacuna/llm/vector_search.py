@@ -168,7 +168,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     own = indexed.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("own"))  # rows that a query of this id passes over
     asked = queries.join(own, F.col("id") == F.col("_id"), "left").select("id", "v", F.xxhash64("id", "v").alias("key"), F.coalesce("own", F.lit(0)).alias("own"))
-    asked = asked.mapInPandas(visit, "id long, v array<double>, key long, leaf int, part int")
+    # Queries are few bytes but each walks the tree, so they are spread over all tasks; a given number is not coalesced.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = asked.repartition(tasks, "key").mapInPandas(visit, "id long, v array<double>, key long, leaf int, part int")
     many = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("leaf"))
     held = indexed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int"))
 
