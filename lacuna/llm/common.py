@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,49 +33,59 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_noted = threading.local()
+#: Folders of written tables with a weak reference to what reads each; more than one thread may write.
+_written: list[tuple[str, str, object]] = []
+_lock = threading.Lock()
 
 
-@contextmanager
-def noting() -> Iterator[list[str]]:
-    """Collects the folders that :func:`materialize` writes meanwhile in this thread."""
-    before, _noted.paths = getattr(_noted, "paths", None), []
-    try:
-        yield _noted.paths
-    finally:
-        _noted.paths = before
-
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Remove folders of tables that nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    The folder lives as long as a DataFrame that reads it, or was derived from one: :func:`sweep` removes it later, and
+    at the latest the end of the session does.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    # Plans derived from this one share its relation.
+    relation = out._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+    with _lock:
+        _written.append((spark.sparkContext.applicationId, path, jvm.java.lang.ref.WeakReference(relation)))
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the folders of tables that no DataFrame of this session can read any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)  # what Python let go is let go in the JVM a little later
+    hadoop, app = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext.applicationId
+    with _lock:
+        gone = [path for of, path, reader in _written if of == app and reader.refersTo(None)]
+        _written[:] = [x for x in _written if x[0] == app and x[1] not in gone]
+    for path in gone:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(hadoop).delete(folder, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession, name)
-    if getattr(_noted, "paths", None) is not None:
-        _noted.paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_buckets(total: int, each: int, least: int = 8, most: int = 1 << 20) -> int:
+def n_buckets(total: int, each: int, least: int = 8) -> int:
     """Buckets of about ``each`` for a total that was counted over all rows."""
-    return int(min(most, max(least, -(-int(total or 0) // each))))
+    return max(least, -(-int(total or 0) // each))
 
 
 def with_range_bucket(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """``df`` with the column ``name``: bucket 0 to n-1 of a numeric key by approximate quantiles; ascending with the key, nulls in bucket 0.
 
-    The boundaries, at most ``n`` numbers of 8 bytes (8 MB for the most buckets that :func:`n_buckets` gives), stand
+    The boundaries, at most ``n`` numbers of 8 bytes stand
     beside each row, and a binary search among them finds its bucket. They are computed once, so a repeated task deals
     its rows out as the first attempt did.
     """

@@ -342,7 +342,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and text, so of repeated ids only what is linked goes. Any columns are carried along.
     """
-    marked = linked(docs)
+    marked = materialize(linked(docs), "linked")  # narrow rows: what led to them can go
     none = marked.where("c is null").select(*keyed(F.col("id"), F.col("tx")), F.lit(True).alias("blank")).distinct()
     rest = marked.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tx")).alias("x"))
     kept = none.unionByName(rest.select(*keyed(F.col("x.id"), F.col("x.tx")), F.lit(False).alias("blank")))

@@ -5,9 +5,12 @@ documents that hold a line are counted; a line in more than ``max_documents`` of
 boilerplate and removed, and a document that keeps less than ``min_kept_share`` of the characters of its lines is rejected.
 
 A copy repeats every line of its original, so counts of rows would take each line of a much copied document for
-boilerplate and lose the original too. Documents of a host are therefore distinct by the hash of their whole set of
-normalised lines: copies count once, and documents that only share lines, be it a block of many, count each.
-Removing copies is the work of the deduplication stages.
+boilerplate and lose the original too. Documents of a host are therefore distinct by their text: copies count once, and
+documents that share lines count each, be it all lines but for their numbers. Removing copies is the work of the
+deduplication stages.
+
+Texts are read once: a narrow table keeps the base metrics and the hashes and lengths of lines. Two 64-bit hashes with
+different seeds stand for a line of a host.
 
 Defined cases: null text is a text without words; its base rules fail. A null host is a host of its own.
 Lines without a word count for nothing. Repeated rows are copies; each gets its own result row. An empty
@@ -19,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
 #: In how many distinct documents of a host a line may stand, and the share of its lines' characters a document must keep.
 MAX_DOCUMENTS, MIN_KEPT_SHARE = 100, 0.5
 SALTS = 16
+#: Frequent lines up to which they are broadcast (16 bytes each).
+MOST_BROADCAST = 1_000_000
 
 
 def let(value: Column, f) -> Column:
@@ -79,49 +84,47 @@ def line_hashes(text: Column) -> Column:
     text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Nd}", "0")
     text = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.md5(x).alias("h"), F.length(x).cast("long").alias("c")))
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("g"), F.xxhash64(F.lit(1), x).alias("h"), F.length(x).cast("long").alias("c")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """One row for each row of ``docs``: the id, the base metrics, base_failed, n_removed_chars and kept."""
-    return judged(docs, id_col, text_col, host_col, max_documents, min_kept_share).drop("_qrow")
+    return judged(docs, id_col, text_col, host_col, max_documents, min_kept_share).drop("_qkey")
 
 
-def row_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> Column:
-    return F.xxhash64(docs[id_col], docs[host_col], docs[text_col])
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> Column:
+    row = [docs[id_col], docs[host_col], docs[text_col]]
+    return F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *reversed(row)).alias("b"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """The rows of :func:`judge` with the hash of each row, ``_qrow``."""
-    rows = docs.select(F.col(id_col).alias("_qid"), F.col(host_col).alias("_qhost"), F.col(text_col).alias("_qtext"), row_hash(docs, id_col, text_col, host_col).alias("_qrow"))
-    lines = (
-        rows.select("_qrow", "_qhost", line_hashes(F.col("_qtext")).alias("_ql"))
-        .where(F.size("_ql") > 0)
-        .withColumn("_qfamily", F.xxhash64(F.array_sort(F.array_distinct(F.transform("_ql", lambda x: x["h"])))))
-        .withColumn("_qall", F.aggregate("_ql", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-        .select("_qrow", "_qhost", "_qfamily", "_qall", F.posexplode("_ql").alias("_qpos", "_qx"))
-        .select("_qrow", "_qpos", "_qall", F.xxhash64(F.coalesce("_qhost", F.lit("")), F.col("_qhost").isNull(), F.col("_qx.h")).alias("_qkey"), "_qfamily", F.col("_qx.c").alias("_qn"))
-    )
+    """The rows of :func:`judge` with the key of each row, ``_qkey``."""
+    text, none = F.col("_qtext"), F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("_qid"), F.col(host_col).alias("_qhost"), F.col(text_col).alias("_qtext"), row_key(docs, id_col, text_col, host_col).alias("_qkey"))
+    narrow = rows.select("_qid", "_qkey", "_qhost", F.xxhash64(text).alias("_qfamily"), *(c.alias(k) for k, c in base_metrics(text).items()), line_hashes(text).alias("_ql"))
+    narrow = narrow.withColumn("_qall", F.aggregate("_ql", none, lambda a, x: a + x["c"])).withColumn("_qrow", F.monotonically_increasing_id())
+    narrow = materialize(narrow, "lines")  # once, so a row's number stays
+    host = [F.coalesce(F.col("_qhost"), F.lit("")), F.col("_qhost").isNull()]
+    key = [F.xxhash64(*host, "_qx.g").alias("_qa"), F.xxhash64("_qx.h", *host).alias("_qb")]
+    lines = narrow.select("_qrow", "_qfamily", "_qhost", F.explode("_ql").alias("_qx")).select("_qrow", "_qfamily", *key, F.col("_qx.c").alias("_qn"))
     frequent = (
-        lines.groupBy("_qkey", "_qfamily").agg(F.lit(1).alias("_qone"))
-        .groupBy("_qkey").agg(F.count("*").alias("_qdocs")).where(F.col("_qdocs") > max_documents)
-        .select("_qkey", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_qsalt"))
-    )
-    # There are at most 1/max_documents as many frequent lines as lines; a hot one meets its lines in SALTS tasks.
-    removed = (
-        lines.withColumn("_qsalt", F.pmod("_qrow", F.lit(SALTS)).cast("int"))
-        .join(frequent, ["_qkey", "_qsalt"], "left_semi")
-        .groupBy("_qrow", "_qpos").agg(F.max("_qn").alias("_qn"), F.max("_qall").alias("_qall"))  # repeated rows count once
-        .groupBy("_qrow").agg(F.sum("_qn").alias("n_removed_chars"), F.max("_qall").alias("_qall"))
+        lines.groupBy("_qa", "_qb", "_qfamily").agg(F.lit(1).alias("_qone"))
+        .groupBy("_qa", "_qb").agg(F.count("*").alias("_qdocs")).where(F.col("_qdocs") > max_documents)
+        .select("_qa", "_qb")
     )
-    metrics = base_metrics(F.col("_qtext"))
-    base = rows.select("_qid", "_qrow", *(c.alias(k) for k, c in metrics.items()))
-    out = base.join(removed, "_qrow", "left")
+    frequent = materialize(frequent, "frequent")  # at most 1/max_documents as many as lines
+    if frequent.count() <= MOST_BROADCAST:
+        hits = lines.join(F.broadcast(frequent), ["_qa", "_qb"], "left_semi")
+    else:  # a hot line meets its lines in SALTS tasks
+        salted = frequent.withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = lines.withColumn("_qsalt", F.pmod("_qrow", F.lit(SALTS)).cast("int")).join(salted, ["_qa", "_qb", "_qsalt"], "left_semi")
+    removed = hits.groupBy("_qrow").agg(F.sum("_qn").alias("n_removed_chars"))
+    out = narrow.drop("_ql", "_qfamily", "_qhost").join(removed, "_qrow", "left")
     n, r = F.col("_qw.n"), F.col("_qw.r")
     failed = (n < 10) | (100 * r > 20 * n)
-    removed_chars = F.coalesce("n_removed_chars", F.lit(0).cast("long"))
-    depleted = F.coalesce(F.col("_qall") - removed_chars < min_kept_share * F.col("_qall"), F.lit(False))
-    return out.select("_qrow", F.col("_qid").alias(id_col), n.alias("n_words"), F.col("_qw.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), removed_chars.alias("n_removed_chars"), (~failed & ~depleted).alias("kept"))
+    removed_chars = F.coalesce("n_removed_chars", none)
+    depleted = F.col("_qall") - removed_chars < min_kept_share * F.col("_qall")
+    return out.select("_qkey", F.col("_qid").alias(id_col), n.alias("n_words"), F.col("_qw.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), removed_chars.alias("n_removed_chars"), (~failed & ~depleted).alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +141,8 @@ cnt AS (SELECT rid, count(*) AS n, sum(length(word)) AS c FROM w GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 l AS (SELECT rid, host, nohost, trim(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS l FROM (SELECT rid, host, nohost, unnest(string_split(regexp_replace(lower(t), '\p{Nd}', '0', 'g'), chr(10))) AS l FROM d)),
 k AS (SELECT rid, host, nohost, l FROM l WHERE l <> ''),
-q AS (SELECT rid, string_agg(DISTINCT l, chr(10) ORDER BY l) AS lines FROM k GROUP BY rid),
-f AS (SELECT host, nohost, l FROM k JOIN q USING (rid) GROUP BY ALL HAVING count(DISTINCT lines) > 100),
+q AS (SELECT rid, md5(t) AS whole FROM d),
+f AS (SELECT host, nohost, l FROM k JOIN q USING (rid) GROUP BY ALL HAVING count(DISTINCT whole) > 100),
 x AS (SELECT k.rid, sum(length(k.l)) AS total, coalesce(sum(length(k.l)) FILTER (f.l IS NOT NULL), 0) AS gone FROM k LEFT JOIN f ON k.host = f.host AND k.nohost = f.nohost AND k.l = f.l GROUP BY k.rid),
 m AS (SELECT doc_id, coalesce(cnt.n, 0) AS n_words, coalesce(cnt.c, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
  coalesce(rep.n, 0) AS n_repeat_words, coalesce(x.gone, 0)::BIGINT AS n_removed_chars, coalesce(x.total, 0) AS total
@@ -151,5 +154,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their columns; rows that share an id, or have none, are kept each by itself."""
-    kept = judged(docs).where("kept").select(F.col("_qrow").alias("_qkept")).distinct()
-    return docs.join(kept, row_hash(docs) == kept["_qkept"], "left_semi")
+    kept = materialize(judged(docs).where("kept").select(F.col("_qkey").alias("_qkept")).distinct(), "kept")
+    return docs.join(kept, row_key(docs) == kept["_qkept"], "left_semi")

@@ -526,6 +526,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     gone = repeated_spans(texts, total, span, gram, hot_slices, hashed=not few_copies).withColumnsRenamed({"tx": "_tx", "id": "_id"})
     # Of equal texts the first one's result is read; rows that share its id have the same one.
     gone = gone.join(first, (F.col("_tx") == F.col("_ftx")) & (F.col("_id") == F.col("first"))).drop("_ftx", "first", "_id").dropDuplicates(["_tx"])
+    if few_copies:
+        gone = materialize(gone, "gone")  # places alone: what led to them can go
     out = rows.join(first, F.col("tx") == F.col("_ftx"), "left").join(gone, F.col("tx") == F.col("_tx"), "left")
     copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("bytes") >= span), F.lit(False))
     lost = F.col("removed").isNotNull() & F.col("id").isNotNull()

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with the cases that their docstrings define."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lacuna import llm
-from lacuna.llm import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
+from lacuna.llm import chat_format, common, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
 from lacuna.llm.common import shared_dir
 from lacuna.llm.encoding import Encoder
 
@@ -224,6 +225,25 @@ def test_a_block_of_shared_lines_is_boilerplate(spark):
     assert {r.n_removed_chars for r in few} == {0} and all(r.kept for r in few)
 
 
+def test_documents_that_differ_in_numbers_alone_are_distinct(spark):
+    """A menu goes from 400 receipts whose own line differs only in digits; 400 copies of one receipt count once."""
+    menu = [f"{w} and more words of the menu here" for w in ("home", "about us", "contact")]
+    receipts = [(i, "\n".join([*menu, f"receipt number {i} of {i * 31} over {i * 7} coins for the goods that were sold on day {i % 30}"]), "en", "shop", 0, 1) for i in range(400)]
+    copies = [(1000 + i, receipts[0][1].replace("receipt", "bill"), "en", "other", 0, 1) for i in range(400)]
+    got = quality_rules.judge(spark.createDataFrame(receipts + copies, DOCS)).collect()
+    # The own line is one after its numbers are normalised, and goes too.
+    assert all(r.n_removed_chars >= sum(map(len, menu)) for r in got if r.doc_id < 400) and {r.n_removed_chars for r in got if r.doc_id >= 1000} == {0}
+
+
+def test_many_frequent_lines_give_the_same_without_a_broadcast(spark, monkeypatch):
+    texts = [f"a line of words that {i % 3} documents share\nand line {spelt(i)} that is its own" for i in range(40)]
+    frame = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 0, 1) for i, t in enumerate(texts)], DOCS)
+    rows = lambda: sorted(map(tuple, quality_rules.judge(frame, max_documents=1).collect()), key=str)
+    small = rows()
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 0)
+    assert rows() == small and all(r[7] for r in small)
+
+
 def test_the_rules_keep_rows_and_not_ids(spark):
     good = lambda i: " ".join(spelt(1000 * i + k) for k in range(20))
     rows = [(1, good(1)), (1, "too short"), (None, good(2)), (None, "short too"), (2, good(3)), (2, good(4)), (3, "short")]
@@ -419,6 +439,26 @@ def test_pipeline_stages_keep_their_columns(spark, docs):
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_a_second_run_of_the_pipeline_leaves_the_first_result_readable(spark):
+    import corpus_pipeline
+
+    first = corpus_pipeline.run(spark, FOLDER)
+    rows = first.count()
+    second = corpus_pipeline.run(spark, FOLDER)
+    common.sweep(spark)
+    assert first.count() == rows == second.count()
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    held = common.materialize(spark.range(10), "held")
+    derived = common.materialize(spark.range(20), "derived").where("id > 4")
+    lost = common.materialize(spark.range(30), "lost").inputFiles()[0]
+    for _ in range(5):
+        common.sweep(spark)
+    assert held.count() == 10 and derived.count() == 15
+    assert not os.path.exists(lost.removeprefix("file://")) and os.path.exists(held.inputFiles()[0].removeprefix("file://"))
+
+
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
