@@ -2,50 +2,38 @@
 
 quality rules -> near-duplicates -> repeated passages -> mixture of sources -> packed sequences
 
-A stage's result is written before the next stage begins, so that then the tables it worked with are removed, unless
-the next one's documents still read them. One pipeline at a time runs in a thread.
+What a stage wrote on its way is removed when a later stage begins, once no DataFrame reads it any more: results of
+earlier runs stay readable for as long as they are held.
 """
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lacuna.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
-from lacuna.llm.common import drop, materialize, noting, table
+from lacuna.llm.common import materialize, sweep, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_last = threading.local()
 
-
-def tidy(stage: Stage) -> Stage:
-    """The stage, which first removes what the stage before it in this thread worked with."""
+def swept(stage: Stage) -> Stage:
+    """The stage, which first removes the tables that nothing reads any more."""
 
     def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        old, files = getattr(_last, "paths", []), docs.inputFiles()
-        used = any(path.rsplit("/", 1)[-1] in file for path in old for file in files)
-        if not used:
-            drop(spark, old)
-        with noting() as paths:
-            _last.paths = paths
-            try:
-                return stage(spark, docs, sf_dir)
-            finally:
-                if used:
-                    paths += old
+        sweep(spark)
+        return stage(spark, docs, sf_dir)
 
     return run_
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", tidy(quality_rules.stage)),
-    ("near_dedup", tidy(near_dedup.stage)),
-    ("suffix_dedup", tidy(suffix_dedup.stage)),
-    ("mix_sources", tidy(mixing.stage)),
-    ("best_fit_packing", tidy(packing.stage)),
+    ("quality_rules", swept(quality_rules.stage)),
+    ("near_dedup", swept(near_dedup.stage)),
+    ("suffix_dedup", swept(suffix_dedup.stage)),
+    ("mix_sources", swept(mixing.stage)),
+    ("best_fit_packing", swept(packing.stage)),
 ]
 
 #: Signatures, suffix order and the packing plan are not SQL; the tests hold each stage against brute force or its invariants.
