@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
+from . import automaton_dedup, chat_format, importance, lexical_search, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         warc.op8_warc_archives,
         sharding.op9_shard_bytes,
         suffix_dedup.op10_suffix_dedup,
+        importance.op11_importance_resampling,
+        automaton_dedup.op12_automaton_dedup,
+        lexical_search.op13_lexical_search,
     )
 }
 ORACLES = {
@@ -26,4 +29,7 @@ ORACLES = {
     "op8_warc_archives": warc.ORACLE_SQL,
     "op9_shard_bytes": sharding.ORACLE_SQL,
     "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
+    "op12_automaton_dedup": automaton_dedup.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }

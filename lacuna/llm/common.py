@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,6 +101,22 @@ def with_range_bucket(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(table_)).withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("_cuts")  # one row beside each
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` (on storage that gives the same rows twice) with ``name``: each row's place in the order, from 1.
+
+    One shuffle by ranges of the order. A row's number inside its partition stands in its id, and the rows before come
+    from a total for each partition.
+    """
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    out = materialize(out, "ranked")  # once, so partitions stay as they are
+    part = F.shiftright(name, 33)
+    sizes = sorted((r["p"], r["n"]) for r in out.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    bases = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part long, _base long")
+    place = F.col("_base") + F.col(name).bitwiseAND((1 << 33) - 1) + 1
+    return out.join(F.broadcast(bases), part == F.col("_part")).withColumn(name, place).drop("_part", "_base")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` has about ``limit`` bytes in each, a longer value standing alone."""
     for batch in batches:
@@ -165,6 +181,15 @@ class SpanHashes:
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTES[data] * self.up[: len(data)], out=self.sums[1:])
 
+    @classmethod
+    def over(cls, values: np.ndarray) -> SpanHashes:
+        """Hashes of spans of a sequence of 64-bit hashes."""
+        out = cls(np.empty(0, np.uint8))
+        out.up, out.down = _powers(len(values) + 1)
+        out.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * out.up[: len(values)], out=out.sums[1:])
+        return out
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 

@@ -53,7 +53,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tupl
     none = np.empty(0, np.int64)
     if len(data) < span:
         return none, none.astype(np.uint64), none, none
-    value = SpanHashes(data).grams(gram)[: len(data) - gram + 1]
+    return anchors_of(SpanHashes(data).grams(gram)[: len(data) - gram + 1], offsets, span, gram)
+
+
+def anchors_of(value: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the hashes of all runs of ``gram`` symbols, ``span`` or more symbols in all."""
     # Half of the hash above the place: the smallest is the leftmost of the smallest hashes.
     least = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
     size, width = 1, span - gram + 1
