@@ -1,12 +1,16 @@
 """URL parts and 52 lexical features as built-in expressions.
 
 The parts follow the usual split of a URL without percent-decoding: a missing scheme reads as ``http``, tabs and
-line ends inside vanish, the host ends the user part at the last ``@``, and unbalanced brackets empty every part.
+line ends inside vanish, and the host ends the user part at the last ``@``. Unbalanced brackets, brackets around anything
+but an IPv6 (or later) address, and characters that normalise to a delimiter in the network part empty every part.
 All features are doubles and never null; a null URL is the empty string.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,47 @@ SCRIPT_ENDINGS = ("php", "asp", "aspx", "jsp", "cgi", "pl", "py")
 ARCHIVE_ENDINGS = ("zip", "rar", "7z", "gz", "tar", "exe", "msi", "apk", "scr")
 TEMPLATE = r"(?d)^https://www\.[^/?#]+/?$"
 
-_DIGITS = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
+def _class(of, base: str = "", category: str = "") -> str:
+    """The inside of a character class: ``base`` and, by rule, what ``of`` holds for outside the base's category."""
+    found = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and of(chr(c)) and unicodedata.category(chr(c)) != category]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return base + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
+@cache
+def digits() -> str:
+    return _class(str.isdigit, r"\p{Nd}", "Nd")
+
+
+@cache
+def uppers() -> str:
+    return _class(str.isupper, r"\p{Lu}", "Lu")
+
+
+@cache
+def unsafe_in_networks() -> str:
+    """Characters that turn into a delimiter of a URL's parts when they are normalised."""
+    return _class(lambda c: c not in "/?#@:" and any(x in unicodedata.normalize("NFKC", c) for x in "/?#@:"))
+
+
+def _address() -> str:
+    """A pattern of what may stand in a host's brackets: an IPv6 address with or without a scope, or a later version's."""
+    h, octet = "[0-9A-Fa-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    last = f"(?:{h}:{h}|{octet}(?:\\.{octet}){{3}})"
+    forms = [f"(?:{h}:){{6}}{last}"]
+    for left in range(8):
+        head = f"(?:(?:{h}:){{0,{left - 1}}}{h})?" if left else ""
+        tail = f"(?:{h}:){{{5 - left}}}{last}" if left < 5 else last if left == 5 else h if left == 6 else ""
+        forms.append(f"{head}::{tail}")
+    return f"(?:(?:{'|'.join(forms)})(?:%[^%]+)?|v[a-fA-F0-9]+\\..+)"
+
+
+_ADDRESS = _address()
 
 
 #: What counts as white space at the ends of a URL.
@@ -43,16 +87,22 @@ def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     df = df.withColumn("_full", full).withColumn("_scheme", F.substring_index("_full", "://", 1))
     df = df.withColumn("_rest", F.substring(F.col("_full"), F.length("_scheme") + 4, F.length("_full"))).withColumn("_plain", F.substring_index("_rest", "#", 1))
     df = df.withColumn("_place", F.substring_index("_plain", "?", 1)).withColumn("_net", F.substring_index("_place", "/", 1))
-    df = df.withColumn("_good", F.contains("_net", F.lit("[")) == F.contains("_net", F.lit("]")))
+    # Brackets and characters beyond ASCII are rare; only rows that have them pay for their checks.
+    opens, closes = F.contains("_net", F.lit("[")), F.contains("_net", F.lit("]"))
+    inside = F.substring_index(F.regexp_extract("_net", r"(?s)^[^\[]*\[(.*)$", 1), "]", 1)
+    brackets = F.when(opens & closes, inside.rlike(f"(?s)^{_ADDRESS}\\z")).otherwise(opens == closes)
+    unsafe = F.when(F.octet_length("_net") > F.length("_net"), F.col("_net").rlike(f"[{unsafe_in_networks()}]")).otherwise(False)
+    df = df.withColumn("_good", brackets & ~unsafe)
     good = lambda c: F.when(F.col("_good"), c).otherwise("")
     df = df.withColumns({
         "scheme": good(F.lower("_scheme")), "netloc": good(F.col("_net")), "path": good(F.substring(F.col("_place"), F.length("_net") + 1, F.length("_place"))),
         "query": good(after("_plain", "_place")), "fragment": good(after("_rest", "_plain")),
     })
     df = df.withColumn("_host", F.substring_index("netloc", "@", -1)).withColumn("_user", F.substring(F.col("netloc"), F.lit(1), F.greatest(F.length("netloc") - F.length("_host") - 1, F.lit(0))))
-    boxed = F.col("_host").startswith("[")
-    df = df.withColumn("_name", F.when(boxed, F.regexp_extract("_host", r"^\[[^\]]*\]", 0)).otherwise(F.substring_index("_host", ":", 1)))
-    df = df.withColumns({"username": F.substring_index("_user", ":", 1), "host": F.lower(F.when(boxed, F.regexp_extract("_host", r"^\[([^\]]*)\]", 1)).otherwise(F.col("_name"))), "_port": after("_host", "_name")})
+    boxed = F.contains("_host", F.lit("["))
+    box = lambda k: F.regexp_extract("_host", r"(?s)^([^\[]*\[([^\]]*)\]?[^:]*)", k)
+    df = df.withColumn("_name", F.when(boxed, box(1)).otherwise(F.substring_index("_host", ":", 1)))
+    df = df.withColumns({"username": F.substring_index("_user", ":", 1), "host": F.lower(F.when(boxed, box(2)).otherwise(F.col("_name"))), "_port": after("_host", "_name")})
     number = F.when(F.col("_port").rlike("^[0-9]{1,9}$"), F.col("_port").try_cast("int"))
     return df.withColumn("port", F.when(number <= 65535, number)).drop("_full", "_scheme", "_rest", "_plain", "_place", "_net", "_good", "_host", "_user", "_name", "_port")
 
@@ -65,6 +115,11 @@ def class_count(s: Column, inside: str) -> Column:
     return F.length(F.regexp_replace(s, f"[^{inside}]", "")).cast("double")
 
 
+def kind_count(s: Column, ascii_: str, any_: str) -> Column:
+    """Characters of a class: strings without others than ASCII are matched against its ASCII part."""
+    return F.when(F.octet_length(s) == F.length(s), class_count(s, ascii_)).otherwise(class_count(s, any_))
+
+
 def entropy(s: Column) -> Column:
     """Bits of the distribution of characters; 0 for the empty string."""
     ordered = F.array_join(F.array_sort(F.split(s, "")), "")
@@ -97,15 +152,15 @@ def with_features(df: DataFrame, url_col: str = "url", rules: Rules | None = Non
     n, dn = F.greatest(F.length(u), F.lit(1)).cast("double"), F.greatest(F.length(d), F.lit(1)).cast("double")
     parts = lambda c, by: F.filter(F.split(c, by), lambda s: s != "")
     # In steps, so that no generated method outgrows what the JVM compiles.
-    df = df.withColumns({"_nd": class_count(u, _DIGITS), "_nl": class_count(u, r"\p{L}"), "_tokens": tokens(F.lower(u)), "_dtokens": tokens(rd), "_segments": parts(F.col("path"), "/")})
+    df = df.withColumns({"_nd": kind_count(u, "0-9", digits()), "_nl": kind_count(u, "a-zA-Z", r"\p{L}"), "_tokens": tokens(F.lower(u)), "_dtokens": tokens(rd), "_segments": parts(F.col("path"), "/")})
     df = df.withColumns({f"{k}_length": F.length(c).cast("double") for k, c in (("url", u), ("domain", F.col("host")), ("subdomain", F.col("subdomain")), ("path", F.col("path")), ("query", F.col("query")), ("fragment", F.col("fragment")))})
     df = df.withColumns({
         "path_depth": F.regexp_count("path", F.lit("[^/]+")).cast("double"), "n_query_params": F.regexp_count("query", F.lit("[^&]+")).cast("double"),
-        "digit_ratio": F.col("_nd") / n, "letter_ratio": F.col("_nl") / n, "special_ratio": (n - F.col("_nd") - F.col("_nl")) / n, "upper_ratio": class_count(u, r"\p{Lu}") / n, "entropy_url": entropy(u),
+        "digit_ratio": F.col("_nd") / n, "letter_ratio": F.col("_nl") / n, "special_ratio": (n - F.col("_nd") - F.col("_nl")) / n, "upper_ratio": kind_count(u, "A-Z", uppers()) / n, "entropy_url": entropy(u),
     })
     df = df.withColumns({f"n_{k}": count_of(u, c) for k, c in (("dots", "."), ("hyphens", "-"), ("underscores", "_"), ("slashes", "/"), ("equals", "="), ("ampersands", "&"), ("at", "@"), ("tilde", "~"), ("plus", "+"), ("commas", ","))})
     df = df.withColumns({
-        "n_hex_escapes": F.regexp_count(u, F.lit("%[0-9a-fA-F]{2}")).cast("double"), "entropy_domain": entropy(d), "domain_digit_ratio": class_count(d, _DIGITS) / dn, "domain_hyphen_count": count_of(d, "-"),
+        "n_hex_escapes": F.regexp_count(u, F.lit("%[0-9a-fA-F]{2}")).cast("double"), "entropy_domain": entropy(d), "domain_digit_ratio": class_count(d, digits()) / dn, "domain_hyphen_count": count_of(d, "-"),
         "domain_vowel_ratio": F.coalesce(class_count(d, "aeiou") / F.nullif(class_count(d, r"\p{L}"), F.lit(0.0)), F.lit(0.0)),
         "domain_max_consonant_run": longest(d, r"([\p{L}&&[^aeiou]]+)"), "domain_max_repeat_run": longest(d, r"((?s)(.)\2*)"), "domain_digit_group_count": F.regexp_count(d, F.lit(r"\p{Nd}+")).cast("double"),
         "domain_token_count": F.size("_dtokens").cast("double"), "domain_longest_token": F.coalesce(F.array_max(F.transform("_dtokens", F.length)), F.lit(0)).cast("double"), "n_subdomains": F.regexp_count("subdomain", F.lit("[^.]+")).cast("double"),

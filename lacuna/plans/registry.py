@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import audit, experiment, live, metrics, model, splits
-from ..sources import readers
+from ..sources import blocks, days, readers
+from ..sources.shared import removed_at_exit, shared_dir
 from ..streaming import ingest
 from . import bindings as B
 
@@ -478,8 +479,75 @@ def path_presence(s: SparkSession, d: str) -> DataFrame:
     return model.path_presence(B.corpus(s, d))
 
 
-@query()
+@query("WITH " + B.PARTS + """, b4 AS (SELECT row_id % 997 AS block, u AS url, registrable AS domain, md5((row_id % 997) || '-20260920') AS bo, md5(u || '-20260920') AS uo FROM x),
+k4 AS (SELECT DISTINCT bo, block FROM b4 ORDER BY bo, block LIMIT 400), o4 AS (SELECT b4.* FROM b4 JOIN k4 USING (bo, block) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY bo, block, uo, url) = 1),
+t4 AS (SELECT * FROM o4 QUALIFY row_number() OVER (PARTITION BY block ORDER BY bo, block, uo, url) <= 5) SELECT block, url, domain FROM t4 ORDER BY bo, block, uo, url LIMIT 500""")
 def random_pages(s: SparkSession, d: str) -> DataFrame:
     """A sample of the corpus as an index in 997 blocks: one URL for each domain, five for each block, in a shuffled order."""
     records = B.corpus(s, d).select((F.col("row_id") % 997).alias("block"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("mime"))
     return readers.random_urls(records, 500, per_block=5, max_blocks=400)
+
+
+# --- crawl index in blocks ------------------------------------------------------------------------------------------------
+
+_RECORDS = B.PARTS + """, k3 AS (SELECT array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path || (CASE WHEN query <> '' THEN '?' || query ELSE '' END) AS urlkey, lpad(row_id::VARCHAR, 14, '0') AS timestamp, u AS url,
+ ['200', '404', '301', '200', '200'][(row_id % 5 + 1)::INT] AS status, ['text/html', 'application/xhtml+xml', 'image/png'][(row_id % 3 + 1)::INT] AS mime FROM x),
+a3 AS (SELECT DISTINCT array_to_string(list_reverse(string_split(registrable, '.')), ',') AS prefix FROM x WHERE suffix IN ('org', 'co.uk')), r3 AS (SELECT prefix, urlkey, timestamp, url, status, mime FROM a3 JOIN k3 ON starts_with(urlkey, prefix || ')') OR starts_with(urlkey, prefix || ','))"""
+
+
+def _indexed(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The corpus as a crawl index in compressed blocks, and the reversed domains of two suffixes as prefixes to look up."""
+    rows = U.with_suffix(U.with_parts(B.corpus(s, d)))
+    key = F.concat(U.surt(F.col("host")), F.lit(")"), F.col("path"), F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise(""))
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), (F.col("row_id") % k).cast("int"))
+    records = rows.select(key.alias("urlkey"), F.lpad(F.col("row_id").cast("string"), 14, "0").alias("timestamp"), F.col("u").alias("url"), pick(5, "200", "404", "301", "200", "200").alias("status"), pick(3, "text/html", "application/xhtml+xml", "image/png").alias("mime"))
+    path = shared_dir(s, "crawl-index")
+    blocks.write_blocks(records, path, per_block=500)
+    removed_at_exit(s, path)
+    return path, rows.where(F.col("suffix").isin("org", "co.uk")).select(U.surt(F.col("registrable")).alias("prefix")).distinct()
+
+
+@query("WITH " + _RECORDS + " SELECT * FROM r3")
+def sparse_index_records(s: SparkSession, d: str) -> DataFrame:
+    """Records of many domains by ranged reads of the blocks that can hold them."""
+    path, prefixes = _indexed(s, d)
+    return blocks.domain_records(s, path, prefixes).drop("block", "line_no")
+
+
+@query("WITH " + _RECORDS + ", n3 AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY urlkey, timestamp, url) AS n FROM r3), p3 AS (SELECT * FROM n3 WHERE n <= 12 AND status = '200' AND contains(mime, 'html')) SELECT prefix, url FROM p3 QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n) <= 3")
+def sparse_index_pages(s: SparkSession, d: str) -> DataFrame:
+    """Of the first 12 records of each domain the first 3 fetched pages."""
+    path, prefixes = _indexed(s, d)
+    return blocks.pages_of(s, path, prefixes, per_domain=3)
+
+
+_LINES = B.PARTS + """, l5 AS (SELECT row_id, CASE WHEN row_id % 13 = 0 THEN scheme || '://' || netloc || '/robots.txt' ELSE u END AS url, registrable AS domain, ['200', '404', '200', '301', '200'][(row_id % 5 + 1)::INT] AS status, ['text/html', 'application/pdf'][((row_id // 7) % 2 + 1)::INT] AS mime FROM x),
+w5 AS (SELECT *, CASE WHEN row_id % 11 = 0 THEN 'damaged' WHEN status <> '200' THEN 'not_200' WHEN NOT contains(mime, 'html') THEN 'not_html' WHEN ends_with(url, '/robots.txt') THEN 'no_page' END AS why FROM l5),
+g5 AS (SELECT domain, count(*) AS n FROM w5 WHERE why IS NULL GROUP BY 1), f5 AS (SELECT * FROM g5 ORDER BY md5(domain || '-20260920'), domain LIMIT 40), s5 AS (SELECT n, domain IN (SELECT domain FROM f5) AS of FROM g5)
+SELECT reason, coalesce(n, 0)::BIGINT AS n FROM (SELECT r.reason, c.n FROM (VALUES ('damaged'), ('not_200'), ('not_html'), ('no_page')) r(reason) LEFT JOIN (SELECT why, count(*) AS n FROM w5 GROUP BY why) c ON c.why = r.reason
+ UNION ALL SELECT 'over_domains', sum(n) FILTER (NOT of) FROM s5 UNION ALL SELECT 'over_per_domain', sum(greatest(n - 5, 0)) FILTER (of) FROM s5 UNION ALL SELECT 'kept', sum(least(n, 5)) FILTER (of) FROM s5)"""
+
+
+@query("WITH " + _LINES)
+def index_tallies(s: SparkSession, d: str) -> DataFrame:
+    """The corpus as lines of an index, some of them damaged: how many are kept, and how many are refused for each reason."""
+    rows = U.with_suffix(U.with_parts(B.corpus(s, d)))
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    url = F.when(F.col("row_id") % 13 == 0, F.concat("scheme", F.lit("://"), "netloc", F.lit("/robots.txt"))).otherwise(F.col("u"))
+    line = F.to_json(F.struct(url.alias("url"), pick(F.col("row_id") % 5, "200", "404", "200", "301", "200").alias("status"), pick(F.floor(F.col("row_id") / 7) % 2, "text/html", "application/pdf").alias("mime")))
+    path = shared_dir(s, "index-lines")
+    rows.select(F.when(F.col("row_id") % 11 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    removed_at_exit(s, path)
+    return readers.tallied_index(s, path, per_domain=5)[1]
+
+
+@query("WITH " + B.URLS + " SELECT page_id, url, y, source, snapshot_date FROM u")
+def sealed_days(s: SparkSession, d: str) -> DataFrame:
+    """Days written once as files, every other one sealed, and read back under one glob."""
+    rows, path, key = B.urls(s, d).select("page_id", "url", "y", "source", "snapshot_date"), shared_dir(s, "days"), "0123456789abcdef"
+    even = F.dayofmonth("snapshot_date") % 2 == 0
+    days.write_sealed(rows.where(even), path, key, block_rows=500)
+    days.write_plain(rows.where(~even), path)
+    days.write_plain(rows.withColumn("url", F.lit("of a later writer")), path)  # leaves all days as they are
+    removed_at_exit(s, path)
+    return days.read_days(s, path, "page_id long, url string, y int, source string", key)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.suffixes import Rules, with_suffix
 from ..functions.urls import with_parts
+from .shared import materialize
 
 
 @dataclass(frozen=True)
@@ -147,20 +149,58 @@ def latest_collection(spark: SparkSession, path: str) -> DataFrame:
     return page.agg(F.coalesce(F.min(first), F.max(F.array_max(F.regexp_extract_all("value", F.lit(r"(CC-MAIN-\d{4}-\d{2})"), 1)))).alias("collection"))
 
 
+def refusals() -> dict[str, Column]:
+    """Why an index record is refused, in the order in which the reasons are looked at."""
+    return {
+        "not_200": ~F.coalesce(F.col("status") == "200", F.lit(False)),
+        "not_html": ~F.coalesce(F.contains("mime", F.lit("html")), F.lit(False)),
+        "no_page": F.coalesce(F.regexp_replace("url", "/+$", "").rlike(r"(robots\.txt|sitemap\.xml)$"), F.lit(False)),
+    }
+
+
+def page() -> Column:
+    """Whether an index record (url, status, mime) is a fetched HTML page and no robots or sitemap file."""
+    return ~reduce(Column.__or__, refusals().values())
+
+
 def fetched_pages(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Index records (url, status, mime, ...) of fetched HTML pages that are no robots or sitemap files, with their domain."""
-    rows = rows.where((F.col("status") == "200") & F.contains("mime", F.lit("html")) & ~F.regexp_replace("url", "/+$", "").rlike(r"(robots\.txt|sitemap\.xml)$"))
+    rows = rows.where(page())
     kept = rows.columns
     return with_suffix(with_parts(rows), "host", rules).select(*kept, F.col("registrable").alias("domain"))
 
 
-def read_index(spark: SparkSession, path: str, per_domain: int = 25, domains: int = 40, rules: Rules | None = None) -> DataFrame:
+def read_index(spark: SparkSession, path: str, per_domain: int = 25, domains: int = 40, rules: Rules | None = None, seed: int = 20260920) -> DataFrame:
     """Index records (NDJSON) of fetched pages, at most so many domains and of each so many."""
+    return tallied_index(spark, path, per_domain, domains, rules, seed)[0]
+
+
+def tallied_index(spark: SparkSession, path: str, per_domain: int = 25, domains: int = 40, rules: Rules | None = None, seed: int = 20260920) -> tuple[DataFrame, DataFrame]:
+    """(url, domain) of :func:`read_index`, and (reason, n): the records kept and those refused for each reason, all records of the input.
+
+    Lines are read once: damaged ones, and those that a filter refuses, are counted while the rest is written. Quotas
+    then count what is written. Domains are taken in a shuffled order.
+    """
     from ..operators.live import top_per_group
 
-    rows = fetched_pages(spark.read.schema("url string, status string, mime string").json(path), rules).select("url", "domain")
-    first = rows.select("domain").distinct().orderBy(F.xxhash64("domain"), "domain").limit(domains)
-    return top_per_group(rows.join(first, "domain", "left_semi"), "domain", ["url"], per_domain).drop("rank")
+    raw = spark.read.schema("url string, status string, mime string, _damaged string").option("columnNameOfCorruptRecord", "_damaged").json(path)
+    reason = F.when(F.col("_damaged").isNotNull(), "damaged")
+    for name, refused in refusals().items():
+        reason = reason.when(refused, name)
+    seen = Observation()
+    counts = [F.count_if(F.col("_why") == name).alias(name) for name in ("damaged", *refusals())]
+    rows = raw.withColumn("_why", reason).observe(seen, *counts).where(F.col("_why").isNull()).drop("_why", "_damaged")
+    rows = materialize(with_suffix(with_parts(rows), "host", rules).select("url", F.col("registrable").alias("domain")), "index")
+    shuffled = F.md5(F.concat(F.coalesce("domain", F.lit("")), F.lit(f"-{seed}")))
+    sizes = materialize(rows.groupBy("domain").agg(F.count("*").alias("n")), "sizes")
+    first = sizes.orderBy(shuffled, "domain").limit(domains).select(F.col("domain").alias("_first"))
+    chosen = sizes.join(F.broadcast(first), F.col("domain").eqNullSafe(F.col("_first")), "left")  # `domains` rows
+    is_first = F.col("_first").isNotNull()
+    over = chosen.agg(F.sum(F.when(is_first, 0).otherwise(F.col("n"))).alias("over_domains"), F.sum(F.when(is_first, F.greatest(F.col("n") - per_domain, F.lit(0))).otherwise(0)).alias("over_per_domain"), F.sum(F.when(is_first, F.least(F.col("n"), F.lit(per_domain))).otherwise(0)).alias("kept"))
+    quotas = over.select(F.explode(F.array(*(F.struct(F.lit(c).alias("reason"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n")) for c in over.columns))).alias("x")).select("x.*")
+    tallies = spark.createDataFrame(list(seen.get.items()), "reason string, n long").unionByName(quotas)
+    kept = top_per_group(rows.join(F.broadcast(first), F.col("domain") == F.col("_first"), "left_semi"), "domain", ["url"], per_domain).drop("rank")
+    return kept, tallies
 
 
 def random_urls(records: DataFrame, n: int, per_block: int = 5, max_blocks: int = 400, seed: int = 20260920, rules: Rules | None = None) -> DataFrame:
@@ -171,7 +211,7 @@ def random_urls(records: DataFrame, n: int, per_block: int = 5, max_blocks: int
     """
     from ..operators.live import top_per_group
 
-    order = lambda *c: F.xxhash64(*c, F.lit(seed))
+    order = lambda *c: F.md5(F.concat_ws("-", *c, F.lit(seed)))
     blocks = records.select("block").distinct().orderBy(order("block"), "block").limit(max_blocks)
     rows = fetched_pages(records.join(blocks, "block", "left_semi"), rules)
     rows = rows.withColumn("at", F.struct(order("block").alias("b"), F.col("block"), order("url").alias("u"), F.col("url")))
@@ -204,19 +244,15 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str) -> int:
-    """Write the days that the table does not hold; a day is written once and never changed. Returns the rows written.
+    """Write the days that the table does not hold; returns the rows written.
 
-    A day's files are put in place of the day's folder as a whole, so that of two writers one wins and none appends.
+    A day is written once: the first writer claims it, and of two writers that both found no such day one writes it.
     """
-    spark = rows.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        held = spark.read.option("basePath", path).parquet(path).select("snapshot_date").distinct()
-        rows = rows.join(F.broadcast(held), "snapshot_date", "left_anti")  # a row for each day
-    n = rows.count()
-    if n:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
-    return n
+    from .days import write_table
+
+    rows = materialize(rows, "snapshot")  # what is counted is what is written
+    days = write_table(rows, path)
+    return rows.where(F.col("snapshot_date").cast("string").isin(days)).count() if days else 0
 
 
 def record_sealed(sealed: DataFrame, manifest: str, name: str) -> None:

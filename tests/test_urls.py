@@ -42,3 +42,41 @@ def test_parts_agree_with_the_standard_library(spark):
             assert (r["path"], r["query"], r["fragment"], r["host"]) == (p.path, p.query, p.fragment, p.hostname or "")
 
     run()
+
+
+def expected(url):
+    try:
+        p = urlsplit(url)
+    except ValueError:
+        return ("", "", "", "", "")
+    return (p.netloc, p.path, p.query, p.fragment, (p.hostname or "").lower())
+
+
+def parted(spark, urls):
+    rows = U.with_parts(spark.createDataFrame([(u,) for u in urls], "url string")).select("url", "netloc", "path", "query", "fragment", "host")
+    return {r[0]: tuple(r[1:]) for r in rows.collect()}
+
+
+def test_brackets_hold_addresses_alone(spark):
+    names = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "::ffff:1.2.3.4", "::ffff:1.2.3.256", "::01.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1.2.3.4", "zz", "v1.a", "v.a", "vF.:x", "fe80::1%eth0", "fe80::1%", "::1%a%b", "12345::", "1::2::3", ":1", "1:", "", "::g"]
+    urls = [f"http://{a}[{n}]{b}" for n in names for a, b in (("", "/x"), ("u@", ":80/y?z#w"), ("a", "b"), ("[::1]@", ""))]
+    urls += ["http://[/x", "http://]x/y", "http://a]b[c/", "http://[::1", "http://h/[zz]?[q]", "http://[::1]@host/p"]
+    got = parted(spark, urls)
+    assert {u: got[u] for u in urls if got[u] != expected(u)} == {}
+
+
+def test_parts_of_characters_of_all_scripts_agree_with_the_standard_library(spark):
+    import unicodedata
+
+    rest = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or c % 97 == 0) and not chr(c).isspace()]
+    urls = [f"http://a{c}b.com/p{c}?q={c}" for c in rest]
+    got = parted(spark, urls)
+    assert {u: got[u] for u in urls if got[u] != expected(u)} == {}
+    assert sum(got[u][0] == "" for u in urls) > 10
+
+
+def test_digits_and_capitals_beyond_ascii(spark):
+    text = "①Ⓐ Ⅷ²٣éÉ9Z中"
+    r = U.with_features(spark.createDataFrame([(text,), ("http://A1.com",)], "url string")).select("url", "digit_ratio", "upper_ratio").collect()
+    for url, digits, upper in r:
+        assert (digits, upper) == (sum(map(str.isdigit, url)) / len(url), sum(map(str.isupper, url)) / len(url))
