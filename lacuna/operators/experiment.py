@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import materialize
 from . import audit, live, metrics
 from .metrics import r6
 
@@ -38,11 +39,26 @@ def two_by_two(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame, old: floa
     return x.select(*(r6(F.col(k)).alias(k) for k in "abcd"), r6(gap).alias("gap"), r6(recovery).alias("recovery"), r6(F.try_divide(recovery, gap)).alias("recovery_fraction"))
 
 
+def evaluated_all(scored: DataFrame, thresholds: dict[str, dict[str, float]], n_resamples: int = 1000, seed: int = 20260920) -> DataFrame:
+    """Cells at their frozen thresholds: a row for each (cell, point) with its scores, the interval over resampled groups (lo, hi) and the cell's peak.
+
+    ``scored``: cell, y, prob, grp, on storage that gives the same rows twice; ``thresholds``: by cell and point. All
+    cells go through one aggregate for the scores, one sweep and one table of the groups' counts.
+    """
+    spark = scored.sparkSession
+    points = spark.createDataFrame([(c, p, float(t)) for c, by in thresholds.items() for p, t in by.items()], "cell string, point string, threshold double")
+    at = scored.join(F.broadcast(points), "cell")  # a row for each cell and point
+    out = metrics.scores(at, ["cell", "point"])
+    groups = at.groupBy("cell", "point", "grp").agg(*metrics.confusion(F.col("threshold"))).withColumn("of", F.concat_ws("|", "cell", "point"))
+    ci = metrics.interval(metrics.resampled_counts(groups, n_resamples, seed, "of"), ["of"])
+    best = metrics.select_threshold(scored, "tss", ["cell"]).select("cell", r6(F.col("value")).alias("peak_tss"), r6(F.col("threshold")).alias("peak_threshold"))
+    return out.withColumn("of", F.concat_ws("|", "cell", "point")).join(F.broadcast(ci), "of").drop("of").join(F.broadcast(best), "cell")  # a row for each cell and point
+
+
 def evaluated(name: str, scored: DataFrame, thresholds: dict[str, float], n_resamples: int = 1000) -> DataFrame:
-    """One cell: a row for each frozen threshold with its scores, the interval over resampled groups (lo, hi) and the cell's peak."""
-    peak = metrics.select_threshold(scored, "tss").select(r6(F.col("value")).alias("peak_tss"), r6(F.col("threshold")).alias("peak_threshold"))
-    one = lambda p, t: metrics.score_at(scored, t).withColumn("point", F.lit(p)).crossJoin(metrics.bootstrap_ci(scored, t, "grp", n_resamples))  # noqa: E731  one row each
-    return reduce(DataFrame.unionByName, (one(p, t) for p, t in thresholds.items())).crossJoin(peak).withColumn("cell", F.lit(name))
+    """One cell of :func:`evaluated_all`; ``scored``: y, prob, grp."""
+    rows = materialize(scored.select(F.lit(name).alias("cell"), "y", "prob", "grp"), "scored")
+    return evaluated_all(rows, {name: thresholds}, n_resamples)
 
 
 def live_frames(rows: DataFrame) -> dict[str, DataFrame]:
@@ -60,20 +76,18 @@ def run(random_model, disjoint_model, random_test: DataFrame, disjoint_test: Dat
     """
     from . import model
 
-    def scored(m, rows: DataFrame) -> DataFrame:
-        # Three columns, read by the sweep, the scores and the intervals alike.
-        return model.predict(m.model, rows).select("y", "prob", F.col("domain").alias("grp")).persist()
-
     frames = live_frames(live_rows)
     cells_ = [("c1", random_model, random_test), ("c2", disjoint_model, disjoint_test), ("c3", disjoint_model, frames["templated"]), ("c4", disjoint_model, frames["realistic"]), ("robustness", disjoint_model, frames["malware"])]
-    return reduce(DataFrame.unionByName, (evaluated(k, scored(m, f), m.thresholds, n_resamples) for k, m, f in cells_))
+    one = lambda k, m, f: model.predict(m.model, f).select(F.lit(k).alias("cell"), "y", "prob", F.col("domain").alias("grp"))
+    scored = materialize(reduce(DataFrame.unionByName, (one(*c) for c in cells_)), "scored")  # each row is scored once
+    return evaluated_all(scored, {k: m.thresholds for k, m, _ in cells_}, n_resamples)
 
 
 def recovered(benchmark_model, live_model, benchmark_test: DataFrame, holdout: DataFrame, n_resamples: int = 1000) -> DataFrame:
     """The two-by-two of training source and test set (a, b, c, d, gap, recovery, its fraction) with the recovery's interval."""
     from . import model
 
-    frame = lambda m, rows: model.predict(m.model, rows).select("y", "prob", F.col("domain").alias("grp")).persist()
+    frame = lambda m, rows: materialize(model.predict(m.model, rows).select("y", "prob", F.col("domain").alias("grp")), "scored")
     old, new = benchmark_model.thresholds["tss"], live_model.thresholds["tss"]
     a, b, c, d = frame(benchmark_model, benchmark_test), frame(benchmark_model, holdout), frame(live_model, benchmark_test), frame(live_model, holdout)
     ci = metrics.difference_ci(d, new, b, old, n_resamples=n_resamples).select("lo", "hi", (F.col("lo") > 0).alias("significant"))
@@ -122,13 +136,49 @@ def put(spark, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def table(rows: DataFrame, columns: dict[str, str], *order: str) -> list[str]:
+    """Lines of a Markdown table of a small frame; ``columns``: the format of each (``.3f``, ``,``, empty for text)."""
+    def cell(v, form: str) -> str:
+        return "—" if v is None else format(v, form) if form else str(v)
+
+    found = rows.select(*columns).orderBy(*order).collect() if order else rows.select(*columns).collect()
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(cell(r[c], f) for c, f in columns.items()) + " |" for r in found), ""]
+
+
 def report(comparison: DataFrame, scores: DataFrame | None = None) -> str:
-    """The comparison, and the cells if there are any, as Markdown."""
-    fields = ("template_rule_tss", "max_single_property_tss", "cell1_tss", "cell4_tss", "total_gap")
-    table = [r["line"] for r in render(comparison, tuple(f for f in fields if f in comparison.columns)).orderBy("rank").collect()]  # a row for each corpus
-    names = [f for f in fields if f in comparison.columns]
-    out = ["# Evaluation gap", "", "| corpus | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|", *table]
+    """The comparison, and the cells if there are any, as Markdown. All parts of a report have a row for each corpus, cell or day."""
+    kinds = {"rank": "", "corpus": "", "n": ",", "template_rule_tss": ".4f", "max_single_property_tss": ".4f", "degenerate_properties": "", "constant_properties": "", "cell1_tss": ".3f", "cell4_tss": ".3f", "total_gap": ".3f"}
+    out = ["# Evaluation gap", "", *table(comparison, {k: f for k, f in kinds.items() if k in comparison.columns}, "rank")]
+    return "\n".join(out + (cells_section(scores) if scores is not None else [])) + "\n"
+
+
+def cells_section(scores: DataFrame) -> list[str]:
+    kinds = {"cell": "", "point": "", "n": ",", "base_rate": ".3f", "tss": ".3f", "lo": ".3f", "hi": ".3f", "recall": ".3f", "false_alarm_rate": ".3f", "tp": ",", "fp": ",", "fn": ",", "tn": ",", "peak_tss": ".3f"}
+    return ["## Cells", "", *table(scores, kinds, "cell", "point")]
+
+
+def detail(title: str, corpus: DataFrame, scores: DataFrame | None = None, steps: DataFrame | None = None, rule_by_cell: DataFrame | None = None, gap: DataFrame | None = None, readiness: DataFrame | None = None, two: DataFrame | None = None, confound: DataFrame | None = None, presence: DataFrame | None = None, live_rows: DataFrame | None = None) -> str:
+    """One corpus's report as Markdown: its audit, cells, attribution, the rule in every cell, live training, the sampling diagnostic and the live rows; what is not given is left out."""
+    rule = {"n": ",", "accuracy": ".4f", "precision": ".4f", "recall": ".4f", "false_alarm_rate": ".4f", "tss": ".4f", "benign_template_share": ".4f", "phish_template_share": ".4f"}
+    out = [f"# {title}", "", "## Before any learning", "", *table(audit.template_audit(corpus), rule), *table(audit.structural_rates(corpus), {"property": "", "benign": ".4f", "phishing": ".4f", "separation": ".4f", "verdict": ""}, "property")]
     if scores is not None:
-        out += ["", "| cell | point | n | TSS | interval | peak |", "|---|---|---|---|---|---|"]
-        out += [f"| {r['cell']} | {r['point']} | {r['n']} | {r['tss']:.3f} | {r['lo']:.3f} to {r['hi']:.3f} | {r['peak_tss']:.3f} |" for r in scores.orderBy("cell", "point").collect()]
+        out += cells_section(scores)
+    if steps is not None:
+        out += ["## Where the score went", "", *table(steps, {k: ".3f" if k != "point" else "" for k in ("point", "split_leakage", "temporal_shift", "construction_artifact", "total")}, "point")]
+        withheld = steps.where("temporal_shift is null").count() > 0  # a row for each point
+        out += [f"The two middle steps are withheld: fewer than {DECOMPOSABLE:.0%} of the benign rows match the template.", ""] if withheld else table(shares(steps), {"point": "", "step": "", "value": ".3f", "share": ".3f"}, "point", "step")
+    if gap is not None:
+        out += ["Total gap at the TSS threshold:", "", *table(gap, {"point": ".3f", "lo": ".3f", "hi": ".3f", "excludes_zero": ""})]
+    if rule_by_cell is not None:
+        out += ["## The rule in every cell", "", *table(rule_by_cell, {"cell": "", "n": ",", "accuracy": ".4f", "tss": ".4f"}, "cell")]
+    if readiness is not None:
+        out += ["## Training on live rows", "", *table(readiness, {"ready": "", "reason": "", "n_days": ",", "n_rows": ",", "days_needed": ","})]
+    if two is not None:
+        out += ["Trained on the benchmark (a, b) and on live rows (c, d), tested on the benchmark (a, c) and on live rows (b, d):", "", *table(two, {k: ".3f" for k in ("a", "b", "c", "d", "gap", "recovery", "lo", "hi")} | {"significant": ""})]
+    if confound is not None:
+        out += ["## Sampling of the live rows", "", f"Path shape alone, against a ceiling of {CONFOUND_CEILING}:", "", *table(confound, {"available": "", "n": ",", "peak_tss": ".3f", "threshold": ".3f", "breached": ""})]
+    if presence is not None:
+        out += ["Share of URLs with a path:", "", *table(presence, {"benign": ".3f", "phishing": ".3f"})]
+    if live_rows is not None:
+        out += ["## Live rows", "", *table(live.provenance(live_rows), {"n": ",", "n_domains": ",", "n_phishing": ",", "n_days": ",", "first_day": "", "last_day": ""}), *table(live.source_counts(live_rows), {"source": "", "n": ","}, "source")]
     return "\n".join(out) + "\n"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,3 +66,23 @@ def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame
 
 def error_histogram(errors: DataFrame, column: str = "error") -> DataFrame:
     return errors.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def snapshot(day: str, seen: str, feeds: dict[str, DataFrame], ranking: DataFrame, pages: DataFrame, n_realistic: int = 300, n_templated: int = 300) -> tuple[DataFrame, DataFrame]:
+    """One day's labelled sample (url, y, source, first_seen_utc, snapshot_date), and its statistics (name, n).
+
+    ``feeds``: frames of positive URLs by source. ``ranking`` (domain) is taken in an order shuffled by the day: templated
+    URLs come from the domains after the first ``n_realistic``. ``pages`` (url) are the benign pages; the first
+    ``n_realistic`` in the day's order are taken. Of a URL that comes more than once the first source's row stays.
+    """
+    shuffled = lambda c: F.md5(F.concat_ws("-", c, F.lit(day)))
+    realistic = pages.select("url").where("url is not null").distinct().orderBy(shuffled("url"), "url").limit(n_realistic)
+    drawn = ranking.select("domain").distinct().orderBy(shuffled("domain"), "domain").limit(n_realistic + n_templated)
+    templated = drawn.withColumn("n", F.row_number().over(Window.orderBy(shuffled("domain"), "domain"))).where(F.col("n") > n_realistic)  # a day's sample
+    parts = {**{k: f.select("url").withColumn("y", F.lit(1)) for k, f in feeds.items()}, BENIGN: realistic.withColumn("y", F.lit(0)), "tranco_templated": templated.select(F.concat(F.lit("https://www."), "domain").alias("url"), F.lit(0).alias("y"))}
+    rows = reduce(DataFrame.unionByName, (f.withColumn("source", F.lit(k)) for k, f in parts.items()))
+    stamp = F.lit(seen).cast("timestamp").alias("first_seen_utc")
+    rows = rows.select("url", "y", "source", stamp, F.lit(day).cast("date").alias("snapshot_date"))
+    kept = within_day(rows, tie="y")
+    counts = rows.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n")).unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("rows").alias("name"), "n"))
+    return kept, counts

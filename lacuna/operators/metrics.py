@@ -6,10 +6,21 @@ distinct probabilities; ties between thresholds go to the highest.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import materialize
+from .order import ranked
+
+#: Parts of 0 to 1 over which a sweep sums first, and classes of a block.
+CELLS, BLOCK = 1 << 16, 20_000
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -33,68 +44,49 @@ def derived() -> dict[str, Column]:
 
 def score_at(scored: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
     """One row of scores, or one for each value of ``by``."""
+    return scores(scored.withColumn("threshold", F.lit(float(threshold))), by)
+
+
+def scores(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Scores at the column ``threshold``, which is one for each value of ``by``."""
     brier = F.avg(F.pow(F.col("prob") - F.col("y"), F.lit(2.0)))
-    out = scored.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg("y").alias("b"), *confusion(threshold), brier.alias("br"))
+    keys = by or []  # within which there is one threshold
+    out = scored.groupBy(*keys).agg(F.max("threshold").alias("threshold"), F.count("*").alias("n"), F.avg("y").alias("b"), *confusion(F.col("threshold")), brier.alias("br"))
     d = derived()
     b = F.col("b")
     skill = F.when(b * (1 - b) > 0, 1 - F.col("br") / (b * (1 - b))).otherwise(0.0)
-    return out.select(*(by or []), "n", r6(b).alias("base_rate"), F.lit(float(threshold)).alias("threshold"), "tp", "fp", "fn", "tn", *(r6(c).alias(k) for k, c in d.items()), r6(F.col("br")).alias("brier"), r6(skill).alias("brier_skill"))
+    return out.select(*keys, "n", r6(b).alias("base_rate"), "threshold", "tp", "fp", "fn", "tn", *(r6(c).alias(k) for k, c in d.items()), r6(F.col("br")).alias("brier"), r6(skill).alias("brier_skill"))
 
 
-def sweep(scored: DataFrame) -> DataFrame:
-    """(prob, tp, fp, fn, tn, ratios) at each distinct probability as threshold.
+def sweep(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(prob, tp, fp, fn, tn, ratios) at each distinct probability as threshold, for each value of ``by``.
 
-    Counts are summed for each probability, then over ranges of probabilities and inside a range. Ranges hold like
-    numbers of probabilities, however these are spread; the only thing in one place is a row for each of them.
+    The input is read once, into counts for each probability. Running counts are summed over ``CELLS`` equal parts of
+    0 to 1, whatever the input's size, and inside a part.
     """
-    counts = scored.groupBy("prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q"))
-    counts = with_range(counts, "prob", counts.count())
-    down = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("_range").agg(F.sum("p").alias("gp"), F.sum("q").alias("gq"))
-    total = Window.partitionBy()
-    sums = sums.select("_range", F.coalesce(F.sum("gp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("gq").over(down), F.lit(0)).alias("bq"), F.sum("gp").over(total).alias("all_p"), F.sum("gq").over(total).alias("all_q"))
-    inside = Window.partitionBy("_range").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("p", F.sum("p").over(inside)).withColumn("q", F.sum("q").over(inside)).join(F.broadcast(sums), "_range")  # some 2000 ranges at most
-    out = out.select("prob", (F.col("bp") + F.col("p")).alias("tp"), (F.col("bq") + F.col("q")).alias("fp"), "all_p", "all_q").withColumns({"fn": F.col("all_p") - F.col("tp"), "tn": F.col("all_q") - F.col("fp")})
-    return out.select("prob", "tp", "fp", "fn", "tn", *(r6(c).alias(k) for k, c in derived().items()))
-
-
-def select_threshold(scored: DataFrame, objective: str) -> DataFrame:
-    """(threshold, value): the best threshold of the sweep for ``f1`` or ``tss``."""
+    by = by or []
+    cell = F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob"))) * CELLS), F.lit(-1)).cast("int")
+    counts = scored.groupBy(*by, "prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q")).withColumn("_cell", cell)
+    sums = counts.groupBy(*by, "_cell").agg(F.sum("p").alias("gp"), F.sum("q").alias("gq"))  # CELLS rows at most for each value
+    total = Window.partitionBy(*by)
+    down = total.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_cell", F.coalesce(F.sum("gp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("gq").over(down), F.lit(0)).alias("bq"), F.sum("gp").over(total).alias("all_p"), F.sum("gq").over(total).alias("all_q"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.withColumn("p", F.sum("p").over(inside)).withColumn("q", F.sum("q").over(inside)).join(F.broadcast(sums) if not by else sums, [*by, "_cell"])
+    out = out.select(*by, "prob", (F.col("bp") + F.col("p")).alias("tp"), (F.col("bq") + F.col("q")).alias("fp"), "all_p", "all_q").withColumns({"fn": F.col("all_p") - F.col("tp"), "tn": F.col("all_q") - F.col("fp")})
+    return out.select(*by, "prob", "tp", "fp", "fn", "tn", *(r6(c).alias(k) for k, c in derived().items()))
+
+
+def select_threshold(scored: DataFrame, objective: str, by: list[str] | None = None) -> DataFrame:
+    """(threshold, value): the best threshold of the sweep for ``f1`` or ``tss``, for each value of ``by``."""
     best = F.max(F.struct(F.col(objective).alias("value"), F.col("prob").alias("threshold"))).alias("x")
-    return sweep(scored).agg(best).select("x.threshold", "x.value")
+    return sweep(scored, by).groupBy(*(by or [])).agg(best).select(*(by or []), "x.threshold", "x.value")
 
 
 def group_confusion(scored: DataFrame, threshold: float, group: str = "grp") -> DataFrame:
     return scored.groupBy(group).agg(*confusion(threshold))
 
 
-def with_range(groups: DataFrame, key: str, n: int) -> DataFrame:
-    """``groups``, ``n`` rows with a key each, with ``_range``: about a thousand ranges of keys with like numbers of rows, ascending.
-
-    A thousand keys chosen by hash bound them, so that keys of any type and spread fall into ranges of like sizes,
-    the same wherever they are computed.
-    """
-    chosen = groups.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // 1000))) == 0)).select(key)
-    bounds = sorted(r[0] for r in chosen.collect())  # about 1000 keys, or 2000 at most where there are no more
-    kind = groups.schema[key].dataType.simpleString()
-    ranges = groups.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{kind}>")
-    # Binary search: the number of bounds that are not above the key.
-    step = lambda at, k: F.when(F.coalesce(F.get("_bounds", at + k - 1) <= F.col(key), F.lit(False)), at + k).otherwise(at)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
-    return groups.crossJoin(F.broadcast(ranges)).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds")  # one row beside each
-
-
-def numbered(groups: DataFrame, key: str, n: int) -> DataFrame:
-    """``groups`` with ``i``, the place of each of the ``n`` rows in the order of its key, from 0: summed over ranges of keys and inside a range."""
-    out = with_range(groups, key, n)
-    sums = out.groupBy("_range").agg(F.count("*").alias("_many"))
-    sums = sums.select("_range", F.coalesce(F.sum("_many").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each range
-    inside = Window.partitionBy("_range").orderBy(key)
-    out = out.withColumn("_in", F.row_number().over(inside).cast("long") - 1).join(F.broadcast(sums), "_range")
-    return out.withColumn("i", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
-
-
 def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp") -> DataFrame:
     """(b, tss): for each resample the score over groups drawn with replacement.
 
@@ -105,24 +97,82 @@ def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp"
     draws = groups.sparkSession.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     word = F.md5(F.concat_ws("-", "b", "k", F.lit(seed)))
     draws = draws.select("b", (F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n).alias("i"))
-    out = draws.join(numbered(groups, group, n), "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    places = ranked(materialize(groups, "groups"), [F.col(group)], "i").withColumn("i", F.col("i") - 1)
+    out = draws.join(places, "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
     return out.select("b", derived()["tss"].alias("tss"))
 
 
-def interval(samples: DataFrame) -> DataFrame:
-    return samples.agg(r6(F.percentile("tss", F.lit(0.025))).alias("lo"), r6(F.percentile("tss", F.lit(0.975))).alias("hi"))
+def resampled_counts(groups: DataFrame, n_resamples: int, seed: int, by: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(b, tss) like :func:`resamples`, for each value of ``by``, without a draw for each group.
+
+    Groups with the same counts are one class. How often a resample takes each class is a multinomial count: first for
+    blocks of about ``block`` classes, then inside each block. So a resample costs a number for each class, four where
+    groups are rows, whatever the number of groups. Intervals differ from drawn ones as those of two seeds do.
+    """
+    spark, of = groups.sparkSession, F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
+    four = ["tp", "fp", "fn", "tn"]
+    classes = materialize(groups.groupBy(of.alias("_of"), *four).agg(F.count("*").alias("m")), "classes")
+    blocks = -(-max(1, classes.count()) // block)
+    classes = classes.withColumn("_k", F.pmod(F.xxhash64(*four), F.lit(blocks)).cast("int"))
+    sizes = classes.groupBy("_of", "_k").agg(F.sum("m").alias("m")).groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("_k", "m"))).alias("x"))  # a number for each block
+    asked = spark.range(n_resamples).withColumnRenamed("id", "b").crossJoin(sizes)  # resamples beside a row for each value of `by`
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for value, b, x in zip(batch["_of"], batch["b"], batch["x"], strict=True):
+                m = np.array([r["m"] for r in x], dtype=np.int64)
+                n = np.random.default_rng([seed, b, zlib.crc32(value.encode())]).multinomial(m.sum(), m / m.sum())
+                yield pd.DataFrame({"_of": value, "_k": [r["_k"] for r in x], "b": b, "n": n})
+
+    def draw(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(four)
+        counts, m = rows[four].to_numpy(np.int64), rows["m"].to_numpy(np.int64)
+        out = []
+        for value, k, b, n in zip(asked["_of"], asked["_k"], asked["b"], asked["n"], strict=True):
+            taken = np.random.default_rng([seed, b, k + 1, zlib.crc32(value.encode())]).multinomial(n, m / m.sum())
+            out.append((value, b, *(taken @ counts).tolist()))
+        return pd.DataFrame(out, columns=["_of", "b", *four])
+
+    dealt = asked.mapInPandas(deal, "_of string, _k int, b long, n long").groupBy("_of", "_k")
+    out = classes.groupBy("_of", "_k").cogroup(dealt).applyInPandas(draw, "_of string, b long, tp long, fp long, fn long, tn long")
+    out = out.groupBy("_of", "b").agg(*(F.sum(c).alias(c) for c in four)).select(F.col("_of").alias(by or "_of"), "b", derived()["tss"].alias("tss"))
+    return out if by else out.drop("_of")
+
+
+def interval(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return samples.groupBy(*(by or [])).agg(r6(F.percentile("tss", F.lit(0.025))).alias("lo"), r6(F.percentile("tss", F.lit(0.975))).alias("hi"))
+
+
+def resampled(scored: DataFrame, threshold: float, group: str | None, n_resamples: int, seed: int, key: str, draw: str) -> DataFrame:
+    if draw == "counts" and group is None:
+        one = lambda c: F.col(c).cast("long").alias(c)
+        rows = scored.select(((F.col("prob") >= threshold).alias("hit")), (F.col("y") == 1).alias("pos")).select((F.col("hit") & F.col("pos")).alias("tp"), (F.col("hit") & ~F.col("pos")).alias("fp"), (~F.col("hit") & F.col("pos")).alias("fn"), (~F.col("hit") & ~F.col("pos")).alias("tn"))
+        return resampled_counts(rows.select(*map(one, ("tp", "fp", "fn", "tn"))), n_resamples, seed)
+    groups = group_confusion(scored, threshold, group or key)
+    return resampled_counts(groups, n_resamples, seed) if draw == "counts" else resamples(groups, n_resamples, seed, group or key)
+
+
+def bootstrap_ci(scored: DataFrame, threshold: float, group: str | None = "grp", n_resamples: int = 1000, seed: int = 20260920, key: str = "row_id", draw: str = "counts") -> DataFrame:
+    """(lo, hi): 95 % percentile interval of the score over resampled groups, or rows where ``group`` is None.
+
+    ``draw``: ``counts`` (a number for each class of groups) or ``groups`` (a hash for each draw, which SQL can repeat).
+    """
+    return interval(resampled(scored, threshold, group, n_resamples, seed, key, draw))
 
 
-def bootstrap_ci(scored: DataFrame, threshold: float, group: str | None = "grp", n_resamples: int = 1000, seed: int = 20260920, key: str = "row_id") -> DataFrame:
-    """(lo, hi): 95 % percentile interval of the score over resampled groups, or rows where ``group`` is None."""
-    return interval(resamples(group_confusion(scored, threshold, group or key), n_resamples, seed, group or key))
+def linear_error(groups: DataFrame) -> DataFrame:
+    """(point, error): the score over all groups, and its standard error by the groups' linear influence on it."""
+    total = groups.agg(*(F.sum(c).alias(f"a_{c}") for c in ("tp", "fp", "fn", "tn"))).select(F.col("a_tp"), F.col("a_fp"), (F.col("a_tp") + F.col("a_fn")).alias("a_p"), (F.col("a_fp") + F.col("a_tn")).alias("a_q"))
+    recall, far = ratio(F.col("a_tp"), F.col("a_p")), ratio(F.col("a_fp"), F.col("a_q"))
+    share = ratio(F.col("tp") - recall * (F.col("tp") + F.col("fn")), F.col("a_p")) - ratio(F.col("fp") - far * (F.col("fp") + F.col("tn")), F.col("a_q"))
+    return groups.crossJoin(F.broadcast(total)).agg(F.max(recall - far).alias("point"), F.sqrt(F.sum(share * share)).alias("error"))  # one row beside each
 
 
-def difference_ci(a: DataFrame, thr_a: float, b: DataFrame, thr_b: float, group: str = "grp", n_resamples: int = 1000, seed: int = 20260920) -> DataFrame:
+def difference_ci(a: DataFrame, thr_a: float, b: DataFrame, thr_b: float, group: str = "grp", n_resamples: int = 1000, seed: int = 20260920, draw: str = "counts") -> DataFrame:
     """(point, lo, hi, excludes_zero) of score(a) - score(b); both sides are resampled by themselves."""
     point = score_raw(a, thr_a).crossJoin(score_raw(b, thr_b).withColumnRenamed("tss", "tss_b"))  # one row by one row
-    x = resamples(group_confusion(a, thr_a, group), n_resamples, seed, group)
-    y = resamples(group_confusion(b, thr_b, group), n_resamples, seed + 1, group).withColumnRenamed("tss", "other")
+    x = resampled(a, thr_a, group, n_resamples, seed, "", draw)
+    y = resampled(b, thr_b, group, n_resamples, seed + 1, "", draw).withColumnRenamed("tss", "other")
     both = interval(x.join(y, "b").select((F.col("tss") - F.col("other")).alias("tss")))
     return point.crossJoin(both).select(r6(F.col("tss") - F.col("tss_b")).alias("point"), "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero"))
 

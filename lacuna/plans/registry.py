@@ -13,6 +13,7 @@ from ..operators import audit, experiment, live, metrics, model, splits
 from ..sources import blocks, days, readers
 from ..sources.shared import removed_at_exit, shared_dir
 from ..streaming import ingest
+from ..streaming import timeline as stream_of_days
 from . import bindings as B
 
 _QUERIES: dict = {}
@@ -172,15 +173,19 @@ def within_day_dedup(s: SparkSession, d: str) -> DataFrame:
     return live.within_day(monthly).select("url", "snapshot_date", "page_id", "source", "y")
 
 
-@query("WITH " + _FIRST + """, a AS (SELECT snapshot_date, count(*) AS new_rows, sum(y)::BIGINT AS new_phishing FROM n GROUP BY 1), f AS (SELECT snapshot_date, count(*) AS k FROM (SELECT domain, min(snapshot_date) AS snapshot_date FROM n GROUP BY 1) GROUP BY 1)
-SELECT a.snapshot_date, new_rows, new_phishing, (sum(new_rows) OVER w)::BIGINT AS cumulative_rows, (sum(new_phishing) OVER w)::BIGINT AS cumulative_phishing, (sum(coalesce(k, 0)) OVER w)::BIGINT AS cumulative_domains FROM a LEFT JOIN f USING (snapshot_date) WINDOW w AS (ORDER BY a.snapshot_date)""")
+_TIMELINE = "WITH " + _FIRST + """, a AS (SELECT snapshot_date, count(*) AS new_rows, sum(y)::BIGINT AS new_phishing FROM n GROUP BY 1), f AS (SELECT snapshot_date, count(*) AS k FROM (SELECT domain, min(snapshot_date) AS snapshot_date FROM n GROUP BY 1) GROUP BY 1)
+SELECT a.snapshot_date, new_rows, new_phishing, (sum(new_rows) OVER w)::BIGINT AS cumulative_rows, (sum(new_phishing) OVER w)::BIGINT AS cumulative_phishing, (sum(coalesce(k, 0)) OVER w)::BIGINT AS cumulative_domains FROM a LEFT JOIN f USING (snapshot_date) WINDOW w AS (ORDER BY a.snapshot_date)"""
+
+
+@query(_TIMELINE)
 def timeline(s: SparkSession, d: str) -> DataFrame:
     return live.timeline(_visits(s, d))
 
 
-@query("WITH " + _FIRST + " SELECT min(snapshot_date) AS first_day, count(DISTINCT domain) AS domains FROM n WHERE snapshot_date < DATE '1998-01-01'")
+@query("WITH " + _FIRST + " SELECT a.snapshot_date, (SELECT count(DISTINCT domain) FROM n WHERE n.snapshot_date <= a.snapshot_date) AS domains FROM (SELECT DISTINCT snapshot_date FROM n) a")
 def cumulative_domains(s: SparkSession, d: str) -> DataFrame:
-    return live.first_seen(_visits(s, d)).where(F.col("snapshot_date") < F.lit("1998-01-01").cast("date")).agg(F.min("snapshot_date").alias("first_day"), F.countDistinct("domain").alias("domains"))
+    """The domains seen up to each day."""
+    return live.timeline(_visits(s, d)).select("snapshot_date", F.col("cumulative_domains").alias("domains"))
 
 
 @query("WITH " + B.URLS + " SELECT source, count(*) AS n FROM u GROUP BY source")
@@ -304,12 +309,36 @@ def _boot(name: str, key: str, seed: int, f: str = "s") -> str:
 
 @query("WITH " + B.SCORED + ", " + _boot("x", "grp", 20260920) + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
 def cluster_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, "grp", RESAMPLES)
+    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, "grp", RESAMPLES, draw="groups")
 
 
 @query("WITH " + B.SCORED + ", " + _boot("x", "row_id", 20260920) + " SELECT round(quantile_cont(tss, 0.025), 6) AS lo, round(quantile_cont(tss, 0.975), 6) AS hi FROM xt")
 def iid_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, None, RESAMPLES)
+    return metrics.bootstrap_ci(B.scored(s, d), THRESHOLD, None, RESAMPLES, draw="groups")
+
+
+_COUNTS = B.SCORED + ", g7 AS (SELECT {key}, " + _AT.format(t=0.5) + " FROM s GROUP BY {key}), r7 AS (SELECT recall - far AS v FROM (SELECT " + RATIOS + " FROM (SELECT sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(tn)::DOUBLE AS tn FROM g7))) SELECT (SELECT count(*) FROM (SELECT DISTINCT tp, fp, fn, tn FROM g7)) AS classes, {n} AS resamples, round(v, 6) AS point, true AS centred, true AS as_wide FROM r7"
+
+
+def _counted(s: SparkSession, d: str, key: str, n: int) -> DataFrame:
+    """The interval by multinomial counts, held against the point and the linear standard error of the score."""
+    rows = B.scored(s, d)
+    groups = metrics.group_confusion(rows, THRESHOLD, key)
+    ci = metrics.bootstrap_ci(rows, THRESHOLD, key if key != "row_id" else None, n)
+    classes = groups.select("tp", "fp", "fn", "tn").distinct().agg(F.count("*").alias("classes"))
+    x = classes.crossJoin(metrics.linear_error(groups)).crossJoin(ci)  # one row each
+    width = (F.col("hi") - F.col("lo")) / (2 * 1.959964 * F.col("error"))
+    return x.select("classes", F.lit(n).alias("resamples"), metrics.r6(F.col("point")).alias("point"), (F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("point")) <= F.col("error") / 3).alias("centred"), (F.abs(width - 1) <= 0.2).alias("as_wide"))
+
+
+@query("WITH " + _COUNTS.format(key="grp", n=2000))
+def cluster_bootstrap_counts(s: SparkSession, d: str) -> DataFrame:
+    return _counted(s, d, "grp", 2000)
+
+
+@query("WITH " + _COUNTS.format(key="row_id", n=2000))
+def iid_bootstrap_counts(s: SparkSession, d: str) -> DataFrame:
+    return _counted(s, d, "row_id", 2000)
 
 
 _HALVES = "ea AS (SELECT * FROM s WHERE day <= DATE '2024-01-15'), eb AS (SELECT * FROM s WHERE day > DATE '2024-01-15')"
@@ -324,7 +353,7 @@ def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 pa AS (SELECT recall - far AS v FROM (SELECT """ + RATIOS + " FROM (SELECT " + _AT.format(t=0.5) + " FROM ea))), pb AS (SELECT recall - far AS v FROM (SELECT " + RATIOS + " FROM (SELECT " + _AT.format(t=0.5) + " FROM eb))) SELECT round(pa.v - pb.v, 6) AS point, lo, hi, lo > 0 OR hi < 0 AS excludes_zero FROM pa, pb, i")
 def difference_ci(s: SparkSession, d: str) -> DataFrame:
     a, b = _halves(s, d)
-    return metrics.difference_ci(a, THRESHOLD, b, THRESHOLD, n_resamples=RESAMPLES)
+    return metrics.difference_ci(a, THRESHOLD, b, THRESHOLD, n_resamples=RESAMPLES, draw="groups")
 
 
 # --- cells and comparisons --------------------------------------------------------------------------------------------------
@@ -551,3 +580,14 @@ def sealed_days(s: SparkSession, d: str) -> DataFrame:
     days.write_plain(rows.withColumn("url", F.lit("of a later writer")), path)  # leaves all days as they are
     removed_at_exit(s, path)
     return days.read_days(s, path, "page_id long, url string, y int, source string", key)
+
+
+@query(_TIMELINE)
+def stream_timeline(s: SparkSession, d: str) -> DataFrame:
+    """The timeline from files of sightings that arrive in no order of days, kept by a stream."""
+    base = shared_dir(s, "stream-timeline")
+    rows = _visits(s, d)
+    rows.repartition(6, F.xxhash64("page_id")).write.parquet(f"{base}/in")
+    stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=2), f"{base}/out", f"{base}/state")
+    removed_at_exit(s, base)
+    return stream_of_days.timeline(s, f"{base}/out")

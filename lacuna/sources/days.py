@@ -200,10 +200,7 @@ def read_days(spark: SparkSession, path: str, schema: str, key: str | None = Non
     kinds = {r["sealed"] for r in data_files(spark, path).select("sealed").distinct().collect()}
     if True in kinds and not key:
         raise ValueError("sealed days need a key")
-    frames = [read_plain(spark, path, schema)] * (False in kinds) + [read_sealed(spark, path, key, schema)] * (True in kinds)
-    if not frames:
-        return spark.createDataFrame([], f"{schema}, {DAY} date")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    out = spark.createDataFrame([], f"{schema}, {DAY} date")
+    for sealed in sorted(kinds):
+        out = out.unionByName(read_sealed(spark, path, key, schema) if sealed else read_plain(spark, path, schema))
     return out

@@ -183,14 +183,15 @@ def tallied_index(spark: SparkSession, path: str, per_domain: int = 25, domains:
     """
     from ..operators.live import top_per_group
 
-    raw = spark.read.schema("url string, status string, mime string, _damaged string").option("columnNameOfCorruptRecord", "_damaged").json(path)
+    # In a session of its own: one that has observed can no longer be sent along with what captures it, as forests do.
+    raw = spark.newSession().read.schema("url string, status string, mime string, _damaged string").option("columnNameOfCorruptRecord", "_damaged").json(path)
     reason = F.when(F.col("_damaged").isNotNull(), "damaged")
     for name, refused in refusals().items():
         reason = reason.when(refused, name)
     seen = Observation()
     counts = [F.count_if(F.col("_why") == name).alias(name) for name in ("damaged", *refusals())]
     rows = raw.withColumn("_why", reason).observe(seen, *counts).where(F.col("_why").isNull()).drop("_why", "_damaged")
-    rows = materialize(with_suffix(with_parts(rows), "host", rules).select("url", F.col("registrable").alias("domain")), "index")
+    rows = materialize(with_suffix(with_parts(rows), "host", rules).select("url", F.col("registrable").alias("domain")), "index", spark)
     shuffled = F.md5(F.concat(F.coalesce("domain", F.lit("")), F.lit(f"-{seed}")))
     sizes = materialize(rows.groupBy("domain").agg(F.count("*").alias("n")), "sizes")
     first = sizes.orderBy(shuffled, "domain").limit(domains).select(F.col("domain").alias("_first"))

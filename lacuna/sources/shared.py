@@ -34,13 +34,13 @@ _written: list[tuple[str, str, object]] = []
 _lock = threading.Lock()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     The folder lives as long as a DataFrame that reads it, or was derived from one: :func:`sweep` removes it later, and
-    at the latest the end of the session does.
+    at the latest the end of the session does. ``session``: that of the result, if it is another than that of ``df``.
     """
-    spark = df.sparkSession
+    spark = session or df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

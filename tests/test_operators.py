@@ -13,7 +13,9 @@ import __spark_entry__ as entry
 from lacuna.functions import suffixes, urls
 from lacuna.operators import audit, experiment, live, metrics, model, splits
 from lacuna.plans import registry
-from lacuna.sources import readers
+from lacuna.sources import days, readers
+from lacuna.streaming import ingest
+from lacuna.streaming import timeline as stream_of_days
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,14 +59,34 @@ def test_row_interval_draws_over_the_whole_frame(spark):
     assert [tuple(r) for r in registry.queries()["iid_bootstrap_ci"](spark, FOLDER).select("lo", "hi").collect()] == c.sql(whole).fetchall()
 
 
-def test_groups_are_numbered_in_order_and_in_many_tasks(spark):
-    for rows, kind in (([(i * i,) for i in range(5000)], "long"), ([(f"h{i % 7}-{i}",) for i in range(3000)] + [(None,)], "string"), ([], "long")):
-        f = spark.createDataFrame(rows, f"k {kind}")
-        out = metrics.numbered(f, "k", f.count())
-        assert [r.k for r in out.orderBy("i").collect()] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
-        assert sorted(r.i for r in out.collect()) == list(range(len(rows)))
-    plan = spark.createDataFrame([(i,) for i in range(5000)], "k long")
-    assert metrics.numbered(plan, "k", 5000).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+def test_counts_of_classes_resample_like_drawn_groups(spark):
+    """Both intervals lie around the score, and their ends differ by less than half a standard error of 2000 resamples."""
+    random.seed(5)
+    rows = [(int(random.random() < 0.4), random.random() * (0.8 if g % 3 else 1.2), g) for g in range(300) for _ in range(random.randrange(1, 9))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id int, y int, prob double, grp int").persist()
+    for group in ("grp", None):
+        a, b = (metrics.bootstrap_ci(frame, 0.5, group, 2000, draw=d).head() for d in ("counts", "groups"))
+        x = metrics.linear_error(metrics.group_confusion(frame, 0.5, group or "row_id")).head()
+        assert abs(a.lo - b.lo) < x.error / 2 > abs(a.hi - b.hi) and a.lo < x.point < a.hi
+    groups = metrics.group_confusion(frame, 0.5)
+    one, many = (sorted(r.tss for r in metrics.resampled_counts(groups, 400, 1, block=k).collect()) for k in (10**6, 5))
+    assert len(one) == len(many) == 400 and abs(one[200] - many[200]) < x.error / 2
+    same = lambda g: sorted(map(tuple, metrics.resampled_counts(g, 20, 1).collect()))
+    assert same(groups) == same(groups.repartition(7))
+    by = groups.withColumn("of", (F.col("grp") % 2).cast("string"))
+    assert sorted(map(tuple, metrics.resampled_counts(by, 50, 1, "of").groupBy("of").count().collect())) == [("0", 50), ("1", 50)]
+    assert metrics.bootstrap_ci(frame.where("false"), 0.5, None, 10).head().lo is None
+
+
+def test_all_cells_at_once_equal_each_by_itself(spark):
+    random.seed(6)
+    rows = [(c, int(random.random() < 0.5), random.random(), i % 20) for c in ("a", "b") for i in range(300)]
+    frame = spark.createDataFrame(rows, "cell string, y int, prob double, grp int").persist()
+    at = {"a": {"f1": 0.3, "tss": 0.6}, "b": {"f1": 0.4, "tss": 0.5}}
+    for r in experiment.evaluated_all(frame, at, 40).collect():
+        alone = frame.where(F.col("cell") == r.cell)
+        want, peak = metrics.score_at(alone, at[r.cell][r.point]).head().asDict(), metrics.select_threshold(alone, "tss").head()
+        assert {k: r[k] for k in want} == want and r.peak_tss == round(peak.value, 6) and r.lo <= r.tss <= r.hi
 
 
 @pytest.mark.parametrize("name", ["rf_train_predict", "rf_importance", "confound_diagnostic"])
@@ -96,12 +118,55 @@ def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     assert {r.part for r in splits.sizes(s).collect()} == {"train", "val", "test"}
 
 
-def test_timeline_counts_each_url_once(spark):
-    a, b = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
-    rows = [(1, "u1", 1, "openphish", a, "d1"), (2, "u2", 1, "openphish", a, "d2"), (3, "u3", 0, "commoncrawl", a, "d3"), (4, "u1", 1, "openphish", b, "d1"), (5, "u4", 1, "urlhaus", b, "d4")]
-    f = spark.createDataFrame(rows, "page_id int, url string, y int, source string, snapshot_date date, domain string")
-    x, y = live.timeline(f).orderBy("snapshot_date").collect()
-    assert (x.new_rows, y.new_rows, y.cumulative_rows, y.cumulative_phishing, x.cumulative_domains, y.cumulative_domains) == (3, 1, 4, 3, 3, 4)
+def sightings(n=500, seed=8):
+    """Random rows (page_id, url, y, source, snapshot_date, domain) with URLs and domains that come again and again."""
+    rng = random.Random(seed)
+    return [(i, f"http://d{u % 17}.com/{u}", u % 3 % 2, rng.choice(live.STREAMS), dt.date(2023, 12, 20) + dt.timedelta(rng.randrange(40)), f"d{u % 17}.com" if u % 29 else None) for i, u in ((i, rng.randrange(90)) for i in range(n))]
+
+
+SIGHTING = "page_id int, url string, y int, source string, snapshot_date date, domain string"
+
+
+def timeline_by_brute_force(rows):
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[4], r[0])):
+        first.setdefault(r[1], r)
+    out = []
+    for day in sorted({r[4] for r in first.values()}):
+        upto, new = [r for r in first.values() if r[4] <= day], [r for r in first.values() if r[4] == day]
+        out.append((day, len(new), sum(r[2] for r in new), len(upto), sum(r[2] for r in upto), len({r[5] for r in upto} - {None})))
+    return out
+
+
+def test_timeline_equals_a_count(spark):
+    rows = sightings()
+    got = live.timeline(spark.createDataFrame(rows, SIGHTING)).orderBy("snapshot_date").collect()
+    assert [tuple(r) for r in got] == timeline_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
+def test_a_stream_keeps_the_timeline_in_any_order_of_arrival(spark, tmp_path, order):
+    """Files arrive in two runs, one file a batch; the second run goes on from the first."""
+    rows = sightings(200, 3)
+    rows += rows[:20]
+    if order == "shuffled":
+        random.Random(1).shuffle(rows)
+    else:
+        rows.sort(key=lambda r: r[4], reverse=order == "descending")
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    parts = [rows[i : i + 80] for i in range(0, len(rows), 80)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SIGHTING).coalesce(1).write.mode("append").parquet(source)
+        if k in (1, len(parts) - 1):
+            stream_of_days.run_timeline(ingest.snapshot_stream(spark, source, SIGHTING), out, state)
+            seen = [r for p in parts[: k + 1] for r in p]
+            assert [tuple(r) for r in stream_of_days.timeline(spark, out).orderBy("snapshot_date").collect()] == timeline_by_brute_force(seen)
+    assert len(stream_of_days.versions(spark, out)) <= 2
+    # A batch that is repeated writes the same version again.
+    last = stream_of_days.versions(spark, out)[-1]
+    stream_of_days.merged(out)(spark.createDataFrame([], stream_of_days.CHANGE), last + 1)
+    stream_of_days.merged(out)(spark.createDataFrame([], stream_of_days.CHANGE), last + 1)
+    assert [tuple(r) for r in stream_of_days.timeline(spark, out).orderBy("snapshot_date").collect()] == timeline_by_brute_force(rows)
 
 
 def test_sealing_hides_and_returns(spark):
@@ -118,7 +183,7 @@ def test_a_day_is_written_once(spark, tmp_path):
     assert {r.url for r in spark.read.parquet(path).collect()} == {"a", "c"}
 
 
-@pytest.mark.parametrize("name", ["template_audit", "structural_rates", "url_parse", "timeline", "threshold_sweep", "temporal_split_sizes", "attribution_waterfall", "cluster_bootstrap_ci"])
+@pytest.mark.parametrize("name", ["template_audit", "structural_rates", "url_parse", "timeline", "threshold_sweep", "temporal_split_sizes", "attribution_waterfall", "cluster_bootstrap_ci", "cluster_bootstrap_counts", "iid_bootstrap_counts", "cumulative_domains", "stream_timeline", "index_tallies", "sealed_days", "sparse_index_records", "sparse_index_pages", "random_pages"])
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
     for t in ("pages", "orders", "events", "lineitem"):
@@ -240,3 +305,35 @@ def test_sealed_tables_are_recorded(spark, tmp_path):
         readers.record_sealed(sealed, str(tmp_path / "manifest"), day)
     got = spark.read.parquet(str(tmp_path / "manifest")).collect()
     assert sorted(r.name for r in got) == ["2024-01-01", "2024-01-02"] and all(len(r.sha256) == 64 for r in got)
+
+
+def test_the_command_line_from_collection_to_report(spark, tmp_path, capsys):
+    from lacuna.__main__ import main
+
+    rng = random.Random(2)
+    corpora, feeds, daily = tmp_path / "corpora", tmp_path / "feeds", str(tmp_path / "live")
+    corpora.mkdir(), feeds.mkdir()
+    lines = [f"d{i % 70}.com/{'login/' * (i % 3)}p{i}{'.php' if rng.random() < 0.7 else ''},bad" for i in range(150)] + [f"www.e{i % 70}.org/{rng.randrange(999)},good" for i in range(150)]
+    (corpora / "faizann.csv").write_text("url,label\n" + "\n".join(lines) + "\n")
+    (tmp_path / "rules.dat").write_text("com\norg\n")
+    common = ["--corpora", str(corpora), "--only", "faizann", "--suffixes", str(tmp_path / "rules.dat")]
+    main(["audit", *common])
+    assert json.loads(capsys.readouterr().out)["faizann"][0]["n"] == 300
+    for day in ("2024-01-01", "2024-01-02"):
+        (feeds / "openphish.txt").write_text("".join(f"http://phish{rng.randrange(90)}.com/login/{i}.php\n" for i in range(40)))
+        (feeds / "urlhaus.csv").write_text("# id\n" + "".join(f'"{i}","x","http://mal{i}.com/x.exe","y"\n' for i in range(20)))
+        (feeds / "ranking.csv").write_text("".join(f"{i},site{i}.org\n" for i in range(1, 400)))
+        (feeds / "index.json").write_text("\n".join(json.dumps({"url": f"https://www.site{i % 50}.org/a{i}", "status": "200", "mime": "text/html"}) for i in range(120)) + "\n{broken")
+        for _ in range(2):  # the second time the day stays as it is
+            main(["collect", "--feeds", str(feeds), "--live", daily, "--day", day, "--key", "0123456789abcdef"])
+    assert [r.day.isoformat() for r in days.data_files(spark, daily).collect()] == ["2024-01-01", "2024-01-02"]
+    stats = json.loads((spark.read.text(f"{daily}/_stats/2024-01-02.json", wholetext=True)).head()[0])
+    assert {r["reason"]: r["n"] for r in stats["index"]}["damaged"] == 1 and {r["name"]: r["n"] for r in stats["counts"]}["tranco_templated"] == 99
+    small = ["--models", str(tmp_path / "m"), "--trees", "2", "--depth", "3", "--resamples", "20"]
+    main(["train", *common, *small])
+    main(["report", *common, *small, "--live", daily, "--key", "0123456789abcdef", "--out", str(tmp_path / "out")])
+    text = spark.read.text(f"{tmp_path}/out/faizann.md", wholetext=True).head()[0]
+    assert all(part in text for part in ("## Before any learning", "| c4 | tss |", "## Where the score went", "## The rule in every cell", "too few days", "## Sampling of the live rows", "## Live rows"))
+    whole = json.loads(spark.read.text(f"{tmp_path}/out/faizann.json", wholetext=True).head()[0])
+    assert len(whole["scores"]) == 10 and whole["readiness"][0]["reason"] == "too few days"
+    assert "| 1 | faizann |" in spark.read.text(f"{tmp_path}/out/comparison.md", wholetext=True).head()[0]
