@@ -40,14 +40,16 @@ def tokens(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]")) + 4).cast("long")
 
 
-def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history_tokens: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history_tokens: int = HISTORY, tokens_col: str | None = None) -> DataFrame:
     """Rows (conv_id, window, formatted, loss_spans, repeated, n_tokens, over_budget).
 
+    ``tokens_col``: the tokens of each turn's text as some tokenizer counted them (null: none); else :func:`tokens` counts.
+
     ``loss_spans``: (start, length) in characters of ``formatted``, from 0. ``repeated``: for each turn in it,
     whether it repeats a turn of an earlier window. ``n_tokens`` includes what is repeated.
     """
     w = Window.partitionBy("_c").orderBy("_t", "_r", "_x")
-    rows = turns.select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.coalesce(role_col, F.lit("")).alias("_r"), F.coalesce(text_col, F.lit("")).alias("_x"), tokens(F.col(text_col)).alias("_n"))
+    rows = turns.select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.coalesce(role_col, F.lit("")).alias("_r"), F.coalesce(text_col, F.lit("")).alias("_x"), (tokens(F.col(text_col)) if tokens_col is None else F.greatest(F.coalesce(tokens_col, F.lit(0)), F.lit(0)).cast("long") + 4).alias("_n"))
     rows = (
         rows.withColumn("_i", F.row_number().over(w))
         .withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
