@@ -7,8 +7,9 @@ than one block.
 
 Weights are exact fractions, never rounded, so this holds against the targets over the whole mixture. The schedule
 is worked out once, for as many slots as the mixture has, or as the weights' period where that is shorter: a slot
-for each block of bytes (some hundred thousand at 30 GB), never one for each row. Every block finds its slot by a
-join with it.
+for each block of bytes, never one for each row. A block has ``BLOCK_BYTES``, or the mixture's bytes by ``MOST_SLOTS``
+where that is more: the schedule is no longer for a larger mixture, and the bound of one block holds for these blocks.
+Every block finds its slot by a join with it.
 
 The mixture is as long as the source that fills its share last needs: no document is dropped. The others
 begin again (``epoch`` 1, 2 and so on), until that source has run once.
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-BLOCK_BYTES, ALPHA = 1 << 16, 0.7
+BLOCK_BYTES, ALPHA, MOST_SLOTS = 1 << 16, 0.7, 1 << 20
 #: Slots in a row of the schedule's table.
 CHUNK = 1024
 
@@ -82,7 +83,7 @@ def schedule(shares: list[int], blocks: list[int]) -> list[array]:
     return slots
 
 
-def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, most_slots: int = MOST_SLOTS) -> DataFrame:
     """Rows (id, source, epoch, block, slot, place): ``place`` orders the rows of a slot. Read by (slot, place)."""
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
@@ -91,8 +92,10 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     sizes = {r["_s"]: (r["n"], r["rows"]) for r in sizes if weights is None or weights.get(r["_s"], 0) > 0}
     if not sizes:
         return rows.where(F.lit(False)).select(F.col("_id").alias(id_col), F.col("_s").alias(source_col), *(F.lit(0).cast("long").alias(k) for k in ("epoch", "block", "slot", "place")))
-    blocks = {s: max(1, -(-n // block_bytes)) for s, (n, _) in sizes.items()}
     share = shares_of({s: weights[s] if weights else max(n, 1) ** alpha for s, (n, _) in sizes.items()})
+    whole = max(-(-n * sum(share.values()) // share[s]) for s, (n, _) in sizes.items())  # bytes of the mixture
+    block_bytes = max(block_bytes, -(-whole // most_slots))
+    blocks = {s: max(1, -(-n // block_bytes)) for s, (n, _) in sizes.items()}
     names = sorted(sizes, key=lambda s: (s is not None, str(s)))
     slots = schedule([share[s] for s in names], [blocks[s] for s in names])
     width = sum(map(len, slots))
@@ -102,7 +105,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", te
     kind = docs.schema[source_col].dataType.simpleString()
     of = spark.createDataFrame([(i, s, len(slots[i]), blocks[s], end // width * len(slots[i]) + rest[i]) for i, s in enumerate(names)], f"_k int, _s {kind}, _a long, _b long, _want long")
     chunks = [(i, c, at[c * CHUNK : (c + 1) * CHUNK].tolist()) for i, at in enumerate(slots) for c in range(-(-len(at) // CHUNK))]
-    plan = spark.createDataFrame(chunks, "_k int, _c long, _slots array<long>")  # 8 bytes for each slot
+    plan = spark.createDataFrame(chunks, "_k int, _c long, _slots array<long>")  # 8 bytes for each slot, of which there are MOST_SLOTS and one for each source at most
     of = F.broadcast(of.withColumnRenamed("_s", "_name"))
     rows = rows.join(of, F.col("_s").eqNullSafe(F.col("_name")))
     # Bytes before a row in its source: sums over hash ranges, then inside one range; a hot source has as many
