@@ -1,13 +1,7 @@
-"""Helpers shared by the training-data operators: shared storage, sizes, range buckets."""
+"""Helpers shared by the training-data operators: sizes, running sums in a global order, Arrow batches, hashes of spans."""
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import threading
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,61 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import ranked
+from ..sources.shared import materialize, shared_dir, sweep
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that the driver and all executors share.
-
-    It is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and driver and executors
-    are one process, as in tests, a temporary folder is set in its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lacuna-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: Folders of written tables with a weak reference to what reads each; more than one thread may write.
-_written: list[tuple[str, str, object]] = []
-_lock = threading.Lock()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
-
-    The folder lives as long as a DataFrame that reads it, or was derived from one: :func:`sweep` removes it later, and
-    at the latest the end of the session does.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    # Plans derived from this one share its relation.
-    relation = out._jdf.queryExecution().analyzed().collectLeaves().head().relation()
-    with _lock:
-        _written.append((spark.sparkContext.applicationId, path, jvm.java.lang.ref.WeakReference(relation)))
-    return out
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove the folders of tables that no DataFrame of this session can read any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)  # what Python let go is let go in the JVM a little later
-    hadoop, app = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext.applicationId
-    with _lock:
-        gone = [path for of, path, reader in _written if of == app and reader.refersTo(None)]
-        _written[:] = [x for x in _written if x[0] == app and x[1] not in gone]
-    for path in gone:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(hadoop).delete(folder, True)
+__all__ = ["SpanHashes", "flat_bytes", "materialize", "mix", "n_buckets", "ranked", "running", "shared_dir", "slices", "sweep", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,39 +25,33 @@ def n_buckets(total: int, each: int, least: int = 8) -> int:
     return max(least, -(-int(total or 0) // each))
 
 
-def with_range_bucket(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """``df`` with the column ``name``: bucket 0 to n-1 of a numeric key by approximate quantiles; ascending with the key, nulls in bucket 0.
+def running(df: DataFrame, order: list[Column], size: str, n: int) -> DataFrame:
+    """``df`` with ``_place`` (from 0) and ``_sum`` (of the long column ``size``): the rows before each row in the order, and their sizes.
 
-    The boundaries, at most ``n`` numbers of 8 bytes stand
-    beside each row, and a binary search among them finds its bucket. They are computed once, so a repeated task deals
-    its rows out as the first attempt did.
-    """
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("c")).head()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    kind = df.schema[key].dataType.simpleString()
-    table_ = df.sparkSession.createDataFrame([(cuts,)], f"_cuts array<{kind}>")
-    # The number of cuts at or below the key.
-    step = lambda at, k: F.when(F.coalesce(F.get("_cuts", at + k - 1) <= F.col(key), F.lit(False)), at + k).otherwise(at)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
-    return df.crossJoin(F.broadcast(table_)).withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("_cuts")  # one row beside each
-
-
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` (on storage that gives the same rows twice) with ``name``: each row's place in the order, from 1.
-
-    One shuffle by ranges of the order. A row's number inside its partition stands in its id, and the rows before come
-    from a total for each partition.
+    One shuffle into ``n`` ranges of the order. A task carries its own running sums from batch to batch; those of the ranges
+    before it come from a total for each range.
     """
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
-    out = materialize(out, "ranked")  # once, so partitions stay as they are
-    part = F.shiftright(name, 33)
-    sizes = sorted((r["p"], r["n"]) for r in out.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
-    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    bases = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part long, _base long")
-    place = F.col("_base") + F.col(name).bitwiseAND((1 << 33) - 1) + 1
-    return out.join(F.broadcast(bases), part == F.col("_part")).withColumn(name, place).drop("_part", "_base")
+    kept = df.columns
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = 0, 0
+        for batch in batches:
+            part = batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = total + np.concatenate([[0], np.cumsum(part)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), batch.column("_part"), pa.array(place + np.arange(len(part))), pa.array(sums[:-1])], names=[*kept, "_part", "_place", "_sum"])
+            place, total = place + len(part), int(sums[-1])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _part int, _place long, _sum long"
+    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(carry, schema)
+    out = materialize(out, "running")  # once, so ranges stay as they are
+    sizes = sorted((r["_part"], r["n"], r["b"]) for r in out.groupBy("_part").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect())  # a row for each range
+    bases, rows, total = [], 0, 0
+    for p, many, b in sizes:
+        bases.append((p, rows, total))
+        rows, total = rows + many, total + (b or 0)
+    base = df.sparkSession.createDataFrame(bases, "_of int, _rows long, _bytes long")
+    out = out.join(F.broadcast(base), F.col("_part") == F.col("_of"))
+    return out.withColumn("_place", F.col("_place") + F.col("_rows")).withColumn("_sum", F.col("_sum") + F.col("_bytes")).drop("_part", "_of", "_rows", "_bytes")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -160,17 +97,23 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Powers that a worker keeps from one batch to the next.
+_KEPT = 1 << 23
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n - 1).bit_length())
-    if size not in _POWERS:
-        out = []
-        for r in (ROOT, pow(ROOT, -1, 1 << 64)):
-            step = np.full(size, r, dtype=np.uint64)
-            step[0] = 1
-            out.append(np.cumprod(step, dtype=np.uint64))
+    if size in _POWERS:
+        return _POWERS[size]
+    out = []
+    for r in (ROOT, pow(ROOT, -1, 1 << 64)):
+        step = np.full(size, r, dtype=np.uint64)
+        step[0] = 1
+        out.append(np.cumprod(step, dtype=np.uint64))
+    if size <= _KEPT:
         _POWERS.clear()
         _POWERS[size] = tuple(out)
-    return _POWERS[size]
+    return tuple(out)
 
 
 class SpanHashes:

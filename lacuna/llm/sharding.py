@@ -1,8 +1,8 @@
 """Contiguous shards of nearly equal bytes, cut where global prefix sums pass equal targets.
 
-Rows order by id. The id range is dealt into buckets, each bucket's total gives the bytes before it, a
-window inside the bucket the bytes before each row, and row ``r`` goes to the shard its middle byte falls in.
-No more than a total for each bucket and each shard is gathered in one place.
+Rows are sorted by ranges of id, size and text hash. Each range's total gives the bytes before the ranges after it, a running
+sum inside the range the bytes before each row, and a row goes to the shard its middle byte falls in. No more than a
+total for each range and each shard is gathered in one place, and rows of one id, or of none, fill as many ranges as they ask for.
 
 Defined cases: null text has no bytes, and every row weighs ``overhead`` besides. A null id comes first. Rows
 with one id order by size and text hash; rows equal in all that are alike. Empty tables give empty results.
@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import n_buckets, table, with_range_bucket
+from .common import n_buckets, running, table
 
 SHARDS, OVERHEAD = 24, 8
 
@@ -27,18 +26,9 @@ def shard(rows: DataFrame, key: str, size: str, n_shards: int = SHARDS, tie: str
     # Whole rows travel as one column, so that no working column meets one of theirs.
     rows = rows.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(size).alias("size"), (F.col(tie) if tie else F.lit(0)).alias("tie"))
     all_ = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).head()
-    n = n_buckets(all_["n"], 50_000)
-    rows = with_range_bucket(rows, "key", n, "bucket")
-    inside = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), "size", "tie")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("bucket").agg(F.sum("size").alias("m"), F.count("*").alias("n"))
-    # A row for each bucket.
-    across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("bucket", F.coalesce(F.sum("m").over(across), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("rows"))
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("rank", F.row_number().over(inside) - 1)
-    rows = rows.join(F.broadcast(sums) if n <= 100_000 else sums, "bucket")
-    middle = F.col("bytes") + F.col("inside") + F.col("size") / 2
-    rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, all_["b"] or 0)))).cast("int")).withColumn("rank", F.col("rows") + F.col("rank"))
+    rows = running(rows, [F.col("key").asc_nulls_first(), F.col("size"), F.col("tie")], "size", n_buckets(all_["n"], 50_000))
+    middle = F.col("_sum") + F.col("size") / 2
+    rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, all_["b"] or 0)))).cast("int")).withColumn("rank", F.col("_place"))
     first = rows.groupBy("shard").agg(F.min("rank").alias("first"))  # a row for each shard
     return rows.join(F.broadcast(first), "shard").select("row.*", "shard", (F.col("rank") - F.col("first")).alias("slot"))
 

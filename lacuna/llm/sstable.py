@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, shared_dir, slices, table, with_range_bucket
+from .common import n_buckets, shared_dir, slices, table
 from .encoding import encoder
 from .files import Whole, opened
 
@@ -179,8 +179,9 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).head()[0]
     n = n_buckets(total or 0, shard_bytes, 1)
-    rows = with_range_bucket(rows, "id", n, "shard").withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "h")
+    # Ranges of id and text hash, so that rows of one id, or of none, fill as many shards as they ask for.
+    order = [F.col("id").asc_nulls_first(), F.col("h")]
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer, shard, number = encoder(vocabulary, at_blanks), None, None, 0
@@ -226,7 +227,7 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows[0]), pa.string()), *(pa.array(r, pa.int64()) for r in rows)], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = files.mapInArrow(read, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(before), F.col("file") == F.col("_file")).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, F.col("file") == F.col("_file")).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_buckets, shared_dir, slices, table, with_range_bucket
+from .common import n_buckets, shared_dir, slices, table
 from .files import Whole
 
 ROLL_BYTES, TASK_BYTES, DATE = 16 << 20, 32 << 20, "2024-01-01T00:00:00Z"
@@ -93,15 +93,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload") + 256)).head()[0]
     n = n_buckets(total or 0, task_bytes, 1)
-    rows = with_range_bucket(rows, "id", n, "part")
     # Digests, without the payloads, find the first page of each payload.
-    small = rows.where((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).select("id", "part", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
+    small = rows.where((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).select("id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
     first = small.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = small.join(first, ["sha", "size"]).select("part", "id", "sha", "first").distinct()
+    again = small.join(first, ["sha", "size"]).select("id", "sha", "first").distinct()
     # They go into the same sorted stream just before their pages, so payloads are shuffled once.
-    notes = again.select("part", "id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    full = rows.select("part", "id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha"), "url", "payload", F.lit(None).cast("long").alias("first"))
-    stream = full.unionByName(notes).repartitionById(n, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "kind", "sha", "url")
+    notes = again.select("id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
+    full = rows.select("id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha"), "url", "payload", F.lit(None).cast("long").alias("first"))
+    # Ranges of ids; pages without one, which no note is for, are dealt by their payloads.
+    order = [F.col("id").asc_nulls_first(), F.when(F.col("id").isNull(), F.col("sha"))]
+    stream = full.unionByName(notes).repartitionByRange(n, *order).sortWithinPartitions(F.col("id").asc_nulls_first(), "kind", "sha", "url").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
@@ -150,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of each record in the listed files."""
     listed = spark.read.parquet(f"{folder}/manifest").select(F.col("file").alias("_file"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(listed), F.col("file") == F.col("_file"), "left_semi")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(listed, F.col("file") == F.col("_file"), "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,12 +4,15 @@ import hashlib
 import os
 import random
 import re
+import struct
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -357,6 +360,67 @@ def test_mixing_follows_the_target_weights(spark, weights):
         assert all(abs(done[s] - (t + 1) * w / total) < 1 + 1e-9 for s, w in target.items())
 
 
+def mixed_by_brute_force(rows, weights, block_bytes):
+    """(id, source, epoch, block, slot, place) by a schedule of its own: at each slot the released block with the earliest deadline."""
+    sources = {}
+    for i, text, source in rows:
+        h = 42 if i is None else xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        h -= (h >> 63) << 64
+        sources.setdefault(source, []).append((((h % 2**64) >> 1), h, i is not None, i or 0, len((text or "").encode()), i))
+    names = sorted((s for s in sources if weights.get(s, 0) > 0), key=lambda s: (s is not None, str(s)))
+    share = [Fraction(str(weights[s])) / sum(Fraction(str(weights[n])) for n in names) for s in names]
+    size = [sum(r[4] for r in sources[s]) for s in names]
+    whole = max(-(-n // w) for n, w in zip(size, share, strict=True))
+    block_bytes = max(block_bytes, -(-whole // 2**20))
+    blocks = [max(1, -(-n // block_bytes)) for n in size]
+    held = [{} for _ in names]
+    for k, s in enumerate(names):
+        at = 0
+        for r in sorted(sources[s]):
+            held[k].setdefault(min(at // block_bytes, blocks[k] - 1), []).append((r[5], at))
+            at += r[4]
+    turn, out, slot = [0] * len(names), [], 0
+    while any(t < b for t, b in zip(turn, blocks, strict=True)):
+        ready = [(-(-(turn[k] + 1) // w), k) for k, w in enumerate(share) if turn[k] // w <= slot]
+        deadline, k = min(ready)
+        assert slot < deadline
+        epoch, block = divmod(turn[k], blocks[k])
+        out += [(i, names[k], epoch, block, slot, at) for i, at in held[k].get(block, ())]
+        turn[k] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, None: 0.2}, {"a": 0.05, "b": 0.95}, {"a": 1, "b": 1, None: 7, "none such": 3}])
+def test_mixing_equals_a_schedule_by_brute_force(spark, weights):
+    random.seed(4)
+    rows = [(i if i % 50 else None, "x" * random.randrange(200), random.choice(["a", "a", "b", None])) for i in range(1, 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame, weights, block_bytes=500).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(mixed_by_brute_force(rows, weights, 500), key=str)
+
+
+def test_a_large_mixture_has_no_more_slots_than_any(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "x" * 1000, "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix(rows, {"a": 0.7, "b": 0.3}, block_bytes=10, most_slots=64)
+    assert 60 <= got.agg(F.max("slot")).head()[0] <= 70 and got.select("doc_id").distinct().count() == 2000
+
+
+def test_windows_by_the_callers_token_counts(spark):
+    rows = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"turn {t}", 100 if t else None) for t in range(8)], "conv_id long, turn int, role string, text string, n int")
+    few, many = (chat_format.windows(rows, budget=b, history_tokens=16, tokens_col="n").count() for b in (250, 2000))
+    assert few > many == 1
+
+
+def test_rows_of_one_id_fill_several_ranges(spark):
+    """A third of all rows has one id, and a third none: running sums go on from range to range."""
+    rows = spark.createDataFrame([(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    sized = sharding.shard_documents(rows.repartition(5)).orderBy("shard", "slot").collect()
+    assert [(r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in sized] == sorted((i is not None, i or 0, len(t) + 8, zlib.crc32(t.encode())) for i, t in rows.collect())
+    out = common.running(rows.select(F.col("doc_id"), F.lit(1).cast("long").alias("n"), F.xxhash64("text").alias("h")), [F.col("doc_id"), F.col("h")], "n", 9)
+    assert sorted(r._place for r in out.collect()) == sorted(r._sum for r in out.collect()) == list(range(600))
+
+
 def test_sharding(spark, docs):
     got = sharding.shard_documents(docs, 5).orderBy("shard", "slot").collect()
     assert len(got) == docs.count()
