@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import audit, experiment, live, metrics, model, splits
 from ..sources import blocks, days, readers
-from ..sources.shared import removed_at_exit, shared_dir
+from ..sources.shared import materialize, removed_at_exit, shared_dir
 from ..streaming import ingest
 from ..streaming import timeline as stream_of_days
 from . import bindings as B
@@ -591,3 +591,21 @@ def stream_timeline(s: SparkSession, d: str) -> DataFrame:
     stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=2), f"{base}/out", f"{base}/state")
     removed_at_exit(s, base)
     return stream_of_days.timeline(s, f"{base}/out")
+
+
+# --- the experiment from split to cells ---------------------------------------------------------------------------------------
+
+#: Trees and depth of the registered experiment; the operators' own defaults are larger.
+EXPERIMENT = {"trees": 20, "depth": 8}
+
+
+@query()
+def experiment_cells(s: SparkSession, d: str) -> DataFrame:
+    """Two forests, trained on a random and on a disjoint split of the corpus, scored on their test parts and on the live rows."""
+    corpus = materialize(U.with_features(B.corpus(s, d)).select("row_id", "y", "domain", *U.FEATURES), "features")
+    rows = materialize(U.with_features(B.urls(s, d)).select("y", "source", "domain", *U.FEATURES), "live")
+    parts = {"random": splits.random_split(corpus, "row_id"), "disjoint": splits.disjoint_split(corpus)}
+    parts = {k: materialize(p, k) for k, p in parts.items()}  # each is read for training, thresholds and scores
+    fitted = {k: model.fit(p, U.FEATURES, k, **EXPERIMENT) for k, p in parts.items()}
+    test = {k: p.where("part = 'test'") for k, p in parts.items()}
+    return experiment.run(fitted["random"], fitted["disjoint"], test["random"], test["disjoint"], rows, RESAMPLES)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.suffixes import Rules, with_suffix
 from ..functions.urls import with_parts
-from .shared import materialize
+from .shared import materialize, opened
 
 
 @dataclass(frozen=True)
@@ -96,24 +96,28 @@ def read_corpus(spark: SparkSession, corpus: Corpus, rules: Rules | None = None)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files as they are published: of compressed ones, what they hold. A file goes through one task."""
+    """(path, length, sha256) of files as they are published: of compressed ones, what they hold.
+
+    A hash is worked out in the order of the bytes, so a file is one task's, which reads it piece by piece.
+    """
     import gzip
     import hashlib
-    from io import BytesIO
 
     def digest(batches):
         for batch in batches:
             rows = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name in batch["path"]:
                 total, n = hashlib.sha256(), 0
-                with gzip.open(BytesIO(content)) if name.endswith(".gz") else BytesIO(content) as raw:
-                    while some := raw.read(1 << 20):
+                fs, at = opened(name)
+                with fs.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw as plain:
+                    while some := plain.read(1 << 20):
                         total.update(some)
                         n += len(some)
                 rows.append((name, n, total.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "length", "sha256"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(digest, "path string, length long, sha256 string")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the contents are not read here
+    return files.repartition(F.col("path")).mapInPandas(digest, "path string, length long, sha256 string")
 
 
 def verified(spark: SparkSession, corpora_: list[Corpus]) -> DataFrame:

@@ -337,3 +337,9 @@ def test_the_command_line_from_collection_to_report(spark, tmp_path, capsys):
     whole = json.loads(spark.read.text(f"{tmp_path}/out/faizann.json", wholetext=True).head()[0])
     assert len(whole["scores"]) == 10 and whole["readiness"][0]["reason"] == "too few days"
     assert "| 1 | faizann |" in spark.read.text(f"{tmp_path}/out/comparison.md", wholetext=True).head()[0]
+
+
+def test_the_registered_experiment_has_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(registry, "EXPERIMENT", {"trees": 2, "depth": 3})
+    got = registry.queries()["experiment_cells"](spark, FOLDER).collect()
+    assert sorted((r.cell, r.point) for r in got) == [(c, p) for c in ("c1", "c2", "c3", "c4", "robustness") for p in ("f1", "tss")] and all(r.n > 0 and r.lo <= r.hi for r in got)
