@@ -34,6 +34,8 @@ from .common import materialize, table
 SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL = 20_000, 16, 100, 128, 0.97
 #: Vectors in a part of a leaf, and queries taken at once.
 PART, BLOCK = 20_000, 256
+#: Queries of a lot that meets a part of a leaf.
+QUERIES = 5_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -120,7 +122,7 @@ def matrix(column) -> np.ndarray:
 
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its number, ids and cosines of its k best candidates, ties to the smaller id."""
+    """For each query: its number, places and cosines of its k best candidates, ties to the smaller id."""
     xn, qn = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
     for at in range(0, len(q), BLOCK):
         rough = (q[at : at + BLOCK] @ x.T) / (qn[at : at + BLOCK, None] * xn)
@@ -131,7 +133,7 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
             # One product after the other, so that equal vectors have equal scores wherever they lie.
             score = np.einsum("ij,ij->i", x[hit], np.broadcast_to(q[at + i], x[hit].shape)) / (xn[hit] * qn[at + i])
             order = np.lexsort((ids[hit], -score))[:k]
-            yield at + i, ids[hit][order], score[order]
+            yield at + i, hit[order], score[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -163,24 +165,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             rows = []
             for i, v, key, own in zip(b["id"], b["v"], b["key"], b["own"], strict=True):
                 near = tree.value.leaves_near(unit(np.asarray(v)[None, :])[0], opened, sizes, k + own)
-                rows += [(i, v, key, leaf, part) for leaf in near for part in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(rows, columns=["id", "v", "key", "leaf", "part"])
+                rows += [(i, v, key, leaf) for leaf in near if leaf in parts]
+            yield pd.DataFrame(rows, columns=["id", "v", "key", "leaf"])
 
     own = indexed.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("own"))  # rows that a query of this id passes over
     asked = queries.join(own, F.col("id") == F.col("_id"), "left").select("id", "v", F.xxhash64("id", "v").alias("key"), F.coalesce("own", F.lit(0)).alias("own"))
     # Queries are few bytes but each walks the tree, so they are spread over all tasks; a given number is not coalesced.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    asked = asked.repartition(tasks, "key").mapInPandas(visit, "id long, v array<double>, key long, leaf int, part int")
-    many = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("leaf"))
-    held = indexed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int"))
+    asked = materialize(asked.repartition(tasks, "key").mapInPandas(visit, "id long, v array<double>, key long, leaf int"), "visits")
+    lots = {r["leaf"]: -(-r["n"] // QUERIES) for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    # A leaf's vectors in parts and its queries in lots: each part meets each lot, and no group grows with the table.
+    cut = F.broadcast(spark.createDataFrame([(leaf, n, lots.get(leaf, 0)) for leaf, n in parts.items()], "leaf int, _parts int, _lots int"))  # a row for each leaf
+    asked = asked.join(cut, "leaf").withColumn("lot", F.pmod(F.col("key"), F.col("_lots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_lots")
+    held = indexed.join(cut.where("_lots > 0"), "leaf").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("_parts")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1))).drop("_parts", "_lots")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         found = [] if not len(q) or not len(x) else best_of(matrix(q["v"]), q["id"].to_numpy(), matrix(x["v"]), x["id"].to_numpy(), k)
-        ids, keys = q["id"].to_numpy(), q["key"].to_numpy()
-        rows = [(ids[i], keys[i], j, s) for i, near, score in found for j, s in zip(near, score, strict=True)]
+        ids, keys, of = q["id"].to_numpy(), q["key"].to_numpy(), x["id"].to_numpy() if len(x) else None
+        rows = [(ids[i], keys[i], of[j], s) for i, near, score in found for j, s in zip(near, score, strict=True)]
         return pd.DataFrame(rows, columns=["query_id", "query_key", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInPandas(meet, "query_id long, query_key long, vec_id long, score double")
+    found = asked.groupBy("leaf", "part", "lot").cogroup(held.groupBy("leaf", "part", "lot")).applyInPandas(meet, "query_id long, query_key long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_key")
 
@@ -196,8 +201,7 @@ def calibrated(indexed: DataFrame, queries: DataFrame, tree, k: int, recall: flo
         for b in batches:
             leaf = b["leaf"].to_numpy()
             own = b["id"].to_numpy()
-            of = dict(zip(own, leaf, strict=True))
-            rows = [(i, s, j, of[j]) for i, near, score in (best_of(q, ids, matrix(b["v"]), own, k) if len(b) else ()) for j, s in zip(near, score, strict=True)]
+            rows = [(i, s, own[j], leaf[j]) for i, near, score in (best_of(q, ids, matrix(b["v"]), own, k) if len(b) else ()) for j, s in zip(near, score, strict=True)]
             yield pd.DataFrame(rows, columns=["i", "score", "id", "leaf"])
 
     nth = F.row_number().over(Window.partitionBy("i").orderBy(F.col("score").desc(), "id"))

@@ -526,7 +526,7 @@ def test_tables_go_when_nothing_reads_them(spark):
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = llm.QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
