@@ -39,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, flat_bytes, materialize, n_buckets, slices, table
+from .common import SpanHashes, flat_bytes, hashes_of, materialize, n_buckets, slices, table
 from .suffix_dedup import anchors_of, binaries, columns_of, distinct, packed, runs, spread, unpacked
 from .words import NO_BLANK, numbered, spans
 
 WINDOW, GRAM = 20, 8
 #: Bytes of text for a slice and for a bucket; places from which on an anchor is dealt by windows.
 SLICE_BYTES, BUCKET_BYTES, HOT = 4 << 20, 8 << 20, 4096
-#: Words of strings in a lot, about, and in a reference shard; words and bytes that are hashed at once.
-LOT_WORDS, SHARD_WORDS, BLOCK_WORDS, BLOCK_BYTES = 1 << 16, 1 << 14, 1 << 19, 4 << 20
+#: Words of strings in a lot, about, and in a reference shard; words whose anchors are looked for at once.
+LOT_WORDS, SHARD_WORDS, BLOCK_WORDS = 1 << 16, 1 << 14, 1 << 19
 #: Words of more bytes are hashed by themselves.
 LONG_WORD = 1 << 12
 NEVER = np.iinfo(np.int64).max
@@ -55,24 +55,15 @@ L, B = pa.int64(), pa.binary()
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), dtype=np.uint64)
     long_ = np.flatnonzero(end - start > LONG_WORD)
-    for i in long_.tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    short = np.flatnonzero(end - start <= LONG_WORD)
-    at = 0
-    while at < len(short):
-        base = start[short[at]]
-        to = max(at + 1, int(np.searchsorted(start[short], base + BLOCK_BYTES)))
-        some = short[at:to]
-        # Long words between them are left out of the block.
-        cut = np.flatnonzero(np.diff(start[some]) > 2 * LONG_WORD)
-        if len(cut):
-            some = some[: cut[0] + 1]
-        hashes = SpanHashes(data[base : end[some[-1]]])
-        out[some] = hashes.of(start[some] - base, end[some] - base)
-        at += len(some)
-    return out
+    out, cuts = [], [-1, *long_.tolist(), len(start)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # the words between two long ones, and the one that ends them
+        if b > a + 1:
+            base = int(start[a + 1])
+            out.append(hashes_of(data[base : int(end[b - 1])], start[a + 1 : b] - base, end[a + 1 : b] - base))
+        if b < len(start):
+            out.append(np.frombuffer(hashlib.blake2b(data[start[b] : end[b]].tobytes(), digest_size=8).digest(), "<u8"))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def word_anchors(words: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

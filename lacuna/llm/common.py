@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.order import ranked
 from ..sources.shared import materialize, shared_dir, sweep
 
-__all__ = ["SpanHashes", "flat_bytes", "materialize", "mix", "n_buckets", "ranked", "running", "shared_dir", "slices", "sweep", "table"]
+__all__ = ["SpanHashes", "flat_bytes", "hashes_of", "materialize", "mix", "n_buckets", "ranked", "running", "shared_dir", "slices", "sweep", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,3 +139,20 @@ class SpanHashes:
     def grams(self, k: int) -> np.ndarray:
         n = max(0, len(self.sums) - k)
         return mix((self.sums[k : k + n] - self.sums[:n]) * self.down[:n])
+
+
+#: Bytes of a text that are hashed at once.
+HASHED = 2 << 20
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending spans, of a long text block by block; a span's hash does not depend on where it lies."""
+    if len(data) <= 2 * HASHED:
+        return SpanHashes(data).of(start, end)
+    out, at = np.empty(len(start), dtype=np.uint64), 0
+    while at < len(start):
+        base = int(start[at])
+        to = max(at + 1, int(np.searchsorted(start, base + HASHED)))
+        out[at:to] = SpanHashes(data[base : int(end[at:to].max())]).of(start[at:to] - base, end[at:to] - base)
+        at = to
+    return out

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, flat_bytes, materialize, mix, n_buckets, slices, table
+from .common import flat_bytes, hashes_of, materialize, mix, n_buckets, slices, table
 
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
 VALUES = CHUNKS * CHUNK
@@ -62,14 +62,17 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     first[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
-    chain = [SpanHashes(data).of(starts, ends)]
-    for k in range(1, words):
-        chain.append(mix(chain[-1][:-1] * _CHAIN + chain[0][k:]) if len(chain[-1]) else chain[-1])
     at = np.searchsorted(starts, offsets)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        n = b - a
-        out.append(np.unique(chain[words - 1][a : b - words + 1]) if n >= words else chain[n - 1][a : a + 1] if n else chain[0][:0])
+    base = hashes_of(data, starts, ends)
+    del data, inside, first, starts, ends
+    size, out = np.diff(at), [base[:0]] * len(texts)
+    runs = base
+    for k in range(1, words):
+        for i in np.flatnonzero(size == k).tolist():  # the whole text is one shingle
+            out[i] = runs[at[i] : at[i] + 1]
+        runs = mix(runs[:-1] * _CHAIN + base[k:]) if len(runs) else runs
+    for i in np.flatnonzero(size >= words).tolist():
+        out[i] = np.unique(runs[at[i] : at[i + 1] - words + 1])
     return out
 
 

@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, flat_bytes, materialize, n_buckets, slices, table
+from . import common
+from .common import SpanHashes, flat_bytes, hashes_of, materialize, n_buckets, slices, table
 
 SPAN, GRAM = 50, 20
 #: Bytes of text for a slice and for a bucket; slices from which on an anchor is dealt by windows.
@@ -53,7 +54,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tupl
     none = np.empty(0, np.int64)
     if len(data) < span:
         return none, none.astype(np.uint64), none, none
-    return anchors_of(SpanHashes(data).grams(gram)[: len(data) - gram + 1], offsets, span, gram)
+    if len(data) <= 2 * common.HASHED:
+        return anchors_of(SpanHashes(data).grams(gram)[: len(data) - gram + 1], offsets, span, gram)
+    parts = []  # windows that begin in a block; what its end cuts apart is matched like any other text
+    for at in range(0, len(data) - span + 1, common.HASHED):
+        block = data[at : at + common.HASHED + span - 1]
+        doc, h, first, last = anchors_of(SpanHashes(block).grams(gram)[: len(block) - gram + 1], np.clip(offsets, at, at + len(block)) - at, span, gram)
+        parts.append((doc, h, first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def anchors_of(value: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +292,7 @@ class Slice:
         some, each = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
         many = self.last[each] - self.first[each] + 1
         window = spread(self.first[each], many)
-        h = np.concatenate([self.h[some], SpanHashes(self.data).of(window, window + self.span) if len(window) else np.empty(0, np.uint64)])
+        h = np.concatenate([self.h[some], hashes_of(self.data, window, window + self.span) if len(window) else np.empty(0, np.uint64)])
         doc = np.concatenate([self.doc[some], np.repeat(self.doc[each], many)])
         start = np.concatenate([self.first[some], window])
         size = np.concatenate([self.last[some] - self.first[some] + self.span, np.full(len(window), self.span)])

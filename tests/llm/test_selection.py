@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import automaton_dedup, importance, lexical_search, words
+from lacuna.llm import automaton_dedup, common, importance, lexical_search, words
 
 DOCS = "doc_id long, text string, rank int, _g string"
 LOWERED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -193,7 +193,7 @@ def test_word_blocks_change_nothing(monkeypatch):
     data, sizes, known = np.frombuffer(raw, np.uint8), np.array([3000, len(raw) - 3000]), np.array([True, True])
     one = automaton_dedup.Slice(data, sizes, known, 20, 8, 16)
     monkeypatch.setattr(automaton_dedup, "BLOCK_WORDS", 501)
-    monkeypatch.setattr(automaton_dedup, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(common, "HASHED", 700)
     many = automaton_dedup.Slice(data, sizes, known, 20, 8, 16)
     assert (one.hashes == many.hashes).all()
     windows = lambda s: sorted((h, w) for h, a, b in zip(s.h.tolist(), s.first.tolist(), s.last.tolist(), strict=True) for w in range(a, b + 1))

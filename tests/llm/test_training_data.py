@@ -11,6 +11,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -610,3 +611,30 @@ def test_op5_query_follows_the_byte_shares(spark):
         done[source] += 1
         # A block without a row's beginning leaves its slot empty.
         assert done[source] <= (slot + 1) * weight[source] / total + 1
+
+
+def test_long_texts_are_hashed_block_by_block(monkeypatch):
+    rng = np.random.default_rng(1)
+    raw = " ".join(map(str, rng.integers(0, 500, 20_000))).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 30_000, len(raw)])
+    texts = pa.array([raw[:30_000].decode(), raw[30_000:].decode()])
+    sets, whole = near_dedup.shingle_sets(texts, 4), suffix_dedup.anchors(data, offsets, 50, 20)
+    monkeypatch.setattr(common, "HASHED", 3000)
+    assert all((a == b).all() for a, b in zip(sets, near_dedup.shingle_sets(texts, 4), strict=True))
+    cut = suffix_dedup.anchors(data, offsets, 50, 20)
+    windows = lambda x: sorted((int(d), int(h), w) for d, h, a, b in zip(*x, strict=True) for w in range(a, b + 1))
+    assert windows(whole) == windows(cut) and len(cut[0]) > len(whole[0])
+
+
+def test_a_text_of_50_mb_takes_bounded_memory():
+    import tracemalloc
+
+    from lacuna.llm import automaton_dedup
+
+    raw = (b"some words of a very long text %d " * 4 % (1, 2, 3, 4) + b"and more " * 40) * (50 * 2**20 // 500)
+    data = np.frombuffer(raw, np.uint8)
+    for f in (lambda: near_dedup.shingle_sets(pa.array([raw.decode()]), 4), lambda: suffix_dedup.anchors(data, np.array([0, len(data)]), 50, 20), lambda: automaton_dedup.Slice(data, np.array([len(data)]), np.array([True]), 20, 8, 16)):
+        tracemalloc.start()
+        f()
+        assert tracemalloc.get_traced_memory()[1] < 18 * len(data)
+        tracemalloc.stop()
