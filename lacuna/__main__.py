@@ -38,6 +38,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--suffixes", help="file of a public suffix list; else the one that comes with Spark")
     p.add_argument("--trees", type=int, default=model.TREES)
     p.add_argument("--depth", type=int, default=model.DEPTH)
+    p.add_argument("--per-tree", action="store_true", help="a bootstrap sample and a class balance for each tree (train, report)")
     p.add_argument("--resamples", type=int, default=1000)
     return p.parse_args(argv)
 
@@ -72,7 +73,7 @@ def report(spark: SparkSession, a: argparse.Namespace, chosen: list, frames: dic
         headline = live.headline(rows)
         by_cell = audit.template_audit(rows.withColumn("cell", F.col("source")), ["cell"])
         ready, two = splits.readiness(headline), None
-        fitted = model.fit_live(headline, urls.FEATURES, trees=a.trees, depth=a.depth) if ready.head()["ready"] else None
+        fitted = model.fit_live(headline, urls.FEATURES, trees=a.trees, depth=a.depth, per_tree=a.per_tree) if ready.head()["ready"] else None
         if fitted:
             two = experiment.recovered(trained["disjoint"], fitted[0], test["disjoint"], fitted[1].where("part = 'test'"), a.resamples)
         confound = model.confound(headline, urls.PATH_SHAPE, trees=min(a.trees, 200), depth=min(a.depth, 12))
@@ -110,7 +111,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.task == "train":
         for key, by in parts.items():
             for name, split in by.items():
-                model.fit(split, urls.FEATURES, name, trees=a.trees, depth=a.depth, benchmark=key).save(f"{a.models}/{key}-{name}")
+                model.fit(split, urls.FEATURES, name, trees=a.trees, depth=a.depth, per_tree=a.per_tree, benchmark=key).save(f"{a.models}/{key}-{name}")
         return
     report(spark, a, chosen, frames, parts, rules)
 

@@ -16,6 +16,8 @@ from ..streaming import ingest
 from ..streaming import timeline as stream_of_days
 from . import bindings as B
 
+#: Trees and depth of the registered experiment and of the forest with a balance for each tree; the operators' own defaults are larger.
+EXPERIMENT = {"trees": 20, "depth": 8}
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -444,6 +446,15 @@ def rf_train_predict(s: SparkSession, d: str) -> DataFrame:
     return model.predict(m, parts.where("part = 'test'")).select("vec_id", "y", F.round("prob", 6).alias("prob"))
 
 
+@query()
+def rf_balanced_predict(s: SparkSession, d: str) -> DataFrame:
+    """Scores by a forest whose trees have a bootstrap sample and a class balance each."""
+    rows, names = _vectors(s, d)
+    parts = splits.random_split(rows, "vec_id")
+    m = model.train_balanced(parts.where("part = 'train'"), names, **EXPERIMENT)
+    return model.predict(m, parts.where("part = 'test'")).select("vec_id", "y", F.round("prob", 6).alias("prob"))
+
+
 @query()
 def rf_importance(s: SparkSession, d: str) -> DataFrame:
     rows, names = _vectors(s, d)
@@ -595,10 +606,6 @@ def stream_timeline(s: SparkSession, d: str) -> DataFrame:
 
 # --- the experiment from split to cells ---------------------------------------------------------------------------------------
 
-#: Trees and depth of the registered experiment; the operators' own defaults are larger.
-EXPERIMENT = {"trees": 20, "depth": 8}
-
-
 @query()
 def experiment_cells(s: SparkSession, d: str) -> DataFrame:
     """Two forests, trained on a random and on a disjoint split of the corpus, scored on their test parts and on the live rows."""

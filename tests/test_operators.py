@@ -343,3 +343,32 @@ def test_the_registered_experiment_has_all_cells(spark, monkeypatch):
     monkeypatch.setattr(registry, "EXPERIMENT", {"trees": 2, "depth": 3})
     got = registry.queries()["experiment_cells"](spark, FOLDER).collect()
     assert sorted((r.cell, r.point) for r in got) == [(c, p) for c in ("c1", "c2", "c3", "c4", "robustness") for p in ("f1", "tss")] and all(r.n > 0 and r.lo <= r.hi for r in got)
+
+
+def test_each_tree_has_a_balance_of_its_own(spark, tmp_path):
+    random.seed(7)
+    rows = [(i, int(i % 7 == 0), random.gauss(2 * (i % 7 == 0), 1), random.gauss(0, 1), 5.0, "abc"[i % 3]) for i in range(700)]
+    frame = spark.createDataFrame(rows, "row_id long, y int, f0 double, f1 double, same double, domain string")
+    data = frame.withColumn("_row", F.col("row_id")).cache()
+    balance = model.tree_balance(data, "y", 6, 3)
+    samples = []
+    for t in range(6):
+        drawn = model.bootstrap(data, F.lit(t), "y", 3)
+        weight = drawn.select("y", (F.col("_n") * F.when(F.col("y") == 1, balance[t][1]).otherwise(balance[t][0])).alias("w")).groupBy("y").agg(F.sum("w").alias("w")).collect()
+        assert abs(weight[0].w - weight[1].w) < 1e-6
+        samples.append([r["_n"] for r in drawn.orderBy("row_id").collect()])
+    assert len({tuple(x) for x in samples}) == 6 and all(0.85 < sum(x) / 700 < 1.15 and 0.3 < x.count(0) / 700 < 0.44 for x in samples) and len({b[1] for b in balance.values()}) == 6
+    names = ["f0", "f1", "same"]
+    one, again = (model.train_balanced(frame, names, trees=5, depth=4, seed=3) for _ in range(2))
+    score = lambda m: [round(r.prob, 12) for r in model.predict(m, frame).orderBy("row_id").collect()]
+    assert score(one) == score(again) and one.stages[-1].getNumTrees == 5 and model.predict(one, frame).columns == [*frame.columns, "prob"]
+    # The average of the trees' probabilities.
+    got = one.transform(frame).limit(20).collect()
+    for r in got:
+        alone = [t.predictProbability(r["_features"])[1] for t in one.stages[-1].trees]
+        assert abs(r.probability[1] - sum(alone) / 5) < 1e-9
+    assert metrics.select_threshold(model.predict(one, frame), "tss").head().value > 0.6 and [f for f, _ in model.ranked(one)][0] == "f0"
+    split = splits.random_split(frame, "row_id")
+    trained = model.fit(split, names, "random", trees=3, depth=3, per_tree=True)
+    trained.save(str(tmp_path / "m"))
+    assert score(model.load(str(tmp_path / "m")).model) == score(trained.model) and trained.metadata["hyperparameters"]["class_weight"] == "balanced for each tree"
