@@ -424,7 +424,7 @@ def comparison_rank(s: SparkSession, d: str) -> DataFrame:
     return _comparison(s, d)
 
 
-@query()
+@query("SELECT rank, '| ' || corpus || ' | ' || coalesce(printf('%.3f', template_rule_tss), '—') || ' | ' || coalesce(printf('%.3f', max_single_property_tss), '—') || ' |' AS line FROM (" + _SQL["comparison_rank"] + ")")
 def report_lines(s: SparkSession, d: str) -> DataFrame:
     return experiment.render(_comparison(s, d))
 
