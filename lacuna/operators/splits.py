@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import materialize
+
 SEED, FRACTIONS = 20260920, (0.70, 0.15)
+#: Groups up to which their table is broadcast (some 50 bytes each).
+MOST_BROADCAST = 500_000
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -30,21 +34,27 @@ def before(df: DataFrame, order: str, size: Column, over: str | None = None) ->
 def random_split(df: DataFrame, key: str, seed: int = SEED, fractions: tuple[float, float] = FRACTIONS) -> DataFrame:
     """Within each label the first share of a shuffled order is train, the next val, the rest test."""
     sizes = df.groupBy("y").agg(F.count("*").alias("_n"))
-    out = before(df.withColumn("_order", F.concat(shuffled(F.col(key), seed), F.col(key).cast("string"))), "_order", F.lit(1), "y").join(F.broadcast(sizes), "y")
+    out = before(df.withColumn("_order", F.concat(shuffled(F.col(key), seed), F.coalesce(F.col(key).cast("string"), F.lit("")))), "_order", F.lit(1), "y").join(F.broadcast(sizes), "y")
     train, val = (F.floor(F.col("_n") * F.lit(f)) for f in fractions)
     return out.withColumn("part", F.when(F.col("_before") < train, "train").when(F.col("_before") < train + val, "val").otherwise("test")).drop("_before", "_n", "_order")
 
 
 def disjoint_split(df: DataFrame, group: str = "domain", seed: int = SEED, fractions: tuple[float, float] = FRACTIONS) -> DataFrame:
     """Whole groups in a shuffled order fill train, then val, to their quotas; the rest is test."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    total = df.count()
-    sizes = before(sizes.withColumn("_order", F.concat(shuffled(F.col(group), seed), F.col(group).cast("string"))), "_order", F.col("_n"))
+    sizes = materialize(df.groupBy(group).agg(F.count("*").alias("_n")), "groups")
+    have = sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).head()
+    total = have["rows"]
+    sizes = before(sizes.withColumn("_order", F.concat(shuffled(F.col(group), seed), F.coalesce(F.col(group).cast("string"), F.lit("")))), "_order", F.col("_n"))
     in_train = F.col("_before") < F.lit(fractions[0] * total)
     train = sizes.agg(F.coalesce(F.sum(F.when(in_train, F.col("_n"))), F.lit(0)).alias("_t"))
     part = F.when(in_train, "train").when(F.col("_before") - F.col("_t") < F.lit(fractions[1] * total), "val").otherwise("test")
     assign = sizes.crossJoin(F.broadcast(train)).select(F.col(group).alias("_group"), part.alias("part"))  # one row beside each group
-    return df.join(assign, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return df.join(beside(assign, have["groups"]), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def beside(groups: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` groups for a join with rows: broadcast up to ``MOST_BROADCAST``, so that a hot group moves no rows; beyond, left to Spark."""
+    return F.broadcast(groups) if n <= MOST_BROADCAST else groups
 
 
 def leaks(split: DataFrame, group: str = "domain") -> DataFrame:
@@ -71,8 +81,8 @@ def temporal_split(rows: DataFrame, day: str = "snapshot_date", group: str = "do
     days = days.where((F.col("_d") >= 3) & (train >= 2) & (train - vals >= 1)).select("_day", part.alias("part"))
     dealt = rows.join(F.broadcast(days), F.col(day) == F.col("_day")).drop("_day")
     order = F.when(F.col("part") == "train", 0).when(F.col("part") == "val", 1).otherwise(2)
-    first = dealt.groupBy(F.col(group).alias("_group")).agg(F.min(order).alias("_first"))
-    kept = dealt.join(first, F.col(group).eqNullSafe(F.col("_group"))).where(order == F.col("_first")).drop("_group", "_first")
+    first = materialize(dealt.groupBy(F.col(group).alias("_group")).agg(F.min(order).alias("_first")), "groups")
+    kept = dealt.join(beside(first, first.count()), F.col(group).eqNullSafe(F.col("_group"))).where(order == F.col("_first")).drop("_group", "_first")
     usable = kept.groupBy("part").agg(F.countDistinct("y").alias("l")).agg((F.count_if(F.col("l") >= 2) == 3).alias("ok"))
     return kept.crossJoin(F.broadcast(usable)).where("ok").drop("ok")  # one row beside each
 

@@ -372,3 +372,14 @@ def test_each_tree_has_a_balance_of_its_own(spark, tmp_path):
     trained = model.fit(split, names, "random", trees=3, depth=3, per_tree=True)
     trained.save(str(tmp_path / "m"))
     assert score(model.load(str(tmp_path / "m")).model) == score(trained.model) and trained.metadata["hyperparameters"]["class_weight"] == "balanced for each tree"
+
+
+def test_splits_are_the_same_with_and_without_a_broadcast(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, i % 2, "hot" if i % 3 == 0 else f"d{rng.randrange(80)}" if i % 50 else None, dt.date(2024, 1, 1 + i % 20)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "row_id int, y int, domain string, snapshot_date date")
+    both = lambda: [sorted(map(tuple, f(frame).select("row_id", "part").collect())) for f in (splits.disjoint_split, splits.temporal_split)]
+    small = both()
+    assert len(small[0]) == 900  # rows without a group are a group
+    monkeypatch.setattr(splits, "MOST_BROADCAST", 0)
+    assert both() == small
