@@ -31,6 +31,8 @@ MAX_DOCUMENTS, MIN_KEPT_SHARE = 100, 0.5
 SALTS = 16
 #: Frequent lines up to which they are broadcast (16 bytes each).
 MOST_BROADCAST = 1_000_000
+#: Rejected rows up to which their keys are broadcast (16 bytes each).
+MOST_REJECTED = 2_000_000
 
 
 def let(value: Column, f) -> Column:
@@ -153,6 +155,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with their columns; rows that share an id, or have none, are kept each by itself."""
-    kept = materialize(judged(docs).where("kept").select(F.col("_qkey").alias("_qkept")).distinct(), "kept")
-    return docs.join(kept, row_key(docs) == kept["_qkept"], "left_semi")
+    """The documents that the rules keep, with their columns; rows that share an id, or have none, are kept each by itself.
+
+    The keys of what is rejected are broadcast up to a checked number, and no text is shuffled; beyond it, all rows meet them.
+    """
+    gone = materialize(judged(docs).where(~F.col("kept")).select(F.col("_qkey").alias("_qgone")).distinct(), "rejected")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_REJECTED else gone, row_key(docs) == gone["_qgone"], "left_anti")

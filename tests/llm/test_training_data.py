@@ -248,7 +248,9 @@ def test_many_frequent_lines_give_the_same_without_a_broadcast(spark, monkeypatc
     assert rows() == small and all(r[7] for r in small)
 
 
-def test_the_rules_keep_rows_and_not_ids(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_the_rules_keep_rows_and_not_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "MOST_REJECTED", most)
     good = lambda i: " ".join(spelt(1000 * i + k) for k in range(20))
     rows = [(1, good(1)), (1, "too short"), (None, good(2)), (None, "short too"), (2, good(3)), (2, good(4)), (3, "short")]
     frame = spark.createDataFrame([(i, t, "en", None if t == good(4) else "s0", 0, 1) for i, t in rows], DOCS)
