@@ -11,15 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import materialize
+from ..functions.digests import md5_words
+from ..sources.shared import materialize, opened, removed_at_exit, shared_dir
 from .order import ranked
 
 #: Parts of 0 to 1 over which a sweep sums first, and classes of a block.
 CELLS, BLOCK = 1 << 16, 20_000
+#: Draws that are hashed at once; bytes of the classes of groups that a task holds, classes that have numbers, and groups that are packed at once.
+RUN, TILE, CLASSES, PLACES = 10_000, 64 << 20, 1 << 16, 1 << 18
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -87,18 +92,79 @@ def group_confusion(scored: DataFrame, threshold: float, group: str = "grp") ->
     return scored.groupBy(group).agg(*confusion(threshold))
 
 
-def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp") -> DataFrame:
+def run_of(r: int) -> tuple[str, int, int]:
+    """Run ``r`` of the numbers from 0 on: what its numbers begin with, and the first and last of the digits that follow; up to four digits differ."""
+    return ("", 10**r if r else 0, 10 ** (r + 1)) if r < 4 else (str(r - 3), 0, RUN)
+
+
+def runs_below(n: int) -> int:
+    return sum(run_of(r)[1] < n for r in range(4)) if n <= RUN else 3 + -(-n // RUN)
+
+
+_held: dict[str, np.ndarray] = {}
+
+
+def tile_of(path: str, kind: str) -> np.ndarray:
+    """One tile, which a worker keeps until it needs another."""
+    if path not in _held:
+        _held.clear()
+        fs, at = opened(path)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+        parts = sorted((p, c) for f in files for t in [pq.read_table(f, filesystem=fs, partitioning=None)] for p, c in zip(t["part"].to_pylist(), t["codes"].to_pylist(), strict=True))
+        _held[path] = np.frombuffer(b"".join(c for _, c in parts), dtype=kind)
+    return _held[path]
+
+
+def resamples(groups: DataFrame, n_resamples: int, seed: int, group: str = "grp", tile: int = TILE, classes: int = CLASSES) -> DataFrame:
     """(b, tss): for each resample the score over groups drawn with replacement.
 
-    Groups are numbered by key; draw ``k`` of resample ``b`` is a hash of (b, k, seed) modulo the number of
-    groups. Only counts for each group are drawn, so rows never multiply.
+    Groups are numbered by key; draw ``k`` of resample ``b`` is a hash of (b, k, seed) modulo the number of groups. Draws are
+    never rows: a task hashes runs of them and looks them up in an array by place, which it reads from the shared folder,
+    and sends one row of sums for each resample. The array has the number of each group's class (groups with the same counts)
+    if there are ``classes`` at most, else the counts. More than ``tile`` bytes come in tiles of places; draws are hashed for each tile.
     """
-    n = groups.count()
-    draws = groups.sparkSession.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
-    word = F.md5(F.concat_ws("-", "b", "k", F.lit(seed)))
-    draws = draws.select("b", (F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n).alias("i"))
-    places = ranked(materialize(groups, "groups"), [F.col(group)], "i").withColumn("i", F.col("i") - 1)
-    out = draws.join(places, "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    spark, four = groups.sparkSession, ["tp", "fp", "fn", "tn"]
+    groups = materialize(groups, "groups")
+    n, schema = groups.count(), "b long, tp long, fp long, fn long, tn long"
+    distinct = sorted(map(tuple, groups.select(*four).distinct().limit(classes + 1).collect()))
+    narrow = len(distinct) <= classes
+    counts = np.array(distinct if narrow else [], dtype=np.int64).reshape(-1, 4)
+    places = ranked(groups, [F.col(group)], "_i").withColumn("_i", F.col("_i") - 1)
+    if narrow and distinct:
+        numbers = spark.createDataFrame([(*c, i) for i, c in enumerate(distinct)], "tp long, fp long, fn long, tn long, _class int")
+        places = places.join(F.broadcast(numbers), four)
+    columns = ["_class"] if narrow and distinct else four
+    kind = "<i8" if not narrow else "u1" if len(distinct) <= 1 << 8 else "<u2"
+    each = max(1, tile // (np.dtype(kind).itemsize * len(columns)))  # places of a tile
+    n_tiles, n_runs = -(-n // each), runs_below(n)
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, rows.sort_values("_i")[columns].to_numpy().astype(kind).tobytes())], columns=["tile", "part", "codes"])
+
+    path = shared_dir(spark, "tiles")
+    removed_at_exit(spark, path)
+    packed = places.groupBy(F.floor(F.col("_i") / each).alias("tile"), F.floor(F.col("_i") % each / PLACES).alias("part"))  # PLACES rows each
+    packed.applyInPandas(pack, "tile long, part long, codes binary").write.partitionBy("tile").parquet(path)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums: dict[int, np.ndarray] = {}
+            for number in batch["id"].tolist():
+                t, rest = divmod(number, n_resamples * n_runs)
+                b, r = divmod(rest, n_runs)
+                begin, first, last = run_of(r)
+                words = md5_words(f"{b}-{begin}", first, last, f"-{seed}")[: n - (int(begin or 0) * RUN + first)]
+                at = (words % np.uint32(n) if n < 1 << 32 else words).astype(np.int64)
+                held = tile_of(f"{path}/tile={t}", kind)
+                if n_tiles > 1:
+                    at = at[at // each == t] - t * each
+                taken = np.bincount(held[at], minlength=len(counts)) @ counts if narrow else held.reshape(-1, 4)[at].sum(axis=0)
+                sums[b] = sums.get(b, 0) + taken
+            yield pd.DataFrame([(b, *x.tolist()) for b, x in sums.items()], columns=["b", *four])
+
+    asked = n_tiles * n_resamples * n_runs
+    parts = max(1, min(-(-asked // 64), 8 * spark.sparkContext.defaultParallelism))
+    out = spark.range(0, asked, 1, parts).mapInPandas(draw, schema).groupBy("b").agg(*(F.sum(c).alias(c) for c in four))
     return out.select("b", derived()["tss"].alias("tss"))
 
 

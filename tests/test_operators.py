@@ -59,6 +59,23 @@ def test_row_interval_draws_over_the_whole_frame(spark):
     assert [tuple(r) for r in registry.queries()["iid_bootstrap_ci"](spark, FOLDER).select("lo", "hi").collect()] == c.sql(whole).fetchall()
 
 
+def test_draws_of_resamples_equal_a_plain_loop(spark):
+    """Draws are no rows of a shuffle, whether groups have few or many classes and come in one or many tiles."""
+    rng = random.Random(3)
+    groups = [(f"g{i:05d}", *(rng.randrange(4) for _ in range(4))) for i in range(10_057)]
+    frame = spark.createDataFrame(groups, "grp string, tp long, fp long, fn long, tn long").repartition(3)
+    want = {}
+    for b in range(3):
+        drawn = [groups[int(hashlib.md5(f"{b}-{k}-77".encode()).hexdigest()[:8], 16) % len(groups)][1:] for k in range(len(groups))]
+        tp, fp, fn, tn = map(sum, zip(*drawn, strict=True))
+        want[b] = tp / (tp + fn) - fp / (fp + tn)
+    for settings in ({}, {"tile": 3000}, {"classes": 5}, {"classes": 5, "tile": 100_000}):
+        out = metrics.resamples(frame, 3, 77, **settings)
+        assert {r.b: r.tss for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert metrics.resamples(frame.where("false"), 3, 77).count() == 0
+
+
 def test_counts_of_classes_resample_like_drawn_groups(spark):
     """Both intervals lie around the score, and their ends differ by less than half a standard error of 2000 resamples."""
     random.seed(5)
