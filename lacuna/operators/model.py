@@ -1,7 +1,7 @@
 """Random forests over feature columns: fit, frozen thresholds, stored models with their metadata, and the sampling diagnostic.
 
 Spark's forest bins features and has one set of class weights for all trees. :func:`train_balanced` gives each tree its
-own bootstrap counts and its own class balance over bins that all trees share. Scores differ from other libraries'
+own bootstrap counts and its own class balance over bins that all trees share; :func:`train_wide` grows trees in tasks. Scores differ from other libraries'
 forests while the protocol is the same.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import hadoop, materialize, shared_dir
 from . import metrics, splits
 from .experiment import CONFOUND_CEILING
+from .forest import TaskForest, TaskForestModel
 
 TREES, DEPTH, SEED, TOP, BINS = 300, 20, 20260920, 15, 32
 
@@ -59,6 +60,12 @@ def train(rows: DataFrame, features: list[str], label: str = "y", trees: int = T
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), forest]).fit(weighted)
 
 
+def train_wide(rows: DataFrame, features: list[str], label: str = "y", trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
+    """The forest of :func:`train` by :mod:`.forest`: many deep trees of many rows, which the driver never holds. It lives as long as the session."""
+    grown = TaskForest(features, labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), grown]).fit(rows)
+
+
 def bootstrap(rows: DataFrame, tree: Column, label: str, seed: int) -> DataFrame:
     """``rows`` (with a number ``_row``) with ``_n``, how often a row is in the sample of ``tree``: a Poisson count of mean 1 from a hash."""
     u = F.pmod(F.xxhash64("_row", tree, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
@@ -118,6 +125,8 @@ def train_balanced(rows: DataFrame, features: list[str], label: str = "y", trees
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with prob, the probability of label 1."""
+    if isinstance(model.stages[-1], TaskForestModel):
+        return model.stages[-1].transform(rows)
     out = model.transform(rows).withColumn("prob", F.get(vector_to_array("probability"), F.lit(1)))
     return out.drop("_features", "rawPrediction", "probability", "prediction", *(c for c in out.columns if c.startswith("_bin_")))
 
@@ -158,7 +167,8 @@ def fit_live(rows: DataFrame, features: list[str], **settings) -> tuple[Trained,
 
 def ranked(model: PipelineModel) -> list[tuple[str, float]]:
     """Features by importance, the most important first; ties by name."""
-    names, weights = model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()
+    last = model.stages[-1]
+    names, weights = model.stages[0].getInputCols(), last.importances if isinstance(last, TaskForestModel) else last.featureImportances.toArray()
     return sorted(((n, float(w)) for n, w in zip(names, weights, strict=True)), key=lambda x: (-x[1], x[0]))
 
 

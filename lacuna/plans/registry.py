@@ -442,7 +442,7 @@ def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 def rf_train_predict(s: SparkSession, d: str) -> DataFrame:
     rows, names = _vectors(s, d)
     parts = splits.random_split(rows, "vec_id")
-    m = model.train(parts.where("part = 'train'"), names)
+    m = model.train_wide(parts.where("part = 'train'"), names)
     return model.predict(m, parts.where("part = 'test'")).select("vec_id", "y", F.round("prob", 6).alias("prob"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lacuna.functions import suffixes, urls
-from lacuna.operators import audit, experiment, live, metrics, model, splits
+from lacuna.operators import audit, experiment, forest, live, metrics, model, splits
 from lacuna.plans import registry
 from lacuna.sources import days, readers
 from lacuna.streaming import ingest
@@ -127,6 +127,28 @@ def test_forests_are_registered_whole(spark, monkeypatch, name):
     assert folds == (["Column<'5'>"] if name == "confound_diagnostic" else folds)
 
 
+def test_trees_grown_by_tasks(spark, monkeypatch):
+    """The driver holds no tree; a forest with its widest nodes split by histograms separates like one grown by tasks alone and like Spark's."""
+    rng = random.Random(11)
+    rows = [(i, y := int(i % 5 == 0), rng.gauss(1.5 * y, 1), rng.gauss(0, 1), rng.gauss(-y, 1), "x") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "row_id int, y int, f0 double, f1 double, f2 double, domain string").repartition(5)
+    train, test = frame.where("row_id % 4 > 0"), frame.where("row_id % 4 = 0")
+    names = ["f0", "f1", "f2"]
+    peak = lambda m: metrics.select_threshold(model.predict(m, test), "tss").head().value
+    native = peak(model.train(train, names, trees=20, depth=10))
+    monkeypatch.setattr(model.RandomForestClassifier, "_fit", lambda *a: pytest.fail("trees in the driver"))
+    one, again = (model.train_wide(train, names, trees=20, depth=10) for _ in range(2))
+    score = lambda m: {r.row_id: r.prob for r in model.predict(m, test).collect()}
+    assert score(one) == pytest.approx(score(again)) and len(score(one)) == 1000 and abs(peak(one) - native) < 0.05
+    assert [f for f, _ in model.ranked(one)] == ["f0", "f2", "f1"] and abs(sum(w for _, w in model.ranked(one)) - 1) < 1e-9
+    monkeypatch.setattr(forest, "LOCAL", 300)
+    monkeypatch.setattr(forest, "BLOCK", 500)
+    split = model.train_wide(train, names, trees=20, depth=10)
+    assert all(len(t) > 3 for t in split.stages[-1].top.values()) and abs(peak(split) - native) < 0.05
+    assert spark.read.parquet(split.stages[-1].path).count() == sum(len(t) + 1 - len(split.stages[-1].leaves[k]) for k, t in split.stages[-1].top.items())
+    assert model.predict(model.train_wide(frame.select("y", F.lit(1.0).alias("f0")), ["f0"], trees=3), frame.withColumn("f0", F.lit(None))).agg(F.countDistinct("prob")).head()[0] == 1
+
+
 def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     rows = spark.createDataFrame([(i, d % 2, f"d{d}") for d in range(200) for i in range(d * 10, d * 10 + d % 7 + 1)], "row_id long, y int, domain string")
     s = splits.disjoint_split(rows)
