@@ -458,7 +458,7 @@ def rf_balanced_predict(s: SparkSession, d: str) -> DataFrame:
 @query()
 def rf_importance(s: SparkSession, d: str) -> DataFrame:
     rows, names = _vectors(s, d)
-    return model.importances(model.train(rows, names))
+    return model.importances(model.train_wide(rows, names))
 
 
 @query()
