@@ -189,11 +189,12 @@ def confound(rows: DataFrame, features: list[str], group: str = "domain", folds:
     With one label only or fewer than five groups it is not available, and the scores are null.
     """
     spark = rows.sparkSession
+    rows = materialize(rows.select("y", group, *features), "confound")  # each fold reads them twice
     have = rows.agg(F.count("*").alias("n"), F.countDistinct("y").alias("labels"), F.countDistinct(group).alias("groups")).head()
     if have["labels"] < 2 or have["groups"] < 5:
         return spark.createDataFrame([(False, have["n"], None, None, None)], "available boolean, n long, peak_tss double, threshold double, breached boolean")
     dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(group), F.lit(folds)))
-    parts = [predict(train(dealt.where(F.col("_fold") != k), features, trees=trees, depth=depth), dealt.where(F.col("_fold") == k)) for k in range(folds)]
-    scored = reduce(DataFrame.unionByName, parts)
+    parts = [predict(train_wide(dealt.where(F.col("_fold") != k), features, trees=trees, depth=depth), dealt.where(F.col("_fold") == k)) for k in range(folds)]
+    scored = materialize(reduce(DataFrame.unionByName, parts).select("y", "prob"), "scored")  # each row is scored once
     best = metrics.select_threshold(scored, "tss")
     return best.select(F.lit(True).alias("available"), F.lit(have["n"]).cast("long").alias("n"), metrics.r6(F.col("value")).alias("peak_tss"), metrics.r6(F.col("threshold")).alias("threshold"), (F.col("value") > CONFOUND_CEILING).alias("breached"))

@@ -141,6 +141,7 @@ def test_trees_grown_by_tasks(spark, monkeypatch):
     score = lambda m: {r.row_id: r.prob for r in model.predict(m, test).collect()}
     assert score(one) == pytest.approx(score(again)) and len(score(one)) == 1000 and abs(peak(one) - native) < 0.05
     assert [f for f, _ in model.ranked(one)] == ["f0", "f2", "f1"] and abs(sum(w for _, w in model.ranked(one)) - 1) < 1e-9
+    assert model.confound(frame, names, trees=3, depth=3).head().available
     monkeypatch.setattr(forest, "LOCAL", 300)
     monkeypatch.setattr(forest, "BLOCK", 500)
     split = model.train_wide(train, names, trees=20, depth=10)
