@@ -18,6 +18,8 @@ from . import bindings as B
 
 #: Trees and depth of the registered experiment and of the forest with a balance for each tree; the operators' own defaults are larger.
 EXPERIMENT = {"trees": 20, "depth": 8}
+#: Rows of a file of the streamed sightings.
+FILE_ROWS = 250_000
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -598,8 +600,9 @@ def stream_timeline(s: SparkSession, d: str) -> DataFrame:
     """The timeline from files of sightings that arrive in no order of days, kept by a stream."""
     base = shared_dir(s, "stream-timeline")
     rows = _visits(s, d)
-    rows.repartition(6, F.xxhash64("page_id")).write.parquet(f"{base}/in")
-    stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=2), f"{base}/out", f"{base}/state")
+    lots = max(1, -(-rows.count() // (6 * FILE_ROWS)))  # three micro-batches, of files that do not grow
+    rows.repartition(6 * lots, F.xxhash64("page_id")).write.parquet(f"{base}/in")
+    stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=2 * lots), f"{base}/out", f"{base}/state", parts=6 * lots)
     removed_at_exit(s, base)
     return stream_of_days.timeline(s, f"{base}/out")
 

@@ -70,9 +70,18 @@ def merged(path: str):
     return merge
 
 
-def run_timeline(rows: DataFrame, out: str, checkpoint: str, tie: str = "page_id") -> None:
-    """Take in what has arrived and stop; the next call goes on from there."""
-    changes(rows, tie).writeStream.foreachBatch(merged(out)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_timeline(rows: DataFrame, out: str, checkpoint: str, tie: str = "page_id", parts: int | None = None) -> None:
+    """Take in what has arrived and stop; the next call goes on from there.
+
+    The first call fixes into how many parts the state is dealt: ``parts``, or the session's number if that is larger.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.shuffle.partitions"
+    held = conf.get(name)
+    conf.set(name, str(max(int(held), parts or 0)))
+    try:
+        changes(rows, tie).writeStream.foreachBatch(merged(out)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, held)
 
 
 def timeline(spark: SparkSession, path: str) -> DataFrame:

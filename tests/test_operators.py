@@ -141,7 +141,7 @@ def test_trees_grown_by_tasks(spark, monkeypatch):
     score = lambda m: {r.row_id: r.prob for r in model.predict(m, test).collect()}
     assert score(one) == pytest.approx(score(again)) and len(score(one)) == 1000 and abs(peak(one) - native) < 0.05
     assert [f for f, _ in model.ranked(one)] == ["f0", "f2", "f1"] and abs(sum(w for _, w in model.ranked(one)) - 1) < 1e-9
-    assert model.confound(frame, names, trees=3, depth=3).head().available
+    assert model.confound(frame, names, "row_id", trees=3, depth=3).head().available
     monkeypatch.setattr(forest, "LOCAL", 300)
     monkeypatch.setattr(forest, "BLOCK", 500)
     split = model.train_wide(train, names, trees=20, depth=10)
@@ -150,6 +150,25 @@ def test_trees_grown_by_tasks(spark, monkeypatch):
     assert model.predict(model.train_wide(frame.select("y", F.lit(1.0).alias("f0")), ["f0"], trees=3), frame.withColumn("f0", F.lit(None))).agg(F.countDistinct("prob")).head()[0] == 1
 
 
+def test_streamed_files_and_state_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FILE_ROWS", 100)
+    asked = []
+
+    def run(stream, out, checkpoint, parts):
+        sizes = spark.read.parquet(out.removesuffix("/out") + "/in").groupBy(F.input_file_name()).count().collect()
+        asked.append((parts, len(sizes), max(r["count"] for r in sizes)))
+        raise InterruptedError
+
+    monkeypatch.setattr(registry.stream_of_days, "run_timeline", run)
+    with pytest.raises(InterruptedError):
+        registry.queries()["stream_timeline"](spark, FOLDER)
+    assert asked[0][:2] == (18, 18) and asked[0][2] < 160
+    monkeypatch.undo()
+    monkeypatch.setattr(registry, "FILE_ROWS", 100)
+    want = registry.queries()["timeline"](spark, FOLDER).collect()
+    assert sorted(map(tuple, registry.queries()["stream_timeline"](spark, FOLDER).collect())) == sorted(map(tuple, want)) and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     rows = spark.createDataFrame([(i, d % 2, f"d{d}") for d in range(200) for i in range(d * 10, d * 10 + d % 7 + 1)], "row_id long, y int, domain string")
     s = splits.disjoint_split(rows)
