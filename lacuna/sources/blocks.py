@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from ..operators.order import asof, ranked
 from .shared import materialize, opened
 
-#: Bytes of neighbouring blocks that are read at once, and records of a block.
-READ_BYTES, PER_BLOCK = 8 << 20, 3000
+#: Bytes of neighbouring blocks that are read at once, records of a block, and how hard blocks are compressed.
+READ_BYTES, PER_BLOCK, LEVEL = 1 << 20, 3000, 6
 INDEX = "cluster.idx"
 
 
@@ -56,37 +56,35 @@ def read_blocks(found: DataFrame, path: str) -> DataFrame:
     Neighbouring blocks go to one task and are read together. Bytes that are no UTF-8 are replaced.
     """
 
-    def lines(blocks: list[dict], data: bytes, base: int) -> Iterator[tuple]:
-        for b in blocks:
-            at = b["offset"] - base
-            text = zlib.decompress(data[at : at + b["length"]], 16 + zlib.MAX_WBITS).decode("utf-8", "replace")
-            wanted = set(b["prefixes"])
-            for no, line in enumerate(text.splitlines()):
-                key = line.split(" ", 1)[0]
-                for end in (i for i, c in enumerate(key) if c in "),"):
-                    if key[:end] in wanted:
-                        yield key[:end], b["block"], no, line
-                    if key[end] == ")":
-                        break
+    def lines(b: dict, data: bytes) -> pd.DataFrame:
+        wanted, head, ends, out = set(b["prefixes"]), None, [], []
+        for no, line in enumerate(zlib.decompress(data, 16 + zlib.MAX_WBITS).decode("utf-8", "replace").splitlines()):
+            key = line.split(" ", 1)[0]
+            host, bracket, _ = key.partition(")")
+            if (host, bracket) != head:  # neighbours often have one host
+                head, ends = (host, bracket), [host[:i] for i, c in enumerate(host) if c == "," and host[:i] in wanted] + [host] * (bool(bracket) and host in wanted)
+            out += [(p, b["block"], no, line) for p in ends]
+        return pd.DataFrame(out, columns=["prefix", "block", "line_no", "line"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = opened(path)
         pending: list[dict] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             first, last = pending[0], pending[-1]
             with fs.open_input_file(f"{folder}/{first['shard']}") as f:
                 data = f.read_at(last["offset"] + last["length"] - first["offset"], first["offset"])
-            return pd.DataFrame(lines(pending, data, first["offset"]), columns=["prefix", "block", "line_no", "line"])
+            for b in pending:  # the text of one block at a time
+                yield lines(b, memoryview(data)[b["offset"] - first["offset"] :][: b["length"]])
+            pending.clear()
 
         for batch in batches:
             for row in batch.to_dict("records"):
                 if pending and (row["shard"] != pending[-1]["shard"] or row["offset"] != pending[-1]["offset"] + pending[-1]["length"] or row["offset"] + row["length"] - pending[0]["offset"] > READ_BYTES):
-                    yield flush()
-                    pending = []
+                    yield from flush()
                 pending.append(row)
         if pending:
-            yield flush()
+            yield from flush()
 
     once = found.groupBy("block", "shard", "offset", "length").agg(F.collect_set("prefix").alias("prefixes"))  # the prefixes of one block
     return once.repartitionByRange("block").sortWithinPartitions("block").mapInPandas(read, "prefix string, block long, line_no int, line string")
@@ -132,7 +130,7 @@ def write_blocks(records: DataFrame, path: str, per_block: int = PER_BLOCK) -> N
 
         def close_block() -> None:
             nonlocal at
-            data = gzip.compress("".join(x + "\n" for _, x in held).encode(), mtime=0)
+            data = gzip.compress("".join(x + "\n" for _, x in held).encode(), LEVEL, mtime=0)
             out.write(data)
             entries.append((held[0][0], name, at, len(data)))
             at += len(data)

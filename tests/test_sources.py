@@ -83,6 +83,20 @@ def test_only_the_bytes_of_blocks_that_may_hold_records_are_read(spark, index):
     assert got.count() == len(below(rows, "com,example2")) + len(below(rows, "net,only"))
 
 
+def test_one_block_is_text_at_a_time(spark, monkeypatch):
+    """However many neighbouring blocks are read together, a task hands on the lines of one block before it opens the next."""
+    path = shared.shared_dir(spark, "many")
+    rows = [(f"org,a)/p{i:05d}", f"{i:014d}", f"http://x/{i}", "200", "text/html") for i in range(400)]
+    blocks.write_blocks(spark.createDataFrame(rows, "urlkey string, timestamp string, url string, status string, mime string").coalesce(1), path, per_block=20)
+    tasks = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, f, schema: tasks.append((self, f)))
+    blocks.read_blocks(blocks.blocks_for(blocks.read_sparse(spark, path), spark.createDataFrame([("org,a",)], "prefix string")), path)
+    monkeypatch.undo()
+    found, read = tasks[-1]
+    got = list(read(iter([found.toPandas()])))
+    assert sum(map(len, got)) == 400 and max(map(len, got)) <= 20
+
+
 def test_an_empty_index_and_damaged_lines(spark):
     path = shared.shared_dir(spark, "odd").removeprefix("file://")
     lines = ['com,a)/1 2024 {"url": "http://a/1", "status": "200", "mime": "text/html"}', "com,a)/2 2024 {damaged", "com,a)/3 2024", "no key"]
