@@ -542,9 +542,10 @@ def _indexed(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     rows = U.with_suffix(U.with_parts(B.corpus(s, d)))
     key = F.concat(U.surt(F.col("host")), F.lit(")"), F.col("path"), F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise(""))
     pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), (F.col("row_id") % k).cast("int"))
-    records = rows.select(key.alias("urlkey"), F.lpad(F.col("row_id").cast("string"), 14, "0").alias("timestamp"), F.col("u").alias("url"), pick(5, "200", "404", "301", "200", "200").alias("status"), pick(3, "text/html", "application/xhtml+xml", "image/png").alias("mime"))
+    rows = rows.select(key.alias("urlkey"), F.lpad(F.col("row_id").cast("string"), 14, "0").alias("timestamp"), F.col("u").alias("url"), pick(5, "200", "404", "301", "200", "200").alias("status"), pick(3, "text/html", "application/xhtml+xml", "image/png").alias("mime"), "suffix", "registrable")
+    rows = materialize(rows, "records")  # URLs are taken apart once
     path = shared_dir(s, "crawl-index")
-    blocks.write_blocks(records, path, per_block=500)
+    blocks.write_blocks(rows.drop("suffix", "registrable"), path, per_block=500)
     removed_at_exit(s, path)
     return path, rows.where(F.col("suffix").isin("org", "co.uk")).select(U.surt(F.col("registrable")).alias("prefix")).distinct()
 
