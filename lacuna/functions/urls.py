@@ -122,7 +122,7 @@ def kind_count(s: Column, ascii_: str, any_: str) -> Column:
 
 def entropy(s: Column) -> Column:
     """Bits of the distribution of characters; 0 for the empty string."""
-    ordered = F.array_join(F.array_sort(F.split(s, "")), "")
+    ordered = F.array_join(F.sort_array(F.split(s, "")), "")  # array_sort would call its comparison row by row
     n = F.length(s).cast("double")
     alike = F.transform(F.regexp_extract_all(ordered, F.lit(r"((?s)(.)\2*)"), F.lit(1)), lambda r: F.length(r).cast("double"))
     bits = F.log2(n) - F.aggregate(alike, F.lit(0.0), lambda a, k: a + k * F.log2(k)) / n

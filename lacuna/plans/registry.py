@@ -610,13 +610,21 @@ def stream_timeline(s: SparkSession, d: str) -> DataFrame:
 
 # --- the experiment from split to cells ---------------------------------------------------------------------------------------
 
+def _experiment_parts(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The random and the disjoint split of the corpus with its features: rows are dealt while they are narrow, then widened and written once for both."""
+    narrow = B.corpus(s, d).select("row_id", "y", "domain", "url")
+    dealt = materialize(splits.disjoint_split(narrow).withColumnRenamed("part", "disjoint"), "dealt")
+    tasks = max(4 * s.sparkContext.defaultParallelism, dealt.count() // FILE_ROWS)  # features cost the same in every row, so tasks get equal shares
+    rows = splits.random_split(dealt, "row_id").withColumnRenamed("part", "random").repartition(tasks, "row_id")
+    wide = materialize(U.with_features(rows).select("row_id", "y", "domain", "random", "disjoint", *U.FEATURES), "features")
+    return {k: wide.withColumn("part", F.col(k)).drop("random", "disjoint") for k in ("random", "disjoint")}
+
+
 @query()
 def experiment_cells(s: SparkSession, d: str) -> DataFrame:
     """Two forests, trained on a random and on a disjoint split of the corpus, scored on their test parts and on the live rows."""
-    corpus = materialize(U.with_features(B.corpus(s, d)).select("row_id", "y", "domain", *U.FEATURES), "features")
     rows = materialize(U.with_features(B.urls(s, d)).select("y", "source", "domain", *U.FEATURES), "live")
-    parts = {"random": splits.random_split(corpus, "row_id"), "disjoint": splits.disjoint_split(corpus)}
-    parts = {k: materialize(p, k) for k, p in parts.items()}  # each is read for training, thresholds and scores
+    parts = _experiment_parts(s, d)  # each is read for training, thresholds and scores
     fitted = {k: model.fit(p, U.FEATURES, k, **EXPERIMENT) for k, p in parts.items()}
     test = {k: p.where("part = 'test'") for k, p in parts.items()}
     return experiment.run(fitted["random"], fitted["disjoint"], test["random"], test["disjoint"], rows, RESAMPLES)

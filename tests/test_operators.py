@@ -404,6 +404,19 @@ def test_the_registered_experiment_has_all_cells(spark, monkeypatch):
     assert sorted((r.cell, r.point) for r in got) == [(c, p) for c in ("c1", "c2", "c3", "c4", "robustness") for p in ("f1", "tss")] and all(r.n > 0 and r.lo <= r.hi for r in got)
 
 
+def test_the_experiment_writes_its_features_once_for_both_splits(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(registry, "EXPERIMENT", {"trees": 2, "depth": 3})
+    for module in (registry, splits):
+        monkeypatch.setattr(module, "materialize", lambda df, name, of=module.materialize: written.append((name, set(urls.FEATURES) <= set(df.columns))) or of(df, name))
+    registry.queries()["experiment_cells"](spark, FOLDER)
+    assert sorted(name for name, wide in written if wide) == ["features", "live"]
+    corpus = registry.B.corpus(spark, FOLDER)
+    dealt = {"random": splits.random_split(corpus, "row_id"), "disjoint": splits.disjoint_split(corpus)}
+    for k, part in registry._experiment_parts(spark, FOLDER).items():
+        assert sorted(map(tuple, part.select("row_id", "y", "domain", "part").collect())) == sorted(map(tuple, dealt[k].select("row_id", "y", "domain", "part").collect()))
+
+
 def test_each_tree_has_a_balance_of_its_own(spark, tmp_path):
     random.seed(7)
     rows = [(i, int(i % 7 == 0), random.gauss(2 * (i % 7 == 0), 1), random.gauss(0, 1), 5.0, "abc"[i % 3]) for i in range(700)]
