@@ -14,14 +14,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 #: Distinct words and pieces that a worker remembers (the first ones, so the frequent ones), and the longest of them.
 REMEMBERED, LONGEST = 500_000, 48
-#: Texts whose new words are looked up together.
-TOGETHER = 64
+#: Texts whose new words are looked up together: words that are not remembered go through the library once for all of them.
+TOGETHER = 512
 _PLAIN = re.compile(r" ?[^\s\x1c-\x1f]{1,48}").fullmatch
 _ODD_BLANK = re.compile(r"[^\S \n]").search
 _FINE = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])(?=[.,;:!?\n])|(?<=\\S\n)(?=\\S)")
@@ -70,8 +70,9 @@ class Encoder:
         """The ids of words that are not remembered; they are remembered while there is room."""
         cut = {w: _FINE.split(w) for w in words}
         have = self.pieces
-        missing = {p for pieces in cut.values() for p in pieces if p not in have}
-        plain = [p for p in missing if _PLAIN(p) and "\ue000" not in p and "<|" not in p]  # no special tokens
+        asked = set(chain.from_iterable(cut.values()))
+        missing = asked.difference(have)
+        plain = [p for p in filter(_PLAIN, missing) if "\ue000" not in p and "<|" not in p]  # no special tokens
         alone = list(missing.difference(plain))
         got_now: dict[str, bytes] = {}
         n = len(self.mark)
@@ -91,9 +92,10 @@ class Encoder:
             for p, got in zip(alone[i : i + 64], self._encode(alone[i : i + 64]), strict=True):
                 got_now[p] = np.array(got, dtype="<u4").tobytes()
         if len(have) < REMEMBERED:
-            have.update((p, got_now[p]) for p in plain)
-        got_now.update((p, have[p]) for pieces in cut.values() for p in pieces if p not in got_now)
-        out = {w: b"".join([got_now[p] for p in pieces]) for w, pieces in cut.items()}
+            have.update(zip(plain, map(got_now.__getitem__, plain), strict=True))
+        before = asked.difference(missing)
+        got_now.update(zip(before, map(have.__getitem__, before), strict=True))
+        out = {w: got_now[pieces[0]] if len(pieces) == 1 else b"".join(map(got_now.__getitem__, pieces)) for w, pieces in cut.items()}
         if len(self.words) < REMEMBERED:
             self.words.update((w, b) for w, b in out.items() if len(w) <= LONGEST)
         return out

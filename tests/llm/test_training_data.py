@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lacuna import llm
-from lacuna.llm import chat_format, common, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
+from lacuna.llm import chat_format, common, encoding, mixing, near_dedup, packing, quality_rules, sharding, sstable, suffix_dedup, vector_search, warc
 from lacuna.llm.common import shared_dir
 from lacuna.llm.encoding import Encoder
 
@@ -546,6 +546,15 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+def test_words_that_are_not_remembered_are_encoded_once_for_many_texts(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED", 0)
+    enc, learned = Encoder(public_tokenizers.path("byte_bpe_50k.json"), False), []
+    monkeypatch.setattr(enc, "_learn", lambda words, of=enc._learn: learned.append(len(words)) or of(words))
+    texts = [f"zwölf Boxkämpfer, jagen\nViktor {i % 3}" for i in range(400)]
+    got = list(enc.ids(texts))
+    assert learned == [6] and got == [np.array(enc.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+
 def test_op3_query_equals_the_library(spark):
     t, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for i, text in documents():
