@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         enc = encoder(vocabulary, at_blanks)
         for batch in slices(batches, "text", 1 << 20):
             rows = []
-            for doc, ids in zip(batch.column("id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("id").to_pylist(), enc.ids(batch.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

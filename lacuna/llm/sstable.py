@@ -192,7 +192,7 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
             done.append((shard, number, writer.file.name, id_of(writer.keys[0]), id_of(writer.keys[-1]), writer.docs, writer.tokens, writer.file.size))
 
         for batch in slices(batches, "text", 2 << 20):
-            for s, i, ids in zip(batch.column("shard").to_pylist(), batch.column("id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
+            for s, i, ids in zip(batch.column("shard").to_pylist(), batch.column("id").to_pylist(), enc.ids(batch.column("text")), strict=True):
                 if s != shard or writer.file.size + len(writer.block) >= roll_bytes:
                     if writer:
                         finish()

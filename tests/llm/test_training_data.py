@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import sys
 import zlib
 from fractions import Fraction
 
@@ -555,6 +556,41 @@ def test_words_that_are_not_remembered_are_encoded_once_for_many_texts(monkeypat
     assert learned == [6] and got == [np.array(enc.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
 
+@pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_remembered_words_cost_no_step_of_python_each(name, blanks, monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED", 301)  # the words below: no room for later ones
+    enc, words = Encoder(public_tokenizers.path(name), blanks), [f"Wörd{i}" for i in range(300)]
+    texts = [" ".join([*words, f"neu{i}"]) for i in range(100)]
+    list(enc.ids([" ".join(["a", *words])]))
+    steps, asked = [], []
+    sent = enc._encode
+    enc._encode = lambda some: asked.extend(some) or sent(some)
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    try:
+        got = list(enc.ids(texts))
+    finally:
+        sys.setprofile(None)
+    assert len(steps) < 300 * 100 / 4
+    assert got == [np.array(enc.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    asked.clear()
+    signs = [" ".join(["a", *(w + sign for w in words)]) for sign in ('"', "&&&", "/", ")")]
+    assert list(enc.ids(signs)) == [np.array(enc.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in signs]
+    assert not any("rd" in x for x in asked)  # a known word goes not through the library again for the sign after it
+
+
+def test_words_are_told_apart_by_all_their_bytes(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED", 40)
+    monkeypatch.setattr(encoding, "STEP", 7)
+    monkeypatch.setattr(encoding.Memory, "_slots", lambda self, keys: np.full(len(keys), len(self.slots) - 2))  # all ask for one place
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    words = [*("x" * n for n in range(1, 70)), *("é" * n for n in range(1, 40)), *("y" * n + "z" for n in range(25, 35)), "a\0", "a", "a\0\0", "\0"]
+    for texts in (words, [" ".join(words), None, "", " ", " ".join(reversed(words))], words):
+        want = [np.array(enc.tokenizer.encode(x or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+        assert list(enc.ids(texts)) == want
+        assert list(enc.ids(pa.array(["not", *texts, "these"]).slice(1, len(texts)))) == want
+    assert enc.words.size == enc.pieces.size == 41  # with place 0
+
+
 def test_op3_query_equals_the_library(spark):
     t, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for i, text in documents():
