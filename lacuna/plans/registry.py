@@ -601,9 +601,10 @@ def stream_timeline(s: SparkSession, d: str) -> DataFrame:
     """The timeline from files of sightings that arrive in no order of days, kept by a stream."""
     base = shared_dir(s, "stream-timeline")
     rows = _visits(s, d)
-    lots = max(1, -(-rows.count() // (6 * FILE_ROWS)))  # three micro-batches, of files that do not grow
+    lots = max(1, -(-rows.count() // (6 * FILE_ROWS)))  # files do not grow
     rows.repartition(6 * lots, F.xxhash64("page_id")).write.parquet(f"{base}/in")
-    stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=2 * lots), f"{base}/out", f"{base}/state", parts=6 * lots)
+    files = len(s.read.schema(rows.schema).parquet(f"{base}/in").inputFiles())  # three micro-batches, however many were written
+    stream_of_days.run_timeline(ingest.snapshot_stream(s, f"{base}/in", rows.schema, files_per_trigger=max(1, -(-files // 3))), f"{base}/out", f"{base}/state", parts=6 * lots)
     removed_at_exit(s, base)
     return stream_of_days.timeline(s, f"{base}/out")
 

@@ -3,11 +3,15 @@ import gzip
 import hashlib
 import json
 import random
+import shutil
 import zipfile
 
 import duckdb
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
 from lacuna.functions import suffixes, urls
@@ -169,6 +173,15 @@ def test_streamed_files_and_state_parts_grow_with_the_rows(spark, monkeypatch):
     assert sorted(map(tuple, registry.queries()["stream_timeline"](spark, FOLDER).collect())) == sorted(map(tuple, want)) and spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+def test_a_stream_of_more_files_has_no_more_batches(spark, monkeypatch):
+    """Each micro-batch has a cost of its own: sightings written as 30 files make three, not 15."""
+    dealt, batches, merged = DataFrame.repartition, [], stream_of_days.merged
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *keys: dealt(self, 30, *keys))
+    monkeypatch.setattr(stream_of_days, "merged", lambda path: lambda delta, batch: (batches.append(batch), merged(path)(delta, batch)))
+    want = sorted(map(tuple, registry.queries()["timeline"](spark, FOLDER).collect()))
+    assert sorted(map(tuple, registry.queries()["stream_timeline"](spark, FOLDER).collect())) == want and batches == [0, 1, 2]
+
+
 def test_disjoint_split_shares_no_group_and_random_split_does(spark):
     rows = spark.createDataFrame([(i, d % 2, f"d{d}") for d in range(200) for i in range(d * 10, d * 10 + d % 7 + 1)], "row_id long, y int, domain string")
     s = splits.disjoint_split(rows)
@@ -228,6 +241,40 @@ def test_a_stream_keeps_the_timeline_in_any_order_of_arrival(spark, tmp_path, or
     assert [tuple(r) for r in stream_of_days.timeline(spark, out).orderBy("snapshot_date").collect()] == timeline_by_brute_force(rows)
 
 
+def test_a_stream_keeps_its_keys_without_python_and_repeats_a_broken_batch(spark, tmp_path, monkeypatch):
+    """Nothing runs in Python for each key; a batch that breaks off between keys and totals is repeated; a null URL is not the empty one."""
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda *a, **k: pytest.fail("Python for each key"))
+    odd = [(1000 + i, u, 1, live.STREAMS[0], dt.date(2024, 2, 9 - i), "odd.com") for i, u in enumerate([None, "", None, ""])]
+    rows = odd[:2] + sightings(200, 5) + odd[2:]
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    whole, broken = stream_of_days.merged, [1]
+
+    def merged(path):
+        def merge(delta, batch):
+            if batch in broken:
+                broken.clear()
+                raise InterruptedError
+            whole(path)(delta, batch)
+
+        return merge
+
+    monkeypatch.setattr(stream_of_days, "merged", merged)
+    for part in (rows[:100], rows[100:150], rows[150:]):
+        spark.createDataFrame(part, SIGHTING).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: stream_of_days.run_timeline(ingest.snapshot_stream(spark, source, SIGHTING), out, state)
+    with pytest.raises(StreamingQueryException, match="InterruptedError"):
+        run()
+    assert stream_of_days.versions(spark, f"{state}/known") == [0, 1] and stream_of_days.versions(spark, out) == [0]
+    run()
+    assert [tuple(r) for r in stream_of_days.timeline(spark, out).orderBy("snapshot_date").collect()] == timeline_by_brute_force(rows)
+    assert stream_of_days.versions(spark, f"{state}/known") == [1, 2]
+    # What was known is gone: the next batch does not begin anew without a word.
+    shutil.rmtree(tmp_path / "state" / "known")
+    spark.createDataFrame(rows[:5], SIGHTING).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(StreamingQueryException, match="before batch 3"):
+        run()
+
+
 def test_sealing_hides_and_returns(spark):
     rows = spark.createDataFrame([(1, "http://secret.example"), (2, "http://other.example")], "i int, url string")
     sealed = readers.seal(rows, "0123456789abcdef", ["url"])
