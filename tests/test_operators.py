@@ -154,6 +154,23 @@ def test_trees_grown_by_tasks(spark, monkeypatch):
     assert model.predict(model.train_wide(frame.select("y", F.lit(1.0).alias("f0")), ["f0"], trees=3), frame.withColumn("f0", F.lit(None))).agg(F.countDistinct("prob")).head()[0] == 1
 
 
+def test_a_forest_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """The same rows in other parts and another order have the same cuts and scores, with more values than stand for a block, and more blocks than one."""
+    monkeypatch.setattr(forest, "BLOCK", 2000)
+    rng = random.Random(5)
+    rows = [(y := i % 2, rng.gauss(y, 1) if i % 9 else None, float(rng.randrange(9)), None, rng.gauss(0, 1)) for i in range(6000)]
+    frame = spark.createDataFrame(rows + rows[:500], "y int, f0 double, f1 double, f2 double, f3 double")
+    names = ["f0", "f1", "f2", "f3"]
+    found = [model.train_wide(f, names, trees=3, depth=4) for f in (frame.repartition(3), frame.orderBy(F.desc("f0")), frame.repartition(7, "f1"))]
+    cuts = [[c.tolist() for c in m.stages[-1].cuts] for m in found]
+    assert cuts[0] == cuts[1] == cuts[2] and [len(c) for c in cuts[0]] == [31, 9, 0, 31]
+    for k in (0, 3):
+        values = sorted(r[k + 1] for r in rows + rows[:500] if r[k + 1] is not None)
+        assert all(abs(sum(v <= c for v in values) / len(values) - i / 32) < 0.002 for i, c in enumerate(cuts[0][k], 1))
+    scores = [sorted(r.prob for r in model.predict(m, frame).collect()) for m in found]
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
+
+
 def test_streamed_files_and_state_parts_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(registry, "FILE_ROWS", 100)
     asked = []
